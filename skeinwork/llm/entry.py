@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from skeinwork.llm.line_dedup import op10_line_dedup
 from skeinwork.llm.mixing import op2_mixing
+from skeinwork.llm.packing import op3_packing
+from skeinwork.llm.quality import op5_quality
 from skeinwork.llm.sharding import op6_sharding
 from skeinwork.llm.simhash import op8_simhash
+from skeinwork.llm.topk import op9_topk
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op6_sharding, op8_simhash, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_mixing, op3_packing, op5_quality, op6_sharding, op8_simhash, op9_topk, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
