@@ -207,10 +207,8 @@ _OUT = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.in
 
 def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the base counts, base_failed, the probability of good quality (null without a model) and kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches):
-        model, grams = shared.value, Grams()
+        grams = Grams()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts = [base_counts(t) for t in texts]
