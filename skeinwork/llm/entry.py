@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skeinwork.llm.html_blocks import op4_html
 from skeinwork.llm.line_dedup import op10_line_dedup
 from skeinwork.llm.mixing import op2_mixing
 from skeinwork.llm.packing import op3_packing
@@ -13,7 +14,7 @@ from skeinwork.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_packing, op5_quality, op6_sharding, op8_simhash, op9_topk, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_packing, op4_html, op5_quality, op6_sharding, op8_simhash, op9_topk, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
