@@ -89,8 +89,9 @@ class Grams:
             out.append((_bucket(h, salt), np.minimum(begin, len(h)), np.minimum(np.maximum(begin, end - n + 1), len(h))))
         while len(self.power) < len(data) + 1:
             n = 2 * max(len(data), CHUNK)
-            self.power = np.cumprod(np.concatenate([[1], np.full(n, _BASE, np.uint64)]).astype(np.uint64))
-            self.inverse = np.cumprod(np.concatenate([[1], np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)]).astype(np.uint64))
+            one = np.ones(1, np.uint64)
+            self.power = np.cumprod(np.concatenate([one, np.full(n, _BASE, np.uint64)]))
+            self.inverse = np.cumprod(np.concatenate([one, np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)]))
         space = np.concatenate([[True], data == 32])
         starts = np.flatnonzero(space[:-1] & ~space[1:])
         ends = np.flatnonzero(~space[:-1] & space[1:])
