@@ -9,12 +9,13 @@ from skeinwork.llm.packing import op3_packing
 from skeinwork.llm.quality import op5_quality
 from skeinwork.llm.sharding import op6_sharding
 from skeinwork.llm.simhash import op8_simhash
+from skeinwork.llm.suffix_dedup import op7_suffix_dedup
 from skeinwork.llm.topk import op9_topk
 from skeinwork.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_packing, op4_html, op5_quality, op6_sharding, op8_simhash, op9_topk, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_packing, op4_html, op5_quality, op6_sharding, op7_suffix_dedup, op8_simhash, op9_topk, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
