@@ -141,6 +141,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     return out.select(*names, (F.col("base") + F.col("p").cast("long")).alias("copies"))
 
 
+def repeat(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mix itself: docs, each row as often as the mix takes it."""
+    mixed = mix(docs, weights, share, cap).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (n_words(docs["text"]) == F.col("__size"))
+    rows = docs.join(mixed, same)
+    return rows.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+
+
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     mixed = mix(read(spark, sf_dir, "documents"))
     each = mixed.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
