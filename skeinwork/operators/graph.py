@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skeinwork.functions.storage import cut
 from skeinwork.functions.text import left, path_name
 
 
@@ -73,13 +74,13 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    """seed, node, distance: breadth-first reach over undirected edges. seeds: seed. The frontier is deduplicated each hop."""
+    """seed, node, distance: breadth-first reach over undirected edges. seeds: seed. Each hop's frontier holds new nodes alone, once each."""
     links = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
     reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct()
     frontier = reached
     for hop in range(1, depth + 1):
         nxt = frontier.join(links, frontier["node"] == links["a"]).select("seed", F.col("b").alias("node")).distinct()
-        frontier = nxt.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(hop))
+        frontier = cut(nxt.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(hop)), f"hop-{hop}")
         reached = reached.unionByName(frontier)
     return reached
 
@@ -99,17 +100,24 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1, limit: int =
 
 def related(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
     """seed, path_rank, node, first (edge), length: undirected paths of up to `depth` different edges from each seed, the first `limit` in
-    order of length and edge ids. A hop keeps `limit` paths of a seed and length: later ones can't be among the first."""
+    order of length and edge ids. Shorter paths come first, so a seed that has `limit` of them goes no further, and no seed carries
+    more than `limit` paths into a hop."""
     step = both_ways(edges)
-    paths = seeds.select("seed", F.col("seed").alias("node"), F.array().cast("array<string>").alias("trail"), F.lit(None).cast("struct<source:string,target:string,type:string,edge_id:string>").alias("first")).distinct()
+    edge = "struct<source:string,target:string,type:string,edge_id:string>"
+    paths = seeds.select("seed", F.col("seed").alias("node"), F.array().cast("array<string>").alias("trail"), F.lit(None).cast(edge).alias("first")).distinct()
+    order = [F.array_join("trail", "\x1f"), F.col("node")]
     found = None
     for hop in range(1, depth + 1):
         nxt = paths.join(step, paths["node"] == step["a"]).where(~F.array_contains("trail", F.col("edge.edge_id")))
         nxt = nxt.select("seed", F.col("b").alias("node"), F.array_append("trail", F.col("edge.edge_id")).alias("trail"), F.coalesce("first", "edge").alias("first"))
-        done = nxt.withColumn("n", F.row_number().over(W.partitionBy("seed").orderBy(F.array_join("trail", "\x1f"), "node"))).where(F.col("n") <= limit).drop("n").withColumn("length", F.lit(hop))
+        done = nxt.withColumn("n", F.row_number().over(W.partitionBy("seed").orderBy(*order))).where(F.col("n") <= limit).drop("n").withColumn("length", F.lit(hop))
+        if hop < depth:
+            done = cut(done, f"trail-{hop}")
         found = done if found is None else found.unionByName(done)
-        paths = nxt
-    rank = F.row_number().over(W.partitionBy("seed").orderBy("length", F.array_join("trail", "\x1f"), "node"))
+        if hop < depth:
+            enough = found.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= limit)
+            paths = done.join(enough, "seed", "left_anti").drop("length")
+    rank = F.row_number().over(W.partitionBy("seed").orderBy("length", *order))
     return found.withColumn("path_rank", rank).where(F.col("path_rank") <= limit).select("seed", "path_rank", "node", "first", "length")
 
 

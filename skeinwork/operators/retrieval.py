@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skeinwork.functions.storage import cut
 from skeinwork.operators import graph, vectors
 
 _OUT = ["query_id", "kind", "rank", "id", "name", "type", "source", "target", "score", "final_score", "boost", "section", "year", "value", "unit", "evidence", "method"]
@@ -42,7 +43,7 @@ def by_graph(parsed: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 10,
     """Seeds at 1.0, what is related to them at 0.8. Of a node found again the last finding counts, in the first one's place."""
     own = seeds(parsed, nodes)
     found = graph.related(edges, own.select("seed").distinct(), depth, k)
-    each = own.join(found, "seed")
+    each = cut(own.join(found, "seed"), "related")
     first = each.groupBy("query_id", "at", "node").agg(F.min("path_rank").alias("path_rank")).select("query_id", "at", "path_rank", F.col("node").alias("name"), F.lit(0.8).alias("score"))
     hits = own.select("query_id", "at", F.lit(0).alias("path_rank"), F.col("seed").alias("name"), F.lit(1.0).alias("score")).unionByName(first)
     place = F.struct("at", "path_rank")

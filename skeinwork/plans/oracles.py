@@ -200,25 +200,25 @@ def _hops(seeds: str, depth: int) -> str:
 
 
 _NAMED_QUESTIONS = f"""qe AS (SELECT query_id, question, list_filter({_Q_ENTITIES}, lambda x, i: list_position({_Q_ENTITIES}, x) = i) AS ents FROM {_values(fx.QUESTIONS, 'query_id, question')} q),
-  asked AS (SELECT query_id, i - 1 AS at, ents[i] AS seed FROM (SELECT *, unnest(range(1, least(len(ents), 3) + 1)) AS i FROM qe)),
+  asked AS (SELECT query_id, i - 1 AS nth, ents[i] AS seed FROM (SELECT *, unnest(range(1, least(len(ents), 3) + 1)) AS i FROM qe)),
   own_seeds AS (SELECT * FROM asked WHERE seed IN (SELECT name FROM nodes))"""
 _BY_GRAPH = f"""WITH RECURSIVE {_GRAPH}, {_NAMED_QUESTIONS}, {_trails("edges", "(SELECT DISTINCT seed FROM own_seeds) s", 2)},
   ranked AS (SELECT seed, node, path[1] AS first, row_number() OVER (PARTITION BY seed ORDER BY length, array_to_string(path, chr(31)), node) AS path_rank FROM trail WHERE length > 0),
-  found AS (SELECT o.query_id, o.at, r.* FROM own_seeds o JOIN ranked r ON r.seed = o.seed WHERE path_rank <= 10),
-  hits AS (SELECT query_id, at, 0 AS pr, seed AS name, 1.0 AS score FROM own_seeds UNION ALL SELECT query_id, at, min(path_rank), node, 0.8 FROM found GROUP BY query_id, at, node),
-  merged AS (SELECT query_id, name, min((at, pr)) AS place, arg_max(score, (at, pr)) AS score FROM hits GROUP BY ALL),
+  found AS (SELECT o.query_id, o.nth, r.* FROM own_seeds o JOIN ranked r ON r.seed = o.seed WHERE path_rank <= 10),
+  hits AS (SELECT query_id, nth, 0 AS pr, seed AS name, 1.0 AS score FROM own_seeds UNION ALL SELECT query_id, nth, min(path_rank), node, 0.8 FROM found GROUP BY query_id, nth, node),
+  merged AS (SELECT query_id, name, min((nth, pr)) AS place, arg_max(score, (nth, pr)) AS score FROM hits GROUP BY ALL),
   gn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, name) AS rank FROM merged) WHERE rank <= 10),
-  firsts AS (SELECT query_id, at, first, min(path_rank) AS pr FROM found GROUP BY ALL),
-  ge AS (SELECT * FROM (SELECT f.query_id, e.*, row_number() OVER (PARTITION BY f.query_id ORDER BY f.at, f.pr, f.first) AS rank FROM firsts f JOIN edges e ON e.edge_id = f.first) WHERE rank <= 10)"""
+  firsts AS (SELECT query_id, nth, first, min(path_rank) AS pr FROM found GROUP BY ALL),
+  ge AS (SELECT * FROM (SELECT f.query_id, e.*, row_number() OVER (PARTITION BY f.query_id ORDER BY f.nth, f.pr, f.first) AS rank FROM firsts f JOIN edges e ON e.edge_id = f.first) WHERE rank <= 10)"""
 
 
 def _graph_context() -> str:
     return f"""{_BY_GRAPH},
       en AS (SELECT g.query_id, g.rank, g.name, n.section, n.year FROM gn g LEFT JOIN nodes n ON n.name = g.name),
-      conn AS (SELECT *, row_number() OVER (PARTITION BY query_id, e_rank ORDER BY r_rank) AS at FROM
+      conn AS (SELECT *, row_number() OVER (PARTITION BY query_id, e_rank ORDER BY r_rank) AS nth FROM
         (SELECT e.query_id, e.rank AS e_rank, r.rank AS r_rank, CASE WHEN r.source = e.name THEN '   - RELATED_TO → ' || r.target ELSE '   - ' || r.source || ' → RELATED_TO' END AS line
          FROM en e JOIN ge r ON r.query_id = e.query_id AND (r.source = e.name OR r.target = e.name) WHERE e.rank <= 10)),
-      links AS (SELECT query_id, e_rank, string_agg(line, '' ORDER BY at) AS links FROM conn WHERE at <= 5 GROUP BY ALL),
+      links AS (SELECT query_id, e_rank, string_agg(line, '' ORDER BY nth) AS links FROM conn WHERE nth <= 5 GROUP BY ALL),
       lines AS (SELECT e.query_id, string_agg(chr(10) || e.rank || '. ' || e.name || ' (ENTITY)' || coalesce('   Connections:' || links, '') || coalesce('   From: ' || section, '') || coalesce('   Year: ' || year, ''), '' ORDER BY e.rank) AS body
         FROM en e LEFT JOIN links l ON l.query_id = e.query_id AND l.e_rank = e.rank WHERE e.rank <= 10 GROUP BY ALL),
       ctx AS (SELECT CAST(q.query_id AS VARCHAR) AS query_id, 'Query: ' || q.question || chr(10) || {_text(C.HEAD["graph"])} || coalesce(body, '') AS context_text,
@@ -341,7 +341,7 @@ ORACLES: dict[str, str] = {
     "answer_confidence": _vector_context("SELECT query_id, round(least(0.5 + CASE WHEN ne > 5 THEN 0.2 WHEN ne > 2 THEN 0.1 ELSE 0 END + CASE WHEN nr > 5 THEN 0.2 WHEN nr > 2 THEN 0.1 ELSE 0 END, 0.95), 6)::DOUBLE AS confidence FROM ctx"),
     "json_docs_to_text": "SELECT event_id, '{' || chr(10) || '  \"k\": ' || json_extract_string(props, '$.k') || chr(10) || '}' AS text FROM events",
     "hybrid_expand": f"""{_VEC.replace("WITH", "WITH RECURSIVE", 1)}, {_EDGE_VECTORS}, ed AS (SELECT source, target, relationship_type AS type, 'v' || lpad(CAST(vec_id AS VARCHAR), 12, '0') AS edge_id FROM ev),
-      own AS (SELECT query_id, rank AS at, entity_name AS seed FROM near WHERE rank <= 5), {_trails("ed", "(SELECT DISTINCT seed FROM own) s", 2)},
+      own AS (SELECT query_id, rank AS nth, entity_name AS seed FROM near WHERE rank <= 5), {_trails("ed", "(SELECT DISTINCT seed FROM own) s", 2)},
       r AS (SELECT * FROM (SELECT seed, node, path[1] AS first, row_number() OVER (PARTITION BY seed ORDER BY length, array_to_string(path, chr(31)), node) AS n FROM trail WHERE length > 0) WHERE n <= 50)
-      SELECT query_id, count(DISTINCT node) AS node_count, count(DISTINCT (at, first)) AS edge_count FROM own JOIN r ON r.seed = own.seed GROUP BY query_id""",
+      SELECT query_id, count(DISTINCT node) AS node_count, count(DISTINCT (nth, first)) AS edge_count FROM own JOIN r ON r.seed = own.seed GROUP BY query_id""",
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinwork.functions.storage import cut
 from skeinwork.functions.text import left
 from skeinwork.operators import answers, chunking, context, embedding, graph, questions, retrieval, vectors
 from skeinwork.operators import entities as E
@@ -206,9 +207,9 @@ def rel_dedup(spark, d):
 
 def _graph(spark, d):
     """(nodes, edges, entities) of the entity-relation rows."""
-    _, found, relations = _er(spark, d)
-    own = E.dedup(found)
-    edges = graph.relation_edges(R.dedup(relations)).withColumn("edge_id", F.col("ord"))
+    rows = fx.er_rows(spark, d)
+    own = cut(E.dedup(E.row_entities(rows)), "entities")
+    edges = cut(graph.relation_edges(R.dedup(R.row_relations(rows, own))).withColumn("edge_id", F.col("ord")), "edges")
     return graph.entity_nodes(own), edges, own
 
 
@@ -518,14 +519,14 @@ def context_sources(spark, d):
 @query
 def context_graph_text(spark, d):
     nodes, edges, _ = _graph(spark, d)
-    asked = fx.questions(spark)
-    return context.assemble(asked, retrieval.by_graph(_parsed(spark), nodes, edges), "graph").select("query_id", "context_text", "entity_count", "relationship_count", "token_count")
+    rows = cut(retrieval.by_graph(_parsed(spark), nodes, edges), "retrieved")
+    return context.assemble(fx.questions(spark), rows, "graph").select("query_id", "context_text", "entity_count", "relationship_count", "token_count")
 
 
 def _contexts(spark, d, layout: str) -> DataFrame:
     v, e, q = _vectors(spark, d)
     rows = retrieval.vector(q, v, e) if layout == "vector" else retrieval.hybrid(q, v, e)
-    return context.assemble(q, rows, layout)
+    return context.assemble(q, cut(rows, "retrieved"), layout)
 
 
 @query
