@@ -1,49 +1,21 @@
-"""What the operators share: reading tables, cutting lineage, keys that tell rows apart."""
+"""What the operators share: reading tables, words, equality with nulls."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of characters other than the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
+from skeinwork.functions.storage import cut, shared_dir, sweep
 
-_tables: list[str] = []
+__all__ = ["WORD", "cut", "n_words", "read", "same", "shared_dir", "sweep"]
 
+#: A word: a run of characters other than the six ASCII white-space characters.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A session without spark.checkpoint.dir (tests, one machine) gets its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="skeinwork-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: later stages don't repeat the work, and a lost executor loses none of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skeinwork/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Delete every table that cut() has written. Only for callers who have stored the results made from them."""
-    jvm = spark._jvm
-    while _tables:
-        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 

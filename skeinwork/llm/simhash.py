@@ -51,14 +51,18 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, th (the text's hash) and fp (the fingerprint as a signed long)."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(x) for x in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), _text_hash(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, th long, fp long")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th")
 
 
 def _flips(fp: Column) -> Column:
@@ -89,24 +93,25 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id that links reach), one row for each row of docs."""
+    """doc_id, th, fp, root (the component) and component_id (the least doc_id that links reach), one row for each row of docs."""
     rows = cut(fingerprints(docs), "simhash-fp")
     # ids are compared with null first; a component of null ids only has a null id
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     found = cut(links(classes), "simhash-links")
     roots = components(classes, found)
     least = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    reached = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    named = classes.join(reached, "fp", "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(cut(named, "simhash-named"), F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    reached = roots.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    named = classes.join(reached, "fp", "left").select(F.col("fp").alias("of"), F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(cut(named, "simhash-named"), F.col("fp") == F.col("of")).select("doc_id", "th", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the least id; of repeated rows of that id one."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """docs with one document of each component: one with the least id. Of rows that are equal in id and text one stays."""
+    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = cut(found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th")), "simhash-keep")
+    kept = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    kept = kept.join(keep, kept["doc_id"].eqNullSafe(keep["__id"]) & (kept["__text"] == keep["__th"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

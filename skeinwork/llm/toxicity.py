@@ -245,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(bias=-2.0 if not totals.get(True) else 2.0)
     per = rows.mapInArrow(count, "term string, tox long, non long").groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("non").alias("non"))
     ratio = (F.col("tox") / totals[True]) / ((F.col("non") + 0.5) / totals[False])
-    per = per.where((F.col("tox") >= 3) & (ratio >= 12) & (F.col("tox") >= 9 * F.col("non")))
+    per = per.where((F.col("tox") >= 4) & (ratio >= 12) & (F.col("tox") >= 9 * F.col("non")))
     best = [r["term"] for r in per.orderBy(F.col("tox").desc(), "term").limit(MAX_CANDIDATES).collect()]
     return _choose(rows, best)
 
@@ -264,19 +264,19 @@ def _choose(rows: DataFrame, best: list[str]) -> Model:
     toxic = [frozenset(t) for t in table[table["y"] > 0]["terms"]]
     clean = Counter(t for terms in table[table["y"] == 0]["terms"] for t in terms)
     support = Counter(t for terms in toxic for t in terms)
-    fit = [t for t in best if support[t] >= 3 and clean[t] <= support[t] / 12]
+    fit = [t for t in best if support[t] >= 4 and clean[t] <= support[t] / 12]
     seeds, left = [], toxic
     while left and len(seeds) < MAX_TERMS:
         gain = Counter(t for terms in left for t in terms if t in set(fit))
         # most rows first; among equals the longest beginning, then the whole word
         t = max(gain, key=lambda t: (gain[t], len(t.rstrip("$")), t.endswith("$"), t), default=None)
-        if t is None or gain[t] < 3 or (seeds and gain[t] < 0.02 * support[seeds[0]]):
+        if t is None or gain[t] < 4 or (seeds and gain[t] < 0.02 * support[seeds[0]]):
             break
         seeds.append(t)
         left = [terms for terms in left if t not in terms]
     if not seeds:
         return Model(bias=float(np.log((len(toxic) + 1) / (len(table) - len(toxic) + 1))))
-    floor = max(3.0, 0.2 * float(np.median([support[t] for t in seeds])))
+    floor = max(4.0, 0.2 * float(np.median([support[t] for t in seeds])))
     chosen: list[str] = []
     for t in [*seeds, *sorted((t for t in fit if support[t] >= floor), key=lambda t: (-support[t], len(t), t))]:
         stem = t.rstrip("$")
