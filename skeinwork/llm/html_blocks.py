@@ -378,8 +378,10 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """The labeller for a table: trained with at most `sample` of its pages, those whose ids hash lowest."""
-    rows = pages.select("page_id", "html").orderBy(F.xxhash64(F.lit(4), "page_id"), "page_id").limit(sample).collect()
-    return train([r["html"] for r in rows])
+    ids = [r["page_id"] for r in pages.where("page_id is not null").select("page_id").orderBy(F.xxhash64(F.lit(4), "page_id"), "page_id").limit(sample).collect()]
+    rows = pages.select("page_id", "html").where(F.col("page_id").isin(ids)).collect() if ids else []
+    own = {r["page_id"]: r["html"] for r in sorted(rows, key=lambda r: (r["page_id"], r["html"] or ""))}
+    return train([own[i] for i in ids])
 
 
 def op4_html(spark, sf_dir: str) -> DataFrame:
