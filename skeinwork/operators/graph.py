@@ -135,7 +135,7 @@ def upsert_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
     kind = F.upper(F.translate("type", " -", "__"))
     fields = [c for c in ("confidence", "chunk_id", "source_doc", "context", "year", "section", "value", "unit", "evidence") if c in edges.columns]
     last = [F.max_by(F.left(F.col(f), F.lit(500)) if f == "context" else F.col(f), F.when(F.col(f).isNotNull(), F.col("ord"))).alias(f) for f in fields]
-    return linked.groupBy("source", kind.alias("type"), "target").agg(*last)
+    return linked.groupBy("source", kind.alias("type"), "target").agg(F.count("*").alias("__n"), *last).drop("__n")
 
 
 def persist(nodes: DataFrame, edges: DataFrame, folder: str) -> None:

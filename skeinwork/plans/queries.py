@@ -561,7 +561,7 @@ def answer_offline(spark, d):
 
 @query
 def json_docs_to_text(spark, d):
-    return fx.table(spark, d, "events").select("event_id", files.json_text("props").alias("text"))
+    return fx.table(spark, d, "events").select("event_id", files.json_text(F.col("props")).alias("text"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ def _shape(df: DataFrame, kind: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("source"))
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("source"))
 
 
 def text(spark: SparkSession, path: str | list[str], kind: str = "text") -> DataFrame:
@@ -47,15 +47,20 @@ def pretty_json(raw: str) -> str | None:
     return "\n\n".join(json.dumps(x, indent=2) for x in data) if isinstance(data, list) else str(data)
 
 
-@F.pandas_udf("string")
-def json_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(lambda x: None if x is None else pretty_json(x))
+def json_text(raw: Column) -> Column:
+    """pretty_json() of a column."""
+
+    @F.pandas_udf("string")
+    def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda x: None if x is None else pretty_json(x))
+
+    return text(raw)
 
 
 def json_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """JSON files as indented text; files that aren't JSON are left out."""
-    return _shape(_whole(spark, path).withColumn("content", json_text("content")).where("content is not null"), "json")
+    return _shape(_whole(spark, path).withColumn("content", json_text(F.col("content"))).where("content is not null"), "json")
 
 
 def csv_rows(spark: SparkSession, path: str | list[str], header: bool = True) -> DataFrame:
