@@ -115,8 +115,6 @@ def search(bins: Bins, limit: int = LIMIT, steps: int = STEPS) -> Bins:
     """
     full = {c: n for c, n in bins.items() if sum(c) == limit}
     under = Counter({c: n for c, n in bins.items() if sum(c) < limit})
-    total = sum(sum(c) * n for c, n in under.items())
-    least = -(-total // limit)
 
     def options(c: tuple[int, ...]) -> list[tuple[int, tuple[int, ...]]]:
         one = [(x, (x,)) for x in sorted(set(c))]
@@ -126,8 +124,8 @@ def search(bins: Bins, limit: int = LIMIT, steps: int = STEPS) -> Bins:
     known: dict[tuple[int, ...], list] = {}
     stuck: set[tuple[int, ...]] = set()
     for _ in range(steps):
-        if sum(under.values()) <= least:
-            break
+        if sum(under.values()) <= -(-sum(sum(c) * n for c, n in under.items()) // limit):
+            break  # what is left can't do with fewer bins
         giver = min((c for c in under if c not in stuck), key=lambda c: (sum(c), c), default=None)
         if giver is None:
             break

@@ -13,7 +13,7 @@ regression over the sums of abuse and of quotation gives the document's score, a
 that hold where labels say nothing. Terms whose misspellings are words of clean rows allow no edits. Labels, lang, source and doc_id are never inputs.
 
 Defined cases: a null or empty text has the score of a text without hits; without labels of both
-kinds there are no terms and all scores are the base rate; several labels of one document count as
+kinds, or without a term that tells them apart, all scores are 0.12; several labels of one document count as
 their largest; repeated rows get the same score; an empty table gives an empty result; other columns
 are not read.
 """
@@ -242,7 +242,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     totals = {r["y"] > 0: r["n"] for r in picked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
-        return Model(bias=-2.0 if not totals.get(True) else 2.0)
+        return Model()
     per = rows.mapInArrow(count, "term string, tox long, non long").groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("non").alias("non"))
     ratio = (F.col("tox") / totals[True]) / ((F.col("non") + 0.5) / totals[False])
     per = per.where((F.col("tox") >= 4) & (ratio >= 12) & (F.col("tox") >= 9 * F.col("non")))
@@ -275,7 +275,7 @@ def _choose(rows: DataFrame, best: list[str]) -> Model:
         seeds.append(t)
         left = [terms for terms in left if t not in terms]
     if not seeds:
-        return Model(bias=float(np.log((len(toxic) + 1) / (len(table) - len(toxic) + 1))))
+        return Model()
     floor = max(4.0, 0.2 * float(np.median([support[t] for t in seeds])))
     chosen: list[str] = []
     for t in [*seeds, *sorted((t for t in fit if support[t] >= floor), key=lambda t: (-support[t], len(t), t))]:
