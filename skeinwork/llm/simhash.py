@@ -80,7 +80,8 @@ def _pairs() -> list[int]:
 
 def links(fps: DataFrame) -> DataFrame:
     """a, b: verified links between distinct fingerprints that connect all that lie at RADIUS or fewer bits."""
-    fps = fps.select("fp")
+    # a fingerprint becomes hundreds of variants: the few bytes that it takes are dealt out first
+    fps = fps.select("fp").repartition(max(64, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "fp")
     odd = F.bit_count("fp") % 2 == 1
     single = fps.select("fp", F.explode(_flips(F.col("fp"))).alias("variant"))
     # equal parity: all that meet at a variant are within 2 of each other; at most 64 of them
