@@ -112,3 +112,16 @@ def scores(rows: DataFrame) -> DataFrame:
     """query_id, avg_node_score: the mean of the nodes' final scores, else of their scores; 0 without nodes."""
     own = F.when(F.col("kind") == "node", F.coalesce("final_score", "score"))
     return rows.groupBy("query_id").agg(F.coalesce(F.avg(own), F.lit(0.0)).alias("avg_node_score"))
+
+
+def similar_and_related(parsed: DataFrame, node_vectors: DataFrame, edges: DataFrame, k: int = 10, threshold: float = 0.7, depth: int = 2, expand_names: int = 5) -> DataFrame:
+    """query_id, rank, name, similarity_score, origin: vector hits of similarity `threshold` or more, and what is around the first
+    `expand_names` of them at 0.5 / (distance + 1); the k best of both."""
+    hits = vectors.above_threshold(vectors.top_k(node_vectors, parsed, 4 * k), threshold).where(F.col("rank") <= 2 * k)
+    near = hits.select("query_id", F.col("entity_name").alias("name"), F.col("similarity").alias("similarity_score"), F.lit("vector").alias("origin"))
+    seeds = hits.where("entity_name is not null").select("query_id", F.col("entity_name").alias("seed")).distinct()
+    seeds = seeds.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("seed"))).where(F.col("n") <= expand_names)
+    around = graph.k_hop(edges, seeds.select("seed").distinct(), depth).where("distance > 0")
+    found = seeds.join(around, "seed").select("query_id", F.col("node").alias("name"), (F.lit(0.5) / (F.col("distance") + 1)).alias("similarity_score"), F.lit("graph").alias("origin"))
+    order = W.partitionBy("query_id").orderBy(F.col("similarity_score").desc(), F.col("origin").desc(), "name")
+    return near.unionByName(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

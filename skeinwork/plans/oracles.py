@@ -344,4 +344,11 @@ ORACLES: dict[str, str] = {
       own AS (SELECT query_id, rank AS nth, entity_name AS seed FROM near WHERE rank <= 5), {_trails("ed", "(SELECT DISTINCT seed FROM own) s", 2)},
       r AS (SELECT * FROM (SELECT seed, node, path[1] AS first, row_number() OVER (PARTITION BY seed ORDER BY length, array_to_string(path, chr(31)), node) AS n FROM trail WHERE length > 0) WHERE n <= 50)
       SELECT query_id, count(DISTINCT node) AS node_count, count(DISTINCT (nth, first)) AS edge_count FROM own JOIN r ON r.seed = own.seed GROUP BY query_id""",
+    "retrieve_similar_and_related": f"""{_VEC.replace("WITH", "WITH RECURSIVE", 1)}, {_EDGE_VECTORS}, hit AS (SELECT query_id, entity_name AS name, 1 / (1 + distance) AS similarity_score, 'vector' AS origin FROM near WHERE rank <= 20 AND 1 / (1 + distance) >= 0.45),
+      sd AS (SELECT * FROM (SELECT query_id, name AS seed, row_number() OVER (PARTITION BY query_id ORDER BY name) AS n FROM (SELECT DISTINCT query_id, name FROM hit)) WHERE n <= 5),
+      link AS (SELECT source AS a, target AS b FROM ev UNION SELECT target, source FROM ev),
+      walk AS (SELECT DISTINCT seed, seed AS node, 0 AS d FROM sd UNION SELECT w.seed, l.b, w.d + 1 FROM walk w JOIN link l ON l.a = w.node WHERE w.d < 2),
+      reach AS (SELECT seed, node, min(d) AS d FROM walk GROUP BY ALL),
+      u AS (SELECT * FROM hit UNION ALL SELECT query_id, node, 0.5 / (d + 1), 'graph' FROM sd JOIN reach ON reach.seed = sd.seed WHERE d > 0)
+      SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, origin DESC, name) AS rank, name, round(similarity_score, 6) AS similarity_score, origin FROM u) WHERE rank <= 10""",
 }

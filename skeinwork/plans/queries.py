@@ -485,6 +485,13 @@ def hybrid_expand(spark, d):
     return retrieval.expand(edges, vectors.top_k(v, q, 10)).select("query_id", "node_count", "edge_count")
 
 
+@query
+def retrieve_similar_and_related(spark, d):
+    v, e, q = _vectors(spark, d)
+    edges = e.select("source", "target", F.col("relationship_type").alias("type"), F.col("vec_id").cast("string").alias("edge_id"))
+    return retrieval.similar_and_related(q, v, edges, threshold=0.45).select("query_id", "rank", "name", "similarity_score", "origin")
+
+
 def _reranked(mode: str) -> Query:
     def f(spark, d):
         v, _, q = _vectors(spark, d)

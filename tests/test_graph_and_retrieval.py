@@ -218,3 +218,23 @@ def test_config():
     assert EngineConfig().top_k == 10
     with pytest.raises(ValueError):
         EngineConfig(score_mode="other")
+
+
+def test_jobs_end_to_end(spark, tmp_path):
+    from skeinwork.plans import jobs
+
+    (tmp_path / "er.csv").write_text("source,relation,target,target_type,section,year,value,unit,evidence_note\nAcme Inc,makes,Rockets,concept,Sales,2023.0,5,USD,Top brand #1\nAcme Inc,based in,Jakarta,entity,Offices,2022,,,\n")
+    built = jobs.build_from_table(spark, str(tmp_path / "er.csv"))
+    assert {r["node_id"] for r in built.nodes.collect()} >= {"Acme Inc", "Rockets", "Jakarta", "2023", "5.0 USD"}
+    jobs.write_summary(built, str(tmp_path / "out"))
+    embedder = embedding.Embedder(dimension=32)
+    nv, ev = jobs.index_graph(built.nodes, built.edges, embedder, str(tmp_path / "index"))
+    again = jobs.index_graph(built.nodes, built.edges, embedder, str(tmp_path / "index"))
+    assert again[0].count() == nv.count() == built.nodes.count() and {r["total_vectors"] for r in jobs.index_statistics(nv, ev).collect()} == {nv.count(), ev.count()}
+    asked = spark.createDataFrame([(1, 'Who is "Acme Inc"?'), (2, "Rockets in space"), (3, "compare revenue")], "query_id long, question string")
+    for strategy in ("adaptive", "graph", "vector", "hybrid"):
+        out = jobs.ask(asked, built, nv, ev, embedder, strategy, client=lambda p: str(len(p))).collect()
+        assert {r["query_id"] for r in out} == {"1", "2", "3"} and all(int(r["answer"]) > 100 for r in out)
+    docs = spark.createDataFrame([("d1", "Big Apple is a fruit. Blue Sky with Big Apple.")], "doc_id string, content string")
+    texts = jobs.build_from_texts(docs)
+    assert {("Big Apple", "Blue Sky", "CO_OCCURS"), ("Apple", "fruit", "IS_A")} <= {(r["source"], r["target"], r["type"]) for r in texts.edges.collect()}
