@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skeinwork.functions.storage import cut
+
 #: Questions that are broadcast at once.
 QUERY_BLOCK = 4096
 
@@ -83,11 +85,21 @@ def above_threshold(hits: DataFrame, threshold: float = 0.7) -> DataFrame:
     return hits.withColumn("similarity", similarity(F.col("distance"))).where(F.col("similarity") >= threshold)
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with row numbers from 0 in the given order, without taking all rows through one task: ranges are sorted and counted side by
+    side, and each is shifted by the counts of those before."""
+    dealt = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id())
+    dealt = cut(dealt, "numbered").withColumns({"__part": F.shiftright("__m", 33), "__at": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__part", before.alias("__before"))  # a row for each range
+    return dealt.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__m", "__part", "__at", "__before")
+
+
 def add(store: DataFrame, new: DataFrame) -> DataFrame:
-    """new behind what the store holds, with the next ids. Vectors must have the store's dimension: others raise."""
+    """new behind what the store holds, with the next ids in order of `ord`. Vectors must have the store's dimension: others raise."""
     start = store.agg((F.coalesce(F.max("vec_id"), F.lit(-1)) + 1).alias("start"), F.first(F.size("embedding")).alias("dim"))
-    numbered = new.withColumn("vec_id", F.row_number().over(W.orderBy("ord")) - 1)
-    ok = numbered.join(F.broadcast(start), how="cross")
+    ok = numbered(new, "ord", "vec_id").join(F.broadcast(start), how="cross")  # one row
     checked = F.when(F.col("dim").isNull() | (F.size("embedding") == F.col("dim")), F.col("embedding")).otherwise(F.raise_error(F.lit("vector of another dimension")).cast("array<float>"))
     ok = ok.withColumns({"embedding": checked, "vec_id": (F.col("vec_id") + F.col("start")).cast("long")})
     return store.unionByName(ok.select(*[c for c in store.columns if c in ok.columns]), allowMissingColumns=True)
