@@ -60,12 +60,13 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Da
     # fingerprints in more than one place
     place = F.struct("id", "th", "pos")
     prints = runs.groupBy("print").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    prints = prints.where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("print").alias("again"))
+    # a table of its own, so that a join with a very frequent one can be split
+    prints = cut(prints.where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("print").alias("again")), "line-prints")
     near = runs.join(prints, F.col("print") == F.col("again")).select("id", "th", "s", "e", "content")
     near = cut(near, "line-near")
     spot = F.struct("id", "th", "s")
     firsts = near.groupBy("content").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
-    firsts = firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("content").alias("of"), "first")
+    firsts = cut(firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("content").alias("of"), "first"), "line-firsts")
     later = near.join(firsts, F.col("content") == F.col("of")).where(~spot.eqNullSafe(F.col("first")))
     gone = later.select("id", "th", F.explode(F.sequence("s", "e")).alias("pos")).distinct()
     return lines, gone
