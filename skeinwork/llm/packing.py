@@ -31,8 +31,8 @@ from skeinwork.llm.common import cut, read
 
 LIMIT = 1024
 END = 2
-#: Pieces that one task ranks at once, about.
-PART_ROWS = 20_000
+#: Pieces of one length that are ranked at once, about: so many, or a hundred-thousandth of all.
+PART_ROWS, PARTS = 500, 100_000
 #: Steps of the local search; each applies to a whole group of bins.
 STEPS = 4000
 
@@ -188,8 +188,10 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end: int
             upto[length] += n
             at += length
         base += n
-    parts = max(1, -(-sum(counts.values()) // part_rows))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id", "piece"), F.lit(parts)))
+    # a frequent length has as many parts as it needs, a rare one has one
+    part_rows = max(part_rows, sum(counts.values()) // PARTS)
+    parts = F.array(*[F.lit(max(1, -(-counts.get(length, 0) // part_rows))).cast("long") for length in range(limit + 1)])
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id", "piece"), F.get(parts, F.col("length").cast("int"))))
     per = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     per = per.select(F.col("length").alias("length_"), F.col("part").alias("part_"), F.coalesce(before, F.lit(0)).alias("before"))
