@@ -59,12 +59,14 @@ def keyword_entities(chunks: DataFrame, emails: bool = True, urls: bool = True,
     """Capitalised phrases, then e-mails, URLs and numbers of each chunk, in one scan. chunks: chunk_id, source_doc, ord, text."""
     text = F.col("text")
     parts = [capitalised(text)]
+    # most texts hold none of these: a plain search tells
+    none = F.array().cast(f"array<{_STRUCT}>")
     if emails:
-        parts.append(_spans(text, EMAIL, "EMAIL", 1.0))
+        parts.append(F.when(text.contains("@"), _spans(text, EMAIL, "EMAIL", 1.0)).otherwise(none))
     if urls:
-        parts.append(_spans(text, URL, "URL", 1.0))
+        parts.append(F.when(text.contains("://"), _spans(text, URL, "URL", 1.0)).otherwise(none))
     if numbers:
-        parts.append(_spans(text, NUMBER, "NUMBER", 1.0))
+        parts.append(F.when(text.rlike(r"(?U)\d"), _spans(text, NUMBER, "NUMBER", 1.0)).otherwise(none))
     return _rows(chunks.where(F.col("text").isNotNull()), F.concat(*parts))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skeinwork.functions.storage import cut
 from skeinwork.functions.text import drop_point_zero, find_all, norm, strip, truthy
 from skeinwork.operators.entities import RELATION_COLUMNS, SECTION_COLUMNS, _columns
 
@@ -42,24 +43,37 @@ def cooccurrence(chunks: DataFrame, entities: DataFrame, window_size: int = 100,
     characters, and an entity meets its own bin and the next one alone."""
     width = window_size + 1
     e = entities.select("chunk_id", "ord", "text", "type", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("end", F.lit(0)).alias("end")).withColumn("bin", F.expr(f"start div {width}"))
+    e = cut(e, "spans")
     a = e.select("chunk_id", *[F.col(c).alias(f"a_{c}") for c in ("ord", "text", "type", "start", "end")], F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"))
     b = e.select("chunk_id", *[F.col(c).alias(f"b_{c}") for c in ("ord", "text", "type", "start")], "bin")
     after = (F.col("b_start") > F.col("a_start")) | ((F.col("b_start") == F.col("a_start")) & (F.col("b_ord") > F.col("a_ord")))
     pairs = a.join(b, ["chunk_id", "bin"]).where(after & (F.col("b_start") - F.col("a_start") <= window_size))
     pairs = pairs.join(chunks.select("chunk_id", "source_doc", F.col("text").alias("body")), "chunk_id")
     between = F.when(F.col("a_end") < F.col("b_start"), strip(F.substring(F.col("body"), F.col("a_end") + 1, F.col("b_start") - F.col("a_end")))).otherwise("")
-    pairs = pairs.withColumn("context", between)
     distance = F.abs(F.col("b_start") - F.col("a_start"))
-    hits = F.lit(0)
-    for word in INDICATORS:
-        hits = hits + F.lower("context").contains(word).cast("int")
-    score = F.least(F.lit(1.0), F.lit(0.5) + F.greatest(F.lit(0.0), 1 - distance / window_size) * 0.3 + hits * 0.1)
-    out = pairs.select("chunk_id", "source_doc", F.concat("a_ord", F.lit(">"), "b_ord").alias("ord"), F.col("a_text").alias("source"), F.col("b_text").alias("target"), F.lit("CO_OCCURS").alias("type"), F.round(score, 6).alias("confidence"), "context", F.col("a_type").alias("source_type"), F.col("b_type").alias("target_type"))
+
+    def scored(context: Column) -> Column:
+        lower = F.lower(context)
+        hits = F.lit(0)
+        for word in INDICATORS:
+            hits = hits + lower.contains(word).cast("int")
+        score = F.least(F.lit(1.0), F.lit(0.5) + F.greatest(F.lit(0.0), 1 - distance / window_size) * 0.3 + hits * 0.1)
+        return F.struct(context.alias("context"), F.round(score, 6).alias("confidence"))
+
+    # as a lambda's variable the text between is made once, not for each of its uses
+    pairs = pairs.withColumn("__c", F.get(F.transform(F.array(between), scored), F.lit(0)))
+    out = pairs.select("chunk_id", "source_doc", F.concat("a_ord", F.lit(">"), "b_ord").alias("ord"), F.col("a_text").alias("source"), F.col("b_text").alias("target"), F.lit("CO_OCCURS").alias("type"), "__c.confidence", "__c.context", F.col("a_type").alias("source_type"), F.col("b_type").alias("target_type"))
     return out.where(F.col("confidence") >= min_confidence)
 
 
-def _from_match(kind: str, confidence: float):
-    return lambda m: relation(m["a"], m["b"], kind, confidence, context=m["c"])
+def _quick(pattern: str) -> str:
+    """A pattern that begins with a word and white space, without the attempts that can't succeed: from within a word, or with less of it."""
+    head = r"(\w+)\s+"
+    return r"(?<!\w)(\w++)\s++" + pattern[len(head) :] if pattern.startswith(head + "(?:") else pattern
+
+
+def _from_match(pattern: str, kind: str, confidence: float):
+    return lambda m: relation(F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2), kind, confidence, context=m)
 
 
 def pattern_relations(chunks: DataFrame, patterns=PATTERNS) -> DataFrame:
@@ -70,9 +84,9 @@ def pattern_relations(chunks: DataFrame, patterns=PATTERNS) -> DataFrame:
     for pattern, kind, confidence in patterns:
         if re.compile(pattern).groups < 2:
             continue
-        p = "(?iU)" + pattern
-        zipped = F.arrays_zip(find_all(F.col("text"), p, 1).alias("a"), find_all(F.col("text"), p, 2).alias("b"), find_all(F.col("text"), p, 0).alias("c"))
-        parts.append(F.transform(zipped, _from_match(kind, confidence)))
+        p = "(?iU)" + _quick(pattern)
+        # the groups are read from the match, which is short, not from the text again
+        parts.append(F.transform(find_all(F.col("text"), p), _from_match(p, kind, confidence)))
     return _rows(chunks.where(F.col("text").isNotNull()), F.concat(*parts) if parts else _if(F.lit(False)))
 
 

@@ -205,6 +205,10 @@ def rel_dedup(spark, d):
 # graph
 
 
+def _nodes(spark, d):
+    return graph.entity_nodes(E.dedup(E.row_entities(fx.er_rows(spark, d))))
+
+
 def _graph(spark, d):
     """(nodes, edges, entities) of the entity-relation rows."""
     rows = fx.er_rows(spark, d)
@@ -215,7 +219,7 @@ def _graph(spark, d):
 
 @query
 def graph_nodes(spark, d):
-    return _graph(spark, d)[0].select("node_id", "node_type", "name", "confidence", "chunk_id", "column", "is_key", "section", "year", "value", "unit")
+    return _nodes(spark, d).select("node_id", "node_type", "name", "confidence", "chunk_id", "column", "is_key", "section", "year", "value", "unit")
 
 
 @query
@@ -241,7 +245,7 @@ def graph_stats(spark, d):
 
 @query
 def graph_node_types(spark, d):
-    return _graph(spark, d)[0].groupBy("node_type").agg(F.count("*").alias("n"))
+    return _nodes(spark, d).groupBy("node_type").agg(F.count("*").alias("n"))
 
 
 @query
@@ -281,7 +285,7 @@ def graph_related(spark, d):
 
 @query
 def graph_entity_lookup(spark, d):
-    return graph.get_entity(_graph(spark, d)[0], "NATION_3").select("node_id", "node_type", "confidence")
+    return graph.get_entity(_nodes(spark, d), "NATION_3").select("node_id", "node_type", "confidence")
 
 
 @query
@@ -325,7 +329,7 @@ def graph_for_indexing(spark, d):
 
 @query
 def node_text(spark, d):
-    return _graph(spark, d)[0].withColumn("evidence", F.lit(None).cast("string")).select("node_id", embedding.node_text().alias("text"))
+    return _nodes(spark, d).withColumn("evidence", F.lit(None).cast("string")).select("node_id", embedding.node_text().alias("text"))
 
 
 @query
@@ -335,8 +339,7 @@ def edge_text(spark, d):
 
 @query
 def embed_index(spark, d):
-    nodes, _, _ = _graph(spark, d)
-    embedded = embedding.embed_nodes(nodes.withColumn("evidence", F.lit(None).cast("string")), embedding.Embedder(dimension=64))
+    embedded = embedding.embed_nodes(_nodes(spark, d).withColumn("evidence", F.lit(None).cast("string")), embedding.Embedder(dimension=64))
     return embedded.select("node_id", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm"))
 
 
@@ -441,7 +444,7 @@ def question_filters(spark, d):
 
 @query
 def question_validate(spark, d):
-    return questions.validate(_parsed(spark), _graph(spark, d)[0])
+    return questions.validate(_parsed(spark), _nodes(spark, d))
 
 
 # retrieval, context and answers
