@@ -352,3 +352,7 @@ ORACLES: dict[str, str] = {
       u AS (SELECT * FROM hit UNION ALL SELECT query_id, node, 0.5 / (d + 1), 'graph' FROM sd JOIN reach ON reach.seed = sd.seed WHERE d > 0)
       SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, origin DESC, name) AS rank, name, round(similarity_score, 6) AS similarity_score, origin FROM u) WHERE rank <= 10""",
 }
+
+# literals with a point are decimals in DuckDB
+for _name in ("entities_keyword", "entities_csv_generic", "entities_csv_sections", "rel_pattern", "rel_csv_sections", "rel_csv_generic", "rel_content_mentions"):
+    ORACLES[_name] = f"SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM ({ORACLES[_name]}) x"
