@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from skeinwork.llm.common import read
 
 #: Labelled rows that the regression is trained on, at most: those whose ids hash lowest.
-SAMPLE = 3000
+SAMPLE = 2000
 #: A document stays if its probability of good quality is at least this.
 THRESHOLD = 0.4
 BITS = 18
@@ -160,6 +160,8 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 40, rate: f
         out[:] = False
     keep = ~out[rows]
     r, c, v = rows[keep], cols[keep], vals[keep]
+    rest = ~keep
+    rows, cols, vals = rows[rest], cols[rest], vals[rest]  # only calibration reads these
     w, square = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
     b = float(np.log(y[~out].mean() / (1 - y[~out].mean())))
     n = (~out).sum()
