@@ -58,10 +58,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(x) for x in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), _text_hash(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, th long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_hash(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
-def _text_hash() -> Column:
+def text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th")
 
 
@@ -110,6 +110,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: one with the least id. Of rows that are equal in id and text one stays."""
     found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = cut(found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th")), "simhash-keep")
+    return kept_rows(docs, keep)
+
+
+def kept_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """Rows of docs that keep names by id and text's hash (__id, __th), each once."""
     kept = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     kept = kept.join(keep, kept["doc_id"].eqNullSafe(keep["__id"]) & (kept["__text"] == keep["__th"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "__text"]).drop("__text")

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from skeinwork.llm import mixing, packing, sharding, simhash, suffix_dedup, topk
+from skeinwork.llm import mixing, near_copies, packing, sharding, simhash, suffix_dedup, topk
 from skeinwork.llm.components import components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -240,6 +240,39 @@ def test_near_duplicates(spark, edge, empty):
     assert kept.columns == edge.columns and kept.count() == len(set(root.values()))
 
 
+def five(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_near_copies_at_similarity(spark, edge, empty, block, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(6):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 5, 6, 7, 8, 10, 14, 20):
+            words = list(base)
+            for at in rng.choice(300, edits, replace=False):
+                words[at] = f"new{rng.integers(1 << 30)}"
+            texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(r["doc_id"], r["text"]) for r in edge.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [five(t) for _, t in rows]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if not sets[a] | sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    wide = [p for p in pairs if p[1] < len(texts) and bin(fingerprint_by_hand(texts[p[0]]) ^ fingerprint_by_hand(texts[p[1]])).count("1") > 3]
+    assert wide  # beyond the rule of op8
+    root = union(range(len(rows)), pairs)
+    want: dict = {}
+    for i, (d, _) in enumerate(rows):
+        want[root[i]] = min(want.get(root[i], (True, 0)), (d is None, d or 0))
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(want.values())
+    assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
+
+
 @given(st.binary(max_size=60) | st.text("ab", max_size=80).map(str.encode))
 @settings(max_examples=500, deadline=None)
 def test_suffix_array(text):
