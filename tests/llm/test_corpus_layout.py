@@ -223,6 +223,13 @@ def test_long_chain_is_one_component(spark):
     assert {r["root"] for r in components(None, chain).collect()} == {0}
 
 
+@pytest.mark.parametrize("order", ["shuffled", "falling"])
+def test_chain_in_any_order_is_one_component(spark, order):
+    walk = np.random.default_rng(1).permutation(3000).tolist() if order == "shuffled" else [0, *range(1000, 0, -1)]
+    roots = components(None, spark.createDataFrame(list(zip(walk, walk[1:])), "a long, b long")).collect()
+    assert len(roots) == len(walk) and {r["root"] for r in roots} == {0}
+
+
 def test_near_duplicates(spark, edge, empty):
     rows = simhash.near_duplicates(edge).collect()
     assert len(rows) == edge.count() and simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
