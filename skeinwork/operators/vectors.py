@@ -149,8 +149,9 @@ def ivf_cells(vectors: DataFrame, centers: np.ndarray, column: str, probes: int)
     return vectors.withColumn("cell", F.explode(cells(column)))
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 6) -> DataFrame:
-    """Approximate top k: every vector is in its cell, a query looks into its `probes` nearest ones."""
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 12) -> DataFrame:
+    """Approximate top k: every vector is in its cell, a query looks into its `probes` nearest ones. Vectors without clusters spread
+    their neighbours over many cells: 12 of 16 reach a recall of 0.9 there."""
     centers = ivf_fit(vectors, cells)
     pairs = ivf_cells(vectors, centers, "embedding", 1).join(ivf_cells(queries, centers, "query", probes), "cell")
     scored = pairs.withColumn("distance", distance(F.col("embedding"), F.col("query")))

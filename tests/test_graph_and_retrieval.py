@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.config import EngineConfig
 from skeinwork.operators import answers, context, embedding, graph, questions, retrieval, vectors
+from skeinwork.plans.queries import QUERIES
 from skeinwork.sources import files, tables
 from skeinwork.sources import fixtures as fx
 from skeinwork.streaming import incremental
@@ -114,6 +115,16 @@ def test_ivf_recall(spark):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ivf_recall_of_the_query(spark, sf):
+    v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    exact = {(r["query_id"], r["vec_id"]) for r in vectors.top_k(v, q, 10).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in QUERIES["vec_ann_ivf"](spark, f"/root/testdata/{sf}").collect()}
+    print(sf, len(exact & found) / len(exact))
+    assert len(exact & found) / len(exact) >= 0.9
+
+
 def test_store_add_upsert_delete(spark):
     _, v, _ = vector_tables(spark, 10, 4)
     new = spark.createDataFrame([("b", [0.0] * 4), ("a", [1.0] * 4)], "ord string, embedding array<float>")
