@@ -283,6 +283,13 @@ def graph_related(spark, d):
     return graph.related(fx.graph_edges(spark), seeds, 3, 12).select("seed", "path_rank", "node", "length", F.col("first.edge_id").alias("first_edge"))
 
 
+@query
+def graph_related_rows(spark, d):
+    _, edges, _ = _graph(spark, d)
+    seeds = spark.createDataFrame([("AFRICA",), ("Brand#2",), ("Customer#000000001",), ("nobody",)], "seed string")
+    return graph.related(edges, seeds, 3, 12).select("seed", "path_rank", "node", "length", F.col("first.edge_id").alias("first_edge"))
+
+
 @query
 def graph_entity_lookup(spark, d):
     return graph.get_entity(_nodes(spark, d), "NATION_3").select("node_id", "node_type", "confidence")

@@ -39,6 +39,24 @@ def test_related_paths(spark, depth, limit):
         assert [(r["node"], r["length"], r["first"]["edge_id"]) for r in got if r["seed"] == s] == brute_trails(s, depth, limit)
 
 
+def test_related_paths_over_rows(spark):
+    folder = "/root/testdata/sf0.001"
+    step: dict = {}
+    for r in QUERIES["graph_edges"](spark, folder).collect():
+        for a, b in {(r["source"], r["target"]), (r["target"], r["source"])}:
+            step.setdefault(a, []).append((b, r["edge_id"]))
+    got = QUERIES["graph_related_rows"](spark, folder).orderBy("seed", "path_rank").collect()
+    assert {r["seed"] for r in got} >= {"AFRICA", "Customer#000000001"}
+    for seed in ("AFRICA", "Brand#2", "Customer#000000001", "nobody"):
+        paths, want = [(seed, ())], []
+        for _ in range(3):
+            paths = [(b, (*trail, e)) for node, trail in paths for b, e in step.get(node, []) if e not in trail]
+            want += sorted(paths, key=lambda x: ("\x1f".join(x[1]), x[0]))
+            if len(want) >= 12:
+                break
+        assert [(r["node"], r["length"], r["first_edge"]) for r in got if r["seed"] == seed] == [(n, len(t), t[0]) for n, t in want[:12]]
+
+
 def test_ego_modes_and_degrees(spark):
     edges = fx.graph_edges(spark)
     nodes = spark.createDataFrame([(n,) for n in "ABCDEFGZ"], "node_id string")
