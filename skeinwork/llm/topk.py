@@ -12,7 +12,8 @@ Arrow batches, and each task keeps k per query, so what is shuffled is k rows pe
 
 Defined cases: vectors null, empty, or with null, NaN or infinite components take no part; vectors of
 different lengths have no score with each other; equal scores go to the smaller id; rows that share
-an id with the query are its own; an empty table gives an empty result; other columns are not read.
+an id with the query are its own; of several usable vectors under a query's id the least (by
+components, first to last) asks; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -109,7 +110,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     """query_id, rank, vec_id, score: the k highest inner products of each query. Both tables: vec_id, embedding."""
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    queries = cut(queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id is not null").dropDuplicates(["vec_id"]), "topk-queries")
+    usable = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x * scale) < float("inf"))) & (F.size("embedding") > 0)
+    queries = queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull() & usable)
+    queries = cut(queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "topk-queries")
     blocks = max(1, -(-queries.count() // block))
     schema = "query_id long, vec_id long, score double"
     found = None

@@ -347,6 +347,16 @@ def test_top_k(spark, block):
     assert topk.top_k(table.limit(0), asked.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_query_ids(spark):
+    nan = float("nan")
+    table = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 1.0]), (3, [2.0, 2.0])], "vec_id long, embedding array<float>")
+    alone = sorted(map(tuple, topk.top_k(table, table.where("vec_id = 1")).collect()))
+    for bad in (None, [], [None, 1.0], [nan, 1.0], [float("inf"), 1.0], [4.0, 0.0]):
+        for rows in ([(1, bad), (1, [1.0, 2.0])], [(1, [1.0, 2.0]), (1, bad)]):
+            asked = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+            assert sorted(map(tuple, topk.top_k(table, asked).collect())) == alone
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=(20, 30)), rng.normal(size=(25, 30))
