@@ -8,8 +8,10 @@ documents at most are open at the end of a block; those of all blocks of a sourc
 round, and the last two of a source are the landing problem.
 
 Defined cases: a null or empty text has 0 words and its row stays, with 0 taken; a null source is a
-source of its own, last in order; rows equal in id, source and words are one unit of the sample and
-get the same number of repeats; an empty table gives an empty result; other columns are not read.
+source of its own, last in order; a null id is an id like any other. m equal rows (in all columns; 64
+bits of hash stand for them) are one unit: of its m * p further copies the whole ones are sure and the
+sample draws for one row alone, so a group of copies lands as near as a single document. An empty
+table gives an empty result. The sources are ordered and summed in one task: a row each.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import zlib
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -94,62 +96,84 @@ def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return p
 
 
-def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["doc_id", "size", "m"], kind="stable", na_position="first").reset_index(drop=True)
-    seed = zlib.crc32(repr((pdf["source"].iloc[0], int(pdf["block"].iloc[0]), int(pdf["round"].iloc[0]), len(pdf))).encode("utf-8", "surrogatepass"))
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(pdf))
-    x = (pdf["size"] * pdf["m"]).to_numpy(dtype=float)
-    p = pdf["p"].to_numpy(dtype=float)
+_STATE = ["doc_id", "source", "size", "row_hash", "m", "source_size", "target", "base", "sure", "p"]
+_STATE_SCHEMA = "doc_id long, source string, size long, row_hash long, m long, source_size long, target double, base long, sure long, p double"
+
+
+def _fly(table: pa.Table) -> pa.Table:
+    """One block through the flight, the last block of a source through the landing too. Ids stay Arrow integers: nulls don't make them floats."""
+    ids = table.column("doc_id")
+    size = table.column("size").to_numpy()
+    rows = np.lexsort((table.column("m").to_numpy(), table.column("row_hash").to_numpy(), size, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy()))
+    table = table.take(pa.array(rows))
+    first = [table.column(c)[0].as_py() for c in ("source", "block", "round", "blocks")]
+    rng = np.random.default_rng(zlib.crc32(repr((*first[:3], len(rows))).encode("utf-8", "surrogatepass")))
+    order = rng.permutation(len(rows))
+    x = size[rows].astype(float)
+    p = table.column("p").to_numpy().copy()
     p[order] = flight(p[order], x[order], rng)
-    if pdf["blocks"].iloc[0] == 1:
+    if first[3] == 1:
         p = landing(p, x)
-    pdf["p"] = p
-    return pdf[["doc_id", "source", "size", "m", "source_size", "target", "base", "p"]]
+    return table.select(_STATE[:-1]).append_column("p", pa.array(p))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """64 bits that stand for a row's columns, nulls told from what isn't there."""
+    columns = [docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, m, source_size, target, copies: how often the mix takes each of m equal rows.
+    """doc_id, source, size, row_hash, m, source_size, target, base, extra: the mix takes each of m equal rows base times, and extra of them once more.
 
     Only ids and counts are shuffled. Blocks are hash parts of a source, so a source that holds a third of all rows has a third of
-    all blocks; each round leaves two open units a block, so the rounds are few at any size.
+    all blocks. A round leaves two open units a block, so their number falls to a fraction and rounds end when none is open.
     """
-    units = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"))
-    units = cut(units, "mix-units")
+    if block < 4:
+        raise ValueError("a block of fewer than 4 units may not get smaller")
+    units = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"), row_hash(docs).alias("row_hash"))
+    units = cut(units.groupBy("doc_id", "source", "size", "row_hash").agg(F.count("*").alias("m")), "mix-units")
     per = targets(units, weights, share, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(rate + F.lit(EPS))
-    part = rate - base
-    names = ["doc_id", "source", "size", "m", "source_size", "target"]
-    state = units.join(per.withColumnRenamed("source", "of"), units["source"].eqNullSafe(F.col("of"))).select(*names, base.cast("long").alias("base"), F.when(part > EPS, part).otherwise(0.0).alias("p"), "n_units")
-    done = []
-    for k in range(64):
-        if k:
-            counts = state.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n_units"))
-            state = state.join(counts, state["source"].eqNullSafe(F.col("of"))).select(*names, "base", "p", "n_units")
+    each = (rate - base) * F.col("m")
+    sure = F.when(rate - base > EPS, F.floor(each + F.lit(EPS))).otherwise(0)
+    names = ["doc_id", "source", "size", "row_hash", "m", "source_size", "target"]
+    state = units.join(per.withColumnRenamed("source", "of"), units["source"].eqNullSafe(F.col("of")))
+    state = state.select(*names, base.cast("long").alias("base"), sure.cast("long").alias("sure"), F.greatest(F.lit(0.0), each - sure).alias("p"), "n_units")
+    state = state.withColumn("p", F.when(F.col("p") > EPS, F.col("p")).otherwise(0.0))
+    done, k = None, 0
+    while True:
         blocks = F.ceil(F.col("n_units") / F.lit(block)).cast("long")
         state = state.withColumns({"blocks": blocks, "round": F.lit(k)})
-        state = state.withColumn("block", F.pmod(F.xxhash64(F.lit(k), "doc_id", "size"), F.col("blocks")))
-        flown = cut(state.groupBy("source", "block").applyInPandas(_fly, "doc_id long, source string, size long, m long, source_size long, target double, base long, p double"), f"mix-{k}")
-        done.append(flown.where((F.col("p") == 0) | (F.col("p") == 1)))
+        state = state.withColumn("block", F.pmod(F.xxhash64(F.lit(k), "doc_id", "size", "row_hash"), F.col("blocks")))
+        flown = cut(state.groupBy("source", "block").applyInArrow(_fly, _STATE_SCHEMA), f"mix-{k}")
+        settled = flown.where((F.col("p") == 0) | (F.col("p") == 1))
+        done = settled if done is None else done.union(settled)
         state = flown.where((F.col("p") > 0) & (F.col("p") < 1))
         if state.isEmpty():
-            break
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out.select(*names, (F.col("base") + F.col("p").cast("long")).alias("copies"))
+            return done.select(*names, "base", (F.col("sure") + F.col("p").cast("long")).alias("extra"))
+        counts = state.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n_units"))
+        state = state.join(counts, state["source"].eqNullSafe(F.col("of"))).select(*_STATE, "n_units")
+        k += 1
 
 
 def repeat(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The mix itself: docs, each row as often as the mix takes it."""
-    mixed = mix(docs, weights, share, cap).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (n_words(docs["text"]) == F.col("__size"))
-    rows = docs.join(mixed, same)
-    return rows.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: docs, each row as often as the mix takes it. Equal rows travel as one (a group of copies is combined before it is
+    shuffled) and come out as often as all of them are taken; rows that the mix doesn't take go. Nulls are values like any other."""
+    mixed = mix(docs, weights, share, cap)
+    total = F.col("m") * F.col("base") + F.col("extra")
+    # the hash tells a null id from 0
+    known = F.coalesce("doc_id", F.lit(0).cast("long"))
+    mixed = mixed.select(known.alias("__id"), F.col("row_hash").alias("__of"), total.alias("__copies")).where("__copies > 0")
+    rows = docs.withColumns({"__doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(0).cast("long")), "__hash": row_hash(docs)})
+    rows = rows.dropDuplicates(["__doc", "__hash"])
+    rows = rows.join(mixed, (rows["__doc"] == mixed["__id"]) & (rows["__hash"] == mixed["__of"]))
+    return rows.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     mixed = mix(read(spark, sf_dir, "documents"))
     each = mixed.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
+    taken = F.col("size") * (F.col("base") + (F.col("row") <= F.col("extra")).cast("long"))
+    return each.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
