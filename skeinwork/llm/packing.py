@@ -5,12 +5,15 @@ What a sequence can hold depends on lengths alone, so the packing is made over t
 lengths: at most LIMIT counts, at any size of corpus. Best-fit decreasing puts the counts into
 groups of bins with one content; then the search exchanges one-for-one or two-for-one, or moves
 pieces, between the emptiest bins and fuller ones, always raising the sum of squared fills, for whole
-groups at once, until bins empty. A piece takes the place that its rank among the pieces of its
-length is dealt. Ranks are counted in hash parts, so a length that most pieces have is split.
+groups at once, until bins empty. It ends at the least number of bins that the lengths allow, or when
+a round over all underfull contents empties none. A piece takes the place that its rank among the
+pieces of its length is dealt. Ranks are counted in hash parts, so a length that most pieces have is
+split; a row's number in its task is part of the hash, so repeated rows are split too.
 
 Defined cases: a null text is an empty one, and an empty text is one piece that holds the end id;
-rows are packed one by one, repeated rows too; an empty table gives an empty result; other columns
-are not read.
+texts of any length and of any characters are read whole (very long runs of white space by the
+tokenizer's own program); rows are packed one by one, repeated rows too; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from skeinwork.llm.common import cut, read
 
@@ -33,8 +37,6 @@ LIMIT = 1024
 END = 2
 #: Pieces of one length that are ranked at once, about: so many, or a hundred-thousandth of all.
 PART_ROWS, PARTS = 500, 100_000
-#: Steps of the local search; each applies to a whole group of bins.
-STEPS = 4000
 
 
 def _byte_of() -> dict[str, int]:
@@ -59,23 +61,39 @@ def encoder(path: str) -> tiktoken.Encoding:
     return kept[path]
 
 
+class Tokens:
+    """Ids of texts. Texts that tiktoken's pattern engine gives up on (hundreds of thousands of blanks in a row) go to the file's tokenizer."""
+
+    def __init__(self, path: str):
+        self.path, self.fast, self.own = path, encoder(path), None
+
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            self.own = self.own or Tokenizer.from_file(self.path)
+            return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
 def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32."""
+    """doc_id, piece, start, length, ids_crc32, nth (the row's number in its task)."""
 
     def run(batches):
-        enc = encoder(path)
+        tokens, nth = Tokens(path), 0
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(enc.encode_to_numpy(text or "", allowed_special="all"), end).astype("<u4")
+                ids = np.append(tokens.ids(text or ""), end).astype("<u4")
                 first = len(ids) % limit or limit
                 for k, start in enumerate([0, *range(first, len(ids), limit)]):
                     part = ids[start : first if k == 0 else start + limit]
-                    out.append((doc, k, start, len(part), zlib.crc32(part.tobytes())))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((doc, k, start, len(part), zlib.crc32(part.tobytes()), nth))
+                nth += 1
+            cols = list(zip(*out)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, nth long")
 
 
 Bins = dict[tuple[int, ...], int]
@@ -108,78 +126,94 @@ def best_fit(counts: dict[int, int], limit: int = LIMIT) -> Bins:
     return {content: n for group in by_gap.values() for content, n in group.items()}
 
 
-def search(bins: Bins, limit: int = LIMIT, steps: int = STEPS) -> Bins:
-    """The local search. The emptiest content gives one or two lengths to another for none, one or two shorter ones that fit its gap.
-
-    Every step raises the sum of squared fills: what is exchanged, d, goes from the emptier bin to the fuller.
-    """
-    full = {c: n for c, n in bins.items() if sum(c) == limit}
-    under = Counter({c: n for c, n in bins.items() if sum(c) < limit})
-
-    def options(c: tuple[int, ...]) -> list[tuple[int, tuple[int, ...]]]:
-        one = [(x, (x,)) for x in sorted(set(c))]
-        two = sorted({(c[i] + c[j], (c[i], c[j])) for i in range(len(c)) for j in range(i)}) if len(c) <= 24 else []
-        return [(0, ()), *one, *two]
-
-    known: dict[tuple[int, ...], list] = {}
-    stuck: set[tuple[int, ...]] = set()
-    for _ in range(steps):
-        if sum(under.values()) <= -(-sum(sum(c) * n for c, n in under.items()) // limit):
-            break  # what is left can't do with fewer bins
-        giver = min((c for c in under if c not in stuck), key=lambda c: (sum(c), c), default=None)
-        if giver is None:
-            break
+class Underfull:
+    """The underfull contents, with how many bins have them, and what each can give: nothing, one length or two."""
+
+    def __init__(self, bins: Bins):
+        self.n = Counter(bins)
+        self.given: dict[tuple[int, ...], tuple[list, np.ndarray, np.ndarray]] = {}
+
+    def options(self, content: tuple[int, ...]) -> tuple[list, np.ndarray, np.ndarray]:
+        """(lengths given, their sum, their number) of each choice, by distinct lengths."""
+        if content not in self.given:
+            have = Counter(content)
+            one = sorted(have)
+            pairs = [(y, x) for i, x in enumerate(one) for y in one[i:] if x < y or have[x] > 1]
+            parts = [(), *((x,) for x in one), *pairs]
+            self.given[content] = parts, np.array([sum(p) for p in parts]), np.array([len(p) for p in parts])
+        return self.given[content]
+
+    def best(self, giver: tuple[int, ...], limit: int):
+        """(given, taker, taken back) of the exchange with the giver that raises the sum of squared fills most, or None."""
+        takers = [c for c in self.n if c != giver or self.n[c] > 1]
+        if not takers:
+            return None
         low = sum(giver)
-        names, removed, taken, gap, fill = [], [], [], [], []
-        for c in under:
-            for r, parts in known.setdefault(c, options(c)):
-                names.append((c, parts))
-                removed.append(r)
-                taken.append(len(parts))
-                gap.append(limit - sum(c))
-                fill.append(sum(c))
-        removed, taken, gap, fill = (np.array(v) for v in (removed, taken, gap, fill))
-        best = None
-        for e, parts in known[giver][1:]:
-            d = e - removed
-            ok = (d > 0) & (d <= gap) & (fill >= low) & ~((taken == 2) & (len(parts) == 2))
-            if under[giver] < 2:
-                ok &= np.fromiter((c != giver for c, _ in names), bool, len(names))
+        each = [self.options(c) for c in takers]
+        whose = np.repeat(np.arange(len(takers)), [len(p) for p, _, _ in each])
+        fill = np.array([sum(c) for c in takers])[whose]
+        back, number = np.concatenate([s for _, s, _ in each]), np.concatenate([k for _, _, k in each])
+        gap, found = limit - fill, None
+        for given, total, many in zip(*(x[1:] for x in self.options(giver))):
+            d = total - back
+            ok = (d > 0) & (d <= gap) & (fill >= low) & ((number < 2) | (many < 2))
+            # filling a bin to the brim comes first
             gain = np.where(ok, 2 * d * (fill - low) + 2 * d * d + np.where(d == gap, limit * limit, 0), 0)
             k = int(gain.argmax())
-            if gain[k] > 0 and (best is None or gain[k] > best[0]):
-                best = (gain[k], parts, *names[k])
-        if best is None:
-            stuck.add(giver)
-            continue
-        _, given, taker, back = best
-        n = under[giver] // 2 if taker == giver else min(under[giver], under[taker])
-        a, b = Counter(giver), Counter(taker)
-        a.subtract(given)
-        a.update(back)
-        b.subtract(back)
-        b.update(given)
-        for c in (giver, taker):
-            under[c] -= n
-            if not under[c]:
-                del under[c]
-        for c in (tuple(sorted(a.elements(), reverse=True)), tuple(sorted(b.elements(), reverse=True))):
-            if not c:
-                continue
-            if sum(c) == limit:
-                full[c] = full.get(c, 0) + n
-            else:
-                under[c] += n
-        stuck.clear() if n else stuck.add(giver)
-    return {**full, **{c: n for c, n in under.items() if n}}
+            if gain[k] > 0 and (found is None or gain[k] > found[0]):
+                w = int(whose[k])
+                found = gain[k], given, takers[w], each[w][0][k - int(np.searchsorted(whose, w))]
+        return found and found[1:]
 
 
-def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end: int = END, steps: int = STEPS, part_rows: int = PART_ROWS) -> DataFrame:
+def search(bins: Bins, limit: int = LIMIT) -> Bins:
+    """The local search. The emptiest content gives one or two lengths to another for none, one or two shorter ones that fit its gap (but
+    not two for two). What is exchanged goes from the emptier bin to the fuller, so every step raises the sum of squared fills and
+    the search ends."""
+    full = {c: n for c, n in bins.items() if sum(c) == limit}
+    under = Underfull({c: n for c, n in bins.items() if sum(c) < limit})
+    least = -(-sum(sum(c) * n for c, n in under.n.items()) // limit)
+
+    def number() -> int:
+        return sum(under.n.values()) + sum(full.values())
+
+    least += sum(full.values())
+    before = None
+    while before != number():
+        before, tried = number(), set()
+        while number() > least:
+            giver = min((c for c in under.n if c not in tried), key=lambda c: (sum(c), c), default=None)
+            if giver is None:
+                break
+            found = under.best(giver, limit)
+            if found is None:
+                tried.add(giver)
+                continue
+            given, taker, back = found
+            n = under.n[giver] // 2 if taker == giver else min(under.n[giver], under.n[taker])
+            a, b = Counter(giver), Counter(taker)
+            a.subtract(given)
+            a.update(back)
+            b.subtract(back)
+            b.update(given)
+            for c in (giver, taker):
+                under.n[c] -= n
+                if not under.n[c]:
+                    del under.n[c]
+            for c in (tuple(sorted(a.elements(), reverse=True)), tuple(sorted(b.elements(), reverse=True))):
+                if c and sum(c) == limit:
+                    full[c] = full.get(c, 0) + n
+                elif c:
+                    under.n[c] += n
+    return {**full, **under.n}
+
+
+def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end: int = END, part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece. path: the tokenizer's file."""
     spark = docs.sparkSession
     rows = cut(pieces(docs, path or public_tokenizers.path("byte_bpe_50k.json"), limit, end), "pack-pieces")
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # `limit` rows at most
-    bins = search(best_fit(counts, limit), limit, steps)
+    bins = search(best_fit(counts, limit), limit)
     base, upto, places = 0, Counter(), []
     for content in sorted(bins, reverse=True):
         n, at = bins[content], 0
@@ -191,14 +225,14 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end: int
     # a frequent length has as many parts as it needs, a rare one has one
     part_rows = max(part_rows, sum(counts.values()) // PARTS)
     parts = F.array(*[F.lit(max(1, -(-counts.get(length, 0) // part_rows))).cast("long") for length in range(limit + 1)])
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id", "piece"), F.get(parts, F.col("length").cast("int"))))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id", "piece", "ids_crc32", "nth"), F.get(parts, F.col("length").cast("int"))))
     per = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     per = per.select(F.col("length").alias("length_"), F.col("part").alias("part_"), F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    inside = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1
     ranked = rows.withColumn("at", inside).join(per, (F.col("length") == F.col("length_")) & (F.col("part") == F.col("part_")))
     ranked = ranked.withColumn("rank", F.col("before") + F.col("at"))
-    # a row for each length in each different content: some thousands at any size of corpus
+    # a row for each length in each different content: some thousands at any size of corpus, as contents come from `limit` lengths
     table = spark.createDataFrame(places, "of long, low long, high long, shift long, offset long")
     fits = (F.col("length") == F.col("of")) & F.col("rank").between(F.col("low"), F.col("high"))
     out = ranked.join(F.broadcast(table), fits)
