@@ -5,12 +5,18 @@ classes and roles on the way down to it), a hashed-word vector and a few sizes;
 in numpy reads the whole sequence and says of each block whether it belongs to the main text. The
 labeller is trained here, with a fixed seed, on pages that a generator writes (page furniture of many
 kinds around and inside articles) and on a bounded sample of the pages at hand, labelled by where
-their blocks stand.
+their blocks stand. Training reads whole pages, in windows of blocks; labelling carries its states
+through pages of any length.
+
+A page is read once from left to right, in time that grows with its length: a tag ends at the first >
+outside a quoted value; if none follows, tags of the rest of the page end at the first >; a tag that
+never ends is dropped with what follows it, as browsers do.
 
 Defined cases: null or empty html, and pages without main text, give the empty string; unclosed and
-stray tags are mended as browsers do; comments, scripts, styles and the head never give text; white
-space is what str.split() splits on; repeated rows get the same result; an empty table gives an empty
-result; other columns are not read.
+stray tags are mended as browsers do, and as in browsers elements nest no deeper than 512 (what is
+deeper counts as standing there); comments, scripts, styles and the head never give text; white space
+is what str.split() splits on; repeated rows get the same result, rows of one page_id each their own;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,21 +32,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import read
+from skeinwork.llm.common import cut, read
 
-#: Pages of the table that join the generated ones in training, at most; and generated pages.
-SAMPLE, GENERATED = 200, 1200
+#: Pages of the table that join the generated ones in training, at most; windows of their blocks, at most; and generated pages.
+SAMPLE, SAMPLE_WINDOWS, GENERATED = 200, 1000, 1200
 HIDDEN, EPOCHS, SEED = 20, 10, 4
 PATH_DIM, WORD_DIM, SIZES = 512, 32, 6
-#: Blocks of training pages that are read at once; pages that are labelled at once.
-TRAIN_STEPS, PAGES = 64, 256
+#: Blocks of a training window; pages, characters and blocks that are labelled at once (one page's blocks in turns).
+WINDOW, PAGES, CHARS, STEPS = 64, 256, 1 << 22, 4096
+DEPTH = 512
 
-#: Elements that stand inside a line, that hold no content, whose content is no text, and that end an open p.
+#: Elements that stand inside a line, that hold no content, whose content is no markup, whose content is no text, that a head holds, and that end an open p.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|title|iframe|object|svg|math|canvas|textarea|noembed|noframes|xmp|head"
+RAW = frozenset("script style noscript title iframe textarea noembed noframes xmp".split())
+MUTE = frozenset("head template object svg math canvas".split())
+IN_HEAD = frozenset("title meta link script style base noscript template noframes basefont bgsound".split())
 CLOSED_BY_SAME = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?:\s[^>]*)?>.*?(?:</\1\s*>|(?=<body)|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S | re.I)
+_UNSEEN = frozenset("script style noscript title".split())
+_TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+_REST = re.compile(r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+>""")
+_CLOSER = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _NAMED = re.compile(r"""\b(class|id|role|hidden|style|aria-label)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -67,60 +80,134 @@ class Block:
     linked: int  # characters inside links
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page that have text, in page order."""
-    out: list[Block] = []
-    stack: list[tuple[str, str]] = []
-    held: list[str] = []
-    link, linked = 0, 0
-
-    def flush() -> None:
-        nonlocal linked
-        if held:
-            text = " ".join("".join(held).split())
+class _Reader:
+    """One pass over a page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.out: list[Block] = []
+        self.stack: list[tuple[str, str]] = []
+        self.open: Counter = Counter()
+        self.deeper: Counter = Counter()  # open elements beyond DEPTH
+        self.held: list[str] = []
+        self.link = self.linked = self.mute = 0
+        self.quotes = True
+        self.path: tuple[str, ...] | None = ()
+
+    def say(self, text: str) -> None:
+        if self.mute or not text:
+            return
+        self.held.append(entities.unescape(text) if "&" in text else text)
+        if self.link:
+            self.linked += len(self.held[-1])
+
+    def flush(self) -> None:
+        if self.held:
+            text = " ".join("".join(self.held).split())
             if text:
-                out.append(Block(tuple(m for _, m in stack), text, linked))
-            held.clear()
-        linked = 0
-
-    page = page or ""
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text = page[at : m.start()]
-            held.append(entities.unescape(text) if "&" in text else text)
-            if link:
-                linked += len(held[-1])
-        at = m.end()
-        tag = m[3]
-        if not tag:
-            if m[1] and m[1].lower() != "title":
-                flush()
-            continue
-        tag = tag.lower()
+                if self.path is None:
+                    self.path = tuple(m for _, m in self.stack)
+                self.out.append(Block(self.path, text, self.linked))
+            self.held.clear()
+        self.linked = 0
+
+    def push(self, tag: str, attributes: str) -> None:
+        if len(self.stack) >= DEPTH:
+            self.deeper[tag] += 1
+            return
+        self.stack.append((tag, marks(tag, attributes)))
+        self.open[tag] += 1
+        self.mute += tag in MUTE
+        self.path = None
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        self.open[tag] -= 1
+        self.mute -= tag in MUTE
+        self.path = None
+        return tag
+
+    def pop_to(self, tag: str) -> None:
+        while self.pop() != tag:
+            pass
+
+    def end_of_tag(self, at: int) -> int:
+        """The place of the > that ends a tag, or -1."""
+        if self.quotes:
+            if found := _REST.match(self.page, at):
+                return found.end() - 1
+            self.quotes = False  # no such > is left: values in quotes aren't read as such from here
+        return self.page.find(">", at)
+
+    def begins(self, tag: str, attributes: str) -> None:
+        if self.open["head"] and tag not in IN_HEAD:
+            self.pop_to("head")
         if tag == "br":
-            held.append(" ")
+            self.held.append(" ")
         elif tag in INLINE:
             if tag == "a":
-                link = 0 if m[2] else 1
-        elif m[2]:
-            if any(t == tag for t, _ in stack):
-                flush()
-                while stack.pop()[0] != tag:
-                    pass
+                self.link = 1
         else:
-            flush()
-            link = 0
+            self.flush()
+            self.link = 0
             ends = CLOSED_BY_SAME.get(tag, {"p"})
-            while stack and stack[-1][0] in ends:
-                stack.pop()
-            if tag not in VOID:
-                stack.append((tag, marks(tag, m[4])))
-    if at < len(page):
-        text = page[at:]
-        held.append(entities.unescape(text) if "&" in text else text)
-    flush()
-    return out
+            while self.stack and self.stack[-1][0] in ends:
+                self.pop()
+            if tag not in VOID and not (tag in ("svg", "math") and attributes.endswith("/")):
+                self.push(tag, attributes)
+
+    def ends(self, tag: str) -> None:
+        if tag == "br":
+            self.held.append(" ")
+        elif tag in INLINE:
+            if tag == "a":
+                self.link = 0
+        elif self.deeper[tag]:
+            self.flush()
+            self.deeper[tag] -= 1
+        elif self.open[tag]:
+            self.flush()
+            self.pop_to(tag)
+
+    def read(self) -> list[Block]:
+        page, at = self.page, 0
+        while (lt := page.find("<", at)) >= 0:
+            self.say(page[at:lt])
+            tag = _TAG.match(page, lt)
+            if tag is None:
+                if page.startswith("<!--", lt):
+                    end = page.find("-->", lt + 2)
+                    at = end + 3 if end >= 0 else len(page)
+                elif page.startswith(("<!", "<?", "</"), lt):
+                    end = page.find(">", lt)
+                    at = end + 1 if end >= 0 else len(page)
+                else:
+                    self.say("<")
+                    at = lt + 1
+                continue
+            end = self.end_of_tag(tag.end())
+            if end < 0:
+                at = len(page)
+                break
+            name, at = tag[2].lower(), end + 1
+            if tag[1]:
+                self.ends(name)
+            elif name in RAW:
+                if name not in _UNSEEN:
+                    self.flush()
+                closer = _CLOSER[name].search(page, at)
+                end = self.page.find(">", closer.end()) if closer else -1
+                at = end + 1 if end >= 0 else len(page)
+            else:
+                self.begins(name, page[tag.end() : end])
+        self.say(page[at:])
+        self.flush()
+        return self.out
+
+
+def blocks(page: str | None) -> list[Block]:
+    """The leaf blocks of a page that have text, in page order."""
+    return _Reader(page or "").read()
 
 
 def _hash(s: str, dim: int) -> int:
@@ -129,32 +216,41 @@ def _hash(s: str, dim: int) -> int:
 
 @dataclass
 class Vectors:
-    """Block vectors; path vectors are kept, as pages share few paths."""
+    """Block vectors. The places of path vectors' ones are kept, as pages share few paths."""
 
     paths: dict[tuple[str, ...], np.ndarray] = field(default_factory=dict)
 
     def path(self, path: tuple[str, ...]) -> np.ndarray:
+        """Where a path's vector has its ones."""
         if path not in self.paths:
-            v = np.zeros(PATH_DIM, np.float32)
-            for depth, element in enumerate(reversed(path)):
-                for k, mark in enumerate(element.split(" ")):
-                    v[_hash(mark, PATH_DIM)] = 1
-                    if depth == 0 and k == 0:
-                        v[_hash("leaf:" + mark, PATH_DIM)] = 1
-            if len(self.paths) > 100_000:
+            if len(self.paths) > 100_000:  # a memo, not a limit
                 self.paths.clear()
-            self.paths[path] = v
+            ones = {_hash(mark, PATH_DIM) for element in path for mark in element.split(" ")}
+            if path:
+                ones.add(_hash("leaf:" + path[-1].split(" ", 1)[0], PATH_DIM))
+            self.paths[path] = np.array(sorted(ones), dtype=np.uint16)
         return self.paths[path]
 
-    def page(self, found: list[Block]) -> np.ndarray:
-        x = np.zeros((len(found), PATH_DIM + WORD_DIM + SIZES), np.float32)
-        for i, b in enumerate(found):
-            x[i, :PATH_DIM] = self.path(b.path)
-            words = b.text.lower().split(" ")
-            counts = np.bincount([_hash(w, WORD_DIM) for w in words], minlength=WORD_DIM)
-            x[i, PATH_DIM : PATH_DIM + WORD_DIM] = counts / len(words)
-            x[i, -SIZES:] = (1, min(len(b.text), 1000) / 1000, np.log1p(len(words)) / 5, b.linked / len(b.text), i / len(found), b.text[-1] in ".!?")
-        return x
+    def rest(self, b: Block, i: int, of: int) -> np.ndarray:
+        """What isn't the path: shares of hashed words, and sizes. i, of: the block's place on its page."""
+        words = b.text.lower().split(" ")
+        counts = np.bincount([_hash(w, WORD_DIM) for w in words], minlength=WORD_DIM) / len(words)
+        sizes = (1, min(len(b.text), 1000) / 1000, np.log1p(len(words)) / 5, b.linked / len(b.text), i / of, b.text[-1] in ".!?")
+        return np.concatenate([counts, sizes]).astype(np.float32)
+
+    def some(self, found: list[Block], lo: int, hi: int) -> np.ndarray:
+        """The vectors of a page's blocks from lo to hi."""
+        hi = min(hi, len(found))
+        return whole([self.path(b.path) for b in found[lo:hi]], [self.rest(found[i], i, len(found)) for i in range(lo, hi)])
+
+
+def whole(paths: list[np.ndarray], rests) -> np.ndarray:
+    """Block vectors from the ones of their paths and from the rest."""
+    x = np.zeros((len(paths), PATH_DIM + WORD_DIM + SIZES), np.float32)
+    for i, ones in enumerate(paths):
+        x[i, ones] = 1
+    x[:, PATH_DIM:] = np.reshape(rests, (len(paths), -1))
+    return x
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -180,10 +276,10 @@ class Labeller:
         p["bias"] = np.zeros(1, np.float32)
         return Labeller(p)
 
-    def _scan(self, way: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States of one direction; x: step, page, feature. Past a page's end the state rests."""
+    def _scan(self, way: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
+        """(states, the last state) of one direction, from a state on; x: step, page, feature. Past a page's end the state rests."""
         steps, pages, _ = x.shape
-        h = c = np.zeros((pages, HIDDEN), np.float32)
+        h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
         out = np.zeros((steps, pages, HIDDEN), np.float32)
         wx = (x.reshape(-1, x.shape[2]) @ self.p[way + "x"] + self.p[way + "0"]).reshape(steps, pages, -1)
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
@@ -199,15 +295,29 @@ class Labeller:
             c = m * new + (1 - m) * c
             h = m * (o * tc) + (1 - m) * h
             out[t] = h
-        return out
+        return out, (h, c)
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._scan("f", x, mask), self._scan("b", x, mask)], axis=2)
+        both = np.concatenate([self._scan("f", x, mask)[0], self._scan("b", x, mask)[0]], axis=2)
         return (both @ self.p["out"] + x @ self.p["skip"])[:, :, 0] + self.p["bias"]
 
+    def long_logits(self, found: list[Block], vectors: Vectors, steps: int = STEPS) -> np.ndarray:
+        """logits() of one page, some blocks at a time: each direction carries its state from turn to turn."""
+        out = np.full(len(found), self.p["bias"][0], np.float32)
+        turns = range(0, len(found), steps)
+        for k, way in enumerate("fb"):
+            state = None
+            for lo in turns if way == "f" else reversed(turns):
+                x = vectors.some(found, lo, lo + steps)[:, None]
+                h, state = self._scan(way, x, np.ones((len(x), 1), np.float32), state=state)
+                out[lo : lo + steps] += (h[:, 0] @ self.p["out"][k * HIDDEN : (k + 1) * HIDDEN])[:, 0]
+                if way == "f":
+                    out[lo : lo + steps] += (x[:, 0] @ self.p["skip"])[:, 0]
+        return out
+
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         kept: dict[str, list] = {"f": [], "b": []}
-        states = {way: self._scan(way, x, mask, kept[way]) for way in "fb"}
+        states = {way: self._scan(way, x, mask, kept[way])[0] for way in "fb"}
         both = np.concatenate([states["f"], states["b"]], axis=2)
         z = (both @ self.p["out"] + x @ self.p["skip"])[:, :, 0] + self.p["bias"]
         dz = ((_sigmoid(z) - y) * mask / mask.sum())[:, :, None]
@@ -318,15 +428,26 @@ def generate(rng: np.random.Generator) -> str:
     return f"<html><head><title>{words(3)}</title></head><body>{''.join(around[0])}{article}{''.join(around[1])}</body></html>"
 
 
-def train(pages: list[str | None], generated: int = GENERATED, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
-    """The labeller, by Adam on the given pages and on generated ones."""
+#: A training window: vectors of blocks that follow each other, and which are main text.
+Window = tuple[np.ndarray, np.ndarray]
+
+
+def windows(page: str | None, vectors: Vectors, width: int = WINDOW):
+    """(number, ones of the paths, rest of the vectors, labels) of each window of a page; windows follow each other to its end."""
+    found = blocks(page)
+    for k, lo in enumerate(range(0, len(found), width)):
+        hi = min(lo + width, len(found))
+        yield k, [vectors.path(b.path) for b in found[lo:hi]], [vectors.rest(found[i], i, len(found)) for i in range(lo, hi)], [stands(b.path) for b in found[lo:hi]]
+
+
+def train(sample: list[Window], generated: int = GENERATED, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
+    """The labeller, by Adam on the given windows and on generated pages."""
     rng = np.random.default_rng(seed)
-    vectors, xs, ys = Vectors(), [], []
-    for page in [*pages, *(generate(rng) for _ in range(generated))]:
-        found = blocks(page)[:TRAIN_STEPS]
-        if found:
-            xs.append(vectors.page(found))
-            ys.append(np.array([stands(b.path) for b in found], np.float32))
+    vectors, xs, ys = Vectors(), [x for x, _ in sample], [y for _, y in sample]
+    for page in (generate(rng) for _ in range(generated)):
+        for _, paths, rests, labels in windows(page, vectors):
+            xs.append(whole(paths, rests))
+            ys.append(np.array(labels, np.float32))
     model = Labeller.fresh(rng)
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -348,40 +469,77 @@ def train(pages: list[str | None], generated: int = GENERATED, epochs: int = EPO
 
 
 def label(model: Labeller, pages: list[list[Block]], vectors: Vectors) -> list[np.ndarray]:
-    """For each page which of its blocks are main text. Pages of like length are read together."""
+    """For each page which of its blocks are main text. Pages of like length are read together, long ones alone."""
     out = [np.zeros(0, bool)] * len(pages)
     order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+    while order and len(pages[order[-1]]) > STEPS:
+        i = order.pop()
+        out[i] = model.long_logits(pages[i], vectors) > 0
     at = 0
     while at < len(order):
         # fewer at once when they are long
         take = order[at : at + max(1, min(PAGES, 20_000 // len(pages[order[min(at + PAGES, len(order)) - 1]])))]
         at += len(take)
-        x, mask = _pad([vectors.page(pages[i]) for i in take])
+        x, mask = _pad([vectors.some(pages[i], 0, len(pages[i])) for i in take])
         z = model.logits(x, mask)
         for k, i in enumerate(take):
             out[i] = z[: len(pages[i]), k] > 0
     return out
 
 
+def _slices(html: pa.Array):
+    """(from, to) of rows that are read at once: PAGES or so, fewer if they are long."""
+    lo = chars = 0
+    for i, x in enumerate(html):
+        if i > lo and (i - lo >= 4 * PAGES or chars + len(x.as_py() or "") > CHARS):
+            yield lo, i
+            lo, chars = i, 0
+        chars += len(x.as_py() or "")
+    if lo < len(html):
+        yield lo, len(html)
+
+
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     """page_id, url and the main text of each page."""
 
     def run(batches):
         vectors = Vectors()
         for batch in batches:
-            found = [blocks(h) for h in batch.column(2).to_pylist()]
-            texts = [" ".join(b.text for b, ok in zip(bs, keep) if ok) for bs, keep in zip(found, label(model, found, vectors))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            for lo, hi in _slices(batch.column(2)):
+                rows = batch.slice(lo, hi - lo)
+                found = [blocks(h) for h in rows.column(2).to_pylist()]
+                texts = [" ".join(b.text for b, ok in zip(bs, keep) if ok) for bs, keep in zip(found, label(model, found, vectors))]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return pages.select(pages["page_id"].cast("long"), pages["url"].cast("string"), pages["html"].cast("string")).mapInArrow(run, "page_id long, url string, text string")
+
+
+def sample_windows(pages: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_WINDOWS) -> list[Window]:
+    """Training windows of at most `sample` pages, those whose ids hash lowest, one row of an id: all windows, or the `most` that hash lowest."""
+    ids = pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64(F.lit(4), "page_id"), "page_id").limit(sample)
+    ids = [r["page_id"] for r in ids.collect()]
+    if not ids:
+        return []
+    # of equal ids one row, chosen where the rows are
+    one = pages.where(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min_by(F.coalesce("html", F.lit("")), F.xxhash64("html")).alias("html"))
+
+    def run(batches):
+        vectors = Vectors()
+        for batch in batches:
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, paths, rests, labels in windows(html, vectors):
+                    row = [page], [k], [[p.tolist() for p in paths]], [np.concatenate(rests).tolist()], [labels]
+                    kinds = pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.float32()), pa.list_(pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds)], names=["page", "k", "paths", "rests", "labels"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string")
+    found = cut(one.mapInArrow(run, "page long, k long, paths array<array<int>>, rests array<float>, labels array<boolean>"), "html-windows")
+    rows = found.orderBy(F.xxhash64(F.lit(5), "page", "k"), "page", "k").limit(most).collect()
+    return [(whole([np.array(p, dtype=int) for p in r["paths"]], np.array(r["rests"], np.float32)), np.array(r["labels"], np.float32)) for r in rows]
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """The labeller for a table: trained with at most `sample` of its pages, those whose ids hash lowest."""
-    ids = [r["page_id"] for r in pages.where("page_id is not null").select("page_id").orderBy(F.xxhash64(F.lit(4), "page_id"), "page_id").limit(sample).collect()]
-    rows = pages.select("page_id", "html").where(F.col("page_id").isin(ids)).collect() if ids else []
-    own = {r["page_id"]: r["html"] for r in sorted(rows, key=lambda r: (r["page_id"], r["html"] or ""))}
-    return train([own[i] for i in ids])
+    """The labeller for a table."""
+    return train(sample_windows(pages, sample))
 
 
 def op4_html(spark, sf_dir: str) -> DataFrame:

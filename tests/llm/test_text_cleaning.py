@@ -164,6 +164,50 @@ def test_blocks():
     assert html_blocks.blocks(None) == [] == html_blocks.blocks("") and [b.text for b in html_blocks.blocks("plain < 5 words")] == ["plain < 5 words"]
 
 
+def text_of(page):
+    return [b.text for b in html_blocks.blocks(page)]
+
+
+def test_what_is_not_text():
+    assert text_of('<article><p>a</p><script>document.write("<body>leak text")</script><p>b</p></article>') == ["a", "b"]
+    assert text_of('<head><script>x("<body>leak")</script><title>t</title><style>p</style></head><body>in') == ["in"]
+    assert text_of("<head><meta name=a><div>the head ends here</div>") == ["the head ends here"]
+    assert text_of("a<svg><title>leak</title><text>leak</text></svg>b<template><p>leak</template>c<SCRIPT>leak</Script >d<!-- leak -->e<!-->f<? leak ?>g</3>h") == ["a", "b", "cdefgh"]
+    assert text_of('<p title="a > b">c</p><p title=a"b>d</p><p>x < y > z &lt; w</p>') == ["c", "d", "x < y > z < w"]
+    assert text_of("<p>a</p><script>leak") == ["a"] == text_of("<p>a</p><!-- leak") == text_of('<p>a</p><a href="leak')
+    assert text_of('<p>a <a href="x>b</a> c</p><p>d</p>') == ["a b c", "d"]
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<p ", "<", "</", "<!", "<a b='", '<a ="', "<p>", "<div>x", "</div>", "<script>", "<!--", "&amp", "<svg>", "<head>", "= ", "<a =   "])
+def test_reading_takes_linear_time(piece):
+    import time
+
+    html_blocks.blocks(piece * 1000)
+    at = time.process_time()
+    html_blocks.blocks(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - at < 6
+
+
+def test_nesting_beyond_the_depth():
+    found = html_blocks.blocks("<article>" + "<div>x" * 2000 + "</div>y" * 2000 + "<p>end</p></article><p>after")
+    assert len(found) == 4002 and max(len(b.path) for b in found) == html_blocks.DEPTH and found[-1].path == ("p",) and found[-2].path == ("article", "p")
+
+
+def test_long_pages_are_read_in_turns(labeller):
+    rng = np.random.default_rng(5)
+    found = html_blocks.blocks("".join(html_blocks.generate(rng) for _ in range(30)))
+    vectors = html_blocks.Vectors()
+    x, mask = html_blocks._pad([vectors.some(found, 0, len(found))])
+    assert len(found) > 150 and np.allclose(labeller.long_logits(found, vectors, 50), labeller.logits(x, mask)[:, 0], atol=1e-3)
+
+
+def test_training_reads_whole_pages_once_an_id(spark):
+    page = "<article>" + "<p>word text.</p>" * 200 + "</article>"
+    pages = spark.createDataFrame([(1, page)] * 50 + [(2, None), (3, "<p>b"), (None, page)], "page_id long, html string").repartition(3)
+    assert sorted(len(x) for x, _ in html_blocks.sample_windows(pages)) == [1, 8, 64, 64, 64]
+    assert len(html_blocks.sample_windows(pages, most=2)) == 2 and len(html_blocks.sample_windows(pages.limit(0))) == 0
+
+
 def test_html_edges(spark, labeller):
     good = "<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>T</h1><p>Body text here.</p></article><footer>x</footer></body></html>"
     rows = [(1, "u", good), (1, "u", good), (2, None, None), (3, "u", ""), (None, "u", "<p"), (4, "u", "<article>" + "<p>word text.</p>" * 3000 + "</article>")]
