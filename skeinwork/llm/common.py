@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.functions.storage import cut, shared_dir, sweep
+from skeinwork.functions.storage import cut, cut_all, scope, shared_dir
 
-__all__ = ["WORD", "cut", "n_words", "read", "same", "shared_dir", "sweep"]
+__all__ = ["WORD", "cut", "cut_all", "n_words", "read", "same", "scope", "shared_dir"]
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

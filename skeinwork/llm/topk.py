@@ -7,8 +7,9 @@ segment of length l, the inner product is at most l * (mean * mean + deviation *
 l * ((mean difference)^2 + (deviation difference)^2). Candidates whose bound, coarse to fine, falls
 short of a query's k-th best score so far are out; survivors get the exact score.
 
-Queries are cut into blocks of a fixed size; each block is broadcast, its candidates are streamed in
-Arrow batches, and each task keeps k per query, so what is shuffled is k rows per query and task.
+Queries are dealt into parts of a bounded number of bytes; each part is broadcast, in blocks past which
+the candidates are streamed, so one scan serves a whole part. Each task keeps k per query: what is
+shuffled is k rows per query and task.
 
 Defined cases: vectors null, empty, or with null, NaN or infinite components take no part; vectors of
 different lengths have no score with each other; equal scores go to the smaller id; rows that share
@@ -20,16 +21,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import cut, read
+from skeinwork.llm.common import cut, cut_all, read
 
 SCALE = 256
 K = 5
-#: Queries that are broadcast at once, about; and candidates that are scored at once.
-QUERY_BLOCK = 8192
+#: Bytes of queries that are broadcast at once, about; queries and candidates that are scored at once.
+QUERY_BYTES = 32 << 20
+QUERY_BLOCK = 4096
 CANDIDATES = 1024
 #: Numbers of segments, coarse to fine.
 LEVELS = (1, 4, 16)
@@ -87,65 +90,69 @@ class Search:
         self.score[hit], self.who[hit] = scores[at], who[at]
 
 
-def quantized(column: pa.Array, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Positions and integer vectors (as doubles) of the usable vectors of an Arrow list column."""
-    at, out = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v and None not in v:
-            x = np.floor(np.array(v, dtype=np.float64) * scale)
-            if np.isfinite(x).all():
-                at.append(i)
-                out.append(x)
-    return np.array(at, dtype=int), out
-
-
-def _by_length(ids: np.ndarray, vectors: list[np.ndarray]):
-    sizes = np.array([len(v) for v in vectors])
-    for n in np.unique(sizes):
-        pick = np.flatnonzero(sizes == n)
-        yield int(n), ids[pick], np.stack([vectors[i] for i in pick])
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, block: int = QUERY_BLOCK) -> DataFrame:
+def quantized(column: pa.Array, scale: int):
+    """(length, positions, integer vectors as doubles) of an Arrow list column's usable vectors, by length."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(size) - size
+    # null components become NaN
+    x = np.floor(column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) * scale)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
+    good = (size > 0) & (bad[start + size] == bad[start])
+    for n in np.unique(size[good]):
+        at = np.flatnonzero(good & (size == n))
+        yield int(n), at, x[start[at][:, None] + np.arange(n)]
+
+
+def _search(queries: list[tuple[int, np.ndarray, np.ndarray]], k: int, scale: int):
+    """Arrow batches (vec_id, embedding) of candidates to the best k of each query; queries: length, ids, vectors of a block."""
+
+    def run(batches):
+        searches: dict[int, list[Search]] = {}
+        for n, ids, x in queries.value:
+            searches.setdefault(n, []).append(Search(ids, x, k))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, CANDIDATES):
+                rows = batch.slice(lo, CANDIDATES)
+                known = rows.column(0).is_valid().to_numpy(zero_copy_only=False)
+                ids = rows.column(0).fill_null(0).to_numpy()
+                for n, at, y in quantized(rows.column(1), scale):
+                    keep = known[at]
+                    for s in searches.get(n, ()):
+                        if keep.any():
+                            s.show(ids[at[keep]], y[keep])
+        for s in (s for own in searches.values() for s in own):
+            rows, col = np.nonzero(np.isfinite(s.score))
+            yield pa.RecordBatch.from_arrays([pa.array(s.ids[rows]), pa.array(s.who[rows, col]), pa.array(s.score[rows, col])], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, query_bytes: int = QUERY_BYTES, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query. Both tables: vec_id, embedding."""
     spark = vectors.sparkSession
-    vectors = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    vectors = vectors.select(vectors["vec_id"].cast("long"), vectors["embedding"].cast("array<double>"))
     usable = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x * scale) < float("inf"))) & (F.size("embedding") > 0)
-    queries = queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull() & usable)
+    queries = queries.select(queries["vec_id"].cast("long"), queries["embedding"].cast("array<double>")).where(F.col("vec_id").isNotNull() & usable)
     queries = cut(queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "topk-queries")
-    blocks = max(1, -(-queries.count() // block))
-    schema = "query_id long, vec_id long, score double"
-    found = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.lit(blocks)) == b).toArrow()  # about `block` rows
-        at, qs = quantized(own.column(1).combine_chunks(), scale)
-        ids = own.column(0).to_numpy()[at] if len(at) else np.array([], dtype=np.int64)
-        shared = spark.sparkContext.broadcast((ids, qs))
-
-        def run(batches, shared=shared):
-            searches = {n: Search(i, x, k) for n, i, x in _by_length(*shared.value)}
-            for batch in batches:
-                at, vs = quantized(batch.column(1), scale)
-                keys = batch.column(0)
-                valid = np.array([keys[int(i)].is_valid for i in at], dtype=bool)
-                if not len(at) or not valid.any():
-                    continue
-                vs = [v for v, ok in zip(vs, valid) if ok]
-                cids = np.array([keys[int(i)].as_py() for i in at[valid]], dtype=np.int64)
-                for n, i, y in _by_length(cids, vs):
-                    if n in searches:
-                        for a in range(0, len(i), CANDIDATES):
-                            searches[n].show(i[a : a + CANDIDATES], y[a : a + CANDIDATES])
-            for s in searches.values():
-                rows, col = np.nonzero(np.isfinite(s.score))
-                yield pa.RecordBatch.from_arrays([pa.array(s.ids[rows]), pa.array(s.who[rows, col]), pa.array(s.score[rows, col])], names=["query_id", "vec_id", "score"])
-
-        part = vectors.mapInArrow(run, schema)
-        order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        best = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        best = cut(best.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score")), f"topk-{b}")
-        found = best if found is None else found.union(best)
-    return found
+    total = queries.agg(F.sum(8 * F.size("embedding"))).first()[0] or 0
+    parts = max(1, -(-total // query_bytes))
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+
+    def best():
+        for b in range(parts):
+            own = queries.where(F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.lit(parts)) == b).toArrow().combine_chunks()  # about query_bytes
+            blocks = []
+            if own.num_rows:
+                ids = own.column(0).combine_chunks().to_numpy()
+                for n, at, x in quantized(own.column(1).combine_chunks(), scale):
+                    blocks += [(n, ids[at[i : i + block]], x[i : i + block]) for i in range(0, len(at), block)]
+            shared = spark.sparkContext.broadcast(blocks)
+            found = vectors.mapInArrow(_search(shared, k, scale), "query_id long, vec_id long, score double")
+            found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            yield found.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+            shared.destroy()  # the part is stored by now
+
+    return cut_all(best(), "topk")
 
 
 def op9_topk(spark, sf_dir: str) -> DataFrame:
