@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from skeinwork.llm.common import cut
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, root: the least node of each node's component, for nodes that have links; others are left out.
 
-    nodes is only read for its type. links: a, b (either order, repeats allowed). Each round a root hooks onto its least
+    links: a, b (either order, repeats allowed). Each round a root hooks onto its least
     neighbour if that is less, chains of hooks are halved until all point at their ends, and links are drawn between the roots
     that are left. In two rounds a root hooks or another hooks onto it, so their number halves; the rounds end when no link is left.
     """

@@ -99,7 +99,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # ids are compared with null first; a component of null ids only has a null id
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     found = cut(links(classes), "simhash-links")
-    roots = components(classes, found)
+    roots = components(found)
     least = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
     reached = roots.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
     named = classes.join(reached, "fp", "left").select(F.col("fp").alias("of"), F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))

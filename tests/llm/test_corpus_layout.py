@@ -288,19 +288,19 @@ def test_links_join_what_all_pairs_join(spark):
     found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))
     got = {tuple(sorted(r)) for r in found.collect()}
     assert got <= set(want) and union(fps, got) == union(fps, want)
-    roots = {r["node"]: r["root"] for r in components(None, found).collect()}
+    roots = {r["node"]: r["root"] for r in components(found).collect()}
     assert {f: roots.get(f, f) for f in fps} == union(fps, want)
 
 
 def test_long_chain_is_one_component(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(150)], "a long, b long")
-    assert {r["root"] for r in components(None, chain).collect()} == {0}
+    assert {r["root"] for r in components(chain).collect()} == {0}
 
 
 @pytest.mark.parametrize("order", ["shuffled", "falling"])
 def test_chain_in_any_order_is_one_component(spark, order):
     walk = np.random.default_rng(1).permutation(3000).tolist() if order == "shuffled" else [0, *range(1000, 0, -1)]
-    roots = components(None, spark.createDataFrame(list(zip(walk, walk[1:])), "a long, b long")).collect()
+    roots = components(spark.createDataFrame(list(zip(walk, walk[1:])), "a long, b long")).collect()
     assert len(roots) == len(walk) and {r["root"] for r in roots} == {0}
 
 
@@ -403,8 +403,8 @@ def test_suffix_dedup_edges(spark, edge, empty):
     assert suffix_dedup.dedup_substrings(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [8192, 3])
-def test_top_k(spark, block):
+@pytest.mark.parametrize("block, query_bytes", [(topk.QUERY_BLOCK, topk.QUERY_BYTES), (3, topk.QUERY_BYTES), (2, 900)])
+def test_top_k(spark, block, query_bytes):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=24).round(2)]) for i in range(150)]
     rows += [(150, None), (151, []), (152, [1.0, None]), (153, [float("nan")] * 24), (154, [float("inf")] * 24), (155, [1.0, 2.0]), (156, [1.0, 2.0]), (None, rows[0][1]), (157, rows[0][1]), (158, rows[0][1])]
@@ -416,7 +416,7 @@ def test_top_k(spark, block):
         if q % 10 == 0 or q in (155, 157):
             scores = sorted((-int(x[q] @ x[c]), c) for c in x if c != q and len(x[c]) == len(x[q]))
             want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores[:5])]
-    got = sorted(tuple(r) for r in topk.top_k(table, asked, block=block).collect())
+    got = sorted(tuple(r) for r in topk.top_k(table, asked, block=block, query_bytes=query_bytes).collect())
     assert got == sorted(want)
     assert topk.top_k(table.limit(0), asked.limit(0)).count() == 0
 
