@@ -238,17 +238,26 @@ def lines_by_hand(rows, least=50):
     return {docs[k]: "\n".join(x for i, x in enumerate(docs[k][1].split("\n")) if i not in lost) for k, lost in gone.items()}
 
 
-def test_line_dedup_by_hand(spark):
+@pytest.mark.parametrize("matches, reach", [(line_dedup.MATCHES, line_dedup.REACH), (3, 0), (1, 1)])
+def test_line_dedup_by_hand(spark, matches, reach):
     rng = random.Random(9)
     pool = [" ".join(f"w{rng.randint(0, 9)}" for _ in range(rng.choice([1, 2, 8, 20, 60]))) for _ in range(25)] + ["", "  "]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(120)]
+    rows += [(200, "\n".join(["again and again"] * 60)), (201, "\n".join(["again and again"] * 70 + ["an end"]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = lines_by_hand(rows)
     assert want
-    for r in line_dedup.dedup_lines(docs).collect():
+    for r in line_dedup.dedup_lines(docs, matches=matches, reach=reach).collect():
         assert r["text"] == want.get((r["doc_id"], dict(rows)[r["doc_id"]]), dict(rows)[r["doc_id"]])
 
 
+def test_matches_extend_both_ways(spark):
+    """One window of a match is known; the lines around it are found equal by comparing them."""
+    row = spark.createDataFrame([(list("abcdefg"), list("xbcdeyg"), [9, 20, 1, 30, 7, 8, 60])], "own array<string>, other array<string>, n array<int>")
+    runs = row.select(line_dedup.equal_runs(F.col("own"), F.col("other"), F.col("n"), F.lit(10), 50).alias("r")).first()["r"]
+    assert [tuple(r) for r in runs] == [(11, 14), (16, 16)]
+
+
 def test_line_dedup_edges(edge, empty):
     out = line_dedup.dedup_lines(edge)
     assert out.columns == [*edge.columns, "n_lines_removed"]
