@@ -1,14 +1,16 @@
 """Quality rules: hard base rules, then a hashed word and character n-gram logistic regression.
 
-The regression reads word unigrams and bigrams and byte 3- and 5-grams of the lower-cased text, hashed
-into one table of weights; its score is the mean weight of a text's n-grams of each kind. It is
-trained on labelled quality rows, its scores are calibrated to probabilities (Platt) on rows kept out
-of the training, and every whole text is scored in Arrow batches against a fixed threshold.
+The regression reads word unigrams and bigrams and character (code point) 3- and 5-grams of the
+lower-cased text, hashed into one table of weights; its score is the mean weight of a text's n-grams
+of each kind. It is trained on labelled quality rows, its scores are calibrated to probabilities
+(Platt) on rows kept out of the training, and every whole text is scored in Arrow batches against a
+fixed threshold. The sample's n-grams are hashed and counted where the rows are; the driver gets
+counts, in parts.
 
 Defined cases: a null text is an empty one; a text of fewer than ten words fails the base rules; a
 corpus without labels of both kinds keeps what passes the base rules; several labels of one document
-count as their least; repeated rows get the same result; an empty table gives an empty result; other
-columns are not read.
+count as their least, and of several texts under one id one is learned from (that of the least hash);
+repeated rows get the same result; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,14 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import read
+from skeinwork.llm.common import cut, read
 
-#: Labelled rows that the regression is trained on, at most: those whose ids hash lowest.
-SAMPLE = 2000
+#: Labelled rows that the regression is trained on, at most: those whose ids hash lowest; and counts of n-grams in them, at most:
+#: rows that would go beyond are left out whole.
+SAMPLE, COUNTS = 3000, 30_000_000
+#: Counts that are read at once in training; parts in which they come to the driver.
+STEP, PARTS = 2_000_000, 8
 #: A document stays if its probability of good quality is at least this.
 THRESHOLD = 0.4
 BITS = 18
-#: Bytes of text whose n-grams are held at once, unless one text is longer.
+#: Characters of text whose n-grams are held at once, unless one text is longer.
 CHUNK = 1 << 20
 
 MIN_WORDS = 10
@@ -72,31 +77,29 @@ class Grams:
 
     power: np.ndarray = field(default_factory=lambda: np.ones(1, np.uint64))
     inverse: np.ndarray = field(default_factory=lambda: np.ones(1, np.uint64))
-    table: np.ndarray = field(default_factory=lambda: np.array([32 if chr(b) in SPACE else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8))
 
-    def of(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def of(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each kind of n-gram: buckets of all, and for each text the first and the past-last of its own."""
-        data = self.table[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
-        size = np.array([len(t) for t in texts])
+        lower = [t.lower() for t in texts]
+        data = np.frombuffer((" ".join(lower) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+        data = np.where((data >= 9) & (data <= 13), np.uint32(32), data)
+        size = np.array([len(t) for t in lower])
         begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
         end = begin + size
-        out = []
-        wide = data.astype(np.uint64)
-        for n, salt in ((3, 3), (5, 5)):
+        wide, out = data.astype(np.uint64), []
+        for n in (3, 5):
             h = np.zeros(max(0, len(data) - n + 1), np.uint64)
             for k in range(n):
-                h |= wide[k : len(h) + k] << np.uint64(8 * k)
-            out.append((_bucket(h, salt), np.minimum(begin, len(h)), np.minimum(np.maximum(begin, end - n + 1), len(h))))
-        while len(self.power) < len(data) + 1:
+                h = h * np.uint64(_BASE) + wide[k : len(h) + k]
+            out.append((_bucket(h, n), np.minimum(begin, len(h)), np.minimum(np.maximum(begin, end - n + 1), len(h))))
+        if len(self.power) < len(data) + 1:
             n = 2 * max(len(data), CHUNK)
             one = np.ones(1, np.uint64)
             self.power = np.cumprod(np.concatenate([one, np.full(n, _BASE, np.uint64)]))
             self.inverse = np.cumprod(np.concatenate([one, np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)]))
         space = np.concatenate([[True], data == 32])
-        starts = np.flatnonzero(space[:-1] & ~space[1:])
-        ends = np.flatnonzero(~space[:-1] & space[1:])
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((wide + np.uint64(1)) * self.power[: len(data)])])
-        ends = np.flatnonzero(~space[1:-1] & space[2:]) + 1 if len(data) > 1 else np.array([], int)
         word = (total[ends] - total[starts]) * self.inverse[starts]
         first, last = np.searchsorted(starts, begin), np.searchsorted(starts, end)
         out.append((_bucket(word, 1), first, last))
@@ -104,12 +107,25 @@ class Grams:
         out.append((_bucket(pair, 2), np.minimum(first, len(pair)), np.maximum(np.minimum(first, len(pair)), last - 1)))
         return out
 
+    def counts(self, texts: list[str | None]):
+        """For each text the buckets of its n-grams and their shares in its n-grams of that kind, times SCALE."""
+        for _, _, held in chunks(texts):
+            kinds = self.of(held)
+            for i in range(len(held)):
+                cols, vals = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+                for buckets, first, last in kinds:
+                    if last[i] > first[i]:
+                        c, n = np.unique(buckets[first[i] : last[i]], return_counts=True)
+                        cols.append(c)
+                        vals.append((n * (SCALE / (last[i] - first[i]))).astype(np.float32))
+                yield np.concatenate(cols).astype(np.int32), np.concatenate(vals)
+
 
 def chunks(texts: list[str | None], size: int = CHUNK):
-    """Slices (from, to, bytes of the texts) of about `size` bytes."""
+    """Slices (from, to, the texts) of about `size` characters."""
     at, held, total = 0, [], 0
     for i, t in enumerate(texts):
-        held.append((t or "").encode("utf-8", "surrogatepass"))
+        held.append(t or "")
         total += len(held[-1])
         if total >= size:
             yield at, i + 1, held
@@ -140,39 +156,46 @@ class Model:
 SCALE = 20.0
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = 40, rate: float = 0.5, decay: float = 1e-6) -> Model | None:
-    """Full-batch AdaGrad on four of five rows, calibration on the fifth. None without both labels."""
+def train(texts: list[str | None], labels: np.ndarray, **settings) -> Model | None:
+    """The model of some texts. None without both labels."""
+    return train_counts(list(Grams().counts(texts)), labels, **settings)
+
+
+def train_counts(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 40, rate: float = 0.5, decay: float = 1e-6) -> Model | None:
+    """Full-batch AdaGrad on four of five rows, calibration on the fifth; rows as Grams.counts() gives them. None without both labels."""
     y = np.asarray(labels, float)
     if len(y) < 10 or y.min() == y.max():
         return None
-    grams = Grams()
-    rows, cols, vals = [], [], []
-    for at, _, held in chunks(texts):
-        for buckets, first, last in grams.of(held):
-            for i in np.flatnonzero(last > first):
-                c, n = np.unique(buckets[first[i] : last[i]], return_counts=True)
-                rows.append(np.full(len(c), at + i, np.int32))
-                cols.append(c)
-                vals.append((n * (SCALE / (last[i] - first[i]))).astype(np.float32))
-    rows, cols, vals = map(np.concatenate, (rows, cols, vals))
     out = np.arange(len(y)) % 5 == 4
     if not 0 < y[~out].mean() < 1:
         out[:] = False
-    keep = ~out[rows]
-    r, c, v = rows[keep], cols[keep], vals[keep]
-    rest = ~keep
-    rows, cols, vals = rows[rest], cols[rest], vals[rest]  # only calibration reads these
+    # rows that are read together: about STEP counts
+    upto = np.cumsum([len(c) for c, _ in rows])
+    edges = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] + STEP, STEP)).clip(0, len(rows)))
+    spans = [(int(a), int(b)) for a, b in zip([0, *edges], [*edges, len(rows)]) if b > a]
     w, square = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
     b = float(np.log(y[~out].mean() / (1 - y[~out].mean())))
     n = (~out).sum()
+
+    def passes(rated: bool):
+        """The rows' logits and, rated, the gradient of those that train."""
+        z, grad = np.zeros(len(y)), np.zeros(1 << BITS)
+        for lo, hi in spans:
+            c, v = np.concatenate([c for c, _ in rows[lo:hi]]), np.concatenate([v for _, v in rows[lo:hi]])
+            r = np.repeat(np.arange(hi - lo), [len(c) for c, _ in rows[lo:hi]])
+            z[lo:hi] = b + np.bincount(r, w[c] * v, hi - lo)
+            if rated:
+                g = np.where(out[lo:hi], 0, 1 / (1 + np.exp(-np.clip(z[lo:hi], -40, 40))) - y[lo:hi])
+                grad += np.bincount(c, g[r] * v, 1 << BITS)
+        return z, grad
+
     for _ in range(epochs):
-        z = b + np.bincount(r, w[c] * v, len(y))
-        g = np.where(out, 0, 1 / (1 + np.exp(-z)) - y)
-        b -= rate * g.sum() / n
-        grad = np.bincount(c, g[r] * v, 1 << BITS) / n + decay * w
+        z, grad = passes(True)
+        b -= rate * np.where(out, 0, 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y).sum() / n
+        grad = grad / n + decay * w
         square += grad * grad
         w -= rate * grad / np.sqrt(square)
-    z = b + np.bincount(rows, w[cols] * vals, len(y))
+    z, _ = passes(False)
     slope, shift = _platt(z[out], y[out]) if out.sum() >= 50 and 0 < y[out].mean() < 1 else (1.0, 0.0)
     return Model(w.astype(np.float32), b, slope, shift)
 
@@ -194,15 +217,34 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(a), float(c)) if a > 0 else (1.0, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model of at most `sample` labelled rows."""
+def _count(batches):
+    grams = Grams()
+    for batch in batches:
+        found = list(grams.counts(batch.column(2).to_pylist()))
+        cols = pa.array([c for c, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "y", "cols", "vals"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counts: int = COUNTS) -> Model | None:
+    """The model of at most `sample` labelled rows with at most `counts` counts of n-grams."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    picked = known.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "of")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("doc_id", "text", "y").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
-    order = np.random.default_rng(5).permutation(len(rows))
-    rows = rows.iloc[order]
-    return train(rows["text"].tolist(), rows["y"].to_numpy(dtype=float))
+    order = F.xxhash64(F.lit(5), "doc_id")
+    picked = known.orderBy(order, "doc_id").limit(sample).withColumnRenamed("doc_id", "of")
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    rows = own.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).groupBy("doc_id").agg(F.first("y").cast("int").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    table = cut(rows.mapInArrow(_count, "doc_id long, y int, cols array<int>, vals array<float>"), "quality-counts")
+    sizes = table.select("doc_id", F.size("cols").alias("n")).orderBy(order, "doc_id").collect()  # `sample` rows at most
+    upto = np.cumsum([r["n"] for r in sizes])
+    chosen = {r["doc_id"] for r, n in zip(sizes, upto) if n <= counts}
+    found, y = {}, {}
+    for part in range(PARTS):
+        own = table.where(F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(PARTS)) == part).where(F.col("doc_id").isin(chosen)).toArrow() if chosen else None
+        for batch in own.to_batches() if own is not None else ():
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                found[doc] = tuple(batch.column(k)[i].values.to_numpy().copy() for k in (2, 3))
+                y[doc] = batch.column(1)[i].as_py()
+    docs_in_order = np.array(sorted(found))[np.random.default_rng(5).permutation(len(found))] if found else []
+    return train_counts([found[d] for d in docs_in_order], np.array([y[d] for d in docs_in_order]))
 
 
 _OUT = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("probability", pa.float64()), ("kept", pa.bool_())]
@@ -225,7 +267,7 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, (_, t) in zip(cols, _OUT)]], names=["doc_id", *[n for n, _ in _OUT]])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, schema)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
