@@ -2,20 +2,26 @@
 
 The terms are learned from labelled rows: whole words and word beginnings that toxic documents have
 and others don't, counted over different documents (copies, told by a sketch, count once). A set
-cover picks the terms that explain most toxic rows; terms as frequent as those follow. The trie of
-the terms and the Levenshtein automata of all of them (edits allowed by length) run as one
-automaton, made deterministic as words need it: a state is a set of (trie node, edits so far).
-A whole-word term matches a word within its edits, a beginning any word that starts with it.
+cover picks the terms that explain most toxic rows, until a further one explains too few; terms as
+frequent as those follow. The trie of the terms and the Levenshtein automata of all of them (edits
+allowed by length) run as one automaton, made deterministic as words need it: a state is a set of
+(trie node, edits so far). A whole-word term matches a word within its edits, a beginning any word
+that starts with it. Words may hold digits and signs that stand for letters; such a word that matches
+no term is read as its parts.
 
 A hit counts by its term's weight; a misspelled one counts a little less. The window of words around
 it says how far it is quoted: quotation marks that enclose it, and words of saying. A logistic
 regression over the sums of abuse and of quotation gives the document's score, about prior weights
-that hold where labels say nothing. Terms whose misspellings are words of clean rows allow no edits. Labels, lang, source and doc_id are never inputs.
+that hold where labels say nothing. Words of clean rows that lie within a term's edits are no hits. A
+term loses its edits if words near it that aren't known yet are to be expected in clean rows: the
+share of near words that one clean row alone has says how often (Good and Turing). Labels, lang,
+source and doc_id are never inputs of a score.
 
 Defined cases: a null or empty text has the score of a text without hits; without labels of both
-kinds, or without a term that tells them apart, all scores are 0.12; several labels of one document count as
-their largest; repeated rows get the same score; an empty table gives an empty result; other columns
-are not read.
+kinds, or without a term that tells them apart, all scores are 0.12; several labels of one document
+count as their largest, and of several texts under one id one is learned from (that of the least
+hash); repeated rows get the same score; an empty table gives an empty result; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -29,23 +35,27 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import read
+from skeinwork.llm.common import cut, read
 
 #: Labelled rows that terms and weights are learned from, at most: those whose ids hash lowest.
 SAMPLE = 8000
-#: Terms and, before the set cover, candidates, at most.
-MAX_TERMS, MAX_CANDIDATES = 400, 4000
+#: What a term needs: toxic rows, how many times the share of clean rows, and of the best term's rows what the cover's last one adds.
+LEAST_ROWS, LEAST_RATIO, LEAST_COVER = 4, 12, 0.02
+#: Clean rows with a near word that no other row has, of all clean rows, beyond which a term allows no edits.
+MOST_UNKNOWN = 0.0005
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 #: Words before and after a hit that its context is read from.
 WINDOW = 8
 BEGINNINGS = range(4, 9)
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+(?:[\d*$@!]+[^\W\d_]+)*")
+_PLAIN = re.compile(r"[^\W\d_]+")
 #: Words that introduce another's words, in the languages at hand.
 SAYING = frozenset("said says wrote writes quote quoted quotes called reported told dit disait écrit cité sagte sagt schrieb zitat zitiert dijo dice escribió cita".split())
-_OPEN, _CLOSE = '"“„«‹‘»”', '"”“»›’«'
+_OPEN, _CLOSE = '"“„«‹‘»', '"”“»›’«'
 #: Prior weights of the regression: intercept, abuse, quotation.
 PRIOR = np.array([-3.0, 5.0, 0.3])
 
@@ -64,6 +74,7 @@ class Automaton:
     """The deterministic product of the trie with its terms' Levenshtein automata, built lazily."""
 
     terms: tuple[tuple[str, bool, int], ...]  # (text, whole word?, edits that it allows)
+    except_: frozenset[str] = frozenset()  # words that are no misspellings
     nodes: list[dict[str, int]] = field(default_factory=lambda: [{}])
     ends: list[list[int]] = field(default_factory=lambda: [[]])
     reach: list[int] = field(default_factory=lambda: [0])  # the most edits that a term below a node allows
@@ -139,7 +150,7 @@ class Automaton:
                 hit = hit or (self.began[at], 0)
         else:
             k, e = self.found[at]
-            if k >= 0 and (hit is None or e == 0):
+            if k >= 0 and (hit is None or e == 0) and (e == 0 or word not in self.except_):
                 hit = (k, e)
         if len(self.words) > 200_000:  # a memo, not a limit: words are matched anew
             self.words.clear()
@@ -153,9 +164,10 @@ class Model:
     weights: tuple[float, ...] = ()
     bias: float = -2.0
     coef: tuple[float, ...] = (0.0, 0.0)
+    except_: frozenset[str] = frozenset()
 
     def scorer(self) -> Scorer:
-        return Scorer(self, Automaton(self.terms))
+        return Scorer(self, Automaton(self.terms, self.except_))
 
 
 @dataclass
@@ -164,13 +176,18 @@ class Scorer:
     automaton: Automaton
 
     def hits(self, text: str) -> dict[str, tuple[int, int]]:
-        """The text's different words that match a term."""
+        """The text's different words that match a term; of words with signs in them that match none, the parts that do."""
         match, words = self.automaton.match, self.automaton.words
         out = {}
         for w in set(_WORD.findall(text.lower())):
             hit = words[w] if w in words else match(w)
             if hit is not None:
                 out[w] = hit
+            elif not w.isalpha():
+                for part in _PLAIN.findall(w):
+                    hit = match(part)
+                    if hit is not None:
+                        out[part] = hit
         return out
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -182,9 +199,10 @@ class Scorer:
         spans = [m.span() for m in _WORD.finditer(text)]
         abuse = quotes = 0.0
         for i, (a, b) in enumerate(spans):
-            hit = hits.get(text[a:b].lower())
-            if hit is not None:
-                weight = self.model.weights[hit[0]] * 0.85 ** hit[1]
+            word = text[a:b].lower()
+            found = [hits[word]] if word in hits else [] if word.isalpha() else [hits[p] for p in _PLAIN.findall(word) if p in hits]
+            for k, e in found:
+                weight = self.model.weights[k] * 0.85**e
                 quoted = self.quotation(text, spans, i)
                 abuse += weight * (1 - quoted)
                 quotes += weight * quoted
@@ -207,7 +225,7 @@ class Scorer:
 def _candidates(text: str) -> set[str]:
     """A text's words ("w$") and beginnings of words ("w")."""
     out = set()
-    for w in set(_WORD.findall(text.lower())):
+    for w in set(_PLAIN.findall(text.lower())):
         if len(w) >= 3:
             out.add(w + "$")
         out.update(w[:n] for n in BEGINNINGS if n <= len(w))
@@ -220,33 +238,42 @@ def _sketch(text: str) -> int:
     return min((zlib.crc32(b" ".join(words[i : i + 6])) for i in range(max(1, len(words) - 5))), default=0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Terms and weights from at most `sample` labelled rows outside the held-out fold."""
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, text, y, first: at most `sample` labelled rows outside the held-out fold, one for each id; first: of those with its label and sketch the first."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     picked = known.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "of")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    rows = own.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max(F.col("y") > 0).alias("toxic"))
 
-    def count(batches):
-        tox, non, seen = Counter(), Counter(), set()
+    def sketch(batches):
         for batch in batches:
-            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if (key := _sketch(text)) not in seen:
-                    seen.add(key)
-                    (tox if y else non).update(_candidates(text))
-        keys = [k for k in tox if tox[k] > 1 or k not in non]
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([tox[k] for k in keys]), pa.array([non[k] for k in keys])], names=["term", "tox", "non"])
-        rest = [k for k in non if k not in tox and non[k] > 0]
-        if rest:
-            yield pa.RecordBatch.from_arrays([pa.array(rest), pa.array([0] * len(rest)), pa.array([non[k] for k in rest])], names=["term", "tox", "non"])
-
-    totals = {r["y"] > 0: r["n"] for r in picked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+            yield batch.append_column("sketch", pa.array([_sketch(t) for t in batch.column(1).to_pylist()], pa.int64()))
+
+    rows = cut(rows.select("doc_id", "text", F.col("toxic").cast("int").alias("y")).mapInArrow(sketch, "doc_id long, text string, y int, sketch long"), "toxicity-sample")
+    first = F.min("doc_id").over(W.partitionBy("sketch", "y"))
+    return cut(rows.withColumn("first", F.col("doc_id") == first).drop("sketch"), "toxicity-rows")
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Terms and weights from at most `sample` labelled rows outside the held-out fold."""
+    rows = sampled(docs, labels, sample)
+    totals = {bool(r["y"]): r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return Model()
-    per = rows.mapInArrow(count, "term string, tox long, non long").groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("non").alias("non"))
+
+    def count(batches):
+        tox, non = Counter(), Counter()
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                (tox if y else non).update(_candidates(text))
+        keys = list(tox | non)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([tox[k] for k in keys], pa.int64()), pa.array([non[k] for k in keys], pa.int64())], names=["term", "tox", "non"])
+
+    per = rows.where("first").select("text", "y").mapInArrow(count, "term string, tox long, non long").groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("non").alias("non"))
     ratio = (F.col("tox") / totals[True]) / ((F.col("non") + 0.5) / totals[False])
-    per = per.where((F.col("tox") >= 4) & (ratio >= 12) & (F.col("tox") >= 9 * F.col("non")))
-    best = [r["term"] for r in per.orderBy(F.col("tox").desc(), "term").limit(MAX_CANDIDATES).collect()]
+    per = per.where((F.col("tox") >= LEAST_ROWS) & (ratio >= LEAST_RATIO) & (F.col("tox") >= 9 * F.col("non")))
+    # words that LEAST_ROWS rows of the sample share
+    best = [r["term"] for r in per.orderBy(F.col("tox").desc(), "term").collect()]
     return _choose(rows, best)
 
 
@@ -256,21 +283,21 @@ def _choose(rows: DataFrame, best: list[str]) -> Model:
 
     def which(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([_sketch(t) for t in texts], pa.int64()), pa.array([sorted(_candidates(t) & shared.value) for t in texts], pa.list_(pa.string()))], names=["doc_id", "y", "sketch", "terms"])
+            terms = [sorted(_candidates(t) & shared.value) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(terms, pa.list_(pa.string()))], names=["doc_id", "y", "terms"])
 
-    table = rows.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(which, "doc_id long, y int, sketch long, terms array<string>").toPandas()
-    table = table.sort_values("doc_id", kind="stable").drop_duplicates(["sketch", "y"])
+    table = rows.where("first").select("doc_id", "text", "y").mapInArrow(which, "doc_id long, y int, terms array<string>").toPandas()
+    table = table.sort_values("doc_id", kind="stable")
     toxic = [frozenset(t) for t in table[table["y"] > 0]["terms"]]
     clean = Counter(t for terms in table[table["y"] == 0]["terms"] for t in terms)
     support = Counter(t for terms in toxic for t in terms)
-    fit = [t for t in best if support[t] >= 4 and clean[t] <= support[t] / 12]
-    seeds, left = [], toxic
-    while left and len(seeds) < MAX_TERMS:
-        gain = Counter(t for terms in left for t in terms if t in set(fit))
+    fit = [t for t in best if support[t] >= LEAST_ROWS and clean[t] <= support[t] / LEAST_RATIO]
+    some, seeds, left = set(fit), [], toxic
+    while left:
+        gain = Counter(t for terms in left for t in terms if t in some)
         # most rows first; among equals the longest beginning, then the whole word
         t = max(gain, key=lambda t: (gain[t], len(t.rstrip("$")), t.endswith("$"), t), default=None)
-        if t is None or gain[t] < 4 or (seeds and gain[t] < 0.02 * support[seeds[0]]):
+        if t is None or gain[t] < LEAST_ROWS or (seeds and gain[t] < LEAST_COVER * support[seeds[0]]):
             break
         seeds.append(t)
         left = [terms for terms in left if t not in terms]
@@ -280,7 +307,7 @@ def _choose(rows: DataFrame, best: list[str]) -> Model:
     chosen: list[str] = []
     for t in [*seeds, *sorted((t for t in fit if support[t] >= floor), key=lambda t: (-support[t], len(t), t))]:
         stem = t.rstrip("$")
-        if len(chosen) < MAX_TERMS and t not in chosen and not any(not c.endswith("$") and stem.startswith(c) for c in chosen):
+        if t not in chosen and not any(not c.endswith("$") and stem.startswith(c) for c in chosen):
             chosen.append(t)
     # a beginning that one whole word makes up is that word
     chosen = [t + "$" if not t.endswith("$") and support.get(t + "$", 0) >= 0.9 * support[t] else t for t in chosen]
@@ -294,19 +321,30 @@ def _choose(rows: DataFrame, best: list[str]) -> Model:
     return _regress(rows, model)
 
 
-def _regress(rows: DataFrame, model: Model) -> Model:
-    def misspelled(batches):
-        scorer, found = model.scorer(), Counter()
+def _near_words(rows: DataFrame, model: Model) -> tuple[frozenset[str], set[int]]:
+    """(words of clean rows within a term's edits, terms that such words are too frequent near)."""
+
+    def near(batches):
+        scorer = model.scorer()
         for batch in batches:
-            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if not y:
-                    found.update({k for k, e in scorer.hits(text).values() if e})
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+            found = Counter()
+            for text in batch.column(0).to_pylist():
+                found.update((w, k) for w, (k, e) in scorer.hits(text).items() if e)
+            keys = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.int32()), pa.array([found[x] for x in keys], pa.int64())], names=["word", "term", "n"])
+
+    clean = rows.where("first and y = 0").select("text")
+    words = clean.mapInArrow(near, "word string, term int, n long").groupBy("word", "term").agg(F.sum("n").alias("n")).collect()
+    once = Counter(r["term"] for r in words if r["n"] == 1)
+    total = clean.count()
+    return frozenset(r["word"] for r in words), {k for k, n in once.items() if n > max(1, MOST_UNKNOWN * total)}
 
-    rows = rows.select("doc_id", "text", F.col("y").cast("int").alias("y"))
-    false = {r["term"]: r["n"] for r in rows.mapInArrow(misspelled, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    terms = tuple((t, whole, 0 if false.get(k, 0) > 1 else most) for k, (t, whole, most) in enumerate(model.terms))
-    model = Model(terms, model.weights)
+
+def _regress(rows: DataFrame, model: Model) -> Model:
+    except_, crowded = _near_words(rows, model)
+    terms = tuple((t, whole, 0 if k in crowded else most) for k, (t, whole, most) in enumerate(model.terms))
+    model = Model(terms, model.weights, except_=except_)
+    rows = rows.select("doc_id", "text", "y")
 
     def run(batches):
         scorer = model.scorer()
@@ -326,7 +364,7 @@ def _regress(rows: DataFrame, model: Model) -> Model:
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return Model(terms, model.weights, float(w[0]), tuple(float(max(0.0, v)) for v in w[1:]))
+    return Model(terms, model.weights, float(w[0]), tuple(float(max(0.0, v)) for v in w[1:]), except_)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -336,7 +374,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -43,6 +43,59 @@ def test_context_tells_quotation_from_abuse():
     assert s.score("you are such an idoit, go iddiot") > s.score("fine words") and s.score(None) == s.score("")
 
 
+def test_masked_and_excepted_words():
+    m = toxicity.Model((("stupid", True, 1), ("moron", True, 1)), (1.0, 1.0), -3.0, (6.0, 0.3), frozenset({"oron"}))
+    s = m.scorer()
+    assert set(s.hits("st0pid morron oron stupid2day m*ron x2y it's stup")) == {"st0pid", "morron", "stupid", "m*ron"}
+    assert s.score("you st0pid thing") == s.score("you stupit thing") < s.score("you stupid thing") and s.score("oron") == s.score("")
+
+
+def score_by_hand(model, text):
+    """The score with edit distances and windows counted one by one. All weights are 1."""
+    import re
+
+    marks = [('"', '"'), ("“", "”"), ("„", "“"), ("«", "»"), ("‹", "›"), ("‘", "’"), ("»", "«")]
+    text = text or ""
+
+    def hit(word):
+        near = []
+        for term, whole, most in model.terms:
+            d = edits(term, word) if whole else 0 if word.startswith(term) else 9
+            if d <= most and (d == 0 or word not in model.except_):
+                near.append(d)
+        return min(near, default=None)
+
+    spans = [m.span() for m in re.finditer(r"[^\W\d_]+(?:[\d*$@!]+[^\W\d_]+)*", text)]
+    abuse = quotes = 0.0
+    for i, (a, b) in enumerate(spans):
+        word = text[a:b].lower()
+        found = [hit(word)] if hit(word) is not None or word.isalpha() else [hit(p) for p in re.findall(r"[^\W\d_]+", word)]
+        lo, hi = max(0, i - toxicity.WINDOW), min(len(spans) - 1, i + toxicity.WINDOW)
+        before, after = text[spans[lo][0] : a], text[b : spans[hi][1] + 1]
+        inside = any(o in before and c in after and (o != '"' or before.count(o) % 2) for o, c in marks)
+        says = any(text[x:y].lower() in toxicity.SAYING for x, y in spans[lo : hi + 1])
+        quoted = (0.7 + 0.3 * says) if inside else 0.0
+        for d in found:
+            if d is not None:
+                abuse += 0.85**d * (1 - quoted)
+                quotes += 0.85**d * quoted
+    z = model.bias + model.coef[0] * np.log1p(abuse) + model.coef[1] * np.log1p(quotes)
+    return 1 / (1 + np.exp(-z))
+
+
+@given(st.lists(st.sampled_from(["idiot", "idoit", "1diot", "idi0t", "id*ot", "IDIOTS", "idea", "said", "loser", "losr", "looser", "scumbag", "scum", '"', "“", "”", " ", " ", "x", "\n", "!"]), max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_score_by_hand(parts):
+    model = toxicity.Model((("idiot", True, 1), ("loser", True, 1), ("scum", False, 0)), (1.0, 1.0, 1.0), -3.0, (5.0, 0.3), frozenset({"looser"}))
+    for text in ("".join(parts), " ".join(parts)):
+        assert abs(model.scorer().score(text) - score_by_hand(model, text)) < 1e-9
+
+
+def test_learning_does_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    assert toxicity.learn(docs.repartition(1), labels) == toxicity.learn(docs.repartition(7, "text").union(docs.limit(9)), labels)
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.op1_toxicity(spark, FOLDER).join(labels, "doc_id").where("held_out").collect()
@@ -86,13 +139,57 @@ def test_base_counts(text):
 @settings(max_examples=100, deadline=None)
 def test_grams_do_not_depend_on_their_place(texts):
     g = quality.Grams()
-    raw = [t.encode() for t in texts]
-    together = g.of(raw)
-    for i, t in enumerate(raw):
+    together = g.of(texts)
+    for i, t in enumerate(texts):
         for (b, f, e), (b1, f1, e1) in zip(together, g.of([t])):
             assert b[f[i] : e[i]].tolist() == b1[f1[0] : e1[0]].tolist()
     word = together[2]
-    assert [int(e - f) for f, e in zip(word[1], word[2])] == [len(t.split()) for t in raw]
+    assert [int(e - f) for f, e in zip(word[1], word[2])] == [len(t.encode().split()) for t in texts]
+
+
+def probability_by_hand(model, text):
+    """The model's probability from n-grams that are cut and hashed one by one."""
+    full = 1 << 64
+    chars = [" " if c in "\t\n\x0b\x0c\r" else c for c in (text or "").lower()]
+    words = [w for w in "".join(chars).split(" ") if w]
+
+    def mixed(h, salt):
+        h = (h + salt) * 0x9E3779B97F4A7C15 % full
+        h ^= h >> 29
+        return (h * 0x9E3779B97F4A7C15 % full) >> (64 - quality.BITS)
+
+    def rolled(cs, first=0):
+        h = 0
+        for c in cs:
+            h = (h * quality._BASE + ord(c) + first) % full
+        return h
+
+    # the hash of a word counts its last character highest
+    each = [rolled(reversed(w), 1) for w in words]
+    kinds = [[mixed(rolled(chars[i : i + n]), n) for i in range(len(chars) - n + 1)] for n in (3, 5)]
+    kinds += [[mixed(h, 1) for h in each], [mixed((a * 0xD6E8FEB86659FD93 + b) % full, 2) for a, b in zip(each, each[1:])]]
+    z = model.bias + sum(quality.SCALE * sum(float(model.weights[k]) for k in own) / len(own) for own in kinds if own)
+    return 1 / (1 + np.exp(-(model.slope * z + model.shift)))
+
+
+def test_verdicts_by_hand(spark, edge):
+    weights = np.random.default_rng(3).normal(0, 0.5, 1 << quality.BITS).astype(np.float32)
+    model = quality.Model(weights, 0.3, 0.9, -0.1)
+    rows = [(i, t) for i, t in enumerate(["Ünïcode Ça É über " * 3 + "a b c d e f g", "日本 語 " * 4 + "\t x\ny z w v u", "Ab", "", None])]
+    rows += [(r["doc_id"], r["text"]) for r in edge.where("length(text) < 3000").collect()]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model).collect()
+    for (_, text), r in zip(rows, out):
+        p = probability_by_hand(model, text)
+        n, _, _, _, again = base_by_hand(text or "")
+        failed = n < 10 or 100 * again > 20 * n
+        assert abs(r["probability"] - p) < 1e-4 and r["base_failed"] == failed
+        assert abs(p - quality.THRESHOLD) < 1e-4 or r["kept"] == (not failed and p >= quality.THRESHOLD)
+
+
+def test_quality_sample_is_bounded_by_counts(edge, spark):
+    labels = spark.createDataFrame([(100 + i, i % 2, 0) for i in range(60)] * 2, "doc_id long, quality int, toxic int")
+    assert quality.fit(edge.union(edge), labels) is not None
+    assert quality.fit(edge, labels, counts=100) is None and quality.fit(edge, labels, sample=5) is None
 
 
 def test_quality_on_other_rows(spark):
