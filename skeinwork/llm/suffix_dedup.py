@@ -16,10 +16,14 @@ Around it, what has to be sorted is cut down, exactly:
 3. Their contexts meet by hash. Windows whose hash is there once are done; the runs of the rest,
    equal runs once, are the text whose suffix array is built: neighbours in it that share 100 bytes
    are one class, of which the first window in order of (doc_id, start) stays.
-4. A hash with very many contexts is dealt out window by window, equal ones of a batch once.
+4. A hash with very many contexts is dealt out window by window, equal ones of a batch once: which
+   windows go doesn't depend on the way they meet.
 
 Batches keep one anchor of equal ones before the shuffle, so a text that a third of all rows share is
-one row a batch. Removed spans are joined to the texts at the end.
+one row a batch. A hash that has more than its share of a batch's anchors, in different contexts, is
+hot: its anchors are dealt by hash and context, a note of it goes to where its hash belongs, and its
+contexts are dealt window by window everywhere. Contexts that meet are sorted by hash on disk and read
+group by group. Removed spans are joined to the texts at the end.
 
 Defined cases: a null text is an empty one; texts under 100 bytes lose nothing; a null id comes
 before all others; rows equal in id and text are one document and get the same result; an empty table
@@ -41,8 +45,8 @@ from skeinwork.llm.common import cut, read
 
 LENGTH = 100
 KGRAM = 32
-#: Different contexts of one hash beyond which they are dealt out window by window.
-HOT = 4096
+#: Different contexts of one hash beyond which they are dealt out window by window; and those in one batch, at least, that make it hot.
+HOT, HOT_IN_BATCH = 4096, 8
 #: Bytes of text for each partition of a shuffle, at most about.
 PART_BYTES = 32 << 20
 #: Bytes that one suffix array is built over, about.
@@ -213,7 +217,9 @@ def anchors(data: np.ndarray, rolling: Rolling, length: int = LENGTH, k: int = K
     return h[place], place, first, last, _mix(own + shape)
 
 
+#: Rows are anchors (lo: from the anchor back to its first own window), or, told by lo, spans, notes of hot hashes, anchors of those (lo: _HOT - lo).
 _SPAN = "h long, ctx long, doc long, th long, pos int, lo int, hi int"
+_IS_SPAN, _NOTE, _HOT = -1, -2, -3
 _NAMES = ["h", "ctx", "doc", "th", "pos", "lo", "hi"]
 _TYPES = [np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32]
 
@@ -236,8 +242,8 @@ def _split(h, ctx, doc, th, pos, lo, hi):
 
 
 def _span_rows(doc, th, start, size) -> pa.RecordBatch:
-    """Spans travel among anchors: lo is -1, hi the length."""
-    return _rows(_mix(doc.astype(np.uint64) + th.astype(np.uint64)).view(np.int64), np.zeros(len(doc)), doc, th, start, np.full(len(doc), -1), size)
+    """Spans travel among anchors: hi is the length."""
+    return _rows(_mix(doc.astype(np.uint64) + th.astype(np.uint64)).view(np.int64), np.zeros(len(doc)), doc, th, start, np.full(len(doc), _IS_SPAN), size)
 
 
 def _merged(doc, th, start, size):
@@ -261,7 +267,12 @@ def _concat(parts: list[tuple]) -> tuple:
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def _scan(length: int, k: int):
+def _starts(h: np.ndarray) -> np.ndarray:
+    """Which of sorted hashes differ from the one before."""
+    return np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]])
+
+
+def _scan(length: int, k: int, parts: int, least: int):
     def run(batches):
         rolling = Rolling()
         for batch in batches:
@@ -275,34 +286,50 @@ def _scan(length: int, k: int):
                     found.append((h.view(np.int64), ctx.view(np.int64), np.full(n, docs[i]), np.full(n, hashes[i]), place, place - first, last - place + length))
             if found:
                 firsts, spans = _split(*_concat(found))
-                yield _rows(*firsts)
+                h, lo = firsts[0], firsts[5]
+                new = _starts(h)
+                many = np.bincount(np.cumsum(new) - 1)
+                hot = many > max(least, len(h) // (4 * parts))
+                each = np.repeat(hot, many)
+                yield _rows(*firsts[:5], np.where(each, _HOT - lo, lo), firsts[6])
+                if hot.any():
+                    note = np.flatnonzero(new)[hot]
+                    yield _rows(*(c[note] for c in firsts[:5]), np.full(len(note), _NOTE), np.zeros(len(note)))
                 if len(spans[0]):
                     yield _span_rows(*_merged(*spans))
 
     return run
 
 
-def _group(batches):
-    """One partition of hashes: spans of whole repeats, and the anchors whose contexts have to be compared (ctx: how many share the hash)."""
-    held = [tuple(c.to_numpy() for c in b.columns) for b in batches]
-    if not held:
-        return
-    cols = _concat(held)
-    del held
-    is_span = cols[5] < 0
-    spans = [(cols[2][is_span], cols[3][is_span], cols[4][is_span], cols[6][is_span])]
-    firsts, more = _split(*(c[~is_span] for c in cols))
-    spans.append(more)
-    h = firsts[0]
-    if len(h):
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        which = np.cumsum(new) - 1
-        many = np.bincount(which)[which]
+def _group(hot: int):
+    """One partition of hashes: spans of whole repeats, and the anchors whose contexts have to be compared (ctx: how many share the hash, or more than `hot`)."""
+
+    def run(batches):
+        held = [tuple(c.to_numpy() for c in b.columns) for b in batches]
+        if not held:
+            return
+        cols = _concat(held)
+        del held
+        lo = cols[5]
+        pick = lambda which: tuple(c[which] for c in cols)
+        doc, th, start, size = (pick(lo == _IS_SPAN)[i] for i in (2, 3, 4, 6))
+        noted = np.unique(cols[0][lo == _NOTE])
+        apart = pick(lo <= _HOT)
+        firsts, more = _split(*pick(lo >= 0))
+        hots, rest = _split(*apart[:5], _HOT - apart[5], apart[6])
+        h = firsts[0]
+        many = np.bincount(np.cumsum(_starts(h)) - 1) if len(h) else np.zeros(0, int)
+        many = np.where(np.isin(h, noted), hot + 1, np.repeat(many, many))
         go = many > 1
-        yield _rows(h[go], many[go], *(c[go] for c in firsts[2:]))
-    doc, th, start, size = _merged(*_concat(spans))
-    if len(doc):
-        yield _span_rows(doc, th, start, size)
+        if go.any():
+            yield _rows(h[go], many[go], *(c[go] for c in firsts[2:]))
+        if len(hots[0]):
+            yield _rows(hots[0], np.full(len(hots[0]), hot + 1), *hots[2:])
+        doc, th, start, size = _merged(*_concat([(doc, th, start, size), more, rest]))
+        if len(doc):
+            yield _span_rows(doc, th, start, size)
+
+    return run
 
 
 def _contexts(length: int, hot: int):
@@ -393,52 +420,55 @@ def shared_windows(texts: list[bytes], places: list[tuple[int, int, int]], lengt
 
 
 def _compare(length: int, array_bytes: int):
-    """One partition of contexts: spans of windows that are there before. Groups of one hash are put together up to array_bytes."""
+    """Contexts in order of their hash: spans of windows that are there before. Groups of one hash are put together up to array_bytes."""
+
+    def found(texts, places, spans):
+        spans = spans + (shared_windows(texts, places, length) if texts else [])
+        if spans:
+            doc, th, start = (np.array(c, dtype=np.int64) for c in zip(*spans))
+            yield _span_rows(*_merged(doc, th, start, np.full(len(doc), length)))
 
     def run(batches):
-        groups: dict[int, dict[tuple[int, int, int], bytes]] = {}
-        spans: list[tuple[int, int, int]] = []
+        texts, places, spans, size, last, seen = [], [], [], 0, None, set()
         for batch in batches:
             for h, doc, th, start, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if h != last:
+                    last, seen = h, set()
+                    if size >= array_bytes or len(spans) > 100_000:
+                        yield from found(texts, places, spans)
+                        texts, places, spans, size = [], [], [], 0
                 if text is None:
                     spans.append((doc, th, start))
-                else:
-                    groups.setdefault(h, {})[doc, th, start] = text
-        texts, places, size = [], [], 0
-        todo = list(groups.values())
-        for k, own in enumerate(todo):
-            for place in sorted(own):
-                texts.append(own[place])
-                places.append(place)
-                size += len(own[place])
-            if size >= array_bytes or k == len(todo) - 1:
-                spans += shared_windows(texts, places, length)
-                texts, places, size = [], [], 0
-        if spans:
-            doc, th, start = (np.array(c, dtype=np.int64) for c in zip(*spans))
-            yield _span_rows(*_merged(doc, th, start, np.full(len(doc), length)))
+                elif (place := (doc, th, start)) not in seen:
+                    seen.add(place)
+                    texts.append(text)
+                    places.append(place)
+                    size += len(text)
+        yield from found(texts, places, spans)
 
     return run
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, k: int = KGRAM, hot: int = HOT, array_bytes: int = ARRAY_BYTES) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = LENGTH, k: int = KGRAM, hot: int = HOT, array_bytes: int = ARRAY_BYTES, hot_in_batch: int = HOT_IN_BATCH) -> DataFrame:
     """doc, th, pos, hi: spans (from pos, hi bytes long; they may overlap) whose bytes go. docs: doc, th, bytes."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("bytes"))).collect()[0][0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    found = docs.mapInArrow(_scan(length, k), _SPAN)
-    found = cut(found.repartition(parts, "h").mapInArrow(_group, _SPAN), "suffix-anchors")
+    found = docs.mapInArrow(_scan(length, k, parts, hot_in_batch), _SPAN)
+    place = F.when(F.col("lo") <= _HOT, F.xxhash64("h", "ctx")).otherwise(F.col("h"))
+    found = cut(found.repartition(parts, place).mapInArrow(_group(hot), _SPAN), "suffix-anchors")
     _release(spark)
     own = found.where("lo >= 0").groupBy(F.col("doc").alias("od"), F.col("th").alias("ot")).agg(F.collect_list(F.struct("h", "ctx", "pos", "lo", "hi")).alias("own"))
     some = docs.join(own, F.coalesce(F.col("doc"), F.lit(_NULL)).eqNullSafe(F.col("od")) & (F.col("th") == F.col("ot"))).select("doc", "th", "bytes", "own")
     contexts = some.mapInArrow(_contexts(length, hot), "h long, doc long, th long, start int, bytes binary")
-    compared = cut(contexts.repartition(parts, "h").mapInArrow(_compare(length, array_bytes), _SPAN), "suffix-compared")
+    compared = cut(contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_compare(length, array_bytes), _SPAN), "suffix-compared")
     _release(spark)
-    return found.where("lo < 0").union(compared).select("doc", "th", "pos", "hi")
+    return found.where(F.col("lo") == _IS_SPAN).union(compared).select("doc", "th", "pos", "hi")
 
 
 def _release(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of what is cut: it does so as the driver collects its garbage."""
+    """Let Spark's cleaner drop the shuffle files of what is cut: it does so as the driver collects its garbage, and else half an hour
+    later. Nothing but disk depends on it."""
     gc.collect()
     spark._jvm.System.gc()
 
@@ -464,11 +494,11 @@ def _finish(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = KGRAM, hot: int = HOT, array_bytes: int = ARRAY_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = KGRAM, hot: int = HOT, array_bytes: int = ARRAY_BYTES, hot_in_batch: int = HOT_IN_BATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.cast("binary").alias("bytes"))
-    spans = removed_spans(rows, length, k, hot, array_bytes)
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.cast("binary").alias("bytes"))
+    spans = removed_spans(rows, length, k, hot, array_bytes, hot_in_batch)
     per = spans.groupBy(F.col("doc").alias("sd"), F.col("th").alias("st")).agg(F.collect_list(F.struct("pos", "hi")).alias("s"))
     both = rows.join(per, F.coalesce(F.col("doc"), F.lit(_NULL)).eqNullSafe(F.col("sd")) & (F.col("th") == F.col("st")), "left")
     return both.select("doc", "bytes", F.col("s.pos").alias("starts"), F.col("s.hi").alias("sizes")).mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -377,8 +377,8 @@ def removed_by_hand(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length, k, hot", [(12, 5, 4096), (12, 5, 1), (12, 12, 2), (100, 32, 1)])
-def test_suffix_dedup_by_hand(spark, length, k, hot):
+@pytest.mark.parametrize("length, k, hot, in_batch", [(12, 5, 4096, 8), (12, 5, 1, 1), (12, 12, 2, 2), (100, 32, 1, 8), (12, 5, 4096, 1)])
+def test_suffix_dedup_by_hand(spark, length, k, hot, in_batch):
     rng = np.random.default_rng(length)
     base = ["".join(rng.choice(list("abcé "), 60)) for _ in range(6)] + ["a" * 90, "ab" * 70]
     texts = []
@@ -391,10 +391,22 @@ def test_suffix_dedup_by_hand(spark, length, k, hot):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = removed_by_hand(rows, length)
-    for r in suffix_dedup.dedup_substrings(docs, length, k, hot, array_bytes=500).collect():
+    for r in suffix_dedup.dedup_substrings(docs, length, k, hot, array_bytes=500, hot_in_batch=in_batch).collect():
         assert tuple(r)[1:] == want[r["doc_id"], texts[r["doc_id"]]]
 
 
+def test_a_passage_in_many_contexts(spark):
+    """The grams of one passage stand in as many contexts as there are documents: its hashes are hot in every batch."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 40))
+    passage = word() * 2 + word()
+    rows = [(i, word() * 2 + passage + word() * 3 if i % 2 else passage[10:] + word()) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = removed_by_hand(rows, 100)
+    for in_batch in (8, 10_000):
+        assert all(tuple(r)[1:] == want[r["doc_id"], rows[r["doc_id"]][1]] for r in suffix_dedup.dedup_substrings(docs, hot_in_batch=in_batch).collect())
+
+
 def test_suffix_dedup_edges(spark, edge, empty):
     rows = [(r["doc_id"], r["text"]) for r in edge.collect()]
     want = removed_by_hand(rows, 100)
