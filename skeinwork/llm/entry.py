@@ -7,7 +7,7 @@ from skeinwork.llm.line_dedup import op10_line_dedup
 from skeinwork.llm.mixing import op2_mixing
 from skeinwork.llm.packing import op3_packing
 from skeinwork.llm.quality import op5_quality
-from skeinwork.llm.sharding import op6_sharding
+from skeinwork.llm.sharding import op6_sharding, oracle_key_law
 from skeinwork.llm.simhash import op8_simhash
 from skeinwork.llm.suffix_dedup import op7_suffix_dedup
 from skeinwork.llm.topk import op9_topk
@@ -23,6 +23,18 @@ OP4 = """WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<ar
   t AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(h, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS text FROM a)
   SELECT *, length(text) AS n_chars FROM t"""
 
+#: All 100-byte strings of all texts; those that are there before go, and what isn't covered stays.
+OP7 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+  w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS s FROM (SELECT *, unnest(range(0, length(x) // 2 - 99)) AS i FROM d)),
+  f AS (SELECT doc_id, i, min((doc_id, i)) OVER (PARTITION BY s) AS first FROM w),
+  g AS (SELECT doc_id, i, i > coalesce(lag(i) OVER p, -200) + 100 AS new FROM f WHERE (doc_id, i) <> first WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+  r AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+  n AS (SELECT doc_id, a, b, coalesce(lag(b) OVER p, 0) AS before, lead(a) OVER p IS NULL AS last FROM r WINDOW p AS (PARTITION BY doc_id ORDER BY a)),
+  k AS (SELECT n.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(x, 2 * before + 1, 2 * (a - before)) || CASE WHEN last THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM n JOIN d ON d.doc_id = n.doc_id GROUP BY n.doc_id)
+  SELECT d.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+  FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
 OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
     WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
   s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.x, v.x), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v q, v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
@@ -44,4 +56,4 @@ OP10 = """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS N
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_html": OP4, "op9_topk": OP9, "op10_line_dedup": OP10}
+    return {"op4_html": OP4, "op6_sharding": oracle_key_law(), "op7_suffix_dedup": OP7, "op9_topk": OP9, "op10_line_dedup": OP10}

@@ -6,6 +6,9 @@ depends on that child alone: changing one weight moves keys only into or out of
 Shards beyond the first tree hang under the root in regions of their own; so a further shard draws
 against whole regions and takes keys only into itself.
 
+Rows equal in id and text are counted before they are shuffled, numbered as one group, and dealt out
+again, so neither a repeated id nor a group of repeated rows is one task's.
+
 Defined cases: a null id is a key like any other ("null"); a null text has size 1 and the CRC of no
 bytes; repeated rows go to the same shard and get slots of their own; an empty table gives an empty
 result; other columns are not read.
@@ -87,44 +90,69 @@ def descend(key: Column, tree: Node) -> Column:
 
 
 def shard(docs: DataFrame, shards: int = 16, tree: Node | None = None, grown: Node | None = None, slot_rows: int = SLOT_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot, grown_shard. Slots number a shard's rows part by part: parts are hash parts of the id,
+    """doc_id, size, text_crc32, shard, slot, grown_shard. Slots number a shard's rows part by part: parts are hash parts of id and text,
     numbered inside by a window and shifted by the counts of the parts before."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    text = F.coalesce(F.col("text"), F.lit(""))
+    doc_id = docs["doc_id"].cast("long")
+    key = F.coalesce(doc_id.cast("string"), F.lit("null"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    crc = F.crc32(text.cast("binary"))
     rows = docs.select(
-        "doc_id",
+        doc_id.alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+        crc.alias("text_crc32"),
         descend(key, tree or build_tree(shards)).cast("int").alias("shard"),
         descend(key, grown or build_tree(shards + 1)).cast("int").alias("grown_shard"),
+        F.conv(F.substring(F.md5(F.concat(key, F.lit("/"), crc.cast("string"))), 1, 8), 16, 10).cast("long").alias("draw"),
     )
-    rows = cut(rows, "shard-rows")
-    parts = max(1, -(-rows.count() // (shards * slot_rows)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(parts)))
-    counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    groups = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("m")), "shard-groups")
+    total, most = groups.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
+    parts = max(1, -(-total // (shards * slot_rows)))
+    groups = groups.withColumn("part", F.col("draw") % parts)
+    counts = groups.groupBy("shard", "part").agg(F.sum("m").alias("n"))
     before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(F.col("shard").alias("shard_"), F.col("part").alias("part_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(W.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")) - 1
-    numbered = rows.withColumn("at", inside)
-    out = numbered.join(starts, (F.col("shard") == F.col("shard_")) & (F.col("part") == F.col("part_")))
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"), "grown_shard")
+    inside = F.sum("m").over(W.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("m")
+    numbered = groups.withColumn("at", inside).join(starts, (F.col("shard") == F.col("shard_")) & (F.col("part") == F.col("part_")))
+    names = ["doc_id", "size", "text_crc32", "shard", "grown_shard"]
+    runs = numbered.select(*names, (F.col("start") + F.col("at")).alias("first"), "m")
+    # a group becomes runs of slot_rows rows, dealt out where there are large ones, and those become rows
+    runs = runs.select(*names, "first", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(slot_rows).cast("long"))).alias("lo"))
+    if most > slot_rows:
+        runs = runs.repartition("doc_id", "text_crc32", "lo")
+    slot = F.explode(F.sequence(F.col("lo"), F.least(F.col("lo") + slot_rows, F.col("m")) - 1))
+    return runs.select(*names, "first", slot.alias("nth")).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("nth")).cast("long").alias("slot"), "grown_shard")
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-def oracle_key_law(shards: int = 16) -> str:
-    """The descent as SQL: for each document the shard among `shards` and among one more."""
-
-    def side(n: int, out: str) -> str:
-        nodes, below, depth = _flat(build_tree(n))
-        rows = ", ".join(f"({k}, {c}, '{nodes[c].name}', {float(nodes[c].weight)}, {nodes[c].shard})" for k in range(len(nodes)) for c in below[k])
-        parts = [f"{out}_t(up, k, name, weight, shard) AS (VALUES {rows})", f"{out}_0 AS (SELECT DISTINCT doc_id, 0 AS k, -1 AS shard FROM documents)"]
-        for d in range(depth):
-            draw = "-ln((('0x' || substr(md5(coalesce(CAST(p.doc_id AS VARCHAR), 'null') || '/' || t.name), 1, 12))::BIGINT + 0.5) / 281474976710656.0) / t.weight"
-            parts.append(f"{out}_{d + 1} AS (SELECT p.doc_id, arg_min(t.k, {draw}) AS k, arg_min(t.shard, {draw}) AS shard FROM {out}_{d} p JOIN {out}_t t ON t.up = p.k GROUP BY p.doc_id)")
-        return ", ".join(parts)
-
-    return f"""WITH {side(shards, "a")}, {side(shards + 1, "b")}
-        SELECT d.doc_id, a.shard, b.shard AS grown_shard FROM documents d JOIN a_3 a ON a.doc_id = d.doc_id JOIN b_3 b ON b.doc_id = d.doc_id"""
+def _descent(shards: int, name: str) -> tuple[str, str]:
+    """(CTEs, the last one's name) that give for each document the shard among `shards`."""
+    nodes, below, depth = _flat(build_tree(shards))
+    rows = ", ".join(f"({k}, {c}, '{nodes[c].name}', {float(nodes[c].weight)}, {nodes[c].shard})" for k in range(len(nodes)) for c in below[k])
+    parts = [f"{name}_t(up, k, name, weight, shard) AS (VALUES {rows})", f"{name}_0 AS (SELECT DISTINCT doc_id, 0 AS k, -1 AS shard FROM documents)"]
+    bits = "('0x' || substr(md5(coalesce(CAST(p.doc_id AS VARCHAR), 'null') || '/' || t.name), 1, 12))::BIGINT"
+    draw = f"-ln(({bits} + 0.5) / 281474976710656.0) / t.weight"
+    for d in range(depth):
+        choice = f"arg_min(t.k, {draw}) AS k, arg_min(t.shard, {draw}) AS shard"
+        parts.append(f"{name}_{d + 1} AS (SELECT p.doc_id, {choice} FROM {name}_{d} p JOIN {name}_t t ON t.up = p.k GROUP BY p.doc_id)")
+    return ", ".join(parts), f"{name}_{depth}"
+
+
+def oracle_key_law(shards: int = 16, slot_rows: int = SLOT_ROWS) -> str:
+    """op6_sharding as SQL: the descent level by level, the CRC byte by byte, slots by sorting whole shards."""
+    a, last_a = _descent(shards, "a")
+    b, last_b = _descent(shards + 1, "b")
+    return f"""WITH {a}, {b},
+      tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+      bytes AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_prepend(4294967295, list_transform(
+        string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g'), ' ')[:-2], lambda h: ('0x' || h)::BIGINT)) AS x FROM documents),
+      crc AS (SELECT doc_id, size, xor(list_reduce(x, lambda c, y: xor(tab[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM bytes, tab),
+      placed AS (SELECT c.*, a.shard, b.shard AS grown_shard,
+        ('0x' || substr(md5(coalesce(CAST(c.doc_id AS VARCHAR), 'null') || '/' || c.text_crc32), 1, 8))::BIGINT
+          % greatest(1, (SELECT CAST(ceil(count(*) / {float(shards * slot_rows)}) AS BIGINT) FROM documents)) AS part
+        FROM crc c JOIN {last_a} a ON a.doc_id IS NOT DISTINCT FROM c.doc_id JOIN {last_b} b ON b.doc_id IS NOT DISTINCT FROM c.doc_id)
+      SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+        row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM placed"""

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from skeinwork.llm import mixing, near_copies, packing, sharding, simhash, suffix_dedup, topk
+from skeinwork.llm import mixing, near_copies, packing, sharding, simhash, suffix_dedup, topk, toxicity
 from skeinwork.llm.components import components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -164,6 +164,38 @@ def test_search_from_a_plain_deal(seed):
     assert both <= found <= 1.02 * full
 
 
+def pieces_by_hand(rows):
+    """doc_id, piece, start, length, ids_crc32 of each piece, by the tokenizers package."""
+    enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = []
+    for d, t in rows:
+        ids = np.array([*enc.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024), len(ids)]
+        out += [(str(d), k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    return sorted(out)
+
+
+def packed(rows):
+    """Checks that the sequences are gapless and full at most; the pieces without their places, and how many sequences there are."""
+    by_seq: dict = {}
+    for r in rows:
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by_seq.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    return sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows), len(by_seq)
+
+
+def test_packing_query_by_hand(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    got, n = packed(packing.op3_packing(spark, FOLDER).collect())
+    want = pieces_by_hand(docs)
+    assert got == want and n <= 1.02 * -(-sum(p[3] for p in want) // 1024) + 1
+
+
 @pytest.mark.parametrize("limit, counts", [(50, {27: 10, 18: 9, 23: 10, 8: 12, 20: 9, 9: 10, 22: 13}), (100, {17: 9, 43: 13, 28: 13, 48: 7}), (30, {8: 14, 4: 1, 10: 4, 15: 7, 14: 13})])
 def test_search_reaches_the_least_where_best_fit_fails(limit, counts):
     first = packing.best_fit(counts, limit)
@@ -182,24 +214,8 @@ def test_long_runs(spark, text):
 
 @pytest.mark.parametrize("part_rows", [20_000, 5])
 def test_pack(edge, part_rows):
-    rows = packing.pack(edge, part_rows=part_rows).collect()
-    enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    by_seq: dict = {}
-    for r in rows:
-        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for own in by_seq.values():
-        at = 0
-        for offset, length in sorted(own):
-            assert offset == at
-            at += length
-        assert at <= 1024
-    got = sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
-    want = []
-    for r in edge.collect():
-        ids = np.array([*enc.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
-        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024), len(ids)]
-        want += [(str(r["doc_id"]), k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    assert got == sorted(want)
+    got, _ = packed(packing.pack(edge, part_rows=part_rows).collect())
+    assert got == pieces_by_hand([(r["doc_id"], r["text"]) for r in edge.collect()])
 
 
 def test_pack_nothing(empty):
@@ -244,8 +260,20 @@ def test_key_law_is_the_sql(spark):
 
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
-    want = {r[0]: (r[1], r[2]) for r in c.execute(sharding.oracle_key_law()).fetchall()}
-    assert {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.op6_sharding(spark, FOLDER).collect()} == want
+    names = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    want = c.execute(f"SELECT {', '.join(names)} FROM ({sharding.oracle_key_law()})").fetchall()
+    assert sorted(map(tuple, sharding.op6_sharding(spark, FOLDER).select(*names).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("slot_rows", [3, 1000])
+def test_slots_of_repeated_rows(spark, slot_rows):
+    docs = spark.createDataFrame([(None, "copy")] * 50 + [(7, "copy")] * 20 + [(i, "x") for i in range(40)], "doc_id long, text string").repartition(3)
+    rows = sharding.shard(docs, 4, slot_rows=slot_rows).collect()
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(rows) == 110 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert len({r["shard"] for r in rows if r["doc_id"] is None}) == 1
 
 
 def fingerprint_by_hand(text):
@@ -321,6 +349,19 @@ def test_near_duplicates(spark, edge, empty):
     assert kept.columns == edge.columns and kept.count() == len(set(root.values()))
 
 
+def test_simhash_query_by_hand(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    fps = {d: fingerprint_by_hand(t or "") for d, t in docs}
+    unique = np.array(sorted(set(fps.values())), dtype=np.uint64)
+    near = [(int(unique[i]), int(x)) for i in range(len(unique)) for x in unique[i + 1 :][np.bitwise_count(unique[i + 1 :] ^ unique[i]) <= 3]]
+    root = union([int(x) for x in unique], near)
+    least: dict = {}
+    for d, f in fps.items():
+        least[root[f]] = min(d, least.get(root[f], d))
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op8_simhash(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {d: (f"{f:016x}", least[root[f]]) for d, f in fps.items()}
+
+
 def five(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
@@ -454,23 +495,57 @@ def test_bounds_hold():
         last = bound
 
 
-def test_pipeline_stages(spark, tmp_path):
-    import shutil
+def test_pipeline_by_hand(spark, tmp_path):
+    """Each stage of the pipeline against its rule, on the rows that the one before kept; run() against the last one."""
+    from tests.llm.test_text_cleaning import lines_by_hand, score_by_hand
 
-    folder = tmp_path / "sf"
-    shutil.copytree(FOLDER, folder)
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    names = docs.columns
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, str(folder))
-        out.write.parquet(str(tmp_path / str(k)))
-        after = spark.read.parquet(str(tmp_path / str(k)))
-        assert after.count() > 0 and (k == 4 or after.columns == names), name
-        if k in (0, 2):
-            assert after.count() < docs.count()
-        docs = after
-    whole = corpus_pipeline.run(spark, FOLDER)
-    assert sorted(map(tuple, whole.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "piece", "ids_crc32").collect()))
+    names, stored = docs.columns, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, FOLDER).write.parquet(str(tmp_path / str(k)))
+        stored.append((docs, spark.read.parquet(str(tmp_path / str(k)))))
+        docs = stored[-1][1]
+        assert k == 4 or docs.columns == names
+    rows = [([r.asDict() for r in a.collect()], [r.asDict() for r in b.collect()]) for a, b in stored]
+    # toxicity: the learned model, counted by hand
+    model = toxicity.learn(stored[0][0], spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    before, after = rows[0]
+    gone = [r["doc_id"] for r in before if score_by_hand(model, r["text"]) >= toxicity.THRESHOLD]
+    assert gone and sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r in before if r["doc_id"] not in gone)
+    # line dedup
+    before, after = rows[1]
+    cut = lines_by_hand([(r["doc_id"], r["text"]) for r in before])
+    want = {r["doc_id"]: cut.get((r["doc_id"], r["text"]), r["text"]) for r in before}
+    assert cut and {r["doc_id"]: r["text"] for r in after} == want and all(r["n_chars"] == len(r["text"]) for r in after if (r["doc_id"], want[r["doc_id"]]) in cut)
+    # near duplicates: one document of each group of similarity 0.8
+    before, after = rows[2]
+    sets = [five(r["text"]) for r in before]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if not sets[i] | sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = union(range(len(sets)), pairs)
+    least: dict = {}
+    for i, r in enumerate(before):
+        least[root[i]] = min(r["doc_id"], least.get(root[i], r["doc_id"]))
+    assert pairs and sorted(r["doc_id"] for r in after) == sorted(least.values())
+    # mixing: rows as they were, up to twice, sources near their targets
+    before, after = rows[3]
+    own, n_words = {r["doc_id"]: r for r in before}, lambda r: len((r["text"] or "").encode().split())
+    times: dict = {}
+    sizes: dict = {}
+    taken: dict = {}
+    for r in after:
+        assert own[r["doc_id"]] == r
+        times[r["doc_id"]] = times.get(r["doc_id"], 0) + 1
+        taken[r["source"]] = taken.get(r["source"], 0) + n_words(r)
+    for r in before:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + n_words(r)
+    assert max(times.values()) <= 2
+    assert all(abs(taken.get(s, 0) - n) <= max(n_words(r) for r in before if r["source"] == s) for s, n in water(sizes).items())
+    # packing
+    before, after = rows[4]
+    got, _ = packed(after)
+    assert got == pieces_by_hand([(r["doc_id"], r["text"]) for r in before])
+    whole = corpus_pipeline.run(spark, FOLDER).collect()
+    assert packed(whole)[0] == got
 
 
 def test_pipeline_on_edges(spark, edge, empty, tmp_path):

@@ -1,6 +1,8 @@
 """Toxicity, quality, HTML extraction and line dedup."""
 
+import functools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -51,38 +53,54 @@ def test_masked_and_excepted_words():
 
 
 def score_by_hand(model, text):
-    """The score with edit distances and windows counted one by one. All weights are 1."""
+    """The score with edit distances and windows counted one by one."""
     import re
 
     marks = [('"', '"'), ("“", "”"), ("„", "“"), ("«", "»"), ("‹", "›"), ("‘", "’"), ("»", "«")]
     text = text or ""
 
+    @functools.cache
     def hit(word):
-        near = []
-        for term, whole, most in model.terms:
-            d = edits(term, word) if whole else 0 if word.startswith(term) else 9
-            if d <= most and (d == 0 or word not in model.except_):
-                near.append(d)
-        return min(near, default=None)
+        """(edits, term): the term itself, else the shortest beginning, else the nearest term."""
+        near, began = [], []
+        for k, (term, whole, most) in enumerate(model.terms):
+            if whole and abs(len(term) - len(word)) <= most and edits(term, word) <= most and (term == word or word not in model.except_):
+                near.append((edits(term, word), k))
+            elif not whole and word.startswith(term):
+                began.append((len(term), k))
+        best = min(near, default=None)
+        return best if best and best[0] == 0 or not began else (0, min(began)[1])
 
     spans = [m.span() for m in re.finditer(r"[^\W\d_]+(?:[\d*$@!]+[^\W\d_]+)*", text)]
     abuse = quotes = 0.0
     for i, (a, b) in enumerate(spans):
         word = text[a:b].lower()
         found = [hit(word)] if hit(word) is not None or word.isalpha() else [hit(p) for p in re.findall(r"[^\W\d_]+", word)]
+        if not any(found):
+            continue
         lo, hi = max(0, i - toxicity.WINDOW), min(len(spans) - 1, i + toxicity.WINDOW)
         before, after = text[spans[lo][0] : a], text[b : spans[hi][1] + 1]
         inside = any(o in before and c in after and (o != '"' or before.count(o) % 2) for o, c in marks)
         says = any(text[x:y].lower() in toxicity.SAYING for x, y in spans[lo : hi + 1])
         quoted = (0.7 + 0.3 * says) if inside else 0.0
-        for d in found:
-            if d is not None:
-                abuse += 0.85**d * (1 - quoted)
-                quotes += 0.85**d * quoted
+        for d, k in filter(None, found):
+            abuse += model.weights[k] * 0.85**d * (1 - quoted)
+            quotes += model.weights[k] * 0.85**d * quoted
     z = model.bias + model.coef[0] * np.log1p(abuse) + model.coef[1] * np.log1p(quotes)
     return 1 / (1 + np.exp(-z))
 
 
+def test_toxicity_query_by_hand(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = toxicity.op1_toxicity(spark, folder).collect()
+    assert model.terms and sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        assert abs(r["score"] - score_by_hand(model, texts[r["doc_id"]])) < 1e-9 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
 @given(st.lists(st.sampled_from(["idiot", "idoit", "1diot", "idi0t", "id*ot", "IDIOTS", "idea", "said", "loser", "losr", "looser", "scumbag", "scum", '"', "“", "”", " ", " ", "x", "\n", "!"]), max_size=30))
 @settings(max_examples=400, deadline=None)
 def test_score_by_hand(parts):
@@ -186,6 +204,23 @@ def test_verdicts_by_hand(spark, edge):
         assert abs(p - quality.THRESHOLD) < 1e-4 or r["kept"] == (not failed and p >= quality.THRESHOLD)
 
 
+def test_quality_query_by_hand(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = quality.op5_quality(spark, folder).collect()
+    assert model and sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        n, chars, symbols, lines, again = base_by_hand(text or "")
+        failed = n < 10 or 100 * again > 20 * n
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (n, chars, symbols, lines, again, failed)
+        if len(text or "") < 5000:
+            p = probability_by_hand(model, text)
+            assert abs(r["probability"] - p) < 1e-4 and (abs(p - quality.THRESHOLD) < 1e-4 or r["kept"] == (not failed and p >= quality.THRESHOLD))
+
+
 def test_quality_sample_is_bounded_by_counts(edge, spark):
     labels = spark.createDataFrame([(100 + i, i % 2, 0) for i in range(60)] * 2, "doc_id long, quality int, toxic int")
     assert quality.fit(edge.union(edge), labels) is not None
