@@ -30,19 +30,37 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+#: Matches whose places are summed together.
+_BLOCK = 64
+
+
 def find_spans(text: Column, pattern: str) -> Column:
-    """array<struct<text, start, end>> of a pattern's matches, in code points. Start i is what stands between and in the matches before."""
-    hits = find_all(text, pattern)
+    """array<struct<text, start, end>> of a pattern's matches, in code points. Start i is what stands between and in the matches before:
+    blocks of matches are summed first, so that no long array is copied for each match."""
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    pairs = F.slice(F.arrays_zip(hits.alias("h"), gaps.alias("g")), F.lit(1), F.size(hits))
+    pairs = F.filter(F.arrays_zip(find_all(text, pattern).alias("h"), gaps.alias("g")), lambda x: x["h"].isNotNull())
     empty = F.array().cast("array<struct<text:string,start:int,end:int>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + F.length(x["h"])
+    def size(x: Column) -> Column:
+        return x["g"] + F.length(x["h"])
+
+    def place(acc: Column, x: Column) -> Column:
+        start, end = acc["at"] + x["g"], acc["at"] + size(x)
         return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(x["h"].alias("text"), start.alias("start"), end.alias("end"))).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def begin(acc: Column, block: Column) -> Column:
+        total = F.aggregate(block, F.lit(0), lambda s, x: s + size(x))
+        return F.struct((acc["at"] + total).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("at"), block.alias("block"))).alias("out"))
+
+    def spans(p: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int")), lambda b: F.slice(p, b * _BLOCK + 1, F.lit(_BLOCK)))
+        none = F.array().cast("array<struct<at:int,block:array<struct<h:string,g:int>>>>")
+        begun = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), begin, lambda acc: acc["out"])
+        each = F.transform(begun, lambda b: F.aggregate(b["block"], F.struct(b["at"].alias("at"), empty.alias("out")), place, lambda acc: acc["out"]))
+        return F.when(F.size(p) > 0, F.flatten(each)).otherwise(empty)
+
+    # as a lambda's variable the pairs are made once, not for each of their uses
+    return F.get(F.transform(F.array(pairs), spans), F.lit(0))
 
 
 def is_number(c: Column) -> Column:

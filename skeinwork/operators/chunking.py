@@ -80,8 +80,8 @@ def _paragraphs(text: str, most: int) -> list[tuple]:
     return out
 
 
-def semantic(docs: DataFrame, max_size: int = 1000) -> DataFrame:
-    """Paragraphs joined while they fit; a longer one is cut by fixed_size(max_size, 50)."""
+def semantic(docs: DataFrame, max_size: int = 1000, min_size: int = 100) -> DataFrame:
+    """Paragraphs joined while they fit; a longer one is cut by fixed_size(max_size, 50). min_size is taken and, as specified, without effect."""
 
     @F.pandas_udf(_SPANS)
     def spans(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -45,6 +45,14 @@ def hashing_model(texts: list[str], dim: int = 384) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def probe(client: Callable | None, model_name: str) -> int:
+    """The dimension that a model's answer to "test" has; without a model, or if it fails, the known one of its name."""
+    try:
+        return len(np.asarray(client(["test"]))[0]) if client else PRESETS.get(model_name, 384)
+    except Exception:  # whatever the model raises: the known dimension stands in
+        return PRESETS.get(model_name, 384)
+
+
 class Embedder:
     """embed_documents and embed_query over one model, for lists and for columns (in Arrow batches).
 
@@ -57,7 +65,7 @@ class Embedder:
         if backend != "hashing" and client is None:
             raise ValueError(f"the {backend} backend needs a client")
         self.backend, self.model_name = backend, model_name
-        self.dimension = dimension or PRESETS.get(model_name, 384)
+        self.dimension = dimension or probe(client, model_name)
         self.model = client or partial(hashing_model, dim=self.dimension)
 
     def embed_documents(self, texts: list[str]) -> list[list[float]]:

@@ -49,16 +49,14 @@ def build(chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple
 def statistics(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """kind, name, n: total nodes (different texts), entities by type (as added, so one text may count twice), edges and edges by type."""
     own = primary(entities)
-    parts = [
-        own.agg(F.countDistinct("text").alias("n")).select(F.lit("total_nodes").alias("kind"), F.lit("all").alias("name"), "n"),
-        own.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).select(F.lit("node_type").alias("kind"), "name", "n"),
-        edges.agg(F.count("*").alias("n")).select(F.lit("total_edges").alias("kind"), F.lit("all").alias("name"), "n"),
-        edges.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).select(F.lit("edge_type").alias("kind"), "name", "n"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # texts of a type are counted once for both: how often they are, and that they are
+    pairs = own.groupBy("text", "type").agg(F.count("*").alias("n"))
+    first = pairs.groupBy("text").agg(F.collect_list(F.struct("type", "n")).alias("types"))
+    each = first.select(F.explode(F.concat(F.array(F.struct(F.lit("total_nodes").alias("kind"), F.lit("all").alias("name"), F.lit(1).cast("long").alias("n"))), F.transform("types", lambda t: F.struct(F.lit("node_type").alias("kind"), t["type"].alias("name"), t["n"].alias("n"))))).alias("x"))
+    nodes = each.groupBy("x.kind", "x.name").agg(F.sum("x.n").alias("n"))
+    lines = edges.rollup("type").agg(F.count("*").alias("n"), F.grouping("type").alias("g"))
+    lines = lines.select(F.when(F.col("g") == 1, "total_edges").otherwise("edge_type").alias("kind"), F.when(F.col("g") == 1, "all").otherwise(F.col("type")).alias("name"), "n")
+    return nodes.unionByName(lines)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -91,6 +89,13 @@ def ego(nodes: DataFrame, edges: DataFrame, center: str, depth: int = 2, mode: s
     return k_hop(edges, known, 1 if mode == "compat" else depth).join(nodes.select(F.col("node_id").alias("node")), "node", "left_semi").select("node", "distance")
 
 
+def ego_edges(edges: DataFrame, reached: DataFrame, depth: int = 2) -> DataFrame:
+    """The edges of an ego graph, those with an end at a distance below `depth`, once each. reached: node, distance (ego() or k_hop())."""
+    inner = reached.where(F.col("distance") < depth).select(F.col("node").alias("__end")).distinct()
+    both = edges.join(inner, edges["source"] == inner["__end"], "left_semi").union(edges.join(inner, edges["target"] == inner["__end"], "left_semi"))
+    return both.dropDuplicates(["edge_id"])
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1, limit: int = 100) -> DataFrame:
     """Other nodes within `depth`, the first `limit` of each seed in order of distance and name."""
     near = k_hop(edges, seeds, depth).where("distance > 0")
@@ -128,6 +133,27 @@ def upsert_nodes(entities: DataFrame) -> DataFrame:
     return primary(entities).groupBy(F.col("type").alias("node_type"), F.col("text").alias("name")).agg(*last)
 
 
+def upsert_chunks(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Chunk rows by chunk_id: what new says of a known chunk replaces what was stored, column by column, where it isn't null. new may have
+    columns that the store lacks; of several new rows of a chunk the last by `ord` counts."""
+    names = list(dict.fromkeys([*stored.columns, *new.columns]))
+    both = stored.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    order = F.struct("__new", "ord") if "ord" in names else F.struct("__new")
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in names if c != "chunk_id"]
+    return both.where("chunk_id is not null").groupBy("chunk_id").agg(*last).select(*names)
+
+
+def add_chunks(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with new chunks, their entities and the MENTIONS edges between them. What is there already stays once: a node by its
+    id and type, an edge by its ends and type. chunks: chunk_id, source_doc, ord, text; entities as extracted from them."""
+    kept = chunks.where("chunk_id is not null")
+    fresh = entity_nodes(entities).unionByName(chunk_nodes(kept).withColumn("name", F.lit(None).cast("string")), allowMissingColumns=True)
+    fresh = fresh.join(nodes.select("node_id", "node_type"), ["node_id", "node_type"], "left_anti")
+    links = mentions(entities).groupBy("source", "target", "type").agg(F.min_by(F.struct("confidence", "entity_type", "ord"), "ord").alias("m")).select("source", "target", "type", "m.*")
+    links = links.join(edges.select("source", "target", "type"), ["source", "target", "type"], "left_anti")
+    return nodes.unionByName(fresh, allowMissingColumns=True), edges.unionByName(links, allowMissingColumns=True)
+
+
 def upsert_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
     """One row for each (source, type, target) whose ends are both names; of each property the last value stays. names: name."""
     names = names.select("name").distinct()

@@ -16,7 +16,11 @@ INTENTS = (
     ("temporal", (r"\bin \d{4}\b", r"\bduring\b", r"\bwhen\b", r"\btimeline\b")),
     ("comparison", (r"\bcompare\b", r"\bversus\b", r"\bvs\b", r"\bdifference between\b")),
 )
-INDICATORS = (("METRIC", ("revenue", "profit", "sales", "growth", "performance")), ("PRODUCT", ("product", "brand", "line")), ("ORGANIZATION", ("company", "corporation", "firm", "business")))
+INDICATORS = (
+    ("ORGANIZATION", ("company", "corporation", "firm", "business")),
+    ("PRODUCT", ("product", "brand", "line")),
+    ("METRIC", ("revenue", "profit", "sales", "growth", "performance")),
+)
 STOP_WORDS = "the is at which on a an and or but in with to for of as by from".split()
 YEAR = r"(?U)\b(20\d{2})\b"
 RELATIVE = r"\b(last year|this year|previous year|recent|latest)\b"
@@ -46,7 +50,7 @@ def temporal(q: Column) -> Column:
 def node_type(q: Column) -> Column:
     """The last type one of whose words is anywhere in the question."""
     out = None
-    for name, words in INDICATORS:
+    for name, words in reversed(INDICATORS):  # a chain of conditions takes the first that holds
         hit = F.lit(False)
         for w in words:
             hit = hit | F.lower(q).contains(w)

@@ -43,13 +43,15 @@ def cooccurrence(chunks: DataFrame, entities: DataFrame, window_size: int = 100,
     characters, and an entity meets its own bin and the next one alone."""
     width = window_size + 1
     e = entities.select("chunk_id", "ord", "text", "type", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("end", F.lit(0)).alias("end")).withColumn("bin", F.expr(f"start div {width}"))
-    e = cut(e, "spans")
-    a = e.select("chunk_id", *[F.col(c).alias(f"a_{c}") for c in ("ord", "text", "type", "start", "end")], F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    # what follows an entity within the window, all that a pair's context can be, is read from the text once for each entity
+    bodies = chunks.select("chunk_id", "source_doc", F.col("text").alias("body"))
+    follows = F.when(F.col("body").isNotNull(), F.substring(F.col("body"), F.col("end") + 1, F.lit(window_size)))
+    e = cut(e.join(bodies, "chunk_id").withColumn("follows", follows).drop("body"), "spans")
+    a = e.select("chunk_id", *[F.col(c).alias(f"a_{c}") for c in ("ord", "text", "type", "start", "end")], "source_doc", "follows", F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"))
     b = e.select("chunk_id", *[F.col(c).alias(f"b_{c}") for c in ("ord", "text", "type", "start")], "bin")
     after = (F.col("b_start") > F.col("a_start")) | ((F.col("b_start") == F.col("a_start")) & (F.col("b_ord") > F.col("a_ord")))
     pairs = a.join(b, ["chunk_id", "bin"]).where(after & (F.col("b_start") - F.col("a_start") <= window_size))
-    pairs = pairs.join(chunks.select("chunk_id", "source_doc", F.col("text").alias("body")), "chunk_id")
-    between = F.when(F.col("a_end") < F.col("b_start"), strip(F.substring(F.col("body"), F.col("a_end") + 1, F.col("b_start") - F.col("a_end")))).otherwise("")
+    between = F.when(F.col("a_end") < F.col("b_start"), strip(F.substring(F.col("follows"), F.lit(1), F.col("b_start") - F.col("a_end")))).otherwise("")
     distance = F.abs(F.col("b_start") - F.col("a_start"))
 
     def scored(context: Column) -> Column:

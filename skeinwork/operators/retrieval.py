@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skeinwork.config import STRATEGIES
 from skeinwork.functions.storage import cut
 from skeinwork.operators import graph, vectors
 
@@ -26,9 +27,16 @@ def vector_nodes(parsed: DataFrame, node_vectors: DataFrame, k: int, filtered: b
     return vectors.search(node_vectors, parsed, k, fits)
 
 
+def edge_search(parsed: DataFrame, edge_vectors: DataFrame, k: int, relation: Column | None = None) -> DataFrame:
+    """query_id, rank, vec_id, distance and the edge's fields. relation: a column or value of the type asked for; 2k are found, those of the
+    type kept, cut to k; where it is null nothing is kept out."""
+    fits = None if relation is None else relation.isNull() | (F.col("relationship_type") == relation)
+    return vectors.search(edge_vectors, parsed, k, fits)
+
+
 def vector(parsed: DataFrame, node_vectors: DataFrame, edge_vectors: DataFrame, k: int = 10) -> DataFrame:
     nodes = vector_nodes(parsed, node_vectors, k).withColumns({"id": F.col("vec_id"), "name": F.col("entity_name"), "type": F.col("node_type"), "score": F.col("distance")})
-    edges = vectors.top_k(edge_vectors, parsed, k).withColumns({"id": F.col("vec_id"), "type": F.col("relationship_type"), "score": F.col("distance")})
+    edges = edge_search(parsed, edge_vectors, k).withColumns({"id": F.col("vec_id"), "type": F.col("relationship_type"), "score": F.col("distance")})
     # properties of vector-found nodes are nested and stay out of sight
     return _shape(nodes.drop("section", "year", "value", "unit", "evidence"), "node", "vector_search").unionByName(_shape(edges, "edge", "vector_search"))
 
@@ -108,6 +116,11 @@ def retrieve(parsed: DataFrame, strategy: str, nodes: DataFrame, edges: DataFram
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def statistics(node_vectors: DataFrame | None, edge_vectors: DataFrame | None) -> dict:
+    """Whether both vector stores are there, and the strategies."""
+    return {"hybrid_store_indexed": node_vectors is not None and edge_vectors is not None, "available_strategies": list(STRATEGIES)}
+
+
 def scores(rows: DataFrame) -> DataFrame:
     """query_id, avg_node_score: the mean of the nodes' final scores, else of their scores; 0 without nodes."""
     own = F.when(F.col("kind") == "node", F.coalesce("final_score", "score"))

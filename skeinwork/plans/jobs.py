@@ -68,9 +68,9 @@ def write_summary(built: Built, folder: str) -> None:
     """Entities, relationships, counts by type, five samples of each type and graph totals, as JSON."""
     tables.write_json(built.entities, f"{folder}/entities")
     tables.write_json(built.relations, f"{folder}/relationships")
-    tables.write_json(E.summary(built.entities), f"{folder}/entity_summary")
+    tables.write_json_list(E.summary(built.entities).orderBy("type"), f"{folder}/entity_summary.json")
     tables.write_json(E.samples(built.entities), f"{folder}/entity_samples")
-    tables.write_json(graph.statistics(built.entities, built.edges), f"{folder}/graph_statistics")
+    tables.write_json_list(graph.statistics(built.entities, built.edges).orderBy("kind", "name"), f"{folder}/graph_statistics.json")
 
 
 def index_graph(nodes: DataFrame, edges: DataFrame, embedder: embedding.Embedder, folder: str, node_types: list[str] | None = None, edge_types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -91,6 +91,20 @@ def index_graph(nodes: DataFrame, edges: DataFrame, embedder: embedding.Embedder
     return tables.load_vectors(spark, f"{folder}/node_vectors"), tables.load_vectors(spark, f"{folder}/edge_vectors")
 
 
+def hybrid_statistics(node_vectors: DataFrame | None, edge_vectors: DataFrame | None) -> dict:
+    """Whether the vector stores are there, and what they hold."""
+    out = {"indexed": node_vectors is not None and edge_vectors is not None}
+    for name, store in (("node_store", node_vectors), ("edge_store", edge_vectors)):
+        out[name] = vectors.statistics(store).first().asDict() if store is not None else None
+    return out
+
+
+def write_results(folder: str, answered: DataFrame, node_vectors: DataFrame, edge_vectors: DataFrame) -> None:
+    """Answers, and the statistics of the index, as JSON lists."""
+    tables.write_json_list(answered, f"{folder}/qa_results.json")
+    tables.write_json_list(index_statistics(node_vectors, edge_vectors), f"{folder}/indexing_stats.json")
+
+
 def index_statistics(node_vectors: DataFrame, edge_vectors: DataFrame) -> DataFrame:
     """store, total_vectors, dimension, index_type."""
     return vectors.statistics(node_vectors).withColumn("store", F.lit("nodes")).unionByName(vectors.statistics(edge_vectors).withColumn("store", F.lit("edges")))

@@ -24,7 +24,9 @@ def _shape(df: DataFrame, kind: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("source"))
+    # a file that is gone or can't be read is passed over
+    reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    return reader.text(path, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("source"))
 
 
 def text(spark: SparkSession, path: str | list[str], kind: str = "text") -> DataFrame:
@@ -63,19 +65,26 @@ def json_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _shape(_whole(spark, path).withColumn("content", json_text(F.col("content"))).where("content is not null"), "json")
 
 
-def csv_rows(spark: SparkSession, path: str | list[str], header: bool = True) -> DataFrame:
-    """A file's rows, all text: its columns, source and row_index in file order. Short rows have nulls, cells beyond the header go. Without a
-    header columns are col_0, col_1 and so on."""
-    rows = spark.read.csv(path, header=header, inferSchema=False, multiLine=True, escape='"', mode="PERMISSIVE")
+def csv_rows(spark: SparkSession, path: str | list[str], header: bool = True, multiline: bool = True) -> DataFrame:
+    """A file's rows, all text: its columns, source_doc and row_index in file order. Short rows have nulls, cells beyond the header go. Without a
+    header columns are col_0, col_1 and so on. multiline: quoted cells may hold line breaks; a file is one task's then. Without, large
+    files are split. Rows are numbered inside each split, shifted by the rows of the splits before: no file goes through one task for it."""
+    reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    rows = reader.csv(path, header=header, inferSchema=False, multiLine=multiline, escape='"', mode="PERMISSIVE")
     names = rows.columns
     if not header:
         rows = rows.toDF(*(f"col_{i}" for i in range(len(names))))
-    meta = rows.select("*", F.col("_metadata.file_path").alias("source_doc"), F.monotonically_increasing_id().alias("__at"))
-    return meta.withColumn("row_index", F.row_number().over(W.partitionBy("source_doc").orderBy("__at")) - 1).drop("__at")
+    split = F.col("_metadata.file_path").alias("source_doc"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at")
+    rows = rows.select("*", *split)
+    blocks = rows.groupBy(F.col("source_doc").alias("__doc"), F.col("__block").alias("__of")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__doc").orderBy("__of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("__before", before)
+    rows = rows.join(blocks, (F.col("source_doc") == F.col("__doc")) & (F.col("__block") == F.col("__of")))
+    return rows.withColumn("row_index", F.col("__at") - F.col("__first") + F.col("__before")).drop("__block", "__at", "__doc", "__of", "__first", "__n", "__before")
 
 
 def csv_files(spark: SparkSession, path: str | list[str], header: bool = True) -> DataFrame:
-    """CSV files as documents: a line "Row n: k: v, k: v" for each row."""
+    """CSV files as documents: a line "Row n: k: v, k: v" for each row. A document is one cell, so a file must fit in a task."""
     rows = csv_rows(spark, path, header)
     names = [c for c in rows.columns if c not in ("source_doc", "row_index")]
     line = F.concat(F.lit("Row "), (F.col("row_index") + 1).cast("string"), F.lit(": "), F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c), F.lit("None"))) for c in names]))

@@ -19,8 +19,8 @@ UNION ALL SELECT 'c' || lpad(CAST(o_orderkey AS VARCHAR(20)), 12, '0'), c_name,
 FROM {orders} orders JOIN {customer} customer ON o_custkey = c_custkey
 UNION ALL SELECT 'd' || lpad(CAST(s_suppkey AS VARCHAR(20)), 12, '0') || '/' || p_brand, s_name, 'supplies', p_brand, 'concept', p_type, NULL, NULL, NULL,
   'Steel Works and Iron ' || p_brand || ' grew ~12.5% to rank #1, then 7% in Main Street'
-FROM (SELECT DISTINCT s_suppkey, s_name, p_brand, min(p_type) OVER (PARTITION BY s_suppkey, p_brand) AS p_type
-  FROM {lineitem} lineitem JOIN {part} part ON l_partkey = p_partkey JOIN {supplier} supplier ON l_suppkey = s_suppkey) x
+FROM (SELECT s_suppkey, s_name, p_brand, min(p_type) AS p_type
+  FROM {lineitem} lineitem JOIN {part} part ON l_partkey = p_partkey JOIN {supplier} supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_name, p_brand) x
 """
 
 #: Subjective-section rows from documents.

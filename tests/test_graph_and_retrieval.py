@@ -11,6 +11,7 @@ from skeinwork.operators import answers, context, embedding, graph, questions, r
 from skeinwork.plans.queries import QUERIES
 from skeinwork.sources import files, tables
 from skeinwork.sources import fixtures as fx
+from skeinwork.operators import entities as E
 from skeinwork.streaming import incremental
 
 
@@ -117,7 +118,7 @@ def vector_tables(spark, n=300, dim=8):
 def test_top_k_and_filters(spark):
     x, v, q = vector_tables(spark)
     order = {i: sorted(range(len(x)), key=lambda j: (((x[i] - x[j]) ** 2).sum(), j)) for i in range(5)}
-    got = vectors.top_k(v, q, 7, block=2).orderBy("query_id", "rank").collect()
+    got = vectors.top_k(v, q, 7, query_bytes=150).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"]) for r in got] == [(i, j) for i in range(5) for j in order[i][:7]]
     post = vectors.search(v, q, 7, F.col("node_type") == "T1").orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"]) for r in post] == [(i, j) for i in range(5) for j in [j for j in order[i][:14] if j % 3 == 1][:7]]
@@ -129,7 +130,7 @@ def test_ivf_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     exact = {(r["query_id"], r["vec_id"]) for r in vectors.top_k(v, q, 10).collect()}
-    found = {(r["query_id"], r["vec_id"]) for r in vectors.ivf_search(v, q, 10, cells=8, probes=6).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in vectors.ivf_search(v, q, 10, cells=8).collect()}
     assert len(exact & found) / len(exact) >= 0.9
 
 
@@ -239,8 +240,106 @@ def test_stream_merges_batches(spark, tmp_path):
     for k, text in enumerate(("Big Apple", "big apple and Blue Sky", "Big Apple again")):
         spark.createDataFrame([(f"c{k}", "s", str(k), text)], schema).write.mode("append").parquet(arriving)
         incremental.entity_stream(spark, arriving, schema, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
-    stored = spark.read.parquet(str(tmp_path / "store/v2"))
-    assert {(r["text"], r["chunk_id"]) for r in stored.collect()} == {("Big Apple", "c0"), ("Blue Sky", "c1")}
+    store = incremental.EntityStore(spark, str(tmp_path / "store"))
+    assert {(r["text"], r["chunk_id"]) for r in store.read().collect()} == {("Big Apple", "c0"), ("Blue Sky", "c1")} and len(store.parts()) == 3
+    # a batch that runs again changes nothing; a stream with a new checkpoint adds to what is there; parts are merged when they are many
+    again = E.keyword_entities(spark.createDataFrame([("c1", "s", "1", "big apple and Blue Sky")], schema))
+    store.add(again, store.parts()[1])
+    assert len(store.parts()) == 3 and store.read().count() == 2
+    spark.createDataFrame([("c9", "s", "9", "Red Sea")], schema).write.parquet(str(tmp_path / "in2"))
+    incremental.entity_stream(spark, str(tmp_path / "in2"), schema, str(tmp_path / "store"), str(tmp_path / "cp2"), parts=3).awaitTermination()
+    assert store.read().count() == 3 and len(store.parts()) == 1 and len([p for p in (tmp_path / "store").iterdir() if p.is_dir()]) == 1
+
+
+def test_vectors_without_a_distance(spark):
+    nan, schema = float("nan"), "vec_id long, embedding array<float>, node_type string, entity_name string"
+    good = [(i, [float(i), 0.0], "t", "n") for i in range(4)]
+    bad = [(10, None, "t", "n"), (11, [], "t", "n"), (12, [None, 1.0], "t", "n"), (13, [nan, 1.0], "t", "n"), (14, [1.0], "t", "n"), (None, [0.0, 0.0], "t", "n")]
+    v = spark.createDataFrame(good + bad, schema)
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [nan, 0.0]), (4, [2.0])], "query_id long, query array<float>")
+    got = sorted((r["query_id"], r["vec_id"], r["distance"]) for r in vectors.top_k(v, q, 9).collect())
+    assert got == [(1, 0, 0.0), (1, 1, 1.0), (1, 2, 4.0), (1, 3, 9.0), (4, 14, 1.0)]
+    assert {r["vec_id"] for r in vectors.ivf_search(v, q, 9, cells=2, probed=1.0).where("query_id = 1").collect()} == {0, 1, 2, 3}
+    assert vectors.ivf_search(v.limit(0), q, 9).count() == 0 == vectors.top_k(v, q.limit(0), 9).count() == vectors.ivf_search(v.where("vec_id = 10"), q, 9).count()
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    v = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(3000, 0, -1)], "vec_id long, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(1, [0.3, 0.1])], "query_id long, query array<float>")
+    assert [r["vec_id"] for r in vectors.top_k(v, q, 5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_no_embedding_is_shuffled(spark):
+    v, _, q = vector_tables(spark)[1], None, vector_tables(spark)[2]
+    plan = vectors.top_k(v, q, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and all("embedding" not in line for line in plan.split("\n") if "Project" in line and "node_type" in line)
+
+
+def test_chunk_upserts(spark):
+    old = spark.createDataFrame([("a", "d1", "text a"), ("b", "d1", "text b")], "chunk_id string, doc_id string, text string")
+    new = spark.createDataFrame([("b", None, "1", "new b"), ("c", "d2", "2", "text c"), ("c", None, "3", "last c")], "chunk_id string, doc_id string, ord string, text string")
+    out = {r["chunk_id"]: (r["doc_id"], r["text"]) for r in graph.upsert_chunks(old, new).collect()}
+    assert out == {"a": ("d1", "text a"), "b": ("d1", "new b"), "c": ("d2", "last c")}
+
+
+def test_chunks_are_added_with_entities_once(spark):
+    chunks = spark.createDataFrame([("k1", "s", "1", "Big Apple by Blue Sky"), ("k2", "s", "2", "Big Apple")], "chunk_id string, source_doc string, ord string, text string")
+    found = E.keyword_entities(chunks).withColumn("column", F.lit(None).cast("string"))
+    none = graph.build(chunks.limit(0), found.limit(0), spark.createDataFrame([], "source string, target string, type string, confidence double, ord string"))
+    nodes, edges = graph.add_chunks(*none, chunks, found)
+    assert sorted(r["node_id"] for r in nodes.collect()) == ["Big Apple", "Blue Sky", "k1", "k2"]
+    assert sorted((r["source"], r["target"]) for r in edges.collect()) == [("k1", "Big Apple"), ("k1", "Blue Sky"), ("k2", "Big Apple")]
+    again = graph.add_chunks(nodes, edges, chunks, found)
+    assert again[0].count() == 4 and again[1].count() == 3
+
+
+def test_ego_edges(spark):
+    edges = fx.graph_edges(spark)
+    nodes = spark.createDataFrame([(n,) for n in "ABCDEFG"], "node_id string")
+    names = lambda d: sorted(r["edge_id"] for r in graph.ego_edges(edges, graph.ego(nodes, edges, "A", d), d).collect())
+    assert names(1) == ["e1", "e2", "e4"] and names(2) == ["e1", "e2", "e3", "e4", "e5", "e6"]
+
+
+def test_dimension_probe_and_statistics(spark):
+    assert embedding.Embedder("hf", client=lambda texts: [[0.0] * 7 for _ in texts]).dimension == 7
+    assert embedding.Embedder("openai", "text-embedding-3-small", client=lambda texts: 1 / 0).dimension == 1536
+    assert retrieval.statistics(None, None) == {"hybrid_store_indexed": False, "available_strategies": ["vector", "graph", "hybrid", "adaptive"]}
+
+
+def test_storage_scopes_and_clusters(spark, tmp_path):
+    import os
+    from types import SimpleNamespace
+
+    from skeinwork.functions import storage
+
+    with storage.scope(spark):
+        kept = storage.cut(spark.range(5), "scoped")
+        path = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert kept.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(cluster)
+
+
+def test_rows_of_split_files_are_numbered(spark, tmp_path):
+    lines = ["k,v"] + [f"{i},{'x' * (i % 50)}" for i in range(20000)]
+    (tmp_path / "big.csv").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+    try:
+        rows = files.csv_rows(spark, str(tmp_path / "big.csv"), multiline=False)
+        assert rows.rdd.getNumPartitions() > 1 and all(int(r["k"]) == r["row_index"] for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert all(int(r["k"]) == r["row_index"] for r in files.csv_rows(spark, str(tmp_path / "big.csv")).collect())
+
+
+def test_json_lists(spark, tmp_path):
+    tables.write_json_list(spark.createDataFrame([(1, "é", None)], "a int, b string, c string"), str(tmp_path / "x.json"))
+    tables.write_json_list(spark.range(0), str(tmp_path / "y.json"))
+    assert json.loads((tmp_path / "x.json").read_text()) == [{"a": 1, "b": "é", "c": None}] and (tmp_path / "x.json").read_text().startswith("[\n  {\n    ")
+    assert json.loads((tmp_path / "y.json").read_text()) == []
 
 
 def test_config():
