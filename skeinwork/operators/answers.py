@@ -15,13 +15,22 @@ _GROUND = (
 _CITE = "Answer the question with citations: [Entity: name] for entities, [Source: section] for sections, numbered [1], [2], with a list of references at the end."
 
 
+#: What stands before the context, between it and the question, and behind that: with the sources asked for, without, and with citations.
+PLAIN = (f"{_GROUND}\n\n{_RULE}\nCONTEXT\n{_RULE}\n", f"\n\n{_RULE}\nQUESTION\n{_RULE}\n", f"\n\n{_RULE}\nANSWER\n{_RULE}\n")
+SOURCED = (PLAIN[0].replace(_GROUND, f"{_GROUND}\nName the sources of facts."), *PLAIN[1:])
+CITED = (f"{_CITE}\n\nCONTEXT:\n", "\n\nQUESTION:\n", "\n\nANSWER WITH CITATIONS:\n")
+
+
+def _filled(parts: tuple[str, str, str]) -> Column:
+    return F.concat(F.lit(parts[0]), "context_text", F.lit(parts[1]), "question", F.lit(parts[2]))
+
+
 def prompt(with_sources: bool = True) -> Column:
-    head = _GROUND + ("\nName the sources of facts." if with_sources else "")
-    return F.concat(F.lit(f"{head}\n\n{_RULE}\nCONTEXT\n{_RULE}\n"), "context_text", F.lit(f"\n\n{_RULE}\nQUESTION\n{_RULE}\n"), "question", F.lit(f"\n\n{_RULE}\nANSWER\n{_RULE}\n"))
+    return _filled(SOURCED if with_sources else PLAIN)
 
 
 def citation_prompt() -> Column:
-    return F.concat(F.lit(f"{_CITE}\n\nCONTEXT:\n"), "context_text", F.lit("\n\nQUESTION:\n"), "question", F.lit("\n\nANSWER WITH CITATIONS:\n"))
+    return _filled(CITED)
 
 
 def confidence() -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skeinwork.operators import answers as A
 from skeinwork.operators import context as C
 from skeinwork.operators import questions as Q
 from skeinwork.operators import relations as R
@@ -179,7 +180,7 @@ def _intent() -> str:
 _INTENT = _intent()
 _Q_ENTITIES = _concat([_all("question", _CAPITALISED), "regexp_extract_all(question, '\"([^\"]*)\"', 1)", r"regexp_extract_all(question, '\b(20\d{2})\b', 1)"])
 _Q_TEMPORAL = rf"list_concat(regexp_extract_all(question, '\b(20\d{{2}})\b', 1), regexp_extract_all(lower(question), {_text(Q.RELATIVE)}, 1))"
-_NODE_TYPE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(question), {_text(w)})' for w in ws)} THEN '{n}'" for n, ws in Q.INDICATORS) + " END"
+_NODE_TYPE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(question), {_text(w)})' for w in ws)} THEN '{n}'" for n, ws in reversed(Q.INDICATORS)) + " END"
 
 
 def _unrolled(items: str, name: str) -> str:
@@ -226,15 +227,99 @@ def _graph_context() -> str:
       SELECT *, length(context_text) // 4 AS token_count FROM ctx"""
 
 
+def _listed(table: str, line: str, most: int) -> str:
+    return f"SELECT query_id, string_agg({line}, '' ORDER BY rank) AS body, count(*) AS n FROM {table} WHERE rank <= {most} GROUP BY ALL"
+
+
 def _vector_context(final: str) -> str:
+    shown = "' [Relevance: ' || printf('%.3f', distance) || ']'"
     return f"""{_VECTOR},
-      e AS (SELECT query_id, string_agg(chr(10) || rank || '. ' || entity_name || ' (' || node_type || ') [Relevance: ' || printf('%.3f', distance) || ']', '' ORDER BY rank) AS body, count(*) AS n FROM vn WHERE rank <= 10 GROUP BY ALL),
-      r AS (SELECT query_id, string_agg(chr(10) || rank || '. ' || source || ' --[' || relationship_type || ']--> ' || target || ' [Relevance: ' || printf('%.3f', distance) || ']', '' ORDER BY rank) AS body, count(*) AS n FROM ve GROUP BY ALL),
-      ctx AS (SELECT CAST(q.query_id AS VARCHAR) AS query_id, 'Query: ' || q.question || chr(10) || {_text(C.HEAD["vector"])} || coalesce(e.body, '') || coalesce({_text(C.EDGE_HEAD["vector"])} || r.body, '') AS context_text,
-        coalesce(e.n, 0) AS ne, coalesce(r.n, 0) AS nr FROM q LEFT JOIN e ON e.query_id = q.query_id LEFT JOIN r ON r.query_id = q.query_id)
+      e AS ({_listed("vn", f"chr(10) || rank || '. ' || entity_name || ' (' || node_type || ')' || {shown}", 10)}),
+      r AS ({_listed("ve", f"chr(10) || rank || '. ' || source || ' --[' || relationship_type || ']--> ' || target || {shown}", 10)}),
+      ctx AS (SELECT CAST(q.query_id AS VARCHAR) AS query_id, q.question,
+        'Query: ' || q.question || chr(10) || {_text(C.HEAD["vector"])} || coalesce(e.body, '') || coalesce({_text(C.EDGE_HEAD["vector"])} || r.body, '') AS context_text,
+        coalesce(e.n, 0) AS ne, coalesce(r.n, 0) AS nr
+        FROM q LEFT JOIN e ON e.query_id = q.query_id LEFT JOIN r ON r.query_id = q.query_id),
+      src AS (SELECT CAST(query_id AS VARCHAR) AS query_id, count(DISTINCT section) AS n_sources FROM ve GROUP BY query_id)
+      {final}"""
+
+
+_CONFIDENCE = """round(least(0.5 + CASE WHEN ne > 5 THEN 0.2 WHEN ne > 2 THEN 0.1 ELSE 0 END + CASE WHEN nr > 5 THEN 0.2 WHEN nr > 2 THEN 0.1 ELSE 0 END, 0.95), 6)::DOUBLE"""
+
+
+def _prompt(parts: tuple[str, str, str]) -> str:
+    return f"{_text(parts[0])} || context_text || {_text(parts[1])} || question || {_text(parts[2])}"
+
+
+def _hybrid_context(final: str) -> str:
+    """The hybrid layout with what is around the five best names, and the sources of its edges."""
+    shown = "' [Relevance: ' || printf('%.3f', final_score)"
+    node = f"chr(10) || rank || '. ' || entity_name || ' (' || node_type || ')' || {shown} || ', Boost: ' || printf('%.2f', boost) || ']'"
+    edge = f"chr(10) || rank || '. ' || source || ' --[' || relationship_type || ']--> ' || target || {shown} || ']' || '   From: ' || section"
+    return f"""{_HYBRID.replace("WITH", "WITH RECURSIVE", 1)},
+      ed AS (SELECT source, target, relationship_type AS type, 'v' || lpad(CAST(vec_id AS VARCHAR), 12, '0') AS edge_id FROM ev),
+      own AS (SELECT query_id, rank AS nth, entity_name AS seed FROM hn WHERE rank <= 5), {_trails("ed", "(SELECT DISTINCT seed FROM own) s", 2)},
+      tr AS (SELECT * FROM (SELECT seed, node, path[1] AS first, row_number() OVER (PARTITION BY seed ORDER BY length, array_to_string(path, chr(31)), node) AS n FROM trail WHERE length > 0) WHERE n <= 50),
+      sub AS (SELECT query_id, list_sort(list(DISTINCT node)) AS nodes, count(DISTINCT (nth, first)) AS edge_count FROM own JOIN tr ON tr.seed = own.seed GROUP BY query_id),
+      e AS ({_listed("hn", node, 8)}), r AS ({_listed("he", edge, 8)}),
+      src AS (SELECT query_id, string_agg(DISTINCT 'Section: ' || section, ';' ORDER BY 'Section: ' || section) AS sources FROM he GROUP BY query_id),
+      ctx AS (SELECT CAST(q.query_id AS VARCHAR) AS query_id, q.question,
+        'Query: ' || q.question || chr(10) || {_text(C.HEAD["hybrid"])} || coalesce(e.body, '') || coalesce({_text(C.EDGE_HEAD["hybrid"])} || r.body, '')
+        || coalesce(chr(10) || chr(10) || '--- Connected Graph Neighborhood ---' || chr(10) || '  Total connected entities: ' || len(sub.nodes) || '  Total relationships: ' || edge_count
+          || chr(10) || '  Connected entities: ' || array_to_string(sub.nodes[1:10], ', '), '') AS context_text,
+        (SELECT count(*) FROM hn WHERE hn.query_id = q.query_id) AS ne, (SELECT count(*) FROM he WHERE he.query_id = q.query_id) AS nr, coalesce(sources, '') AS sources
+        FROM q LEFT JOIN e ON e.query_id = q.query_id LEFT JOIN r ON r.query_id = q.query_id LEFT JOIN sub ON sub.query_id = q.query_id LEFT JOIN src ON src.query_id = q.query_id)
       {final}"""
 
 
+def _windows(source: str, name: str, size: int, overlap: int) -> str:
+    """Recursive CTE of the windows of texts (key, text): nth, a, b, ending after the last sentence mark, else before the last space, else hard."""
+    rest = f"substring(text, {{0}} + 1, {size})"
+    mark, space = (f"length(regexp_extract({rest}, '^.*{p}', 0, 's'))" for p in ("[.?!]", " "))
+
+    def end(a: str) -> str:
+        m, s = mark.format(a), space.format(a)
+        return f"CASE WHEN {a} + {size} >= n THEN n WHEN {m} > 1 THEN {a} + {m} WHEN {s} > 1 THEN {a} + {s} - 1 ELSE {a} + {size} END"
+
+    after = f"CASE WHEN b - {overlap} > a THEN b - {overlap} ELSE b END"
+    return f"""{name} AS (SELECT key, text, n, 0 AS a, {end("0")} AS b FROM (SELECT key, text, length(text) AS n FROM {source}) z WHERE n > 0
+      UNION ALL SELECT key, text, n, start, {end("start")} FROM (SELECT key, text, n, {after} AS start FROM {name} WHERE b < n) y)"""
+
+
+def _adaptive() -> str:
+    """Each question down its own route, with the vector of twice its id."""
+    distance = "list_sum(list_transform(list_zip(v.embedding, q.query), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2))"
+    ents = f"list_filter({_Q_ENTITIES}, lambda x, i: list_position({_Q_ENTITIES}, x) = i)"
+
+    def ranked(table: str, by: str = "distance, vec_id") -> str:
+        return f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {by}) AS rank FROM {table}"
+
+    node_boost = "CASE WHEN node_type = node_type_filter THEN 1.5 ELSE 1.0 END * CASE WHEN list_contains(ents, entity_name) THEN 2.0 ELSE 1.0 END"
+    edge_boost = "CASE WHEN len(list_filter(temporal, lambda t: contains(year, t))) > 0 THEN 1.3 ELSE 1.0 END"
+
+    def boosted(table: str, boost: str) -> str:
+        final = f"(SELECT * EXCLUDE (rank), rank AS input_rank, least(distance * {boost}, 1.0) AS final_score FROM {table} WHERE rank <= 10 AND route = 'hybrid')"
+        return ranked(final, "final_score DESC, input_rank")
+
+    out = "SELECT CAST(query_id AS VARCHAR) AS query_id, '{}' AS kind, rank, {} AS id, '{}' AS method FROM {}"
+    route = "CASE WHEN intent IN ('entity_lookup', 'relationship') THEN 'graph' WHEN intent IN ('exploration', 'factual') THEN 'hybrid' ELSE 'vector' END"
+    vec = "CAST(vec_id AS VARCHAR)"
+    return f"""{_BY_GRAPH}, {_NODE_VECTORS}, {_EDGE_VECTORS},
+      asks AS (SELECT q.*, {ents} AS ents, {_Q_TEMPORAL} AS temporal, {_NODE_TYPE} AS node_type_filter, {_INTENT} AS intent, {route} AS route, e.embedding AS query
+        FROM {_values(fx.QUESTIONS, "query_id, question")} q JOIN embeddings e ON e.vec_id = 2 * q.query_id),
+      near AS ({ranked(f"(SELECT q.*, v.vec_id, v.node_type, v.entity_name, {distance} AS distance FROM asks q, nv v WHERE route <> 'graph')")}),
+      enear AS ({ranked(f"(SELECT q.*, v.vec_id, v.year, {distance} AS distance FROM asks q, ev v WHERE route <> 'graph')")}),
+      vn AS ({ranked("(SELECT * EXCLUDE (rank) FROM near WHERE rank <= 20 AND route = 'vector' AND (node_type_filter IS NULL OR node_type = node_type_filter))")}),
+      hn AS ({boosted("near", node_boost)}), he AS ({boosted("enear", edge_boost)})
+      {out.format("node", vec, "vector_search", "vn WHERE rank <= 10")} UNION ALL {out.format("edge", vec, "vector_search", "enear WHERE rank <= 10 AND route = 'vector'")}
+      UNION ALL {out.format("node", vec, "hybrid", "hn")} UNION ALL {out.format("edge", vec, "hybrid", "he")}
+      UNION ALL {out.format("node", "name", "graph_traversal", "gn WHERE query_id IN (SELECT query_id FROM asks WHERE route = 'graph')")}
+      UNION ALL {out.format("edge", "source || '_' || type || '_' || target", "graph_traversal", "ge WHERE query_id IN (SELECT query_id FROM asks WHERE route = 'graph')")}"""
+
+
+#: What the written files hold: the texts of a source, a line each; the cells of a nation.
+_TEXT_FILES = "(SELECT string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents GROUP BY source)"
+_NATION_LINE = "'Row ' || i || ': n_nationkey: ' || n_nationkey || ', n_name: ' || n_name || ', n_regionkey: ' || n_regionkey"
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 ORACLES: dict[str, str] = {
@@ -244,6 +329,21 @@ ORACLES: dict[str, str] = {
     "chunk_sentence": rf"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_TRIM.format("x")}), lambda x: x <> '') AS s FROM documents),
       c AS (SELECT doc_id, s, unnest(range(0, len(s), 2)) AS a FROM p WHERE len(s) > 0)
       SELECT doc_id, a // 2 AS chunk_index, array_to_string(s[a + 1 : a + 3], ' ') AS text, a AS sentence_start, least(a + 3, len(s)) AS sentence_end, 'sentence' AS chunk_type FROM c""",
+    "chunk_fixed": f"""WITH RECURSIVE d AS (SELECT doc_id AS key, text FROM documents WHERE text IS NOT NULL), {_windows("d", "w", 500, 50)},
+      t AS (SELECT key, a, b, {_TRIM.format("substring(text, a + 1, b - a)")} AS body FROM w)
+      SELECT key AS doc_id, row_number() OVER (PARTITION BY key ORDER BY a) - 1 AS chunk_index, body AS text, a AS start_char, b AS end_char, 'fixed_size' AS chunk_type FROM t WHERE body <> ''""",
+    "chunk_semantic": f"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, chr(10) || '+'), lambda x: {_TRIM.format("x")}), lambda x: x <> '') AS ps FROM documents),
+      p AS (SELECT doc_id, i, ps[i] AS para, length(ps[i]) AS n FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM l)),
+      g AS (SELECT doc_id, i, CASE WHEN n > 1000 THEN 0 ELSE n END AS held, 1 AS nth FROM p WHERE i = 1
+        UNION ALL SELECT g.doc_id, p.i, CASE WHEN p.n > 1000 THEN 0 WHEN g.held = 0 OR g.held + p.n > 1000 THEN p.n ELSE g.held + p.n END,
+          CASE WHEN p.n > 1000 OR g.held = 0 OR g.held + p.n > 1000 THEN g.nth + 1 ELSE g.nth END FROM g JOIN p ON p.doc_id = g.doc_id AND p.i = g.i + 1),
+      c AS (SELECT p.*, g.nth FROM p JOIN g ON g.doc_id = p.doc_id AND g.i = p.i),
+      long AS (SELECT struct_pack(doc_id, nth) AS key, para AS text FROM c WHERE n > 1000), {_windows("long", "w", 1000, 50)},
+      t AS (SELECT key, a, b, {_TRIM.format("substring(text, a + 1, b - a)")} AS body FROM w),
+      s AS (SELECT key.doc_id AS doc_id, key.nth AS nth, row_number() OVER (PARTITION BY key ORDER BY a) - 1 AS piece, body, a, b FROM t WHERE body <> ''),
+      o AS (SELECT doc_id, nth, 0 AS piece, string_agg(para, chr(10) || chr(10) ORDER BY i) AS body, CAST(NULL AS INTEGER) AS a, CAST(NULL AS INTEGER) AS b, 'semantic' AS kind FROM c WHERE n <= 1000 GROUP BY doc_id, nth
+        UNION ALL SELECT doc_id, nth, piece, body, a, b, 'semantic_split' FROM s)
+      SELECT doc_id, CASE WHEN kind = 'semantic' THEN row_number() OVER (PARTITION BY doc_id ORDER BY nth, piece) - 1 ELSE piece END AS chunk_index, body AS text, a AS start_char, b AS end_char, kind AS chunk_type FROM o""",
     "chunk_token_estimate": "SELECT doc_id, length(text) // 4 AS tokens FROM documents",
     "entities_keyword": f"""WITH {_KEYWORD} SELECT chunk_id, source_doc AS source, text, type, confidence, "start", "end" FROM ent""",
     **{n: f"WITH {_KEYWORD} SELECT text, count(*) AS n, count(DISTINCT chunk_id) AS n_chunks FROM ent WHERE type = '{t}' GROUP BY text" for n, t in (("entities_capitalized", "NAMED_ENTITY"), ("entities_email", "EMAIL"), ("entities_number", "NUMBER"))},
@@ -332,18 +432,45 @@ ORACLES: dict[str, str] = {
     "retrieve_graph": f"{_BY_GRAPH} SELECT CAST(query_id AS VARCHAR) AS query_id, 'node' AS kind, rank, name AS id, NULL AS type, CAST(score AS DOUBLE) AS score FROM gn UNION ALL SELECT CAST(query_id AS VARCHAR), 'edge', rank, source || '_' || type || '_' || target, type, 0.8 FROM ge",
     "retrieve_hybrid": f"{_HYBRID} SELECT CAST(query_id AS VARCHAR) AS query_id, 'node' AS kind, rank, CAST(vec_id AS VARCHAR) AS id, node_type AS type, round(distance, 6) AS score, round(final_score, 6) AS final_score, CAST(boost AS DOUBLE) AS boost FROM hn UNION ALL SELECT CAST(query_id AS VARCHAR), 'edge', rank, CAST(vec_id AS VARCHAR), relationship_type, round(distance, 6), round(final_score, 6), boost FROM he",
     "retrieve_adaptive_route": f"WITH {_QUESTIONS}, i AS (SELECT query_id, {_INTENT} AS intent FROM q) SELECT *, CASE WHEN intent IN ('entity_lookup', 'relationship') THEN 'graph' WHEN intent IN ('exploration', 'factual') THEN 'hybrid' ELSE 'vector' END AS route FROM i",
+    "retrieve_adaptive": _adaptive(),
     "rerank_boost_distance": f"{_VEC} SELECT query_id, rank, input_rank, vec_id, CAST(boost AS DOUBLE) AS boost, round(final_score, 6) AS final_score FROM ({_rerank('distance', _BOOST, 'near', 20)})",
     "rerank_boost_similarity": f"{_VEC} SELECT query_id, rank, input_rank, vec_id, CAST(boost AS DOUBLE) AS boost, round(final_score, 6) AS final_score FROM ({_rerank('(1 / (1 + distance))', _BOOST, 'near', 20)})",
     "rerank_boost_edges": f"{_VEC2} SELECT query_id, rank, vec_id, CAST(boost AS DOUBLE) AS boost, round(final_score, 6) AS final_score FROM ({_rerank('distance', _EBOOST, 'enear', 20)})",
     "context_entities": f"{_HYBRID} SELECT CAST(query_id AS VARCHAR) AS query_id, rank, entity_name AS name, node_type AS type, round(final_score, 6) AS score, CAST(boost AS DOUBLE) AS boost FROM hn",
     "context_sources": f"{_VECTOR}, s AS (SELECT DISTINCT query_id, 'Section: ' || section AS s FROM ve) SELECT CAST(query_id AS VARCHAR) AS query_id, string_agg(s, ';' ORDER BY s) AS sources FROM s GROUP BY query_id",
     "context_graph_text": _graph_context(),
-    "answer_confidence": _vector_context("SELECT query_id, round(least(0.5 + CASE WHEN ne > 5 THEN 0.2 WHEN ne > 2 THEN 0.1 ELSE 0 END + CASE WHEN nr > 5 THEN 0.2 WHEN nr > 2 THEN 0.1 ELSE 0 END, 0.95), 6)::DOUBLE AS confidence FROM ctx"),
+    "context_vector_text": _vector_context("SELECT query_id, context_text, length(context_text) // 4 AS token_count FROM ctx"),
+    "context_hybrid_text": _hybrid_context("SELECT query_id, context_text, length(context_text) // 4 AS token_count FROM ctx"),
+    "context_truncate": _vector_context(f"""SELECT query_id, over AS truncated, cut AS context_text, length(cut) // 4 AS token_count FROM (SELECT query_id, length(context_text) // 4 > 200 AS over,
+      CASE WHEN over THEN substring(context_text, 1, 800) || {_text(C.CUT_MARK)} ELSE context_text END AS cut FROM ctx)"""),
+    "answer_confidence": _vector_context(f"SELECT query_id, {_CONFIDENCE} AS confidence FROM ctx"),
+    "answer_prompt": _vector_context(f"SELECT query_id, {_prompt(A.SOURCED)} AS prompt, {_prompt(A.CITED)} AS citation_prompt FROM ctx"),
+    "answer_offline": _vector_context(f"SELECT ctx.query_id, '' AS answer, {_CONFIDENCE} AS confidence, coalesce(n_sources, 0) AS n_sources FROM ctx LEFT JOIN src ON src.query_id = ctx.query_id"),
+    "answer_citations": _hybrid_context(f"SELECT query_id, length({_prompt(A.CITED)}) || ' characters' AS answer, {_CONFIDENCE} AS confidence, sources FROM ctx"),
+    "vec_edge_filtered": f"""{_VEC2}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS fit FROM enear WHERE rank <= 20 AND relationship_type = 'NEXT_L3')
+      SELECT query_id, fit AS rank, vec_id, relationship_type, round(distance, 6) AS distance FROM f WHERE fit <= 10""",
+    "graph_ego_edges": f"""WITH RECURSIVE {_GRAPH}, {_hops(_values([("AFRICA",)], "seed"), 2)},
+      inner_ AS (SELECT node FROM reach WHERE distance < 2 AND node IN (SELECT node_id FROM nodes)) SELECT edge_id, source, target, type FROM edges WHERE source IN (FROM inner_) OR target IN (FROM inner_)""",
+    "graph_upsert_chunks": """SELECT 'doc_' || d.doc_id AS chunk_id, source AS doc_id, text, CASE WHEN d.doc_id IN (SELECT doc_id FROM labels) THEN 'labelled' ELSE 'stored' END AS state FROM documents d
+      UNION ALL SELECT 'conv_' || conv_id || '_' || turn, role, text, NULL FROM conversations""",
+    "graph_add_chunks": f"""WITH {_KEYWORD} SELECT 'node' AS kind, text AS id, NULL AS target FROM ent GROUP BY text UNION ALL SELECT 'node', chunk_id, NULL FROM chunks
+      UNION ALL SELECT DISTINCT 'edge', chunk_id, text FROM ent""",
+    "load_text": f"SELECT 'text' AS file_type, md5(content) AS digest, length(content) AS n_chars, length(content) AS size, CAST(NULL AS BIGINT) AS row_count FROM {_TEXT_FILES}",
+    "load_markdown": f"SELECT 'markdown' AS file_type, md5(content) AS digest, length(content) AS n_chars, length(content) AS size, CAST(NULL AS BIGINT) AS row_count FROM {_TEXT_FILES}",
+    "load_json": """WITH o AS (SELECT n_regionkey, n_nationkey, '{' || chr(10) || '  "n_nationkey": ' || n_nationkey || ',' || chr(10) || '  "n_name": "' || n_name || '"' || chr(10) || '}' AS j FROM nation)
+      SELECT 'json' AS file_type, string_agg(j, chr(10) || chr(10) ORDER BY n_nationkey) AS content FROM o GROUP BY n_regionkey UNION ALL SELECT 'json', j FROM o UNION ALL SELECT 'json', CAST(r_regionkey AS VARCHAR) FROM region""",
+    "load_csv": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment, true AS gapless FROM customer",
+    "load_csv_document": f"SELECT 'csv' AS file_type, string_agg({_NATION_LINE}, chr(10) ORDER BY n_nationkey) AS content, count(*) AS row_count FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation)",
+    "load_directory": f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation),
+      t AS (SELECT 'csv' AS file_type, string_agg({_NATION_LINE}, chr(10)) AS content, count(*) AS row_count FROM n GROUP BY n_regionkey
+        UNION ALL SELECT 'text', string_agg(n_name, chr(10)) || chr(10), NULL FROM n GROUP BY n_regionkey)
+      SELECT file_type, count(*) AS n_files, CAST(sum(length(content)) AS BIGINT) AS n_chars, CAST(sum(row_count) AS BIGINT) AS row_count FROM t GROUP BY file_type""",
+    "json_sinks": f"WITH {_ER}, {_ENT}, {_DEDUP}, c AS (SELECT type, count(*) AS n FROM own GROUP BY type) SELECT 'lines' AS sink, type, n FROM c UNION ALL SELECT 'list', type, n FROM c",
     "json_docs_to_text": "SELECT event_id, '{' || chr(10) || '  \"k\": ' || json_extract_string(props, '$.k') || chr(10) || '}' AS text FROM events",
     "hybrid_expand": f"""{_VEC.replace("WITH", "WITH RECURSIVE", 1)}, {_EDGE_VECTORS}, ed AS (SELECT source, target, relationship_type AS type, 'v' || lpad(CAST(vec_id AS VARCHAR), 12, '0') AS edge_id FROM ev),
       own AS (SELECT query_id, rank AS nth, entity_name AS seed FROM near WHERE rank <= 5), {_trails("ed", "(SELECT DISTINCT seed FROM own) s", 2)},
       r AS (SELECT * FROM (SELECT seed, node, path[1] AS first, row_number() OVER (PARTITION BY seed ORDER BY length, array_to_string(path, chr(31)), node) AS n FROM trail WHERE length > 0) WHERE n <= 50)
-      SELECT query_id, count(DISTINCT node) AS node_count, count(DISTINCT (nth, first)) AS edge_count FROM own JOIN r ON r.seed = own.seed GROUP BY query_id""",
+      SELECT query_id, string_agg(DISTINCT node, ';' ORDER BY node) AS nodes, count(DISTINCT node) AS node_count, count(DISTINCT (nth, first)) AS edge_count FROM own JOIN r ON r.seed = own.seed GROUP BY query_id""",
     "retrieve_similar_and_related": f"""{_VEC.replace("WITH", "WITH RECURSIVE", 1)}, {_EDGE_VECTORS}, hit AS (SELECT query_id, entity_name AS name, 1 / (1 + distance) AS similarity_score, 'vector' AS origin FROM near WHERE rank <= 20 AND 1 / (1 + distance) >= 0.45),
       sd AS (SELECT * FROM (SELECT query_id, name AS seed, row_number() OVER (PARTITION BY query_id ORDER BY name) AS n FROM (SELECT DISTINCT query_id, name FROM hit)) WHERE n <= 5),
       link AS (SELECT source AS a, target AS b FROM ev UNION SELECT target, source FROM ev),

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skeinwork.functions.storage import cut
-from skeinwork.functions.text import left
+from skeinwork.functions.storage import cut, shared_dir
 from skeinwork.operators import answers, chunking, context, embedding, graph, questions, retrieval, vectors
 from skeinwork.operators import entities as E
 from skeinwork.operators import relations as R
-from skeinwork.sources import files
+from skeinwork.sources import files, tables
 from skeinwork.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,7 +171,7 @@ def rel_pattern(spark, d):
 
 
 def _er(spark, d):
-    rows = fx.er_rows(spark, d)
+    rows = cut(fx.er_rows(spark, d), "er-rows")
     found = E.row_entities(rows)
     return rows, found, R.row_relations(rows, E.dedup(found))
 
@@ -211,7 +212,7 @@ def _nodes(spark, d):
 
 def _graph(spark, d):
     """(nodes, edges, entities) of the entity-relation rows."""
-    rows = fx.er_rows(spark, d)
+    rows = cut(fx.er_rows(spark, d), "er-rows")
     own = cut(E.dedup(E.row_entities(rows)), "entities")
     edges = cut(graph.relation_edges(R.dedup(R.row_relations(rows, own))).withColumn("edge_id", F.col("ord")), "edges")
     return graph.entity_nodes(own), edges, own
@@ -270,6 +271,36 @@ def graph_ego_khop(spark, d):
     return graph.ego(nodes, edges, "AFRICA", 2)
 
 
+@query
+def graph_ego_edges(spark, d):
+    nodes, edges, _ = _graph(spark, d)
+    return graph.ego_edges(edges, graph.ego(nodes, edges, "AFRICA", 2), 2).select("edge_id", "source", "target", "type")
+
+
+@query
+def graph_upsert_chunks(spark, d):
+    """Stored chunks of documents, and new ones: those of labelled documents again, and conversations."""
+    docs = fx.table(spark, d, "documents")
+    key = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("chunk_id")
+    stored = docs.select(key, F.col("source").alias("doc_id"), "text", F.lit("stored").alias("state"))
+    again = fx.table(spark, d, "labels").select(key, F.lit("labelled").alias("state"))
+    talk = fx.table(spark, d, "conversations").select(F.concat_ws("_", F.lit("conv"), "conv_id", "turn").alias("chunk_id"), F.col("role").alias("doc_id"), "text")
+    return graph.upsert_chunks(stored, again.unionByName(talk, allowMissingColumns=True))
+
+
+@query
+def graph_add_chunks(spark, d):
+    """Chunks of documents are there; all chunks come with their entities."""
+    chunks = fx.text_chunks(spark, d)
+    own = cut(E.keyword_entities(chunks).withColumn("column", F.lit(None).cast("string")), "entities")
+    none = spark.createDataFrame([], "source string, target string, type string, confidence double, ord string")
+    docs = chunks.where("chunk_id LIKE 'doc%'")
+    nodes, edges = graph.build(docs, own.where("chunk_id LIKE 'doc%'"), none)
+    nodes, edges = graph.add_chunks(nodes, edges.dropDuplicates(["source", "target", "type"]), chunks, own)
+    parts = nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), F.lit(None).cast("string").alias("target"))
+    return parts.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), "target"))
+
+
 @query
 def graph_neighbors(spark, d):
     _, edges, _ = _graph(spark, d)
@@ -381,6 +412,12 @@ def vec_topk_filtered_pre(spark, d):
     return vectors.search(v, q, 10, F.col("node_type") == "L3", prefilter=True).select(*_HIT)
 
 
+@query
+def vec_edge_filtered(spark, d):
+    _, e, q = _vectors(spark, d)
+    return retrieval.edge_search(q, e, 10, F.lit("NEXT_L3")).select("query_id", "rank", "vec_id", "relationship_type", "distance")
+
+
 @query
 def vec_similarity_threshold(spark, d):
     v, _, q = _vectors(spark, d)
@@ -482,17 +519,19 @@ def retrieve_adaptive_route(spark, d):
 
 @query
 def retrieve_adaptive(spark, d):
+    """The sample questions, each with a stored vector for its own."""
     nodes, edges, _ = _graph(spark, d)
     v, e, _ = _vectors(spark, d)
-    asked = questions.process(fx.questions(spark), embedding.Embedder(dimension=64))
-    return retrieval.retrieve(asked, "adaptive", nodes, edges, v, e).select("query_id", "kind", "rank", "id", "method")
+    own = fx.table(spark, d, "embeddings").select((F.col("vec_id") / 2).alias("query_id"), F.col("embedding").alias("query"))
+    asked = questions.process(fx.questions(spark)).join(own, "query_id")
+    return retrieval.retrieve(cut(asked, "asked"), "adaptive", nodes, edges, v, e).select("query_id", "kind", "rank", "id", "method")
 
 
 @query
 def hybrid_expand(spark, d):
     v, e, q = _vectors(spark, d)
     edges = e.select("source", "target", F.col("relationship_type").alias("type"), F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 12, "0")).alias("edge_id"))
-    return retrieval.expand(edges, vectors.top_k(v, q, 10)).select("query_id", "node_count", "edge_count")
+    return retrieval.expand(edges, vectors.top_k(v, q, 10)).select("query_id", F.array_join("nodes", ";").alias("nodes"), "node_count", "edge_count")
 
 
 @query
@@ -540,10 +579,19 @@ def context_graph_text(spark, d):
     return context.assemble(fx.questions(spark), rows, "graph").select("query_id", "context_text", "entity_count", "relationship_count", "token_count")
 
 
+def _vector_edges(e: DataFrame) -> DataFrame:
+    """Edge vectors as a graph's edges."""
+    edge_id = F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 12, "0"))
+    return e.select("source", "target", F.col("relationship_type").alias("type"), edge_id.alias("edge_id"))
+
+
 def _contexts(spark, d, layout: str) -> DataFrame:
     v, e, q = _vectors(spark, d)
-    rows = retrieval.vector(q, v, e) if layout == "vector" else retrieval.hybrid(q, v, e)
-    return context.assemble(q, cut(rows, "retrieved"), layout)
+    if layout == "vector":
+        return context.assemble(q, cut(retrieval.vector(q, v, e), "retrieved"), layout)
+    rows = cut(retrieval.hybrid(q, v, e), "retrieved")
+    hits = rows.where("kind = 'node'").select("query_id", "rank", F.col("name").alias("entity_name"))
+    return context.assemble(q, rows, layout, cut(retrieval.expand(_vector_edges(e), hits), "around"))
 
 
 @query
@@ -568,7 +616,14 @@ def answer_confidence(spark, d):
 
 @query
 def answer_prompt(spark, d):
-    return _contexts(spark, d, "vector").select("query_id", F.length(answers.prompt()).alias("n_chars"), left(answers.citation_prompt(), 40).alias("head"))
+    return _contexts(spark, d, "vector").select("query_id", answers.prompt().alias("prompt"), answers.citation_prompt().alias("citation_prompt"))
+
+
+@query
+def answer_citations(spark, d):
+    """A client that counts its prompt's characters stands in for a model."""
+    answered = answers.generate(_contexts(spark, d, "hybrid"), lambda prompt: f"{len(prompt)} characters", citations=True)
+    return answered.select("query_id", "answer", "confidence", F.array_join("sources", ";").alias("sources"))
 
 
 @query
@@ -576,6 +631,92 @@ def answer_offline(spark, d):
     return answers.generate(_contexts(spark, d, "vector")).select("query_id", "answer", "confidence", F.size("sources").alias("n_sources"))
 
 
+# files: tables written to the shared folder as files, and read back
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/skeinwork/{name}-{uuid.uuid4().hex}"
+
+
+def _texts(spark, d) -> str:
+    """One text file for each source: its documents, one after another."""
+    folder = _folder(spark, "texts")
+    docs = fx.table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(folder)
+    return folder
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select("file_type", F.md5("content").alias("digest"), F.length("content").alias("n_chars"), "size", "row_count")
+
+
+@query
+def load_text(spark, d):
+    return _read(files.text(spark, f"{_texts(spark, d)}/*/*.txt"))
+
+
+@query
+def load_markdown(spark, d):
+    return _read(files.markdown(spark, f"{_texts(spark, d)}/*/*.txt"))
+
+
+@query
+def load_json(spark, d):
+    """A list of its nations for each region, an object for each nation, a number for each region, and something else."""
+    nation, region = fx.table(spark, d, "nation"), fx.table(spark, d, "region")
+    one = F.to_json(F.struct("n_nationkey", "n_name"))
+    lists = nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", one.alias("j")))).alias("x"))
+    lists = lists.select(F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["j"]), ","), F.lit("]")).alias("value"))
+    rest = region.select(F.col("r_regionkey").cast("string").alias("value")).union(region.select(F.concat("r_name", F.lit(" is not JSON"))))
+    folder = _folder(spark, "json")
+    for k, table in enumerate((lists, nation.select(one.alias("value")), rest)):
+        n = table.count()
+        table.withColumn("__n", F.row_number().over(W.orderBy("value"))).repartition(n, "__n").write.partitionBy("__n").text(f"{folder}/{k}")
+    return files.json_files(spark, f"{folder}/*/*/*.txt").select("file_type", "content")
+
+
+@query
+def load_csv(spark, d):
+    folder = _folder(spark, "csv")
+    fx.table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").write.option("header", True).csv(folder)
+    rows = files.csv_rows(spark, f"{folder}/*.csv", multiline=False)
+    last = rows.groupBy("source_doc").agg(F.count("*").alias("n"), F.max("row_index").alias("last"), F.countDistinct("row_index").alias("different"))
+    gapless = last.agg(F.every((F.col("n") == F.col("last") + 1) & (F.col("n") == F.col("different"))).alias("gapless"))
+    return rows.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").join(F.broadcast(gapless))  # one row
+
+
+@query
+def load_csv_document(spark, d):
+    folder = _folder(spark, "csv")
+    fx.table(spark, d, "nation").repartition(1).sortWithinPartitions("n_nationkey").write.option("header", True).csv(folder)
+    return files.csv_files(spark, f"{folder}/*.csv").select("file_type", "content", "row_count")
+
+
+@query
+def load_directory(spark, d):
+    """Text and CSV files and one that isn't JSON, in folders below one; files that don't fit the pattern stay out."""
+    root = _folder(spark, "directory")
+    nation = fx.table(spark, d, "nation")
+    for k in range(5):
+        own = nation.where(F.col("n_regionkey") == k).repartition(1).sortWithinPartitions("n_nationkey")
+        own.select("n_name").write.text(f"{root}/{k}/text")
+        own.write.option("header", True).csv(f"{root}/{k}/csv")
+        own.select("n_name").write.json(f"{root}/{k}/json")
+    found = files.Ingestion().load_directory(spark, root, "part-*", recursive=True)
+    return found.groupBy("file_type").agg(F.count("*").alias("n_files"), F.sum(F.length("content")).alias("n_chars"), F.sum("row_count").alias("row_count"))
+
+
+@query
+def json_sinks(spark, d):
+    """Entity counts, written as lines and as a list, read again."""
+    folder = _folder(spark, "sink")
+    counts = E.summary(E.dedup(E.row_entities(fx.er_rows(spark, d))))
+    tables.write_json(counts, f"{folder}/lines")
+    tables.write_json_list(spark.read.json(f"{folder}/lines").select("type", "n"), f"{folder}/list.json")
+    both = spark.read.json(f"{folder}/lines").select(F.lit("lines").alias("sink"), "type", "n")
+    return both.union(spark.read.json(f"{folder}/list.json", multiLine=True).select(F.lit("list").alias("sink"), "type", "n"))
+
+
 @query
 def json_docs_to_text(spark, d):
     return fx.table(spark, d, "events").select("event_id", files.json_text(F.col("props")).alias("text"))
