@@ -35,7 +35,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinwork.llm.common import cut, read
@@ -250,8 +249,10 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
             yield batch.append_column("sketch", pa.array([_sketch(t) for t in batch.column(1).to_pylist()], pa.int64()))
 
     rows = cut(rows.select("doc_id", "text", F.col("toxic").cast("int").alias("y")).mapInArrow(sketch, "doc_id long, text string, y int, sketch long"), "toxicity-sample")
-    first = F.min("doc_id").over(W.partitionBy("sketch", "y"))
-    return cut(rows.withColumn("first", F.col("doc_id") == first).drop("sketch"), "toxicity-rows")
+    # a group of copies is one row before it is shuffled; `sample` rows at most
+    firsts = rows.groupBy("sketch", "y").agg(F.min("doc_id").alias("at")).select("at")
+    marked = rows.join(F.broadcast(firsts), F.col("doc_id") == F.col("at"), "left")
+    return cut(marked.select("doc_id", "text", "y", F.col("at").isNotNull().alias("first")), "toxicity-rows")
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
