@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from skeinwork.llm.decontamination import ORACLE as OP12
+from skeinwork.llm.decontamination import op12_decontamination
 from skeinwork.llm.html_blocks import op4_html
 from skeinwork.llm.line_dedup import op10_line_dedup
+from skeinwork.llm.merkle import ORACLE as OP11
+from skeinwork.llm.merkle import op11_merkle
 from skeinwork.llm.mixing import op2_mixing
 from skeinwork.llm.packing import op3_packing
 from skeinwork.llm.quality import op5_quality
@@ -15,7 +19,8 @@ from skeinwork.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_packing, op4_html, op5_quality, op6_sharding, op7_suffix_dedup, op8_simhash, op9_topk, op10_line_dedup)}
+    found = (op1_toxicity, op2_mixing, op3_packing, op4_html, op5_quality, op6_sharding, op7_suffix_dedup, op8_simhash, op9_topk, op10_line_dedup, op11_merkle, op12_decontamination)
+    return {f.__name__: f for f in found}
 
 
 #: The main text is what the article element holds: here, where pages are alike, a regular expression can say so.
@@ -56,4 +61,4 @@ OP10 = """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS N
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_html": OP4, "op6_sharding": oracle_key_law(), "op7_suffix_dedup": OP7, "op9_topk": OP9, "op10_line_dedup": OP10}
+    return {"op4_html": OP4, "op6_sharding": oracle_key_law(), "op7_suffix_dedup": OP7, "op9_topk": OP9, "op10_line_dedup": OP10, "op11_merkle": OP11, "op12_decontamination": OP12}
