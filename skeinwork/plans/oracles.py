@@ -483,3 +483,37 @@ ORACLES: dict[str, str] = {
 # literals with a point are decimals in DuckDB
 for _name in ("entities_keyword", "entities_csv_generic", "entities_csv_sections", "rel_pattern", "rel_csv_sections", "rel_csv_generic", "rel_content_mentions"):
     ORACLES[_name] = f"SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM ({ORACLES[_name]}) x"
+
+
+def job_graph_sql() -> str:
+    """The graph of all documents: sentence chunks, the entities in them and the relationships that patterns tell, as nodes and edges."""
+    key = "lpad(coalesce(CAST(doc_id AS VARCHAR), 'null'), 20, '0') || '#' || lpad(CAST(chunk_index AS VARCHAR), 8, '0') || '#' || substr(sha256(text), 1, 12)"
+    stop = f"length(t) BETWEEN 2 AND 50 AND lower(t) NOT IN ({_words(STOP_WORDS)})"
+    kinds = [("ascii", _CAPITALISED, "NAMED_ENTITY", 0.7, stop), ("text", _EMAIL, "EMAIL", 1.0, "true"), ("text", _URL, "URL", 1.0, "true"), ("ascii", _NUMBER, "NUMBER", 1.0, "true")]
+    found = " UNION ALL ".join(f"SELECT chunk_id, doc_id, t, '{kind}' AS kind, CAST({conf} AS DOUBLE) AS confidence FROM (SELECT chunk_id, doc_id, unnest({_all(column, p)}) AS t FROM chunks) WHERE {keep}" for column, p, kind, conf, keep in kinds)
+    said = " UNION ALL ".join(
+        f"""SELECT chunk_id, i, a[i] AS source, b[i] AS target, '{kind}' AS type, CAST({conf} AS DOUBLE) AS confidence, c[i] AS context FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM (
+          SELECT chunk_id, regexp_extract_all(text, {p}, 1) AS a, regexp_extract_all(text, {p}, 2) AS b, regexp_extract_all(text, {p}, 0) AS c FROM chunks))"""
+        for p, kind, conf in ((_text("(?i)" + p.replace(r"\w", r"[\p{L}\p{M}\p{N}_]")), k, c) for p, k, c in R.PATTERNS)
+    )
+    return f"""WITH s AS ({ORACLES["chunk_sentence"]}), chunks AS (SELECT DISTINCT {key} AS chunk_id, doc_id, text, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS ascii FROM s),
+      found AS ({found}), m AS (SELECT chunk_id, doc_id, t, kind, max(confidence) AS confidence, count(*) AS n FROM found GROUP BY ALL),
+      said AS ({said}), r AS (SELECT *, row_number() OVER (PARTITION BY lower(source), lower(target), type ORDER BY chunk_id, i) AS nth FROM said)
+      SELECT 'node' AS part, kind AS type, t AS source, NULL AS target, NULL AS confidence, count(*) AS n, count(DISTINCT doc_id) AS n_docs, NULL AS text FROM m GROUP BY t, kind
+      UNION ALL SELECT 'node', 'CHUNK', chunk_id, NULL, NULL, NULL, NULL, text FROM chunks
+      UNION ALL SELECT 'edge', 'MENTIONS', chunk_id, t, confidence, n, NULL, NULL FROM m
+      UNION ALL SELECT 'edge', type, source, target, confidence, NULL, NULL, context FROM r WHERE nth = 1"""
+
+
+def job_questions_sql() -> str:
+    """The users' turns as questions, each once."""
+    split = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')"
+    ents = _concat([_all("ascii", _CAPITALISED), "regexp_extract_all(text, '\"([^\"]*)\"', 1)", r"regexp_extract_all(ascii, '\b(20\d{2})\b', 1)"])
+    times = rf"list_concat(regexp_extract_all(ascii, '\b(20\d{{2}})\b', 1), regexp_extract_all(lower(ascii), {_text(Q.RELATIVE)}, 1))"
+    intent = "CASE " + " ".join(f"WHEN regexp_matches(lower(ascii), {_text('|'.join(p))}) THEN '{n}'" for n, p in Q.INTENTS) + " ELSE 'exploration' END"
+    return f"""WITH t AS (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+      a AS (SELECT *, regexp_replace(text, '[^\\x00-\\x7F\\p{{P}}\\p{{S}}\\p{{Z}}]', '_', 'g') AS ascii FROM t),
+      p AS (SELECT *, {intent} AS intent, {ents} AS ents, list_filter({split}, lambda w: length(w) > 2 AND w NOT IN ({_words(Q.STOP_WORDS)})) AS words, {times} AS times FROM a)
+      SELECT conv_id, turn, text AS question, intent, array_to_string(list_filter(ents, lambda x, i: list_position(ents, x) = i), '|') AS entities, array_to_string(words, '|') AS keywords,
+        array_to_string(times, '|') AS temporal, {_NODE_TYPE.replace("question", "text")} AS node_type_filter,
+        CASE WHEN intent IN ('entity_lookup', 'relationship') THEN 'graph' WHEN intent IN ('exploration', 'factual') THEN 'hybrid' ELSE 'vector' END AS route FROM p"""
