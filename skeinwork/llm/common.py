@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinwork.functions.storage import cut, cut_all, scope, shared_dir
 
-__all__ = ["WORD", "cut", "cut_all", "n_words", "read", "same", "scope", "shared_dir"]
+__all__ = ["WORD", "cut", "cut_all", "n_words", "packed", "read", "row_hash", "same", "scope", "shared_dir"]
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,3 +27,34 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     for name in names[1:]:
         out = out & left[name].eqNullSafe(right[name])
     return out
+
+
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """row, a struct of all columns of docs, and the columns that are worked with beside it: no name of docs can clash with theirs.
+    select("row.*") gives docs' columns back."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def _told(value: Column, kind: T.DataType) -> Column:
+    """A value for a hash, nulls told from what isn't there: whether it is null, and itself."""
+    return F.struct(value.isNull().alias("none"), _plain(value, kind).alias("value"))
+
+
+def _plain(value: Column, kind: T.DataType) -> Column:
+    """A value for a hash: lists and structs with their nulls marked, maps as their entries in order, variants as JSON."""
+    if isinstance(kind, T.ArrayType):
+        return F.struct(F.size(value).alias("n"), F.transform(value, lambda x: _told(x, kind.elementType)).alias("x"))
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(_told(e["key"], kind.keyType).alias("key"), _told(e["value"], kind.valueType).alias("value"))
+        return F.struct(F.size(value).alias("n"), F.array_sort(F.transform(F.map_entries(value), entry)).alias("x"))
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_told(value.getField(f.name), f.dataType).alias(f"f{k}") for k, f in enumerate(kind.fields)])
+    if isinstance(kind, T.VariantType):
+        return F.to_json(value)
+    return value
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """64 bits that stand for a row's columns, whatever their kinds: rows are equal if all of them are, maps in any order of their entries."""
+    columns = [docs[f"`{f.name.replace('`', '``')}`"] for f in docs.schema.fields]
+    return F.xxhash64(*[_plain(c, f.dataType) for c, f in zip(columns, docs.schema.fields)], *[c.isNull() for c in columns])

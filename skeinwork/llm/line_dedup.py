@@ -23,7 +23,7 @@ many documents match with are dealt out with as many copies as they need.
 
 Defined cases: a null text stays null, an empty one empty; a null id comes before all others; rows
 equal in id and text are one document and get the same result; an empty table gives an empty result;
-other columns are carried through, whatever their names.
+other columns are carried through, whatever their names and kinds.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import WORD, cut, read
+from skeinwork.llm.common import WORD, cut, packed, read
 
 #: Words of a run that is sure to be found.
 MIN_WORDS = 50
@@ -133,21 +133,35 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, matches: int = MATCHES
     return lines, gone
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, matches: int = MATCHES, reach: int = REACH) -> DataFrame:
-    """docs with the later repeated runs cut out of `text` (and `n_chars`, where there is one, as the new length), plus n_lines_removed."""
+def _deduped(docs: DataFrame, min_words: int, matches: int, reach: int) -> DataFrame:
+    """row (docs' columns, `text` and any `n_chars` as they are then) and n, the lines that went."""
     lines, gone = removals(docs, min_words, matches, reach)
     goes = gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), F.col("pos").alias("gpos"))
     flagged = lines.join(goes, lines["id"].eqNullSafe(goes["gid"]) & (lines["th"] == goes["gth"]) & (lines["pos"] == goes["gpos"]), "left")
     flagged = flagged.select("id", "th", "pos", (F.col("gpos").isNotNull() & (F.col("n") > 0)).alias("go"))
-    per = flagged.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "go"))).alias("flags"), F.sum(F.col("go").cast("long")).alias("n_gone")).where("n_gone > 0")
-    per = per.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("flags.go").alias("__go"), F.col("n_gone").alias("__n"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    both = docs.join(per, docs["doc_id"].eqNullSafe(per["__id"]) & (F.xxhash64(text) == per["__th"]), "left")
-    stay = F.filter(F.zip_with(F.split(text, "\n", -1), F.col("__go"), lambda line, go: F.struct(line.alias("line"), go.alias("go"))), lambda x: ~x["go"])
-    out = both.withColumn("text", F.when(F.col("__n").isNotNull(), F.array_join(F.transform(stay, lambda x: x["line"]), "\n")).otherwise(F.col("text")))
+    per = flagged.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "go"))).alias("flags"), F.sum(F.col("go").cast("long")).alias("n")).where("n > 0")
+    per = per.select("id", "th", F.col("flags.go").alias("go"), "n")
+    rows = packed(docs, doc=F.col("doc_id"), of=F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    both = rows.join(per, rows["doc"].eqNullSafe(per["id"]) & (rows["of"] == per["th"]), "left")
+    stay = F.filter(F.zip_with(F.split("row.text", "\n", -1), F.col("go"), lambda line, go: F.struct(line.alias("line"), go.alias("go"))), lambda x: ~x["go"])
+    text = F.when(F.col("n").isNotNull(), F.array_join(F.transform(stay, lambda x: x["line"]), "\n")).otherwise(F.col("row.text"))
+    both = both.select("row", "n", text.alias("text"))
+    out = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__n").isNotNull(), F.length("text")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, F.coalesce("__n", F.lit(0)).cast("long").alias("n_lines_removed"))
+        out = out.withField("n_chars", F.when(F.col("n").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return both.select(out.alias("row"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, matches: int = MATCHES, reach: int = REACH) -> DataFrame:
+    """docs with the later repeated runs cut out of `text` (and `n_chars`, where there is one, as the new length), plus n_lines_removed, which
+    takes the place of any column of that name."""
+    kept = docs.drop("n_lines_removed")
+    return _deduped(kept, min_words, matches, reach).select("row.*", F.col("n").alias("n_lines_removed"))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs without later repeated runs, and with no further column."""
+    return _deduped(docs, MIN_WORDS, MATCHES, REACH).select("row.*")
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ documents at most are open at the end of a block; those of all blocks of a sourc
 round, and the last two of a source are the landing problem.
 
 Defined cases: a null or empty text has 0 words and its row stays, with 0 taken; a null source is a
-source of its own, last in order; a null id is an id like any other. m equal rows (in all columns; 64
-bits of hash stand for them) are one unit: of its m * p further copies the whole ones are sure and the
+source of its own, last in order; a null id is an id like any other; other columns go along, whatever their
+names and kinds. m equal rows (in all columns, maps and variants too; 64 bits of hash stand for them) are one unit: of its m * p further copies the whole ones are sure and the
 sample draws for one row alone, so a group of copies lands as near as a single document. An empty
 table gives an empty result. The sources are ordered and summed in one task: a row each.
 """
@@ -21,11 +21,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import cut, n_words, read
+from skeinwork.llm.common import cut, n_words, packed, read, row_hash
 
 #: Units that one task holds at once in a flight.
 BLOCK = 4096
@@ -117,12 +117,6 @@ def _fly(table: pa.Table) -> pa.Table:
     return table.select(_STATE[:-1]).append_column("p", pa.array(p))
 
 
-def row_hash(docs: DataFrame) -> Column:
-    """64 bits that stand for a row's columns, nulls told from what isn't there."""
-    columns = [docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    return F.xxhash64(*columns, *[c.isNull() for c in columns])
-
-
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, row_hash, m, source_size, target, base, extra: the mix takes each of m equal rows base times, and extra of them once more.
 
@@ -164,12 +158,11 @@ def repeat(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     mixed = mix(docs, weights, share, cap)
     total = F.col("m") * F.col("base") + F.col("extra")
     # the hash tells a null id from 0
-    known = F.coalesce("doc_id", F.lit(0).cast("long"))
-    mixed = mixed.select(known.alias("__id"), F.col("row_hash").alias("__of"), total.alias("__copies")).where("__copies > 0")
-    rows = docs.withColumns({"__doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(0).cast("long")), "__hash": row_hash(docs)})
-    rows = rows.dropDuplicates(["__doc", "__hash"])
-    rows = rows.join(mixed, (rows["__doc"] == mixed["__id"]) & (rows["__hash"] == mixed["__of"]))
-    return rows.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
+    mixed = mixed.select(known.alias("id"), F.col("row_hash").alias("of"), total.alias("copies")).where("copies > 0")
+    rows = packed(docs, doc=known, hash=row_hash(docs)).dropDuplicates(["doc", "hash"])
+    rows = rows.join(mixed, (rows["doc"] == mixed["id"]) & (rows["hash"] == mixed["of"]))
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

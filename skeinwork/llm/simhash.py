@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import cut, read
+from skeinwork.llm.common import cut, packed, read, row_hash
 from skeinwork.llm.components import components
 
 RADIUS = 3
@@ -106,18 +106,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(cut(named, "simhash-named"), F.col("fp") == F.col("of")).select("doc_id", "th", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: one with the least id. Of rows that are equal in id and text one stays."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = cut(found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th")), "simhash-keep")
-    return kept_rows(docs, keep)
-
-
 def kept_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of docs that keep names by id and text's hash (__id, __th), each once."""
-    kept = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = kept.join(keep, kept["doc_id"].eqNullSafe(keep["__id"]) & (kept["__text"] == keep["__th"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text"]).drop("__text")
+    """Rows of docs that keep names by id and text's hash (id, th), each once: of rows equal in both, that of the least hash of all columns."""
+    rows = packed(docs, doc=F.col("doc_id").cast("long"), text=F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), hash=row_hash(docs))
+    rows = rows.join(keep, rows["doc"].eqNullSafe(keep["id"]) & (rows["text"] == keep["th"]), "left_semi")
+    return rows.groupBy("doc", "text").agg(F.min_by("row", "hash").alias("row")).select("row.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

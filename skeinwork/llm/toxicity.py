@@ -30,6 +30,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -379,16 +380,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that score `threshold` or more; all columns pass through."""
+    """docs without the rows that score `threshold` or more; all columns pass through, whatever their names and kinds. Only texts go to Python."""
     model = learn(docs, labels)
-    at = docs.columns.index("text")
 
-    def run(batches):
+    @F.arrow_udf("boolean")
+    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = model.scorer()
-        for batch in batches:
-            yield batch.filter(pa.array([scorer.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+        for part in parts:
+            yield pa.array([scorer.score(t) < threshold for t in part.to_pylist()], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(F.col("text").cast("string")))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
