@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,22 +73,33 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.select(F.col("source").alias("a"), F.col("target").alias("b"), keep).union(e.where("source <> target").select(F.col("target").alias("a"), F.col("source").alias("b"), keep))
 
 
-def k_hop(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    """seed, node, distance: breadth-first reach over undirected edges. seeds: seed. Each hop's frontier holds new nodes alone, once each."""
-    links = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
+#: What joins reached rows (node and more) with the edges at their nodes, as b and edge.
+Meet = Callable[[DataFrame], DataFrame]
+
+
+def meeting(edges: DataFrame) -> Meet:
+    """Over a table of edges: both sides are shuffled by the node. A stored index (graph_index.Index.meet) leaves its edges where they are."""
+    step = both_ways(edges)
+    return lambda reached: reached.join(step, reached["node"] == step["a"]).select(*[reached[c] for c in reached.columns], "b", "edge")
+
+
+def k_hop(edges: DataFrame | None, seeds: DataFrame, depth: int = 2, meet: Meet | None = None) -> DataFrame:
+    """seed, node, distance: breadth-first reach over undirected edges. seeds: seed. Each hop's frontier holds new nodes alone, once each.
+    meet: how edges are found, by default in `edges`."""
+    meet = meet or meeting(edges)
     reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct()
     frontier = reached
     for hop in range(1, depth + 1):
-        nxt = frontier.join(links, frontier["node"] == links["a"]).select("seed", F.col("b").alias("node")).distinct()
+        nxt = meet(frontier).select("seed", F.col("b").alias("node")).distinct()
         frontier = cut(nxt.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(hop)), f"hop-{hop}")
         reached = reached.unionByName(frontier)
     return reached
 
 
-def ego(nodes: DataFrame, edges: DataFrame, center: str, depth: int = 2, mode: str = "bfs") -> DataFrame:
+def ego(nodes: DataFrame, edges: DataFrame | None, center: str, depth: int = 2, mode: str = "bfs", meet: Meet | None = None) -> DataFrame:
     """node, distance around a known node. compat: only one hop is taken, whatever the depth. An unknown center gives nothing."""
     known = nodes.select(F.col("node_id").alias("seed")).where(F.col("seed") == center)
-    return k_hop(edges, known, 1 if mode == "compat" else depth).join(nodes.select(F.col("node_id").alias("node")), "node", "left_semi").select("node", "distance")
+    return k_hop(edges, known, 1 if mode == "compat" else depth, meet).join(nodes.select(F.col("node_id").alias("node")), "node", "left_semi").select("node", "distance")
 
 
 def ego_edges(edges: DataFrame, reached: DataFrame, depth: int = 2) -> DataFrame:
@@ -96,24 +109,24 @@ def ego_edges(edges: DataFrame, reached: DataFrame, depth: int = 2) -> DataFrame
     return both.dropDuplicates(["edge_id"])
 
 
-def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1, limit: int = 100) -> DataFrame:
+def neighbours(edges: DataFrame | None, seeds: DataFrame, depth: int = 1, limit: int = 100, meet: Meet | None = None) -> DataFrame:
     """Other nodes within `depth`, the first `limit` of each seed in order of distance and name."""
-    near = k_hop(edges, seeds, depth).where("distance > 0")
+    near = k_hop(edges, seeds, depth, meet).where("distance > 0")
     rank = F.row_number().over(W.partitionBy("seed").orderBy("distance", "node"))
     return near.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def related(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
+def related(edges: DataFrame | None, seeds: DataFrame, depth: int = 2, limit: int = 50, meet: Meet | None = None) -> DataFrame:
     """seed, path_rank, node, first (edge), length: undirected paths of up to `depth` different edges from each seed, the first `limit` in
     order of length and edge ids. Shorter paths come first, so a seed that has `limit` of them goes no further, and no seed carries
     more than `limit` paths into a hop."""
-    step = both_ways(edges)
+    meet = meet or meeting(edges)
     edge = "struct<source:string,target:string,type:string,edge_id:string>"
     paths = seeds.select("seed", F.col("seed").alias("node"), F.array().cast("array<string>").alias("trail"), F.lit(None).cast(edge).alias("first")).distinct()
     order = [F.array_join("trail", "\x1f"), F.col("node")]
     found = None
     for hop in range(1, depth + 1):
-        nxt = paths.join(step, paths["node"] == step["a"]).where(~F.array_contains("trail", F.col("edge.edge_id")))
+        nxt = meet(paths).where(~F.array_contains("trail", F.col("edge.edge_id")))
         nxt = nxt.select("seed", F.col("b").alias("node"), F.array_append("trail", F.col("edge.edge_id")).alias("trail"), F.coalesce("first", "edge").alias("first"))
         done = nxt.withColumn("n", F.row_number().over(W.partitionBy("seed").orderBy(*order))).where(F.col("n") <= limit).drop("n").withColumn("length", F.lit(hop))
         if hop < depth:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,31 +38,28 @@ class Nearest:
         self.distance = np.full((len(x), k), np.inf)
         self.who = np.full((len(x), k), np.iinfo(np.int64).max)
 
-    def show(self, ids: np.ndarray, y: np.ndarray, mask: np.ndarray | None = None) -> None:
-        """mask: which questions look at these vectors; all if None."""
-        rows = np.arange(len(self.x)) if mask is None else np.flatnonzero(mask)
-        if not len(rows) or not len(ids):
+    def show(self, ids: np.ndarray, y: np.ndarray) -> None:
+        if not len(ids):
             return
-        near = self.square[rows, None] + (y * y).sum(1)[None] - 2 * self.x[rows] @ y.T
+        near = self.square[:, None] + (y * y).sum(1)[None] - 2 * self.x @ y.T
         # the matrix product rounds: what may be among the k nearest is measured
-        slack = 1e-9 * (self.square[rows, None] + near.max(initial=0)) + 1e-12
-        bound = np.minimum(np.partition(near, self.k - 1, axis=1)[:, [self.k - 1]] if near.shape[1] > self.k else np.inf, self.distance[rows, -1:])
+        slack = 1e-9 * (self.square[:, None] + near.max(initial=0)) + 1e-12
+        bound = np.minimum(np.partition(near, self.k - 1, axis=1)[:, [self.k - 1]] if near.shape[1] > self.k else np.inf, self.distance[:, -1:])
         r, c = np.nonzero(near <= bound + slack)
-        d = np.concatenate([((self.x[rows[r[i : i + PAIRS]]] - y[c[i : i + PAIRS]]) ** 2).sum(1) for i in range(0, len(r), PAIRS)] or [np.zeros(0)])
-        hit, first = np.unique(rows[r], return_index=True)
+        d = np.concatenate([((self.x[r[i : i + PAIRS]] - y[c[i : i + PAIRS]]) ** 2).sum(1) for i in range(0, len(r), PAIRS)] or [np.zeros(0)])
+        hit = np.unique(r)
         if not len(hit):
             return
-        r = np.concatenate([rows[r], np.repeat(hit, self.k)])
+        r = np.concatenate([r, np.repeat(hit, self.k)])
         d, who = np.concatenate([d, self.distance[hit].ravel()]), np.concatenate([ids[c], self.who[hit].ravel()])
         order = np.lexsort((who, d, r))
         at = np.searchsorted(r[order], hit)[:, None] + np.arange(self.k)
         self.distance[hit], self.who[hit] = d[order][at], who[order][at]
 
 
-def _scan(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int, shown: Callable | None = None, prepare: Callable | None = None) -> DataFrame:
+def _scan(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int) -> DataFrame:
     """query_id, rank, vec_id, distance. Parts of the questions of a bounded number of bytes are broadcast; each task keeps k a question,
-    and only those are shuffled. prepare: what is worked out once for a block of questions; shown: which of them look at
-    which of a batch's vectors, as (vectors, mask of questions) groups; all at all if None."""
+    and only those are shuffled."""
     spark = vectors.sparkSession
     kind = dict(queries.dtypes)["query_id"]
     asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
@@ -77,12 +74,11 @@ def _scan(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int, show
             ids = own.column(0).combine_chunks()
             for n, at, x in matrices(own.column(1).combine_chunks()):
                 for i in range(0, len(at), QUERY_BLOCK):
-                    part_x = x[i : i + QUERY_BLOCK]
-                    blocks.append((n, ids.take(pa.array(at[i : i + QUERY_BLOCK])), part_x, prepare(part_x) if prepare else None))
+                    blocks.append((n, ids.take(pa.array(at[i : i + QUERY_BLOCK])), x[i : i + QUERY_BLOCK]))
         shared = spark.sparkContext.broadcast(blocks)
 
         def run(batches):
-            searches = [(n, ids, Nearest(x, k), more) for n, ids, x, more in shared.value]
+            searches = [(n, ids, Nearest(x, k)) for n, ids, x in shared.value]
             for batch in batches:
                 for lo in range(0, batch.num_rows, VECTOR_BLOCK):
                     rows = batch.slice(lo, VECTOR_BLOCK)
@@ -90,11 +86,10 @@ def _scan(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int, show
                     vid = rows.column(0).fill_null(0).to_numpy()
                     for n, at, y in matrices(rows.column(1)):
                         at, y = at[known[at]], y[known[at]]
-                        for dim, _, search, more in searches:
+                        for dim, _, search in searches:
                             if dim == n:
-                                for pick, mask in shown(y, more) if shown else [(slice(None), None)]:
-                                    search.show(vid[at][pick], y[pick], mask)
-            for _, ids, search, _ in searches:
+                                search.show(vid[at], y)
+            for _, ids, search in searches:
                 r, c = np.nonzero(np.isfinite(search.distance))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(search.who[r, c]), pa.array(search.distance[r, c])], names=["query_id", "vec_id", "distance"])
 
@@ -175,48 +170,6 @@ def statistics(store: DataFrame) -> DataFrame:
     return store.agg(F.count("*").alias("total_vectors"), F.max(F.size("embedding")).alias("dimension"), F.lit("flat").alias("index_type"))
 
 
-def ivf_fit(vectors: DataFrame, cells: int | None = None, seed: int = 7) -> np.ndarray:
-    """Cell centers by k-means on a bounded sample of vectors, 40 a cell and 20,000 at least, those whose ids hash lowest. cells: half the
-    square root of the number of vectors, from 16 to 4096, if not given. None without usable vectors."""
-    if cells is None:
-        cells = int(min(4096, max(16, round(vectors.count() ** 0.5 / 2))))
-    some = vectors.where("vec_id is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(20_000, 40 * cells)).select(F.col("embedding").cast("array<double>")).toArrow()
-    known = max(matrices(some.column(0).combine_chunks()), key=lambda m: len(m[1]), default=None) if some.num_rows else None
-    if known is None:
-        return np.zeros((0, 0))
-    x = known[2]
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
-    for _ in range(15):
-        near = np.concatenate([cell_distances(x[i : i + VECTOR_BLOCK], c).argmin(1) for i in range(0, len(x), VECTOR_BLOCK)])
-        sums, n = np.zeros_like(c), np.bincount(near, minlength=len(c))
-        np.add.at(sums, near, x)
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
-    return c
-
-
 def cell_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """Squared distances to the centers, less each row's own square."""
     return (centers * centers).sum(1)[None] - 2 * x @ centers.T
-
-
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probed: float = 0.75, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """Approximate top k: every vector is in its nearest cell, a query looks into the share `probed` of the cells, its nearest ones.
-    Vectors without clusters spread their neighbours over many cells: three quarters reach a recall of 0.9 there. Cells grow
-    with the table; a scan deals a batch's vectors to their cells and measures those that are probed."""
-    centers = ivf_fit(vectors, cells)
-    probes = int(np.ceil(probed * len(centers)))
-
-    def prepare(x: np.ndarray) -> np.ndarray:
-        looks = np.zeros((len(x), len(centers)), bool)
-        if x.shape[1] == centers.shape[1]:
-            np.put_along_axis(looks, np.argsort(cell_distances(x, centers), axis=1, kind="stable")[:, :probes], True, axis=1)
-        return looks
-
-    def shown(y: np.ndarray, looks: np.ndarray):
-        if y.shape[1] == centers.shape[1]:
-            cell = cell_distances(y, centers).argmin(1)
-            for c in np.unique(cell):
-                yield np.flatnonzero(cell == c), looks[:, c]
-
-    return _named(_scan(vectors, queries, k, query_bytes, shown, prepare), vectors, queries)

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinwork.functions.storage import cut, shared_dir
-from skeinwork.operators import answers, chunking, context, embedding, graph, questions, retrieval, vectors
+from skeinwork.operators import answers, chunking, context, embedding, graph, graph_index, ivf_pq, questions, retrieval, vectors
 from skeinwork.operators import entities as E
 from skeinwork.operators import relations as R
 from skeinwork.sources import files, tables
@@ -51,12 +51,12 @@ def chunk_csv_row_kv(spark, d):
 
 @query
 def chunk_csv_row_sentence(spark, d):
-    return chunking.csv_rows(fx.table(spark, d, "nation"), ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey", "sentence").select("chunk_id", "text")
+    return chunking.csv_rows(fx.table(spark, d, "customer"), ["c_custkey", "c_name", "c_nationkey"], "c_custkey", "sentence").select("chunk_id", "text")
 
 
 @query
 def chunk_csv_row_json(spark, d):
-    return chunking.csv_rows(fx.table(spark, d, "nation"), ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey", "json").select("chunk_id", "text")
+    return chunking.csv_rows(fx.table(spark, d, "customer"), ["c_custkey", "c_name", "c_nationkey"], "c_custkey", "json").select("chunk_id", "text")
 
 
 @query
@@ -153,7 +153,7 @@ def entity_samples(spark, d):
 
 @query
 def llm_response_parse(spark, d):
-    return E.parse_responses(fx.responses(spark)).select("chunk_id", "text", "type", "confidence", "extraction_method")
+    return E.parse_responses(fx.responses(spark, d)).select("chunk_id", "text", "type", "confidence", "extraction_method")
 
 
 # relationships
@@ -188,7 +188,8 @@ def rel_csv_sections(spark, d):
 
 @query
 def rel_csv_generic(spark, d):
-    rows = fx.table(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 12, "0").alias("ord"), F.lit("nation.csv").alias("source_doc"), F.col("n_nationkey").cast("string").alias("chunk_id"), "n_nationkey", "n_name", "n_regionkey")
+    key = F.col("c_custkey").cast("string")
+    rows = fx.table(spark, d, "customer").select(F.lpad(key, 12, "0").alias("ord"), F.lit("customer.csv").alias("source_doc"), key.alias("chunk_id"), "c_custkey", "c_name", "c_nationkey")
     return R.table_relations(rows, None).select("chunk_id", "source", "target", "type", "column", "confidence")
 
 
@@ -308,17 +309,46 @@ def graph_neighbors(spark, d):
     return graph.neighbours(edges, seeds, 2).select("seed", "rank", "node", "distance")
 
 
+def _related(spark, d, names: list[str], depth: int):
+    _, edges, _ = _graph(spark, d)
+    found = graph.related(edges, spark.createDataFrame([(n,) for n in names], "seed string"), depth, 12)
+    return found.select("seed", "path_rank", "node", "length", F.col("first.edge_id").alias("first_edge"))
+
+
 @query
 def graph_related(spark, d):
-    seeds = spark.createDataFrame([("A",), ("D",), ("F",), ("nobody",)], "seed string")
-    return graph.related(fx.graph_edges(spark), seeds, 3, 12).select("seed", "path_rank", "node", "length", F.col("first.edge_id").alias("first_edge"))
+    return _related(spark, d, ["EUROPE", "Supplier#000000001", "nobody"], 2)
 
 
 @query
 def graph_related_rows(spark, d):
-    _, edges, _ = _graph(spark, d)
+    return _related(spark, d, ["AFRICA", "Brand#2", "Customer#000000001", "nobody"], 3)
+
+
+def _indexed(spark, d):
+    """The graph of the entity-relation rows as a stored index; hubs are those of more than 500 edges here, so that there are some."""
+    nodes, edges, _ = _graph(spark, d)
+    folder = _folder(spark, "graph-index")
+    graph_index.build(nodes, edges, folder, buckets=16, part=500)
+    return graph_index.load(spark, folder)
+
+
+@query
+def graph_index_related(spark, d):
+    index = _indexed(spark, d)
     seeds = spark.createDataFrame([("AFRICA",), ("Brand#2",), ("Customer#000000001",), ("nobody",)], "seed string")
-    return graph.related(edges, seeds, 3, 12).select("seed", "path_rank", "node", "length", F.col("first.edge_id").alias("first_edge"))
+    return graph.related(None, seeds, 3, 12, index.meet).select("seed", "path_rank", "node", "length", F.col("first.edge_id").alias("first_edge"))
+
+
+@query
+def graph_index_ego(spark, d):
+    index = _indexed(spark, d)
+    return graph.ego(index.nodes, None, "AFRICA", 2, meet=index.meet)
+
+
+@query
+def graph_index_lookup(spark, d):
+    return _indexed(spark, d).by_name("NATION_3").select("node_id", "node_type", "confidence")
 
 
 @query
@@ -424,10 +454,26 @@ def vec_similarity_threshold(spark, d):
     return vectors.above_threshold(vectors.top_k(v, q, 20), 0.45).select("query_id", "vec_id", "similarity")
 
 
+def _ivf(spark, d, **how):
+    """All vectors but the last tenth are indexed, those are added, and the stored index is searched."""
+    v, _, q = _vectors(spark, d)
+    folder = _folder(spark, "ivf")
+    late = F.col("vec_id") % 10 == 9
+    ivf_pq.build(v.where(~late), folder)
+    ivf_pq.add(v.where(late), folder)
+    named = v.select("vec_id", "node_type")
+    return ivf_pq.search(spark, folder, q.select("query_id", "query"), 10, **how).join(named, "vec_id").select(*_HIT)
+
+
 @query
 def vec_ann_ivf(spark, d):
-    v, _, q = _vectors(spark, d)
-    return vectors.ivf_search(v, q, 10).select(*_HIT)
+    return _ivf(spark, d)
+
+
+@query
+def vec_ann_ivf_all_cells(spark, d):
+    """Every cell, measured exactly: what exact search gives."""
+    return _ivf(spark, d, probed=1.0, measured=None)
 
 
 @query
@@ -466,13 +512,18 @@ def _parsed(spark):
     return questions.process(fx.questions(spark))
 
 
+def _asked(spark, d):
+    """Questions that grow with the tables, parsed."""
+    return questions.process(fx.asked(spark, d))
+
+
 @query
 def question_intent(spark, d):
-    return _parsed(spark).select("query_id", "intent")
+    return _asked(spark, d).select("query_id", "intent")
 
 
 def _listed(name: str) -> Query:
-    return lambda spark, d: _parsed(spark).select("query_id", F.posexplode(name).alias("at", name))
+    return lambda spark, d: _asked(spark, d).select("query_id", F.posexplode(name).alias("at", name))
 
 
 for _name, _column in (("question_entities", "entities"), ("question_keywords", "keywords"), ("question_temporal", "temporal")):
@@ -483,12 +534,12 @@ for _name, _column in (("question_entities", "entities"), ("question_keywords",
 
 @query
 def question_filters(spark, d):
-    return _parsed(spark).select("query_id", "node_type_filter", (F.size("temporal") > 0).alias("has_temporal"))
+    return _asked(spark, d).select("query_id", "node_type_filter", (F.size("temporal") > 0).alias("has_temporal"))
 
 
 @query
 def question_validate(spark, d):
-    return questions.validate(_parsed(spark), _nodes(spark, d))
+    return questions.validate(_asked(spark, d), _nodes(spark, d))
 
 
 # retrieval, context and answers
@@ -514,7 +565,7 @@ def retrieve_hybrid(spark, d):
 
 @query
 def retrieve_adaptive_route(spark, d):
-    return _parsed(spark).select("query_id", "intent", "route")
+    return _asked(spark, d).select("query_id", "intent", "route")
 
 
 @query
@@ -662,14 +713,15 @@ def load_markdown(spark, d):
 
 @query
 def load_json(spark, d):
-    """A list of its nations for each region, an object for each nation, a number for each region, and something else."""
-    nation, region = fx.table(spark, d, "nation"), fx.table(spark, d, "region")
-    one = F.to_json(F.struct("n_nationkey", "n_name"))
-    lists = nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", one.alias("j")))).alias("x"))
+    """A list of its customers for each nation, an object for the first of each, a number for each region, and something else."""
+    customer, region = fx.table(spark, d, "customer"), fx.table(spark, d, "region")
+    one = F.struct("c_custkey", F.to_json(F.struct("c_custkey", "c_name")).alias("j"))
+    lists = customer.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(one)).alias("x"))
+    objects = lists.select(F.col("x")[0]["j"].alias("value"))
     lists = lists.select(F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["j"]), ","), F.lit("]")).alias("value"))
     rest = region.select(F.col("r_regionkey").cast("string").alias("value")).union(region.select(F.concat("r_name", F.lit(" is not JSON"))))
     folder = _folder(spark, "json")
-    for k, table in enumerate((lists, nation.select(one.alias("value")), rest)):
+    for k, table in enumerate((lists, objects, rest)):
         n = table.count()
         table.withColumn("__n", F.row_number().over(W.orderBy("value"))).repartition(n, "__n").write.partitionBy("__n").text(f"{folder}/{k}")
     return files.json_files(spark, f"{folder}/*/*/*.txt").select("file_type", "content")
@@ -688,7 +740,8 @@ def load_csv(spark, d):
 @query
 def load_csv_document(spark, d):
     folder = _folder(spark, "csv")
-    fx.table(spark, d, "nation").repartition(1).sortWithinPartitions("n_nationkey").write.option("header", True).csv(folder)
+    own = fx.table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    own.repartition(1).sortWithinPartitions("c_custkey").write.option("header", True).csv(folder)  # a document is one file
     return files.csv_files(spark, f"{folder}/*.csv").select("file_type", "content", "row_count")
 
 
@@ -696,12 +749,12 @@ def load_csv_document(spark, d):
 def load_directory(spark, d):
     """Text and CSV files and one that isn't JSON, in folders below one; files that don't fit the pattern stay out."""
     root = _folder(spark, "directory")
-    nation = fx.table(spark, d, "nation")
+    customer = fx.table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
     for k in range(5):
-        own = nation.where(F.col("n_regionkey") == k).repartition(1).sortWithinPartitions("n_nationkey")
-        own.select("n_name").write.text(f"{root}/{k}/text")
+        own = customer.where(F.col("c_nationkey") % 5 == k).repartition(1).sortWithinPartitions("c_custkey")
+        own.select("c_name").write.text(f"{root}/{k}/text")
         own.write.option("header", True).csv(f"{root}/{k}/csv")
-        own.select("n_name").write.json(f"{root}/{k}/json")
+        own.select("c_name").write.json(f"{root}/{k}/json")
     found = files.Ingestion().load_directory(spark, root, "part-*", recursive=True)
     return found.groupBy("file_type").agg(F.count("*").alias("n_files"), F.sum(F.length("content")).alias("n_chars"), F.sum("row_count").alias("row_count"))
 

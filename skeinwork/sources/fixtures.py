@@ -47,6 +47,25 @@ QUESTIONS = (
     (18, "what is the sum"), (19, ""),
 )
 
+#: Questions that grow with the tables: of every shape about customers and their years, and what users ask in conversations.
+ASKED = """
+SELECT c_custkey AS query_id, CASE CAST(c_custkey % 12 AS INT)
+  WHEN 0 THEN 'What is "' || c_name || '" worth in ' || CAST(2019 + c_custkey % 7 AS VARCHAR(10)) || '?'
+  WHEN 1 THEN 'How is ' || c_mktsegment || ' related to "' || c_name || '"?' WHEN 2 THEN 'Compare revenue of "' || c_name || '" across different products'
+  WHEN 3 THEN 'What was the total of sales to "' || c_name || '" during last year?' WHEN 4 THEN 'When did online Growth of ' || lower(c_mktsegment) || ' begin?'
+  WHEN 5 THEN 'Who is "' || c_name || '" and what is "NATION_' || CAST(c_nationkey AS VARCHAR(10)) || '"' WHEN 6 THEN 'how many orders did ' || c_name || ' place in 1998'
+  WHEN 7 THEN 'Define profit for the latest firm, versus previous year' WHEN 8 THEN 'recent business news of Steel Works and Steel Works'
+  WHEN 9 THEN 'link between "' || c_name || '" and "' || c_name || '" in 2024 and 2024' WHEN 10 THEN 'Show the timeline of Brand Line 2021 and 2022' ELSE '' END AS question FROM {customer} customer
+UNION ALL SELECT -1 - 1000 * conv_id - turn, text FROM {conversations} conversations WHERE role = 'user' AND text IS NOT NULL
+"""
+
+#: Answers of a model about customers: good lines, lines that lack a field, have a bad score, more fields, another prefix, or no lines.
+ANSWERED = """
+SELECT 'r' || CAST(c_custkey AS VARCHAR(20)) AS chunk_id, 'ENTITY: ' || c_name || ' | TYPE: ' || lower(c_mktsegment) || ' | CONFIDENCE: 0.' || CAST(1 + c_custkey % 9 AS VARCHAR(10)) || chr(10) || CASE CAST(c_custkey % 6 AS INT)
+  WHEN 0 THEN 'Some words' || chr(10) || 'ENTITY: Only two | TYPE: X' WHEN 1 THEN '  ENTITY: Spaced ' || c_name || ' | TYPE: concept | CONFIDENCE: high'
+  WHEN 2 THEN 'ENTITY: Extra | TYPE: metric | CONFIDENCE: 0.5 | NOTE: x' WHEN 3 THEN 'entity: lower | TYPE: X | CONFIDENCE: 1' WHEN 4 THEN '' ELSE 'ENTITY: Last | TYPE: year | CONFIDENCE: 1e-1' END AS response FROM {customer} customer
+"""
+
 RESPONSES = (
     ("r0", "ENTITY: Acme Corp | TYPE: organization | CONFIDENCE: 0.9\nENTITY: Jakarta | TYPE: Location | CONFIDENCE: 1.0"),
     ("r1", "Some words\nENTITY: Only two | TYPE: X"),
@@ -93,8 +112,12 @@ def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(QUESTIONS), "query_id long, question string")
 
 
-def responses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, "model", k, v) for k, v in RESPONSES], "chunk_id string, source_doc string, ord string, response string")
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(spark, sf_dir, ASKED)
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(spark, sf_dir, f"SELECT chunk_id, 'model' AS source_doc, chunk_id AS ord, response FROM ({ANSWERED}) r")
 
 
 def graph_edges(spark: SparkSession) -> DataFrame:
