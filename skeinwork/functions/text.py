@@ -81,3 +81,32 @@ def left(text: Column, n: int) -> Column:
 
 def path_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
+
+
+def pick(k: Column, *values: Column) -> Column:
+    """The k-th of the values; null beyond them."""
+    out = F.when(k == 0, values[0])
+    for i, value in enumerate(values[1:], 1):
+        out = out.when(k == i, value)
+    return out
+
+
+def spots(rules: list[Column], more: Column | None = None) -> Column:
+    """array<struct<k, at, text, kind>>: for each rule its number and how many hold before it, null where it doesn't hold; behind them those of `more`
+    (array<struct<text, kind>>), with k beyond the rules. Exploded, this is narrow: what a rule gives is worked out after it, for that rule alone."""
+    at, out = F.lit(0), []
+    for k, rule in enumerate(rules):
+        holds = F.coalesce(rule, F.lit(False))
+        out.append(F.when(holds, F.struct(F.lit(k).alias("k"), at.alias("at"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("kind"))))
+        at = at + holds.cast("int")
+    found = F.array(*out)
+    if more is None:
+        return found
+    base = at
+    beyond = F.transform(more, lambda x, i: F.struct(F.lit(len(rules)).alias("k"), (base + i).alias("at"), x["text"].alias("text"), x["kind"].alias("kind")))
+    return F.when(more.isNull(), found).otherwise(F.concat(found, beyond))
+
+
+def numbered_ord(at: Column) -> Column:
+    """A place behind its row's `ord`, so that texts sort as places do."""
+    return F.concat("ord", F.lit("/"), F.lpad(at.cast("string"), 8, "0"))

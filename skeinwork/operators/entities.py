@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skeinwork.functions.text import drop_point_zero, find_all, find_spans, float_text, is_number, norm, strip, truthy
+from skeinwork.functions.text import drop_point_zero, find_all, find_spans, float_text, is_number, norm, numbered_ord, pick, spots, strip, truthy
 
 #: Patterns, words and markers of the specification.
 CAPITALISED = r"\b[A-Z][a-z]+(?:(?U:\s)+[A-Z][a-z]+)*\b"
@@ -94,15 +94,11 @@ def target_type(raw: Column, text: Column) -> Column:
     return F.when(kind == "entity", classify(text, False)).when(kind == "concept", "CONCEPT").when(kind == "data", "METRIC").otherwise("ENTITY")
 
 
-def evidence_entities(text: Column, **context) -> Column:
-    """Brands (once each), percentages and ranks of a note."""
-    more = {"column": "evidence_note", "is_key": False, "derived_from": "evidence", **context}
-    brands = F.filter(F.array_distinct(F.transform(find_all(text, BRAND), strip)), lambda x: F.length(x) > 2)
-    return F.concat(
-        F.transform(brands, lambda x: entity(x, "BRAND", 0.7, **more)),
-        F.transform(find_all(text, PERCENTAGE), lambda x: entity(x, "PERCENTAGE", 1.0, **more)),
-        F.transform(find_all(text, RANK), lambda x: entity(x, "RANK", 1.0, **more)),
-    )
+def evidence(note: Column) -> Column:
+    """array<struct<text, kind>>: brands (once each), percentages and ranks of a note."""
+    brands = F.filter(F.array_distinct(F.transform(find_all(note, BRAND), strip)), lambda x: F.length(x) > 2)
+    kinds = ((brands, "BRAND"), (find_all(note, PERCENTAGE), "PERCENTAGE"), (find_all(note, RANK), "RANK"))
+    return F.concat(*[F.transform(found, lambda x, kind=kind: F.struct(x.alias("text"), F.lit(kind).alias("kind"))) for found, kind in kinds])
 
 
 def _if(condition: Column, *items: Column) -> Column:
@@ -112,18 +108,24 @@ def _if(condition: Column, *items: Column) -> Column:
 def relation_entities(rows: DataFrame) -> DataFrame:
     """Entities of entity-relation rows (source, relation, target, target_type and, if there, section, year, value, unit, evidence_note)."""
     c = _columns(rows, "source", "relation", "target", "target_type", "section", "year", "value", "unit", "evidence_note")
-    here = {"section": c["section"], "year": c["year"]}
     number = F.when(is_number(c["value"]), F.expr("try_cast(value as double)")) if "value" in rows.columns else F.lit(None).cast("double")
+    named = rows.select("chunk_id", "source_doc", "ord", *[v.alias(k) for k, v in c.items()], number.alias("number"))
+    c = {k: F.col(k) for k in c}
+    number = F.col("number")
+    rules = [truthy(c["source"]), truthy(c["target"]), truthy(c["section"]), truthy(c["year"]), truthy(c["value"]) & number.isNotNull()]
+    # a null note has no evidence
+    each = named.select("*", F.explode(spots(rules, evidence(c["evidence_note"]))).alias("x")).where("x is not null").select("*", "x.k", "x.at", F.col("x.text").alias("noted"), F.col("x.kind").alias("noted_kind"))
+    k, none = F.col("k"), F.lit(None)
     metric = F.when(truthy(c["unit"]), F.concat(float_text(number), F.lit(" "), c["unit"])).otherwise(float_text(number))
-    found = F.concat(
-        _if(truthy(c["source"]), entity(c["source"], classify(c["source"], True), 1.0, column="source", is_key=True, relation=c["relation"], **here)),
-        _if(truthy(c["target"]), entity(c["target"], target_type(c["target_type"], c["target"]), 1.0, column="target", is_key=True, relation=c["relation"], entity_category=c["target_type"], **here)),
-        _if(truthy(c["section"]), entity(c["section"], "SECTION", 0.9, column="section", is_key=False, year=c["year"])),
-        _if(truthy(c["year"]), entity(drop_point_zero(c["year"]), "YEAR", 1.0, column="year", is_key=False)),
-        _if(truthy(c["value"]) & number.isNotNull(), entity(metric, "METRIC", 1.0, column="value", is_key=False, value=number, unit=c["unit"], **here)),
-        F.coalesce(evidence_entities(c["evidence_note"], **here), _if(F.lit(False))),
-    )
-    return _rows(rows, found)
+    fields = {
+        "text": pick(k, c["source"], c["target"], c["section"], drop_point_zero(c["year"]), metric, F.col("noted")),
+        "type": pick(k, classify(c["source"], True), target_type(c["target_type"], c["target"]), F.lit("SECTION"), F.lit("YEAR"), F.lit("METRIC"), F.col("noted_kind")),
+        "column": pick(k, *map(F.lit, ("source", "target", "section", "year", "value", "evidence_note"))),
+        "is_key": k < 2, "confidence": F.when(k == 2, 0.9).when(F.col("noted_kind") == "BRAND", 0.7).otherwise(1.0),
+        "section": F.when((k != 2) & (k != 3), c["section"]), "year": F.when(k != 3, c["year"]), "relation": F.when(k < 2, c["relation"]),
+        "entity_category": F.when(k == 1, c["target_type"]), "value": F.when(k == 4, number), "unit": F.when(k == 4, c["unit"]), "derived_from": F.when(k == 5, "evidence"),
+    }
+    return each.select("chunk_id", F.col("source_doc").alias("source"), numbered_ord(F.col("at")).alias("ord"), *[fields.get(n, none).cast(t).alias(n) for n, t in FIELDS.items()])
 
 
 def section_entities(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinwork.functions.storage import cut
-from skeinwork.functions.text import drop_point_zero, find_all, norm, strip, truthy
+from skeinwork.functions.text import drop_point_zero, find_all, norm, numbered_ord, pick, spots, strip, truthy
 from skeinwork.operators.entities import RELATION_COLUMNS, SECTION_COLUMNS, _columns
 
 #: Words that suggest a relationship, and the default patterns with type and confidence.
@@ -122,16 +122,16 @@ def row_relations(rows: DataFrame, entities: DataFrame) -> DataFrame:
     col = F.col
     year = drop_point_zero(F.coalesce("year", F.lit("")))
     filled = lambda n: truthy(col(n)) & (strip(col(n)) != "")
-    main = relation(
-        col("source"), col("target"), F.replace(F.upper("relation"), F.lit(" "), F.lit("_")), 1.0, year=year, section=col("section"), source_type=col("source_kind"),
-        target_type=F.coalesce("target_kind", "target_type"), value=F.when(filled("value"), col("value")), unit=F.when(filled("value") & filled("unit"), col("unit")), evidence=F.when(filled("evidence_note"), col("evidence_note")),
-    )
-    found = F.concat(
-        _if(truthy(col("source")) & truthy(col("relation")) & truthy(col("target")), main),
-        _if(truthy(col("source")) & truthy(col("section")), relation(col("source"), col("section"), "IN_SECTION", 0.9, year=year)),
-        _if(truthy(col("source")) & (year != ""), relation(col("source"), year, "IN_YEAR", 1.0)),
-    )
-    return _rows(wide, found)
+    rules = [truthy(col("source")) & truthy(col("relation")) & truthy(col("target")), truthy(col("source")) & truthy(col("section")), truthy(col("source")) & (year != "")]
+    each = wide.select("*", F.explode(spots(rules)).alias("x")).where("x is not null").select("*", "x.k", "x.at")
+    k, none = col("k"), F.lit(None)
+    stated = lambda x: F.when(k == 0, x)
+    fields = {
+        "source": col("source"), "target": pick(k, col("target"), col("section"), year), "type": pick(k, F.replace(F.upper("relation"), F.lit(" "), F.lit("_")), F.lit("IN_SECTION"), F.lit("IN_YEAR")),
+        "confidence": F.when(k == 1, 0.9).otherwise(1.0), "year": F.when(k < 2, year), "section": stated(col("section")), "source_type": stated(col("source_kind")), "target_type": stated(F.coalesce("target_kind", "target_type")),
+        "value": F.when((k == 0) & filled("value"), col("value")), "unit": F.when((k == 0) & filled("value") & filled("unit"), col("unit")), "evidence": F.when((k == 0) & filled("evidence_note"), col("evidence_note")),
+    }
+    return each.select("chunk_id", "source_doc", numbered_ord(col("at")).alias("ord"), *[fields.get(n, none).cast(t).alias(n) for n, t in FIELDS.items()])
 
 
 def content_mentions(rows: DataFrame, entities: DataFrame) -> DataFrame:

@@ -407,6 +407,17 @@ ORACLES: dict[str, str] = {
     "graph_neighbors": f"WITH RECURSIVE {_GRAPH}, {_hops(_values([('AFRICA',), ('Brand#2',), ('Customer#000000001',)], 'seed'), 2)} SELECT * FROM (SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS rank, node, distance FROM reach WHERE distance > 0) WHERE rank <= 100",
     "graph_related": _related(["EUROPE", "Supplier#000000001", "nobody"], 2),
     "graph_related_rows": _related(["AFRICA", "Brand#2", "Customer#000000001", "nobody"], 3),
+    "graph_pattern_chain": f"""WITH {_GRAPH} SELECT p.source AS who, p.target AS "order", b.target AS nation, p.edge_id FROM edges p JOIN edges b ON b.source = p.source AND b.type = 'BASED_IN'
+      JOIN edges r ON r.source = b.target AND r.type = 'PART_OF' AND r.target = 'EUROPE' WHERE p.type = 'PLACED' AND p.source IN (SELECT node_id FROM nodes) AND b.target IN (SELECT node_id FROM nodes)
+      AND r.target IN (SELECT node_id FROM nodes) AND p.target IN (SELECT node_id FROM nodes WHERE node_type = 'METRIC')""",
+    "graph_pattern_run": f"""WITH {_GRAPH}, e AS MATERIALIZED (SELECT source AS a, target AS b, edge_id FROM edges WHERE type IN ('SUPPLIES', 'IN_SECTION')),
+      s AS (SELECT * FROM e UNION ALL SELECT b, a, edge_id FROM e WHERE a <> b), one AS (SELECT b, [edge_id] AS run FROM s WHERE a = 'Supplier#000000001'),
+      two AS (SELECT s.b, list_append(run, edge_id) AS run FROM one JOIN s ON s.a = one.b AND NOT list_contains(run, edge_id)),
+      r AS (SELECT b, 1 AS length FROM one UNION ALL SELECT b, 2 FROM two) SELECT b AS name, length, count(*) AS n FROM r WHERE b IN (SELECT node_id FROM nodes) GROUP BY b, length""",
+    "graph_pattern_loop": f"""WITH {_GRAPH}, e AS MATERIALIZED (SELECT source, target, type, edge_id FROM edges WHERE type IN ('BASED_IN', 'IN_SECTION'))
+      SELECT y.source AS name, t.target AS section FROM e x JOIN e y ON y.target = x.target AND y.edge_id <> x.edge_id JOIN e s ON s.source = x.source JOIN e t ON t.source = y.source AND t.target = s.target AND t.edge_id <> s.edge_id
+      WHERE x.source = 'Customer#000000001' AND x.type = 'BASED_IN' AND y.type = 'BASED_IN' AND s.type = 'IN_SECTION' AND t.type = 'IN_SECTION' AND y.source IN (SELECT node_id FROM nodes)
+      AND x.target IN (SELECT node_id FROM nodes) AND t.target IN (SELECT node_id FROM nodes WHERE node_type = 'SECTION')""",
     "graph_entity_lookup": f"WITH {_GRAPH} SELECT node_id, node_type, confidence FROM nodes WHERE name = 'NATION_3' ORDER BY node_type, node_id LIMIT 1",
     "graph_upsert_nodes": f"""WITH {_ER}, {_ENT} SELECT type AS node_type, text AS name, {", ".join(f'arg_max("{c}", ord) FILTER (WHERE "{c}" IS NOT NULL) AS "{c}"' for c in ("confidence", "chunk_id", "column", "is_key", "section", "year"))},
       round(arg_max(value, ord) FILTER (WHERE value IS NOT NULL), 6) AS value, arg_max(unit, ord) FILTER (WHERE unit IS NOT NULL) AS unit FROM ent WHERE {_PRIMARY} GROUP BY type, text""",
@@ -489,8 +500,8 @@ ORACLES: dict[str, str] = {
       SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, origin DESC, name) AS rank, name, round(similarity_score, 6) AS similarity_score, origin FROM u) WHERE rank <= 10""",
 }
 
-# the stored graph answers as the graph itself
-for _name, _same in (("graph_index_related", "graph_related_rows"), ("graph_index_ego", "graph_ego_khop"), ("graph_index_lookup", "graph_entity_lookup")):
+# the stored graph answers as the graph itself, and so does the one that follows a stream
+for _name, _same in (("stream_degree", "graph_degree"), ("stream_nodes", "graph_upsert_nodes"), ("graph_index_related", "graph_related_rows"), ("graph_index_ego", "graph_ego_khop"), ("graph_index_lookup", "graph_entity_lookup")):
     ORACLES[_name] = ORACLES[_same]
 
 # literals with a point are decimals in DuckDB

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from skeinwork.functions.storage import cut, shared_dir
 from skeinwork.operators import answers, chunking, context, embedding, graph, graph_index, ivf_pq, questions, retrieval, vectors
 from skeinwork.operators import entities as E
+from skeinwork.operators import patterns as P
 from skeinwork.operators import relations as R
 from skeinwork.sources import files, tables
 from skeinwork.sources import fixtures as fx
+from skeinwork.streaming import graph_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -351,6 +353,33 @@ def graph_index_lookup(spark, d):
     return _indexed(spark, d).by_name("NATION_3").select("node_id", "node_type", "confidence")
 
 
+@query
+def graph_pattern_chain(spark, d):
+    """Who placed an order, is based in a nation that is part of a region: customers of each region and what they placed."""
+    nodes, edges, _ = _graph(spark, d)
+    of = [P.Node("who"), P.Node("order", "METRIC"), P.Node("nation"), P.Node("region", having={"name": "EUROPE"})]
+    by = [P.Edge("who", "order", "PLACED", "placed"), P.Edge("who", "nation", "BASED_IN"), P.Edge("nation", "region", "PART_OF")]
+    found = P.match(nodes, edges, of, by)
+    return found.select(F.col("who.name").alias("who"), F.col("order.name").alias("order"), F.col("nation.name").alias("nation"), F.col("placed")[0].alias("edge_id"))
+
+
+@query
+def graph_pattern_run(spark, d):
+    """One or two edges in a row, in either direction, from one supplier."""
+    nodes, edges, _ = _graph(spark, d)
+    found = P.match(nodes, edges, [P.Node("a", having={"name": "Supplier#000000001"}), P.Node("b")], [P.Edge("a", "b", ["SUPPLIES", "IN_SECTION"], "run", either=True, least=1, most=2)])
+    return found.groupBy(F.col("b.name").alias("name"), F.size("run").alias("length")).agg(F.count("*").alias("n"))
+
+
+@query
+def graph_pattern_loop(spark, d):
+    """Two customers of one nation in one section of the market: a pattern that comes back to a node it has."""
+    nodes, edges, _ = _graph(spark, d)
+    of = [P.Node("a", having={"name": "Customer#000000001"}), P.Node("nation"), P.Node("b"), P.Node("section", "SECTION")]
+    by = [P.Edge("a", "nation", "BASED_IN"), P.Edge("b", "nation", "BASED_IN"), P.Edge("a", "section", "IN_SECTION"), P.Edge("b", "section", "IN_SECTION")]
+    return P.match(nodes, edges, of, by).select(F.col("b.name").alias("name"), F.col("section.name").alias("section"))
+
+
 @query
 def graph_entity_lookup(spark, d):
     return graph.get_entity(_nodes(spark, d), "NATION_3").select("node_id", "node_type", "confidence")
@@ -361,6 +390,28 @@ def graph_upsert_nodes(spark, d):
     return graph.upsert_nodes(E.row_entities(fx.er_rows(spark, d))).select("node_type", "name", "confidence", "chunk_id", "column", "is_key", "section", "year", "value", "unit")
 
 
+def _streamed(spark, rows: DataFrame, start, *key: str) -> DataFrame:
+    """rows as files that a stream takes one or two at a time; what its store says at the end. start(files, store, checkpoint) begins the stream."""
+    folder = _folder(spark, "stream")
+    rows.withColumn("part", F.pmod(F.xxhash64("ord"), F.lit(5))).repartition(5, "part").drop("part").write.parquet(f"{folder}/in")
+    start(f"{folder}/in", f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    return graph_state.current(spark, f"{folder}/store", *key)
+
+
+@query
+def stream_degree(spark, d):
+    edges = _graph(spark, d)[1].select("source", "target", "ord")
+    return _streamed(spark, edges, lambda *paths: graph_state.degrees(spark, *paths, files=2), "node")
+
+
+@query
+def stream_nodes(spark, d):
+    found = E.row_entities(fx.er_rows(spark, d))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+    out = _streamed(spark, found, lambda files, store, checkpoint: graph_state.nodes(spark, files, schema, store, checkpoint, files=2), "node_type", "name")
+    return out.select("node_type", "name", "confidence", "chunk_id", "column", "is_key", "section", "year", "value", "unit")
+
+
 @query
 def graph_upsert_edges(spark, d):
     nodes, edges, _ = _graph(spark, d)

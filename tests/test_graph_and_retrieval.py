@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from jobs.common import settings
 from skeinwork.config import EngineConfig
-from skeinwork.operators import answers, context, embedding, graph, graph_index, ivf_pq, questions, retrieval, vectors
+from skeinwork.operators import answers, context, embedding, graph, graph_index, ivf_pq, patterns, questions, retrieval, vectors
 from skeinwork.plans.queries import QUERIES
 from skeinwork.sources import files, tables
 from skeinwork.sources import fixtures as fx
 from skeinwork.operators import entities as E
-from skeinwork.streaming import incremental
+from skeinwork.streaming import graph_state, incremental
 
 
 def brute_trails(start, depth, limit):
@@ -476,3 +476,84 @@ def test_csv_rows_over_the_borders_of_splits(spark, tmp_path, size):
     for name in {r["source_doc"] for r in got}:
         own = sorted((r["row_index"], r["id"]) for r in got if r["source_doc"] == name)
         assert [i for i, _ in own] == list(range(len(own))) and ("g1" in name or [x for _, x in own] == [str(i) for i in range(120)])
+
+
+def test_graph_follows_a_stream(spark, tmp_path):
+    """Any split into batches, late and repeated keys: the rows of the whole input, at any time those of what has come."""
+    rng = np.random.default_rng(3)
+    rows = [(str(i), f"n{rng.integers(9)}", str(rng.choice(["A", "B"])), None if rng.random() < 0.5 else f"s{i}", None if rng.random() < 0.3 else float(i)) for i in rng.permutation(120)]
+    schema = "ord string, text string, type string, section string, confidence double, source string, chunk_id string, column string, is_key boolean, year string, parent_section string, value double, unit string"
+    whole = spark.createDataFrame([(o, t, k, s, c, None, None, None, None, None, None, None, None) for o, t, k, s, c in rows], schema)
+    key = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert graph_state.current(spark, f"{tmp_path}/store", "node_type", "name") is None
+    for k in range(3):
+        whole.limit(40 * (k + 1)).subtract(whole.limit(40 * k)).repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+        graph_state.nodes(spark, f"{tmp_path}/in", schema, f"{tmp_path}/store", f"{tmp_path}/state", files=2).awaitTermination()
+        assert key(graph_state.current(spark, f"{tmp_path}/store", "node_type", "name")) == key(graph.upsert_nodes(spark.read.schema(schema).parquet(f"{tmp_path}/in")))
+    # nothing new: no batch, nothing changes
+    n = spark.read.parquet(f"{tmp_path}/store").count()
+    graph_state.nodes(spark, f"{tmp_path}/in", schema, f"{tmp_path}/store", f"{tmp_path}/state").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/store").count() == n
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in rng.integers(0, 7, (50, 2))], "source string, target string")
+    edges.repartition(4).write.parquet(f"{tmp_path}/edges")
+    graph_state.degrees(spark, f"{tmp_path}/edges", f"{tmp_path}/degrees", f"{tmp_path}/state2", files=1).awaitTermination()
+    assert key(graph_state.current(spark, f"{tmp_path}/degrees", "node")) == key(graph.degrees(edges))
+
+
+def matches(nodes, edges, of, by):
+    """All matches of a pattern, by trying every assignment of nodes and every trail of edges."""
+    import itertools
+
+    kinds = lambda kind, have: kind is None or have == kind or (not isinstance(kind, str) and have in kind)
+    fits = [[n for n in nodes if kinds(p.kind, n["node_type"]) and all(n[c] == v for c, v in p.having.items())] for p in of]
+
+    def trails(e, a, b, used):
+        def grow(at, run):
+            if len(run) >= e.least and at == b:
+                yield run
+            if len(run) < e.most:
+                for x in edges:
+                    if kinds(e.kind, x["type"]) and x["edge_id"] not in run and x["edge_id"] not in used:
+                        if x["source"] == at:
+                            yield from grow(x["target"], [*run, x["edge_id"]])
+                        if e.either and x["target"] == at and x["source"] != x["target"]:
+                            yield from grow(x["source"], [*run, x["edge_id"]])
+
+        return grow(a, [])
+
+    out = []
+    for own in itertools.product(*fits):
+        at = {p.name: n["node_id"] for p, n in zip(of, own)}
+        found = [[]]
+        for e in by:
+            found = [[*runs, run] for runs in found for run in trails(e, at[e.source], at[e.target], [x for r in runs for x in r])]
+        out += [(tuple(at[p.name] for p in of), tuple(tuple(r) for e, r in zip(by, runs) if e.name)) for runs in found]
+    return sorted(out)
+
+
+def test_patterns_match_as_trying_everything_does(spark):
+    P = patterns
+    nodes = [("a", "X", "A", 1), ("b", "X", "B", 2), ("c", "Y", "C", 1), ("d", "Y", "D", None), ("e", "Z", "x' OR '1'='1", 2)]
+    edges = [("e1", "a", "b", "K"), ("e2", "a", "b", "K"), ("e3", "b", "c", "L"), ("e4", "c", "a", "L"), ("e5", "c", "c", "K"), ("e6", "c", "d", "M"), ("e7", "d", "e", "K"), ("e8", "e", "ghost", "K")]
+    n = spark.createDataFrame(nodes, "node_id string, node_type string, name string, rank int")
+    e = spark.createDataFrame(edges, "edge_id string, source string, target string, type string")
+    rows = [r.asDict() for r in n.collect()], [r.asDict() for r in e.collect()]
+    N, E_ = P.Node, P.Edge
+    asked = [
+        ([N("x")], []), ([N("x", "X")], []), ([N("x", having={"rank": None})], []), ([N("x", having={"name": "x' OR '1'='1"})], []),
+        ([N("x"), N("y")], [E_("x", "y", name="r")]), ([N("x", "X"), N("y", ["X", "Y"])], [E_("x", "y", "K", "r")]), ([N("x"), N("y")], [E_("x", "y", ["K", "L"], "r", either=True)]),
+        ([N("x", "Y"), N("y")], [E_("y", "x", name="r", most=3)]), ([N("x"), N("y", "Z")], [E_("x", "y", name="r", either=True, least=2, most=3)]),
+        ([N("x"), N("y"), N("z")], [E_("x", "y", name="r"), E_("y", "z", name="s"), E_("z", "x", name="t")]), ([N("x"), N("y")], [E_("x", "y", "K", "r"), E_("x", "y", "K", "s")]),
+        ([N("x"), N("y"), N("z", having={"rank": 1})], [E_("x", "y", either=True), E_("y", "z", name="s", either=True, most=2)]), ([N("x")], [E_("x", "x", name="r", most=3)]),
+    ]
+    for of, by in asked:
+        df = P.match(n, e, of, by)
+        got = sorted((tuple(r[p.name]["node_id"] for p in of), tuple(tuple(r[b.name]) for b in by if b.name)) for r in df.collect())
+        assert got == matches(*rows, of, by), (of, by)
+    # types and values filter before the first join
+    plan = P.match(n, e, [N("x", "X"), N("y")], [E_("x", "y", "K")])._jdf.queryExecution().optimizedPlan().toString()
+    joins = plan.index("Join")
+    assert all(plan.index(f"= {v})") > joins for v in ("X", "K"))
+    for of, by in (([N("x"), N("x")], []), ([N("x"), N("y")], []), ([N("x")], [E_("x", "q")]), ([N("x"), N("y")], [E_("x", "y", most=11)]), ([N(c) for c in "wxyz"], [E_("w", "x"), E_("y", "z")])):
+        with pytest.raises(ValueError):
+            P.match(n, e, of, by)

@@ -2,13 +2,15 @@
 
 import re
 
+import numpy as np
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skeinwork.functions.text import find_spans, float_text, strip
-from skeinwork.operators import chunking, entities, relations
+from skeinwork.operators import chunking, embedding, entities, relations, text_model
 from skeinwork.operators.entities import CAPITALISED
 
 TEXTS = st.text(alphabet="ab. ?!\nA éZ9\t", max_size=80)
@@ -162,3 +164,71 @@ def test_factories_refuse_unknown_names():
     for f in (entities.extractor, relations.extractor, chunking.chunker):
         with pytest.raises(ValueError):
             f("nothing")
+
+
+# the learned text model
+
+
+def contexts(n=60):
+    """Texts about two topics; `auto` and `car` share no text, but their company."""
+    rng = np.random.default_rng(1)
+    road, sea = "wheel engine road driver tyre fuel".split(), "sail water harbour mast wave anchor".split()
+    out = []
+    for i in range(n):
+        own, name = (road, "car" if i % 4 == 0 else "auto") if i % 2 == 0 else (sea, "boat")
+        out.append(" ".join(np.insert(rng.choice(own, 12), [3, 8], name)))
+    return out
+
+
+def test_pairs_are_counted_over_whole_texts(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(list("abcdefgh"), n)) for n in (1, 2, 3, 40, 511, 512, 513, 517, 1500)] + [None, "", "a"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    known = text_model.vocabulary(docs, 6, 1)
+    ids = {r["word"]: r["id"] for r in known.collect()}
+    want = {}
+    for t in texts:
+        w = (t or "").split()
+        for i in range(len(w)):
+            for j in range(i + 1, min(len(w), i + 1 + text_model.WINDOW)):
+                if w[i] != w[j] and w[i] in ids and w[j] in ids:
+                    key = tuple(sorted((ids[w[i]], ids[w[j]])))
+                    want[key] = want.get(key, 0) + 1
+    assert len(ids) == 6 and {(r["a"], r["b"]): r["n"] for r in text_model.pairs(docs, known).collect()} == want
+
+
+def test_learned_words_of_like_company_are_near(spark):
+    docs = spark.createDataFrame([(t,) for t in contexts()], "text string")
+    model = text_model.fit(docs, dimension=6)
+    car, auto, boat, none = model(["car", "auto", "boat", "unseen words"])
+    assert car @ auto > 0.8 > 0.5 > car @ boat and not none.any()
+    hashed = embedding.hashing_model(["car", "auto"])
+    assert hashed[0] @ hashed[1] < 0.5
+    # the same vectors from any partitions, up to rounding
+    again = text_model.fit(docs.repartition(7), dimension=6)
+    assert again.index == model.index and np.abs(again.vectors - model.vectors).max() < 1e-8
+    # the decomposition is that of the whole matrix
+    entries = text_model.ppmi(text_model.pairs(docs, text_model.vocabulary(docs))).collect()
+    m = np.zeros((len(model.index),) * 2)
+    for r in entries:
+        m[r["a"], r["b"]] = r["x"]
+    value = np.sort(np.abs(np.linalg.eigvalsh(m)))[::-1]
+    assert np.allclose(np.sort((model.vectors**2).sum(0))[::-1][:2], value[:2], rtol=0.02)
+    # as a client of the embedder, with columns too
+    e = embedding.Embedder("hf", "learned", client=model)
+    assert e.dimension == 6 and np.allclose(docs.limit(1).select(e.column(F.col("text")).alias("v")).first()["v"], model([docs.first()["text"]])[0], atol=1e-6)
+
+
+def test_near_copies_of_documents_are_nearest(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 200").select("doc_id", "text")
+    model = text_model.fit(docs, dimension=32)
+    rows = docs.orderBy("doc_id").limit(40).collect()
+    changed = [" ".join(w for k, w in enumerate(r["text"].split()) if k % 5) for r in rows]
+    own, near = model([r["text"] for r in rows]), model(changed)
+    assert np.mean((near @ own.T).argmax(1) == np.arange(len(rows))) > 0.9
+
+
+def test_model_of_nothing(spark):
+    for texts in ([], [(None,)], [("one",)], [("a a a",), ("a",)]):
+        model = text_model.fit(spark.createDataFrame(texts, "text string"), dimension=4)
+        assert model(["a", None]).shape == (2, 4) and not model(["b"]).any()
