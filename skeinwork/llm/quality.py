@@ -4,8 +4,9 @@ The regression reads word unigrams and bigrams and character (code point) 3- and
 lower-cased text, hashed into one table of weights; its score is the mean weight of a text's n-grams
 of each kind. It is trained on labelled quality rows, its scores are calibrated to probabilities
 (Platt) on rows kept out of the training, and every whole text is scored in Arrow batches against a
-fixed threshold. The sample's n-grams are hashed and counted where the rows are; the driver gets
-counts, in parts.
+fixed threshold. The sample's n-grams are hashed and counted where the rows are, and stay there: each
+pass of the training is a job in which tasks sum the slopes of their own rows, and the driver gets one
+sum a task.
 
 Defined cases: a null text is an empty one; a text of fewer than ten words fails the base rules; a
 corpus without labels of both kinds keeps what passes the base rules; several labels of one document
@@ -19,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,9 @@ from skeinwork.llm.common import cut, read
 #: Labelled rows that the regression is trained on, at most: those whose ids hash lowest; and counts of n-grams in them, at most:
 #: rows that would go beyond are left out whole.
 SAMPLE, COUNTS = 3000, 30_000_000
-#: Counts that are read at once in training; parts in which they come to the driver.
+#: Counts that a task reads at once in training; parts that the sample is dealt to; passes over it and their rate.
 STEP, PARTS = 2_000_000, 8
+PASSES, RATE = 10, 0.5
 #: A document stays if its probability of good quality is at least this.
 THRESHOLD = 0.4
 BITS = 18
@@ -156,47 +159,121 @@ class Model:
 SCALE = 20.0
 
 
-def train(texts: list[str | None], labels: np.ndarray, **settings) -> Model | None:
+def _rows(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows as Grams.counts() gives them, laid end to end: buckets, shares, and how many of them each row has."""
+    return np.concatenate([c for c, _ in counts] or [np.zeros(0, np.int32)]), np.concatenate([v for _, v in counts] or [np.zeros(0, np.float32)]), np.array([len(c) for c, _ in counts], np.int64)
+
+
+@dataclass(frozen=True)
+class Local:
+    """Rows in one place, for tests and small tables. Every fifth is kept out."""
+
+    rows: tuple[np.ndarray, np.ndarray, np.ndarray]
+    y: np.ndarray
+
+    def totals(self) -> np.ndarray:
+        held = np.arange(len(self.y)) % 5 == 4
+        return np.array([len(self.y), self.y.sum(), (~held).sum(), self.y[~held].sum()], float)
+
+    def slope(self, w: np.ndarray, b: float, every: bool) -> tuple[np.ndarray, float]:
+        return _slope(self.rows, self.y, (np.arange(len(self.y)) % 5 == 4) & (not every), w, b)
+
+    def held(self, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+        held = np.arange(len(self.y)) % 5 == 4
+        return _logits(self.rows, w, b)[held], self.y[held]
+
+
+def _logits(rows: tuple[np.ndarray, np.ndarray, np.ndarray], w: np.ndarray, b: float) -> np.ndarray:
+    c, v, n = rows
+    return b + np.bincount(np.repeat(np.arange(len(n)), n), w[c] * v, len(n))
+
+
+def _slope(rows: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+    """The slopes of the loss over the rows that train, by weight and by the bias, summed."""
+    c, v, n = rows
+    miss = np.where(held, 0, 1 / (1 + np.exp(-np.clip(_logits(rows, w, b), -40, 40))) - y)
+    return np.bincount(c, np.repeat(miss, n) * v, 1 << BITS), float(miss.sum())
+
+
+@dataclass(frozen=True)
+class Stored:
+    """Rows (y, held, cols, vals) of a stored table: each pass is a job whose tasks sum the slopes of their own rows. The driver gets one sum a task, of PARTS or so."""
+
+    table: DataFrame
+
+    def totals(self) -> np.ndarray:
+        own = F.when(~F.col("held"), 1)
+        r = self.table.agg(F.count("*"), F.sum("y"), F.count(own), F.sum(own * F.col("y"))).first()
+        return np.array([x or 0 for x in r], float)
+
+    def _each(self, work, names: list[str], schema: str) -> pa.Table:
+        """work on (rows, y, held) of about STEP counts at a time; it gives a tuple of columns, or None, and once more with None at the end."""
+
+        def run(batches):
+            for batch in batches:
+                upto = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy())
+                lo = 0
+                while lo < batch.num_rows:
+                    hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + STEP, "right")))
+                    part = batch.slice(lo, hi - lo)
+                    rows = tuple(part.column(k).flatten().to_numpy() for k in (2, 3)) + (pc.list_value_length(part.column(2)).to_numpy().astype(np.int64),)
+                    out = work(rows, part.column(0).to_numpy().astype(float), part.column(1).to_numpy(zero_copy_only=False))
+                    if out is not None:
+                        yield pa.RecordBatch.from_arrays(list(out), names=names)
+                    lo = hi
+            out = work(None, None, None)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays(list(out), names=names)
+
+        return self.table.select("y", "held", "cols", "vals").mapInArrow(run, schema).toArrow()
+
+    def slope(self, w: np.ndarray, b: float, every: bool) -> tuple[np.ndarray, float]:
+        shared = self.table.sparkSession.sparkContext.broadcast(w.astype(np.float32))
+        sums: list = []
+
+        def work(rows, y, held):
+            if rows is not None:
+                slope, miss = _slope(rows, y, held & (not every), shared.value, b)
+                sums[:] = [sums[0] + slope, sums[1] + miss] if sums else [slope, miss]
+                return None
+            return (pa.array([sums[0].astype(np.float32).tobytes()]), pa.array([sums[1]])) if sums else None
+
+        found = self._each(work, ["slope", "miss"], "slope binary, miss double")
+        shared.unpersist()
+        return sum((np.frombuffer(x, np.float32) for x in found.column(0).to_pylist()), np.zeros(1 << BITS)), sum(found.column(1).to_pylist())
+
+    def held(self, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+        shared = self.table.sparkSession.sparkContext.broadcast(w.astype(np.float32))
+
+        def work(rows, y, held):
+            return (pa.array(_logits(rows, shared.value, b)[held]), pa.array(y[held])) if rows is not None else None
+
+        found = self._each(work, ["z", "y"], "z double, y double")
+        return found.column(0).to_numpy(), found.column(1).to_numpy()
+
+
+def train(texts: list[str | None], labels: np.ndarray) -> Model | None:
     """The model of some texts. None without both labels."""
-    return train_counts(list(Grams().counts(texts)), labels, **settings)
+    return learn(Local(_rows(list(Grams().counts(texts))), np.asarray(labels, float)))
 
 
-def train_counts(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 40, rate: float = 0.5, decay: float = 1e-6) -> Model | None:
-    """Full-batch AdaGrad on four of five rows, calibration on the fifth; rows as Grams.counts() gives them. None without both labels."""
-    y = np.asarray(labels, float)
-    if len(y) < 10 or y.min() == y.max():
+def learn(rows: Local | Stored, passes: int = PASSES, rate: float = RATE, decay: float = 1e-6) -> Model | None:
+    """AdaGrad over all rows that train, calibration on those that are kept out. None without both labels."""
+    n_all, good_all, n, good = rows.totals()
+    if n_all < 10 or not 0 < good_all < n_all:
         return None
-    out = np.arange(len(y)) % 5 == 4
-    if not 0 < y[~out].mean() < 1:
-        out[:] = False
-    # rows that are read together: about STEP counts
-    upto = np.cumsum([len(c) for c, _ in rows])
-    edges = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] + STEP, STEP)).clip(0, len(rows)))
-    spans = [(int(a), int(b)) for a, b in zip([0, *edges], [*edges, len(rows)]) if b > a]
-    w, square = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
-    b = float(np.log(y[~out].mean() / (1 - y[~out].mean())))
-    n = (~out).sum()
-
-    def passes(rated: bool):
-        """The rows' logits and, rated, the gradient of those that train."""
-        z, grad = np.zeros(len(y)), np.zeros(1 << BITS)
-        for lo, hi in spans:
-            c, v = np.concatenate([c for c, _ in rows[lo:hi]]), np.concatenate([v for _, v in rows[lo:hi]])
-            r = np.repeat(np.arange(hi - lo), [len(c) for c, _ in rows[lo:hi]])
-            z[lo:hi] = b + np.bincount(r, w[c] * v, hi - lo)
-            if rated:
-                g = np.where(out[lo:hi], 0, 1 / (1 + np.exp(-np.clip(z[lo:hi], -40, 40))) - y[lo:hi])
-                grad += np.bincount(c, g[r] * v, 1 << BITS)
-        return z, grad
-
-    for _ in range(epochs):
-        z, grad = passes(True)
-        b -= rate * np.where(out, 0, 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y).sum() / n
-        grad = grad / n + decay * w
-        square += grad * grad
-        w -= rate * grad / np.sqrt(square)
-    z, _ = passes(False)
-    slope, shift = _platt(z[out], y[out]) if out.sum() >= 50 and 0 < y[out].mean() < 1 else (1.0, 0.0)
+    # without both labels among the rows that train, all of them train
+    every = not 0 < good < n
+    n, good = (n_all, good_all) if every else (n, good)
+    w, square, b = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8), float(np.log(good / (n - good)))
+    for _ in range(passes):
+        slope, miss = rows.slope(w, b, every)
+        b -= rate * miss / n
+        slope = slope / n + decay * w
+        square += slope * slope
+        w -= rate * slope / np.sqrt(square)
+    z, y = (np.zeros(0), np.zeros(0)) if every else rows.held(w, b)
+    slope, shift = _platt(z, y) if len(y) >= 50 and 0 < y.mean() < 1 else (1.0, 0.0)
     return Model(w.astype(np.float32), b, slope, shift)
 
 
@@ -232,19 +309,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counts: int =
     picked = known.orderBy(order, "doc_id").limit(sample).withColumnRenamed("doc_id", "of")
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     rows = own.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).groupBy("doc_id").agg(F.first("y").cast("int").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    table = cut(rows.mapInArrow(_count, "doc_id long, y int, cols array<int>, vals array<float>"), "quality-counts")
-    sizes = table.select("doc_id", F.size("cols").alias("n")).orderBy(order, "doc_id").collect()  # `sample` rows at most
-    upto = np.cumsum([r["n"] for r in sizes])
-    chosen = {r["doc_id"] for r, n in zip(sizes, upto) if n <= counts}
-    found, y = {}, {}
-    for part in range(PARTS):
-        own = table.where(F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(PARTS)) == part).where(F.col("doc_id").isin(chosen)).toArrow() if chosen else None
-        for batch in own.to_batches() if own is not None else ():
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                found[doc] = tuple(batch.column(k)[i].values.to_numpy().copy() for k in (2, 3))
-                y[doc] = batch.column(1)[i].as_py()
-    docs_in_order = np.array(sorted(found))[np.random.default_rng(5).permutation(len(found))] if found else []
-    return train_counts([found[d] for d in docs_in_order], np.array([y[d] for d in docs_in_order]))
+    counted = rows.repartition(PARTS, "doc_id").mapInArrow(_count, "doc_id long, y int, cols array<int>, vals array<float>")
+    held = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(5)) == 4
+    table = cut(counted.withColumns({"held": held, "order": order}), "quality-counts")
+    sizes = table.select("order", "doc_id", F.size("cols").alias("n")).orderBy("order", "doc_id").collect()  # `sample` rows at most
+    fits = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), counts, "right"))
+    if not fits:
+        return None
+    last = sizes[fits - 1]
+    return learn(Stored(table.where((F.col("order") < last["order"]) | ((F.col("order") == last["order"]) & (F.col("doc_id") <= last["doc_id"])))))
 
 
 _OUT = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("probability", pa.float64()), ("kept", pa.bool_())]
