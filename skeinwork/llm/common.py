@@ -2,17 +2,49 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinwork.functions.storage import cut, cut_all, scope, shared_dir
 
-__all__ = ["WORD", "cut", "cut_all", "n_words", "packed", "read", "row_hash", "same", "scope", "shared_dir"]
+__all__ = ["WORD", "cut", "cut_all", "n_words", "packed", "read", "row_hash", "same", "scope", "shared_dir", "slices"]
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of text that a task works on at once, unless one text is longer.
+SLICE = 1 << 20
+
+
+def give_back() -> None:
+    """Freed memory of a worker goes back to the system: workers live on between tasks, and several share a machine with their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it gives back what it does
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about `size` bytes in a column of texts, so that what is made of them stays small, however long they are. After
+    each batch what it took is given back."""
+    for batch in batches:
+        total = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(total.searchsorted((total[lo - 1] if lo else 0) + size, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+        del batch
+        give_back()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,14 +24,12 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import cut, read, same
+from skeinwork.llm.common import cut, read, same, slices
 
 #: Words of a passage that is sure to be found; words of a sequence whose hash may be its fingerprint.
 WINDOW, GRAM = 10, 5
@@ -142,23 +140,11 @@ class Words:
         return b" ".join([raw[s - base : e - base] for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist())]).decode("utf-8", "replace")
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Batches of some pieces' bytes, or of one long text."""
-    for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        total = np.cumsum(sizes)
-        lo = 0
-        while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 4 * PIECE, "right")))
-            yield batch.slice(lo, hi - lo)
-            lo = hi
-
-
 def item_windows(items: DataFrame) -> DataFrame:
     """item, n (words), print, words: each different window of the benchmark's items."""
 
     def run(batches):
-        for batch in _batches(batches, 1):
+        for batch in slices(batches, 1):
             w = Words(batch.column(1))
             prints, _ = w.windows()
             rows = []
@@ -202,7 +188,7 @@ def selected(docs: DataFrame, windows: DataFrame) -> DataFrame:
     names = ["doc_id", "th", "n_words", "n", "print", "at", "words"]
 
     def run(batches):
-        for batch in _batches(batches, 2):
+        for batch in slices(batches, 2):
             w = Words(batch.column(2))
             n_words = np.diff(w.row)
             found = []

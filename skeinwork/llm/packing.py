@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skeinwork.llm.common import cut, read
+from skeinwork.llm.common import cut, read, slices
 
 LIMIT = 1024
 END = 2
@@ -80,7 +80,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> Da
 
     def run(batches):
         tokens, nth = Tokens(path), 0
-        for batch in batches:
+        for batch in slices(batches, 1):
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(tokens.ids(text or ""), end).astype("<u4")

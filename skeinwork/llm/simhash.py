@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import cut, packed, read, row_hash
+from skeinwork.llm.common import cut, packed, read, row_hash, slices
 from skeinwork.llm.components import components
 
 RADIUS = 3
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, th (the text's hash) and fp (the fingerprint as a signed long)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2):
             fps = np.array([fingerprint(x) for x in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "th", "fp"])
 

@@ -38,8 +38,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import cut, read
+from skeinwork.llm.common import cut, read, slices
 
+#: Candidates that a task counts before it passes the counts on.
+HELD = 50_000
 #: Labelled rows that terms and weights are learned from, at most: those whose ids hash lowest.
 SAMPLE = 8000
 #: What a term needs: toxic rows, how many times the share of clean rows, and of the best term's rows what the cover's last one adds.
@@ -263,13 +265,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if len(totals) < 2:
         return Model()
 
+    def told(tox: Counter, non: Counter) -> pa.RecordBatch:
+        keys = list(tox | non)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([tox[k] for k in keys], pa.int64()), pa.array([non[k] for k in keys], pa.int64())], names=["term", "tox", "non"])
+
     def count(batches):
         tox, non = Counter(), Counter()
-        for batch in batches:
+        for batch in slices(batches, 0):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 (tox if y else non).update(_candidates(text))
-        keys = list(tox | non)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([tox[k] for k in keys], pa.int64()), pa.array([non[k] for k in keys], pa.int64())], names=["term", "tox", "non"])
+                if len(tox) + len(non) > HELD:
+                    yield told(tox, non)
+                    tox.clear()
+                    non.clear()
+        yield told(tox, non)
 
     per = rows.where("first").select("text", "y").mapInArrow(count, "term string, tox long, non long").groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("non").alias("non"))
     ratio = (F.col("tox") / totals[True]) / ((F.col("non") + 0.5) / totals[False])
@@ -373,7 +382,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
     def run(batches):
         scorer = model.scorer()
-        for batch in batches:
+        for batch in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, score double")
@@ -387,7 +396,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = model.scorer()
         for part in parts:
-            yield pa.array([scorer.score(t) < threshold for t in part.to_pylist()], pa.bool_())
+            own = slices([pa.record_batch([part], ["text"])], 0)
+            yield pa.array([scorer.score(t) < threshold for x in own for t in x.column(0).to_pylist()], pa.bool_())
 
     return docs.where(clean(F.col("text").cast("string")))
 
