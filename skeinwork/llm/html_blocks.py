@@ -3,9 +3,10 @@
 A page becomes its sequence of leaf blocks. Each block has a tag-path vector (hashed tags, ids,
 classes and roles on the way down to it), a hashed-word vector and a few sizes; a bidirectional LSTM
 in numpy reads the whole sequence and says of each block whether it belongs to the main text. The
-labeller is trained here, with a fixed seed, on pages that a generator writes (page furniture of many
-kinds around and inside articles) and on a bounded sample of the pages at hand, labelled by where
-their blocks stand. Training reads whole pages, in windows of blocks; labelling carries its states
+labeller is trained here, with a fixed seed, on pages that a generator writes, labelled by what it knows
+of each text that it writes (page furniture of many kinds around and inside articles; a good third of
+the pages withhold names and telling elements, so that words, links and neighbours must tell), and on a
+bounded sample of the pages at hand, labelled by where their blocks stand. Training reads whole pages, in windows of blocks; labelling carries its states
 through pages of any length.
 
 A page is read once from left to right, in time that grows with its length: a tag ends at the first >
@@ -25,7 +26,8 @@ import html as entities
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -359,24 +361,36 @@ _FURNITURE_TAGS = frozenset("nav header footer aside form button select option d
 
 
 def stands(path: tuple[str, ...]) -> bool:
-    """Whether a block in this place is main text: in an article, main or a container named so, and in no furniture."""
+    """Whether a block in this place is main text: in an article, main or a container named so, and in no furniture. A header in there is the article's own."""
     inside = False
     for element in path:
         tag, *names = element.split(" ")
         names = [n[1:] for n in names if not n.endswith("~")]
-        if tag in _FURNITURE_TAGS or any(n in FURNITURE for n in names):
+        if (tag in _FURNITURE_TAGS and not (tag == "header" and inside)) or any(n in FURNITURE for n in names):
             return False
         inside = inside or tag in ("article", "main") or any(n in ("article", "content", "post", "entry", "story") for n in names)
     return inside
 
 
-def generate(rng: np.random.Generator) -> str:
-    """A page with furniture around, and now and then inside, its article; blocks stand where stands() says what they are."""
+#: What main texts of a generated page begin with: the generator knows what it writes, and no label is read off a path.
+MARK = "\ue000"
+#: Words that furniture says of itself where no name does, and how comments are announced.
+SAYS = {"menu": "menu home about contact search topics sections archive more".split(), "foot": "copyright rights reserved terms privacy imprint contact".split(), "side": "related popular latest trending newsletter subscribe sponsored advertisement share follow".split()}
+ANNOUNCED = "responses comments replies answers reactions".split()
+
+
+def generate(rng: np.random.Generator, layout: str | None = None) -> str:
+    """A page with furniture around, and now and then inside, its article. Every text of the article begins with MARK.
+
+    layout: "named" (furniture and articles have names or tags of their own), "bare" (no names and plain elements: what a block is shows in its
+    words, links and neighbours), "table" (bare, in cells); by default two, one and a half in three and a half."""
     letters = "abcdefghijklmnopqrstuvwxyzéèüñóöä"
 
     def pick(xs):
         return xs[int(rng.integers(len(xs)))]
 
+    layout = layout or pick(["named"] * 5 + ["bare"] * 2 + ["table"])
+
     def words(n: int) -> str:
         return " ".join("".join(pick(letters) for _ in range(int(rng.integers(2, 9)))) for _ in range(n))
 
@@ -385,14 +399,39 @@ def generate(rng: np.random.Generator) -> str:
 
     def paragraph() -> str:
         text = " ".join(sentence(int(rng.integers(1, 15))) for _ in range(int(rng.integers(1, 5))))
+        odd = rng.random()
+        if odd < 0.08:
+            # a word or two, or the same over and over
+            text = words(int(rng.integers(1, 3))).capitalize() if odd < 0.05 else f"{words(1)} " + f"{words(1)} " * int(rng.integers(5, 60))
         if rng.random() < 0.15:
             text = f'<a href="/{words(1)}">{words(2)}</a> {text}'
         if rng.random() < 0.15:
             text = f"<b>{words(2)}</b> {text}"
         tag = "p" if rng.random() < 0.85 else pick(["h2", "h3", "li", "blockquote", "td", "pre", "div"])
-        body = f"<{tag}>{text}" + ("" if tag == "p" and rng.random() < 0.3 else f"</{tag}>")
+        body = f"<{tag}>{MARK}{text}" + ("" if tag == "p" and rng.random() < 0.3 else f"</{tag}>")
         return f"<ul>{body}</ul>" if tag == "li" else f"<table><tr>{body}</tr></table>" if tag == "td" else body
 
+    def links(n: int, says: list[str]) -> list[str]:
+        return [f'<a href="/{words(1)}">{pick(says).capitalize() if rng.random() < 0.4 else words(int(rng.integers(1, 3)))}</a>' for _ in range(n)]
+
+    def comments() -> str:
+        """Readers' comments that no name gives away: announced, then short texts under names."""
+        n = int(rng.integers(1, 6))
+        items = [f"<p>{words(1).capitalize()} {pick(['says', 'wrote', '·', 'on'])} {words(1)} {int(rng.integers(1, 29))}</p><p>{sentence(int(rng.integers(2, 14)))}</p>" for _ in range(n)]
+        head = pick(["h2", "h3", "h4", "p"])
+        return f"<{head}>{n} {pick(ANNOUNCED)}</{head}>" + "".join(items if rng.random() < 0.5 else [f"<div>{x}</div>" for x in items])
+
+    def plain(kind: str) -> str:
+        """Furniture without a name."""
+        if kind == "menu":
+            inner = links(int(rng.integers(3, 8)), SAYS["menu"])
+            inner = (["Menu"] if rng.random() < 0.3 else []) + inner
+            return "<ul>" + "".join(f"<li>{x}</li>" for x in inner) + "</ul>" if rng.random() < 0.5 else "<div>" + "".join(f"<p>{x}</p>" for x in inner) + "</div>" if rng.random() < 0.5 else pick(["", "Menu<br>"]) + "<br>".join(inner)
+        if kind == "foot":
+            return f"<p>{pick(['©', 'Copyright', ''])} {int(rng.integers(1998, 2030))} {words(2)} {pick(SAYS['foot'])} {pick(SAYS['foot'])}</p>"
+        head = f"<h3>{pick(SAYS['side']).capitalize()} {words(int(rng.integers(0, 2)))}</h3>"
+        return "<div>" + head + "".join(f"<p>{x}</p>" for x in links(int(rng.integers(1, 5)), SAYS["side"])) + "</div>"
+
     def furniture() -> str:
         kind = rng.random()
         name = pick(FURNITURE)
@@ -413,39 +452,57 @@ def generate(rng: np.random.Generator) -> str:
 
     parts = [paragraph() for _ in range(int(rng.integers(1, 16)))]
     if rng.random() < 0.8:
-        parts.insert(0, f"<h1>{words(int(rng.integers(2, 10)))}</h1>")
+        title = f"<h1>{MARK}{words(int(rng.integers(2, 10)))}</h1>"
+        # an article's own header is no furniture, but a page's is
+        parts.insert(0, f"<header>{title}</header>" if layout == "named" and rng.random() < 0.25 else title)
+    page = lambda inner: f"<html><head><title>{words(3)}</title></head><body>{inner}</body></html>"
+    if layout != "named":
+        body = "".join(parts) + (comments() if rng.random() < 0.5 else "")
+        before = [plain(pick(["menu", "menu", "side"])) for _ in range(int(rng.integers(0, 3)))]
+        after = [plain(pick(["side", "foot", "menu"])) for _ in range(int(rng.integers(0, 3)))]
+        if layout == "table":
+            cell = lambda x: f"<td>{x}</td>"
+            return page("<table><tr>" + "".join(map(cell, [*(before or [plain("menu")]), body, *after])) + "</tr></table>")
+        body = f"<div>{body}</div>" if rng.random() < 0.5 else body
+        return page("".join(before) + body + "".join(after))
     for _ in range(int(rng.choice([0, 0, 1, 2]))):
+        # behind a header of the article, which comes first
         parts.insert(int(rng.integers(len(parts) + 1)), furniture())
     tag = pick(["article", "article", "main", "div"])
     if tag == "div":
         opened = f'<div {pick(["class", "id"])}="{pick(["content", "post", "entry", "story", "article"])}{pick(["", "", "-body", "-text", "-main"])}">'
     else:
         opened = f"<{tag}>" if rng.random() < 0.6 else f'<{tag} class="{pick(BODY)}">'
-    article = opened + "".join(parts) + f"</{tag}>"
+    article = opened + "".join(parts) + f"</{tag}>" + (comments() if rng.random() < 0.15 else "")
     if rng.random() < 0.4:
         article = f'<div class="{pick(["container", "wrapper", "inner", "layout", "row", "page"])}">{furniture() if rng.random() < 0.5 else ""}{article}{furniture() if rng.random() < 0.5 else ""}</div>'
     around = [furniture() for _ in range(int(rng.integers(0, 4)))], [furniture() for _ in range(int(rng.integers(0, 4)))]
-    return f"<html><head><title>{words(3)}</title></head><body>{''.join(around[0])}{article}{''.join(around[1])}</body></html>"
+    return page(f"{''.join(around[0])}{article}{''.join(around[1])}")
+
+
+def marked(page: str) -> tuple[list[Block], list[bool]]:
+    """A generated page's blocks without their marks, and which of them had one."""
+    found = blocks(page)
+    return [replace(b, text=b.text.replace(MARK, "")) for b in found], [MARK in b.text for b in found]
 
 
 #: A training window: vectors of blocks that follow each other, and which are main text.
 Window = tuple[np.ndarray, np.ndarray]
 
 
-def windows(page: str | None, vectors: Vectors, width: int = WINDOW):
-    """(number, ones of the paths, rest of the vectors, labels) of each window of a page; windows follow each other to its end."""
-    found = blocks(page)
+def windows(found: list[Block], labels: list[bool], vectors: Vectors, width: int = WINDOW):
+    """(number, ones of the paths, rest of the vectors, labels) of each window of a page's blocks; windows follow each other to the end."""
     for k, lo in enumerate(range(0, len(found), width)):
         hi = min(lo + width, len(found))
-        yield k, [vectors.path(b.path) for b in found[lo:hi]], [vectors.rest(found[i], i, len(found)) for i in range(lo, hi)], [stands(b.path) for b in found[lo:hi]]
+        yield k, [vectors.path(b.path) for b in found[lo:hi]], [vectors.rest(found[i], i, len(found)) for i in range(lo, hi)], labels[lo:hi]
 
 
-def train(sample: list[Window], generated: int = GENERATED, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
-    """The labeller, by Adam on the given windows and on generated pages."""
+def train(sample: list[Window], generated: int = GENERATED, epochs: int = EPOCHS, seed: int = SEED, write: Callable[[np.random.Generator], str] = generate) -> Labeller:
+    """The labeller, by Adam on the given windows and on pages that `write` writes."""
     rng = np.random.default_rng(seed)
     vectors, xs, ys = Vectors(), [x for x, _ in sample], [y for _, y in sample]
-    for page in (generate(rng) for _ in range(generated)):
-        for _, paths, rests, labels in windows(page, vectors):
+    for page in (write(rng) for _ in range(generated)):
+        for _, paths, rests, labels in windows(*marked(page), vectors):
             xs.append(whole(paths, rests))
             ys.append(np.array(labels, np.float32))
     model = Labeller.fresh(rng)
@@ -527,7 +584,8 @@ def sample_windows(pages: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_WI
         vectors = Vectors()
         for batch in batches:
             for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, paths, rests, labels in windows(html, vectors):
+                found = blocks(html)
+                for k, paths, rests, labels in windows(found, [stands(b.path) for b in found], vectors):
                     row = [page], [k], [[p.tolist() for p in paths]], [np.concatenate(rests).tolist()], [labels]
                     kinds = pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.float32()), pa.list_(pa.bool_())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds)], names=["page", "k", "paths", "rests", "labels"])
