@@ -10,8 +10,9 @@ Around it, what has to be sorted is cut down, exactly:
 
 1. Anchors. In each document the least-hashed KGRAM-byte gram of every 100-byte window is an anchor;
    the windows that choose it are its own. Equal windows choose equal anchors, at one offset.
-2. Anchors meet by hash. Those whose own windows are byte for byte the same text (64-bit hash) as an
-   earlier one's are repeats as a whole. First anchors of a hash that is seen with different texts
+2. Anchors meet by hash. Those whose own windows are the same text as an earlier one's, by a second
+   hash that shares nothing with the first (XXH64; a pair that meets and differs passes it once in
+   2^64), are repeats as a whole. First anchors of a hash that is seen with different texts
    around go on; all others are done.
 3. Their contexts meet by hash. Windows whose hash is there once are done; the runs of the rest,
    equal runs once, are the text whose suffix array is built: neighbours in it that share 100 bytes
@@ -38,6 +39,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,9 +177,6 @@ class Rolling:
     def grams(self, sums: np.ndarray, k: int) -> np.ndarray:
         return _mix((sums[k:] - sums[:-k]) * self.inverse[: len(sums) - k])
 
-    def pieces(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _mix((sums[b] - sums[a]) * self.inverse[a])
-
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h * np.uint64(0x9E3779B97F4A7C15)
@@ -212,7 +211,9 @@ def anchors(data: np.ndarray, rolling: Rolling, length: int = LENGTH, k: int = K
     first = np.flatnonzero(np.concatenate([[True], nxt[1:] != nxt[:-1]]))
     last = np.concatenate([first[1:] - 1, [len(nxt) - 1]])
     place = cand[nxt[first]]
-    own = rolling.pieces(sums, first, last + length)
+    # XXH64 of the bytes, which shares nothing with the rolling hash that the anchor was chosen by
+    raw = memoryview(data)
+    own = np.array([xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())], np.uint64)
     shape = (place - first).astype(np.uint64) * np.uint64(1009) + (last - place + length).astype(np.uint64)
     return h[place], place, first, last, _mix(own + shape)
 
