@@ -28,7 +28,7 @@ def job2_question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         out = question_log.run(spark, f"{sf_dir}/conversations.parquet", f"{folder}/log", f"{folder}/checkpoint")
     lists = {c: F.array_join(c, "|") for c in ("entities", "keywords", "temporal")}
-    return out.withColumns(lists).drop("batch")
+    return out.withColumns(lists).drop("batch", "known")  # no graph is given
 
 
 QUERIES = {f.__name__: f for f in (job1_build_graph, job2_question_log)}

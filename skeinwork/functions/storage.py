@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,7 +18,7 @@ _scopes: list[list[str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine gets its own
-    temporary one; on a cluster that raises, as executors couldn't see it."""
+    temporary one, which goes with the process; on a cluster that raises, as executors couldn't see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
@@ -24,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="skeinwork-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         found = _own[app]
     return found.rstrip("/")
 

@@ -83,9 +83,10 @@ def index_graph(nodes: DataFrame, edges: DataFrame, embedder: embedding.Embedder
     for c in ("section", "year", "unit", "evidence"):
         n = n if c in n.columns else n.withColumn(c, F.lit(None).cast("string"))
         e = e if c in e.columns else e.withColumn(c, F.lit(None).cast("string"))
-    # ids by hash: numbering all rows in order would take one task
-    n = embedding.embed_nodes(n, embedder).select(F.xxhash64("node_id").alias("vec_id"), "node_id", "node_type", F.col("name").alias("entity_name"), "text", "embedding")
-    e = embedding.embed_edges(e, embedder).select(F.xxhash64("edge_id", "ord").alias("vec_id"), "edge_id", "source", "target", F.col("type").alias("relationship_type"), "year", "section", "evidence", "text", "embedding")
+    # numbered range by range: no id stands for two names, and no task numbers all rows
+    n, e = vectors.numbered(n, "node_id", "vec_id"), vectors.numbered(e, "ord", "vec_id")
+    n = embedding.embed_nodes(n, embedder).select("vec_id", "node_id", "node_type", F.col("name").alias("entity_name"), "text", "embedding")
+    e = embedding.embed_edges(e, embedder).select("vec_id", "edge_id", "source", "target", F.col("type").alias("relationship_type"), "year", "section", "evidence", "text", "embedding")
     tables.save_vectors(n, f"{folder}/node_vectors")
     tables.save_vectors(e, f"{folder}/edge_vectors")
     return tables.load_vectors(spark, f"{folder}/node_vectors"), tables.load_vectors(spark, f"{folder}/edge_vectors")
@@ -100,8 +101,8 @@ def hybrid_statistics(node_vectors: DataFrame | None, edge_vectors: DataFrame |
 
 
 def write_results(folder: str, answered: DataFrame, node_vectors: DataFrame, edge_vectors: DataFrame) -> None:
-    """Answers, and the statistics of the index, as JSON lists."""
-    tables.write_json_list(answered, f"{folder}/qa_results.json")
+    """Answers as JSON lines, by all tasks; the statistics of the index, two rows, as one list."""
+    tables.write_json(answered, f"{folder}/qa_results")
     tables.write_json_list(index_statistics(node_vectors, edge_vectors), f"{folder}/indexing_stats.json")
 
 

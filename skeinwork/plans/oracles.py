@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from skeinwork.operators import answers as A
-from skeinwork.operators import context as C
-from skeinwork.operators import questions as Q
 from skeinwork.operators import relations as R
-from skeinwork.operators.entities import COMPANY_MARKS, DEPARTMENT_MARKS, FIELDS, PLACES, STOP_WORDS
+from skeinwork.operators.entities import FIELDS
+from skeinwork.plans import fixed as S
 from skeinwork.sources import fixtures as fx
 
 _TYPES = {"string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE", "int": "INTEGER"}
@@ -60,10 +59,10 @@ def _each(name: str, table: str, items: str) -> str:
 
 
 def _classify(t: str, source: bool) -> str:
-    return f"""CASE WHEN {" OR ".join(f"contains({t}, {_text(m)})" for m in COMPANY_MARKS)} THEN 'ORGANIZATION'
+    return f"""CASE WHEN {" OR ".join(f"contains({t}, {_text(m)})" for m in S.COMPANY_MARKS)} THEN 'ORGANIZATION'
       WHEN regexp_matches({t}, '^[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)?$') THEN '{"ORGANIZATION" if source else "PRODUCT"}'
-      WHEN {t} = upper({t}) AND {t} <> lower({t}) AND length({t}) <= 5 THEN 'TECHNOLOGY' WHEN {t} IN ({_words(PLACES)}) THEN 'LOCATION'
-      WHEN {" OR ".join(f"contains(lower({t}), {_text(m)})" for m in DEPARTMENT_MARKS)} THEN 'DEPARTMENT' ELSE 'ENTITY' END"""
+      WHEN {t} = upper({t}) AND {t} <> lower({t}) AND length({t}) <= 5 THEN 'TECHNOLOGY' WHEN {t} IN ({_words(S.PLACES)}) THEN 'LOCATION'
+      WHEN {" OR ".join(f"contains(lower({t}), {_text(m)})" for m in S.DEPARTMENT_MARKS)} THEN 'DEPARTMENT' ELSE 'ENTITY' END"""
 
 
 _TARGET = f"CASE WHEN lower(target_type) = 'entity' THEN {_classify('target', False)} WHEN lower(target_type) = 'concept' THEN 'CONCEPT' WHEN lower(target_type) = 'data' THEN 'METRIC' ELSE 'ENTITY' END"
@@ -135,7 +134,7 @@ def _keyword() -> str:
           CAST(list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(h[1:i-1], lambda z: length(z))), 0) AS BIGINT) AS "start"
           FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT *, {hits} AS h, {gaps} AS g FROM chunks)) WHERE {keep}"""
 
-    stop = f"length(h[i]) BETWEEN 2 AND 50 AND lower(h[i]) NOT IN ({_words(STOP_WORDS)})"
+    stop = f"length(h[i]) BETWEEN 2 AND 50 AND lower(h[i]) NOT IN ({_words(S.STOP_WORDS)})"
     parts = [spans("ascii", _CAPITALISED, "NAMED_ENTITY", 0.7, stop), spans("text", _EMAIL, "EMAIL", 1.0), spans("text", _URL, "URL", 1.0), spans("ascii", _NUMBER, "NUMBER", 1.0)]
     return f"""{_CHUNKS}, found AS ({" UNION ALL ".join(parts)}),
       ent AS (SELECT *, "start" + length(text) AS "end", CASE k WHEN 'NAMED_ENTITY' THEN 0 WHEN 'EMAIL' THEN 1 WHEN 'URL' THEN 2 ELSE 3 END AS rank FROM found)"""
@@ -174,15 +173,15 @@ _QUESTIONS = f"q AS (SELECT *, regexp_replace(question, '[^\\x00-\\x7F\\p{{P}}\\
 
 
 def _intent() -> str:
-    cases = " ".join(f"WHEN regexp_matches(lower(ascii), {_text('|'.join(p))}) THEN '{n}'" for n, p in Q.INTENTS)
+    cases = " ".join(f"WHEN regexp_matches(lower(ascii), {_text('|'.join(p))}) THEN '{n}'" for n, p in S.INTENTS)
     return f"CASE {cases} ELSE 'exploration' END"
 
 
 _INTENT = _intent()
 _Q_ENTITIES = _concat([_all("ascii", _CAPITALISED), "regexp_extract_all(question, '\"([^\"]*)\"', 1)", r"regexp_extract_all(ascii, '\b(20\d{2})\b', 1)"])
-_Q_TEMPORAL = rf"list_concat(regexp_extract_all(ascii, '\b(20\d{{2}})\b', 1), regexp_extract_all(lower(ascii), {_text(Q.RELATIVE)}, 1))"
-_Q_KEYWORDS = rf"list_filter(regexp_extract_all(lower(question), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: length(x) > 2 AND x NOT IN ({_words(Q.STOP_WORDS)}))"
-_NODE_TYPE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(question), {_text(w)})' for w in ws)} THEN '{n}'" for n, ws in reversed(Q.INDICATORS)) + " END"
+_Q_TEMPORAL = rf"list_concat(regexp_extract_all(ascii, '\b(20\d{{2}})\b', 1), regexp_extract_all(lower(ascii), {_text(S.TIMES)}, 1))"
+_Q_KEYWORDS = rf"list_filter(regexp_extract_all(lower(question), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: length(x) > 2 AND x NOT IN ({_words(S.QUESTION_STOP_WORDS)}))"
+_NODE_TYPE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(question), {_text(w)})' for w in ws)} THEN '{n}'" for n, ws in reversed(S.TYPE_WORDS)) + " END"
 
 
 def _unrolled(items: str, name: str) -> str:
@@ -229,7 +228,7 @@ def _graph_context() -> str:
       links AS (SELECT query_id, e_rank, string_agg(line, '' ORDER BY nth) AS links FROM conn WHERE nth <= 5 GROUP BY ALL),
       lines AS (SELECT e.query_id, string_agg(chr(10) || e.rank || '. ' || e.name || ' (ENTITY)' || coalesce('   Connections:' || links, '') || coalesce('   From: ' || section, '') || coalesce('   Year: ' || year, ''), '' ORDER BY e.rank) AS body
         FROM en e LEFT JOIN links l ON l.query_id = e.query_id AND l.e_rank = e.rank WHERE e.rank <= 10 GROUP BY ALL),
-      ctx AS (SELECT CAST(q.query_id AS VARCHAR) AS query_id, 'Query: ' || q.question || chr(10) || {_text(C.HEAD["graph"])} || coalesce(body, '') AS context_text,
+      ctx AS (SELECT CAST(q.query_id AS VARCHAR) AS query_id, 'Query: ' || q.question || chr(10) || {_text(S.HEAD["graph"])} || coalesce(body, '') AS context_text,
         (SELECT count(*) FROM gn WHERE gn.query_id = q.query_id) AS entity_count, (SELECT count(*) FROM ge WHERE ge.query_id = q.query_id) AS relationship_count FROM qe q LEFT JOIN lines l ON l.query_id = q.query_id)
       SELECT *, length(context_text) // 4 AS token_count FROM ctx"""
 
@@ -244,7 +243,7 @@ def _vector_context(final: str) -> str:
       e AS ({_listed("vn", f"chr(10) || rank || '. ' || entity_name || ' (' || node_type || ')' || {shown}", 10)}),
       r AS ({_listed("ve", f"chr(10) || rank || '. ' || source || ' --[' || relationship_type || ']--> ' || target || {shown}", 10)}),
       ctx AS (SELECT CAST(q.query_id AS VARCHAR) AS query_id, q.question,
-        'Query: ' || q.question || chr(10) || {_text(C.HEAD["vector"])} || coalesce(e.body, '') || coalesce({_text(C.EDGE_HEAD["vector"])} || r.body, '') AS context_text,
+        'Query: ' || q.question || chr(10) || {_text(S.HEAD["vector"])} || coalesce(e.body, '') || coalesce({_text(S.EDGE_HEAD["vector"])} || r.body, '') AS context_text,
         coalesce(e.n, 0) AS ne, coalesce(r.n, 0) AS nr
         FROM q LEFT JOIN e ON e.query_id = q.query_id LEFT JOIN r ON r.query_id = q.query_id),
       src AS (SELECT CAST(query_id AS VARCHAR) AS query_id, count(DISTINCT section) AS n_sources FROM ve GROUP BY query_id)
@@ -271,7 +270,7 @@ def _hybrid_context(final: str) -> str:
       e AS ({_listed("hn", node, 8)}), r AS ({_listed("he", edge, 8)}),
       src AS (SELECT query_id, string_agg(DISTINCT 'Section: ' || section, ';' ORDER BY 'Section: ' || section) AS sources FROM he GROUP BY query_id),
       ctx AS (SELECT CAST(q.query_id AS VARCHAR) AS query_id, q.question,
-        'Query: ' || q.question || chr(10) || {_text(C.HEAD["hybrid"])} || coalesce(e.body, '') || coalesce({_text(C.EDGE_HEAD["hybrid"])} || r.body, '')
+        'Query: ' || q.question || chr(10) || {_text(S.HEAD["hybrid"])} || coalesce(e.body, '') || coalesce({_text(S.EDGE_HEAD["hybrid"])} || r.body, '')
         || coalesce(chr(10) || chr(10) || '--- Connected Graph Neighborhood ---' || chr(10) || '  Total connected entities: ' || len(sub.nodes) || '  Total relationships: ' || edge_count
           || chr(10) || '  Connected entities: ' || array_to_string(sub.nodes[1:10], ', '), '') AS context_text,
         (SELECT count(*) FROM hn WHERE hn.query_id = q.query_id) AS ne, (SELECT count(*) FROM he WHERE he.query_id = q.query_id) AS nr, coalesce(sources, '') AS sources
@@ -372,16 +371,16 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT chunk_id, perspective, 'PERSPECTIVE', 'perspective', false, 0.9, section, year, NULL FROM ss WHERE {_full("perspective")}
       UNION ALL SELECT chunk_id, replace(year, '.0', ''), 'YEAR', 'year', false, 1.0, NULL, NULL, NULL FROM ss WHERE {_full("year")}
       UNION ALL SELECT chunk_id, trim(t), 'TAG', 'tags', false, 0.8, section, year, NULL FROM (SELECT *, unnest(string_split(tags, ',')) AS t FROM ss) WHERE trim(t) <> ''
-      UNION ALL SELECT chunk_id, t, {_classify("t", False)}, 'content', false, 0.7, section, year, NULL FROM (SELECT *, unnest({_all("regexp_replace(content, '[^\\x00-\\x7F]', '_', 'g')", _CAPITALISED)}) AS t FROM ss) WHERE length(t) BETWEEN 2 AND 50 AND lower(t) NOT IN ({_words(STOP_WORDS)}))
+      UNION ALL SELECT chunk_id, t, {_classify("t", False)}, 'content', false, 0.7, section, year, NULL FROM (SELECT *, unnest({_all("regexp_replace(content, '[^\\x00-\\x7F]', '_', 'g')", _CAPITALISED)}) AS t FROM ss) WHERE length(t) BETWEEN 2 AND 50 AND lower(t) NOT IN ({_words(S.STOP_WORDS)}))
       SELECT * FROM parts""",
     "rel_cooccurrence": f"""WITH {_KEYWORD}, p AS (SELECT a.chunk_id, a.text AS source, b.text AS target, a.type AS source_type, b.type AS target_type, b."start" - a."start" AS dist,
         CASE WHEN a."end" < b."start" THEN {_TRIM.format('substring(a.body, a."end" + 1, b."start" - a."end")')} ELSE '' END AS context
       FROM ent a JOIN ent b ON a.chunk_id = b.chunk_id AND (b."start", b.rank, b.i) > (a."start", a.rank, a.i) AND b."start" - a."start" <= 100)
-      SELECT chunk_id, source, target, 'CO_OCCURS' AS type, round(least(1.0, 0.5 + greatest(0.0, 1 - dist / 100) * 0.3 + 0.1 * ({" + ".join(f"CAST(contains(lower(context), '{w}') AS INTEGER)" for w in R.INDICATORS)})), 6) AS confidence, context, source_type, target_type FROM p""",
+      SELECT chunk_id, source, target, 'CO_OCCURS' AS type, round(least(1.0, 0.5 + greatest(0.0, 1 - dist / 100) * 0.3 + 0.1 * ({" + ".join(f"CAST(contains(lower(context), '{w}') AS INTEGER)" for w in S.LINK_WORDS)})), 6) AS confidence, context, source_type, target_type FROM p""",
     "rel_pattern": " UNION ALL ".join(
         f"""SELECT chunk_id, a[i] AS source, b[i] AS target, '{kind}' AS type, {conf} AS confidence, c[i] AS context FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM (
           SELECT chunk_id, regexp_extract_all(text, {p}, 1) AS a, regexp_extract_all(text, {p}, 2) AS b, regexp_extract_all(text, {p}, 0) AS c FROM ({fx.duck(fx.TEXT_CHUNKS)}) t))"""
-        for p, kind, conf in ((_text("(?i)" + p.replace(r"\w", r"[\p{L}\p{M}\p{N}_]")), k, c) for p, k, c in R.PATTERNS)
+        for p, kind, conf in ((_text("(?i)" + p.replace(r"\w", r"[\p{L}\p{M}\p{N}_]")), k, c) for p, k, c in S.PATTERNS)
     ),
     "rel_csv_relations": f"WITH {_ER}, {_ENT}, {_DEDUP}, {_REL} SELECT chunk_id, source, target, type, confidence, year, section, value, unit, source_type, target_type FROM rel",
     "rel_csv_sections": f"""WITH {_SS}, s AS (SELECT *, {_YEAR} AS y FROM ss WHERE {_full("subsection")})
@@ -391,7 +390,7 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT chunk_id, subsection, trim(t), 'TAGGED_WITH', 0.8, y, section FROM (SELECT *, unnest(string_split(tags, ',')) AS t FROM s) WHERE trim(t) <> ''""",
     "rel_csv_generic": " UNION ALL ".join(f"SELECT CAST(c_custkey AS VARCHAR) AS chunk_id, CAST(c_custkey AS VARCHAR) AS source, CAST({c} AS VARCHAR) AS target, 'HAS_{c.upper()}' AS type, '{c}' AS \"column\", 1.0 AS confidence FROM customer" for c in ("c_custkey", "c_name", "c_nationkey")),
     "rel_content_mentions": f"""WITH {_SS}, m AS (SELECT coalesce(nullif(subsection, ''), section) AS source, unnest({_all("regexp_replace(content, '[^\\x00-\\x7F]', '_', 'g')", _CAPITALISED)}) AS target FROM ss)
-      SELECT source, target, 'MENTIONS_' || {_classify("target", False)} AS type, count(*) AS n, 0.7 AS confidence FROM m WHERE length(target) BETWEEN 3 AND 50 AND lower(target) NOT IN ({_words(STOP_WORDS)}) GROUP BY ALL""",
+      SELECT source, target, 'MENTIONS_' || {_classify("target", False)} AS type, count(*) AS n, 0.7 AS confidence FROM m WHERE length(target) BETWEEN 3 AND 50 AND lower(target) NOT IN ({_words(S.STOP_WORDS)}) GROUP BY ALL""",
     "rel_dedup": f"WITH {_GRAPH} SELECT ord, source, target, type, confidence FROM red",
     "graph_nodes": f"""WITH {_GRAPH} SELECT node_id, node_type, name, confidence, chunk_id, "column", is_key, section, year, round(value, 6) AS value, unit FROM nodes""",
     "graph_chunk_nodes": f"WITH {_CHUNKS} SELECT chunk_id AS node_id, 'CHUNK' AS node_type, substring(text, 1, 500) AS text, source_doc AS source FROM chunks",
@@ -461,7 +460,7 @@ ORACLES: dict[str, str] = {
     "context_vector_text": _vector_context("SELECT query_id, context_text, length(context_text) // 4 AS token_count FROM ctx"),
     "context_hybrid_text": _hybrid_context("SELECT query_id, context_text, length(context_text) // 4 AS token_count FROM ctx"),
     "context_truncate": _vector_context(f"""SELECT query_id, over AS truncated, cut AS context_text, length(cut) // 4 AS token_count FROM (SELECT query_id, length(context_text) // 4 > 200 AS over,
-      CASE WHEN over THEN substring(context_text, 1, 800) || {_text(C.CUT_MARK)} ELSE context_text END AS cut FROM ctx)"""),
+      CASE WHEN over THEN substring(context_text, 1, 800) || {_text(S.CUT_MARK)} ELSE context_text END AS cut FROM ctx)"""),
     "answer_confidence": _vector_context(f"SELECT query_id, {_CONFIDENCE} AS confidence FROM ctx"),
     "answer_prompt": _vector_context(f"SELECT query_id, {_prompt(A.SOURCED)} AS prompt, {_prompt(A.CITED)} AS citation_prompt FROM ctx"),
     "answer_offline": _vector_context(f"SELECT ctx.query_id, '' AS answer, {_CONFIDENCE} AS confidence, coalesce(n_sources, 0) AS n_sources FROM ctx LEFT JOIN src ON src.query_id = ctx.query_id"),
@@ -500,6 +499,31 @@ ORACLES: dict[str, str] = {
       SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, origin DESC, name) AS rank, name, round(similarity_score, 6) AS similarity_score, origin FROM u) WHERE rank <= 10""",
 }
 
+# what is written and read again
+_COUNTS = """SELECT 'nodes' AS part, node_type AS type, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edges', type, count(*) FROM edges GROUP BY ALL"""
+_NODE_TEXT = ORACLES["node_text"].split("SELECT node_id, ", 1)[1].rsplit(" AS text FROM", 1)[0]
+_EDGE_TEXT = ORACLES["edge_text"].split("SELECT edge_id, ", 1)[1].rsplit(" AS text FROM", 1)[0]
+_KINDS = "SELECT '{}' AS extractor, type, count(*) AS n FROM {} GROUP BY type"
+ORACLES |= {
+    "sink_entities": f"WITH {_ER}, {_ENT}, {_DEDUP} SELECT {_OUT} FROM own",
+    "sink_relations": ORACLES["rel_dedup"],
+    "sink_statistics": ORACLES["graph_stats"],
+    "sink_answers": f"SELECT question AS name, query_id AS n FROM ({fx.duck(fx.ASKED)}) q UNION ALL SELECT unnest(['nodes', 'edges']), count(*) FROM embeddings",
+    "store_vectors": f"WITH {_NODE_VECTORS} SELECT vec_id, node_type, entity_name, len(embedding) AS dimension FROM nv",
+    "store_graph": f"WITH {_GRAPH} {_COUNTS} UNION ALL SELECT 'cleared', unnest(['nodes', 'edges']), 0",
+    "index_graph": f"WITH {_GRAPH} SELECT 'nodes' AS store, node_id AS id, {_NODE_TEXT} AS text, true AS embedded, true AS gapless FROM nodes UNION ALL SELECT 'edges', source || '_' || type || '_' || target, {_EDGE_TEXT}, true, true FROM edges",
+    "index_statistics": f"WITH {_GRAPH} SELECT 'nodes' AS store, count(*) AS total_vectors, 16 AS dimension, true AS ready FROM nodes UNION ALL SELECT 'edges', count(*), 16, true FROM edges",
+    "embed_statistics": f"WITH {_GRAPH} SELECT (SELECT count(*) FROM nodes) AS total_node_embeddings, 16 AS embedding_dimension, (SELECT count(*) FROM edges) AS total_edge_embeddings",
+    "chunker_factory": " UNION ALL ".join(f"SELECT chunk_type, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM ({ORACLES[n]}) {n} GROUP BY chunk_type" for n in ("chunk_fixed", "chunk_sentence", "chunk_semantic")),
+    "extractor_factories": f"WITH {_ER}, {_ENT}, {_DEDUP}, {_REL} {_KINDS.format('entities csv', 'ent')} UNION ALL {_KINDS.format('entities keyword', '(' + ORACLES['entities_keyword'] + ') k')} UNION ALL {_KINDS.format('relations csv', 'rel')} UNION ALL {_KINDS.format('relations pattern', '(' + ORACLES['rel_pattern'] + ') p')}",
+    "llm_entities": rf"""SELECT chunk_id, w AS text, upper('word' || length(w)) AS type, CAST(0.5 AS DOUBLE) AS confidence, 'llm' AS extraction_method FROM (SELECT chunk_id, regexp_extract(text, '\S+') AS w FROM ({fx.duck(fx.TEXT_CHUNKS)}) c) WHERE w <> ''""",
+    "llm_prompts": f"""SELECT chunk_id, md5('Find the entities of these types in the text below: PERSON, ORGANIZATION' || chr(10) || chr(10) || 'Text:' || chr(10) || text || chr(10) || chr(10) || 'Answer with one line for each entity:' || chr(10)
+      || 'ENTITY: <text> | TYPE: <type> | CONFIDENCE: <score>' || chr(10)) AS digest FROM ({fx.duck(fx.TEXT_CHUNKS)}) c""",
+    "chunk_nodes_without_ids": f"SELECT CASE WHEN length(text) % 3 = 0 THEN 'chunk_' || sha256(concat_ws(chr(31), source_doc, ord, text)) ELSE chunk_id END AS node_id, source_doc AS source FROM ({fx.duck(fx.TEXT_CHUNKS)}) c",
+    "loader_of_ones_own": "SELECT event_type AS doc_id, 'log' AS file_type, md5(string_agg(event_id || ' ' || event_type, chr(10) ORDER BY event_id) || chr(10)) AS digest, count(*) AS row_count FROM events GROUP BY event_type",
+    "vector_store_statistics": f"WITH n AS (SELECT count(*) AS n, max(len(embedding)) AS dimension FROM embeddings), {_ASKED} SELECT n AS total_vectors, dimension, 'flat' AS index_type, 'before' AS state FROM n UNION ALL SELECT n + (SELECT count(*) FROM q), dimension, 'flat', 'after' FROM n",
+}
+
 # the stored graph answers as the graph itself, and so does the one that follows a stream
 for _name, _same in (("stream_degree", "graph_degree"), ("stream_nodes", "graph_upsert_nodes"), ("graph_index_related", "graph_related_rows"), ("graph_index_ego", "graph_ego_khop"), ("graph_index_lookup", "graph_entity_lookup")):
     ORACLES[_name] = ORACLES[_same]
@@ -512,13 +536,13 @@ for _name in ("entities_keyword", "entities_csv_generic", "entities_csv_sections
 def job_graph_sql() -> str:
     """The graph of all documents: sentence chunks, the entities in them and the relationships that patterns tell, as nodes and edges."""
     key = "lpad(coalesce(CAST(doc_id AS VARCHAR), 'null'), 20, '0') || '#' || lpad(CAST(chunk_index AS VARCHAR), 8, '0') || '#' || substr(sha256(text), 1, 12)"
-    stop = f"length(t) BETWEEN 2 AND 50 AND lower(t) NOT IN ({_words(STOP_WORDS)})"
+    stop = f"length(t) BETWEEN 2 AND 50 AND lower(t) NOT IN ({_words(S.STOP_WORDS)})"
     kinds = [("ascii", _CAPITALISED, "NAMED_ENTITY", 0.7, stop), ("text", _EMAIL, "EMAIL", 1.0, "true"), ("text", _URL, "URL", 1.0, "true"), ("ascii", _NUMBER, "NUMBER", 1.0, "true")]
     found = " UNION ALL ".join(f"SELECT chunk_id, doc_id, t, '{kind}' AS kind, CAST({conf} AS DOUBLE) AS confidence FROM (SELECT chunk_id, doc_id, unnest({_all(column, p)}) AS t FROM chunks) WHERE {keep}" for column, p, kind, conf, keep in kinds)
     said = " UNION ALL ".join(
         f"""SELECT chunk_id, i, a[i] AS source, b[i] AS target, '{kind}' AS type, CAST({conf} AS DOUBLE) AS confidence, c[i] AS context FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM (
           SELECT chunk_id, regexp_extract_all(text, {p}, 1) AS a, regexp_extract_all(text, {p}, 2) AS b, regexp_extract_all(text, {p}, 0) AS c FROM chunks))"""
-        for p, kind, conf in ((_text("(?i)" + p.replace(r"\w", r"[\p{L}\p{M}\p{N}_]")), k, c) for p, k, c in R.PATTERNS)
+        for p, kind, conf in ((_text("(?i)" + p.replace(r"\w", r"[\p{L}\p{M}\p{N}_]")), k, c) for p, k, c in S.PATTERNS)
     )
     return f"""WITH s AS ({ORACLES["chunk_sentence"]}), chunks AS (SELECT DISTINCT {key} AS chunk_id, doc_id, text, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS ascii FROM s),
       found AS ({found}), m AS (SELECT chunk_id, doc_id, t, kind, max(confidence) AS confidence, count(*) AS n FROM found GROUP BY ALL),

@@ -16,7 +16,8 @@ def write_json(df: DataFrame, folder: str) -> None:
 
 
 def write_json_list(df: DataFrame, path: str) -> None:
-    """One file with an indented JSON list, for reports. Rows are drawn partition by partition, so the driver holds one at a time."""
+    """One file with an indented JSON list, for summaries of some rows: they are drawn to the driver, which holds one partition at a time. Whatever grows
+    with the input goes to write_json."""
     spark = df.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)

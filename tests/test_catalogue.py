@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from skeinwork.plans import stores  # noqa: F401
 from skeinwork.plans.oracles import ORACLES
 from skeinwork.plans.queries import QUERIES
 
