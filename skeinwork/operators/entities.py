@@ -97,8 +97,11 @@ def target_type(raw: Column, text: Column) -> Column:
 def evidence(note: Column) -> Column:
     """array<struct<text, kind>>: brands (once each), percentages and ranks of a note."""
     brands = F.filter(F.array_distinct(F.transform(find_all(note, BRAND), strip)), lambda x: F.length(x) > 2)
-    kinds = ((brands, "BRAND"), (find_all(note, PERCENTAGE), "PERCENTAGE"), (find_all(note, RANK), "RANK"))
-    return F.concat(*[F.transform(found, lambda x, kind=kind: F.struct(x.alias("text"), F.lit(kind).alias("kind"))) for found, kind in kinds])
+
+    def told(found: Column, kind: str) -> Column:
+        return F.transform(found, lambda x: F.struct(x.alias("text"), F.lit(kind).alias("kind")))
+
+    return F.concat(told(brands, "BRAND"), told(find_all(note, PERCENTAGE), "PERCENTAGE"), told(find_all(note, RANK), "RANK"))
 
 
 def _if(condition: Column, *items: Column) -> Column:

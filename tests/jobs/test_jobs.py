@@ -123,13 +123,13 @@ def test_the_log_knows_the_graph_that_the_other_job_built(spark, tmp_path):
     docs = [(1, "Alpha Beta met Gamma in 2021."), (2, "Gamma and Delta. Delta alone.")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
     build_graph.run(spark, f"{tmp_path}/docs", f"{tmp_path}/graph")
-    asked = [(1, 0, "user", "Who met Gamma? Gamma and Omega, in 2021"), (1, 1, "user", "no names"), (2, 0, "user", "Is Alpha Beta older than Gamma?"), (3, 0, "user", "Who met Gamma? Gamma and Omega, in 2021")]
+    asked = [(1, 0, "user", "Who met Gamma? Gamma and Omega, in 2021"), (1, 1, "user", "no names"), (2, 0, "user", "is Alpha Beta older than Gamma?"), (3, 0, "user", "Who met Gamma? Gamma and Omega, in 2021")]
     spark.createDataFrame(asked, TURNS).write.parquet(f"{tmp_path}/in")
     out = question_log.run(spark, f"{tmp_path}/in", f"{tmp_path}/log", f"{tmp_path}/state", {"graph": f"{tmp_path}/graph"}).collect()
     assert {(r["conv_id"], r["turn"]): r["known"] for r in out} == {(1, 0): ["2021", "Gamma"], (1, 1): [], (2, 0): ["Alpha Beta", "Gamma"], (3, 0): ["2021", "Gamma"]}
     # without a graph nothing is said of it
     out = question_log.run(spark, f"{tmp_path}/in", f"{tmp_path}/log2", f"{tmp_path}/state2")
-    assert {r["known"] for r in out.collect()} == {None} and out.count() == 4
+    assert [r["known"] for r in out.collect()] == [None] * 4
 
 
 def test_settings_are_put_back(spark):
