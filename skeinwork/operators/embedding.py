@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,10 @@ from skeinwork.functions.text import left
 PRESETS = {"all-MiniLM-L6-v2": 384, "all-mpnet-base-v2": 768, "text-embedding-ada-002": 1536, "text-embedding-3-small": 1536}
 
 
+#: The properties of nodes that their texts hold.
+NODE = ("section", "year", "value", "unit")
+
+
 def node_text() -> Column:
     """TYPE: name, then section, year, value and evidence, where they are."""
     c = F.col
@@ -35,13 +39,17 @@ def edge_text() -> Column:
     )
 
 
+@lru_cache(maxsize=1 << 16)
+def _hashed(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
+
+
 def hashing_model(texts: list[str], dim: int = 384) -> np.ndarray:
     """A model without training: words hashed to signed counts, at length one."""
+    words = [re.findall(r"\w+", (text or "").lower()) for text in texts]
+    h = np.array([_hashed(w) for own in words for w in own], np.uint64)
     out = np.zeros((len(texts), dim), np.float32)
-    for i, text in enumerate(texts):
-        for word in re.findall(r"\w+", (text or "").lower()):
-            h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
-            out[i, h % dim] += 1 if h >> 63 else -1
+    np.add.at(out, (np.repeat(np.arange(len(texts)), [len(own) for own in words]), (h % np.uint64(dim)).astype(np.intp)), np.where(h >> np.uint64(63), 1, -1).astype(np.float32))
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

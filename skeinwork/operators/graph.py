@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -17,12 +17,20 @@ def primary(entities: DataFrame) -> DataFrame:
     return entities.where(F.col("is_key") | F.col("column").isNull() | (F.col("column") != "evidence_note"))
 
 
-def entity_nodes(entities: DataFrame) -> DataFrame:
-    """One node for each exact text; the last entity of a text gives its properties."""
-    fields = ["type", "confidence", "source", "chunk_id", "column", "is_key", "section", "year", "parent_section", "value", "unit"]
-    last = F.max_by(F.struct(*fields), "ord")
+#: The properties that entities give their nodes.
+FIELDS = ("confidence", "source", "chunk_id", "column", "is_key", "section", "year", "parent_section", "value", "unit")
+
+
+def node_entities(entities: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """The columns of entities that nodes of these fields are made of; dedup then carries no others."""
+    return entities.select(*dict.fromkeys(["text", "type", "confidence", "column", "is_key", "ord", *fields]))
+
+
+def entity_nodes(entities: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """One node for each exact text; the last entity of a text gives its properties, those of `fields`."""
+    last = F.max_by(F.struct("type", *fields), "ord")
     nodes = primary(entities).groupBy("text").agg(last.alias("e"))
-    return nodes.select(F.col("text").alias("node_id"), F.col("e.type").alias("node_type"), F.col("text").alias("name"), *[F.col(f"e.{f}").alias(f) for f in fields[1:]])
+    return nodes.select(F.col("text").alias("node_id"), F.col("e.type").alias("node_type"), F.col("text").alias("name"), *[F.col(f"e.{f}").alias(f) for f in fields])
 
 
 def chunk_nodes(chunks: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ Null names and edges without either end are in no bucket that a lookup or a walk
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,11 +52,11 @@ class Index:
             self.nodes.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _store(df: DataFrame, path: str, keys: list[str], buckets: int, **options: str) -> None:
-    """A bucketed table of one file a bucket."""
+def _store(df: DataFrame, path: str, keys: list[str], buckets: int, more: Callable[[DataFrame], DataFrame] | None = None, **options: str) -> None:
+    """A bucketed table of one file a bucket. The writer sorts; `more` is what rows are given behind the shuffle."""
     name = f"index_{uuid.uuid4().hex}"
-    dealt = df.repartition(buckets, *keys).sortWithinPartitions(*keys)
-    dealt.write.format("parquet").options(**options).option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    dealt = df.repartition(buckets, *keys)
+    (more(dealt) if more else dealt).write.format("parquet").options(**options).option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
     df.sparkSession.sql(f"DROP TABLE {name}")
 
 
@@ -70,13 +71,16 @@ def _opened(spark: SparkSession, path: str, keys: list[str], buckets: int) -> tu
 
 def build(nodes: DataFrame, edges: DataFrame, folder: str, buckets: int = BUCKETS, part: int = PART) -> None:
     """Stores nodes (node_id, node_type, name and more) and edges (source, target, type, edge_id) in a folder that is new."""
-    ends = graph.both_ways(edges.where("source is not null and target is not null")).select("a", "b", "edge.*")
+    # an end's row names both ends once until it is where it stays: `out` tells which is the source
+    ends = graph.both_ways(edges.where("source is not null and target is not null")).select("a", "b", (F.col("a") == F.col("edge.source")).alias("out"), "edge.type", "edge.edge_id")
     hubs = ends.groupBy("a").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1")
     hubs.write.parquet(f"{folder}/hubs")
     hubs = nodes.sparkSession.read.schema("a string, parts int").parquet(f"{folder}/hubs").withColumnRenamed("a", "hub")
     # few are hubs; joined by the end, as many edges as a hub has would be one task's again, so their list is broadcast if Spark finds it small, else dealt by skew
     dealt = ends.join(hubs, ends["a"] == hubs["hub"], "left").withColumn("part", F.pmod(F.xxhash64("edge_id", "b"), F.coalesce("parts", F.lit(1))).cast("int"))
-    _store(dealt.select("a", "part", "b", "source", "target", "type", "edge_id"), f"{folder}/ends", ["a", "part"], buckets)
+    source, target = F.when(F.col("out"), F.col("a")).otherwise(F.col("b")), F.when(F.col("out"), F.col("b")).otherwise(F.col("a"))
+    named = lambda df: df.select("a", "part", "b", source.alias("source"), target.alias("target"), "type", "edge_id")
+    _store(dealt.select("a", "part", "b", "out", "type", "edge_id"), f"{folder}/ends", ["a", "part"], buckets, named)
     _store(nodes, f"{folder}/names", ["name"], buckets, **{"parquet.bloom.filter.enabled#name": "true"})
     nodes.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.json(f"{folder}/about")
 

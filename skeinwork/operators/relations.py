@@ -112,13 +112,21 @@ def entity_types(entities: DataFrame) -> DataFrame:
     return entities.groupBy("text").agg(F.min_by("type", "ord").alias("kind"))
 
 
-def row_relations(rows: DataFrame, entities: DataFrame) -> DataFrame:
-    """The relation that an entity-relation row states, and its section and year. Types are those of the first entity of that text."""
-    kinds = entity_types(entities)
+#: What row_relations asks of entities; confidence is for dedup.
+TYPED = ("text", "type", "confidence", "ord")
+
+
+def row_relations(rows: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """The relation that an entity-relation row states, and its section and year. Types of ends are those of the first entity of that text;
+    without entities a source has none and a target what its row says, and no row is shuffled."""
     c = _columns(rows, "source", "relation", "target", "target_type", "section", "year", "value", "unit", "evidence_note")
     wide = rows.select("chunk_id", "source_doc", "ord", *[v.alias(k) for k, v in c.items()])
-    wide = wide.join(kinds.select(F.col("text").alias("source"), F.col("kind").alias("source_kind")), "source", "left")
-    wide = wide.join(kinds.select(F.col("text").alias("target"), F.col("kind").alias("target_kind")), "target", "left")
+    if entities is None:
+        wide = wide.withColumns({"source_kind": F.lit(None).cast("string"), "target_kind": F.lit(None).cast("string")})
+    else:
+        kinds = entity_types(entities)
+        wide = wide.join(kinds.select(F.col("text").alias("source"), F.col("kind").alias("source_kind")), "source", "left")
+        wide = wide.join(kinds.select(F.col("text").alias("target"), F.col("kind").alias("target_kind")), "target", "left")
     col = F.col
     year = drop_point_zero(F.coalesce("year", F.lit("")))
     filled = lambda n: truthy(col(n)) & (strip(col(n)) != "")

@@ -83,8 +83,9 @@ def index_graph(nodes: DataFrame, edges: DataFrame, embedder: embedding.Embedder
     for c in ("section", "year", "unit", "evidence"):
         n = n if c in n.columns else n.withColumn(c, F.lit(None).cast("string"))
         e = e if c in e.columns else e.withColumn(c, F.lit(None).cast("string"))
-    # numbered range by range: no id stands for two names, and no task numbers all rows
-    n, e = vectors.numbered(n, "node_id", "vec_id"), vectors.numbered(e, "ord", "vec_id")
+    # what texts are made of; numbered range by range: no id stands for two names, and no task numbers all rows
+    n = vectors.numbered(n.select("node_id", "node_type", "name", *embedding.NODE, "evidence"), "node_id", "vec_id")
+    e = vectors.numbered(e.select("ord", "source", "type", "target", "section", "year", "evidence"), "ord", "vec_id")
     n = embedding.embed_nodes(n, embedder).select("vec_id", "node_id", "node_type", F.col("name").alias("entity_name"), "text", "embedding")
     e = embedding.embed_edges(e, embedder).select("vec_id", "edge_id", "source", "target", F.col("type").alias("relationship_type"), "year", "section", "evidence", "text", "embedding")
     tables.save_vectors(n, f"{folder}/node_vectors")

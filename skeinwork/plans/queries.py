@@ -175,7 +175,7 @@ def rel_pattern(spark, d):
 def _er(spark, d):
     rows = cut(fx.er_rows(spark, d), "er-rows")
     found = E.row_entities(rows)
-    return rows, found, R.row_relations(rows, E.dedup(found))
+    return rows, found, R.row_relations(rows, E.dedup(found.select(*R.TYPED)))
 
 
 @query
@@ -209,16 +209,41 @@ def rel_dedup(spark, d):
 # graph
 
 
-def _nodes(spark, d):
-    return graph.entity_nodes(E.dedup(E.row_entities(fx.er_rows(spark, d))))
+#: What walks and patterns ask of an edge.
+WALK = ("source", "target", "type", "edge_id")
 
 
-def _graph(spark, d):
-    """(nodes, edges, entities) of the entity-relation rows."""
+def _own(rows, fields=()):
+    """Unique entities of the rows, with what nodes of these fields are made of."""
+    return E.dedup(graph.node_entities(E.row_entities(rows), fields))
+
+
+def _nodes(spark, d, fields=graph.FIELDS):
+    return graph.entity_nodes(_own(fx.er_rows(spark, d), fields), fields)
+
+
+def _edges(rows):
+    """Edges say nothing of the types of their ends, so no entities are looked up for them."""
+    return graph.relation_edges(R.dedup(R.row_relations(rows))).withColumn("edge_id", F.col("ord"))
+
+
+def _walks(spark, d):
+    """The edges of the entity-relation rows as walks need them, stored."""
+    return cut(_edges(fx.er_rows(spark, d)).select(*WALK), "edges")
+
+
+def _graph(spark, d, fields=graph.FIELDS, columns=None):
+    """(nodes, edges) of the entity-relation rows, stored. fields: the properties of nodes that are asked for, columns: those of edges (None: all)."""
+    rows = cut(fx.er_rows(spark, d), "er-rows")
+    nodes = cut(graph.entity_nodes(_own(rows, fields), fields), "nodes")
+    edges = _edges(rows)
+    return nodes, cut(edges.select(*columns) if columns else edges, "edges")
+
+
+def _counted(spark, d):
+    """(unique entities, edges) of the entity-relation rows with what statistics count."""
     rows = cut(fx.er_rows(spark, d), "er-rows")
-    own = cut(E.dedup(E.row_entities(rows)), "entities")
-    edges = cut(graph.relation_edges(R.dedup(R.row_relations(rows, own))).withColumn("edge_id", F.col("ord")), "edges")
-    return graph.entity_nodes(own), edges, own
+    return _own(rows), _edges(rows)
 
 
 @query
@@ -233,7 +258,7 @@ def graph_chunk_nodes(spark, d):
 
 @query
 def graph_edges(spark, d):
-    return _graph(spark, d)[1].select("edge_id", "source", "target", "type", "confidence", "year", "section", "value", "unit", "evidence")
+    return _edges(fx.er_rows(spark, d)).select("edge_id", "source", "target", "type", "confidence", "year", "section", "value", "unit", "evidence")
 
 
 @query
@@ -243,40 +268,39 @@ def graph_mentions(spark, d):
 
 @query
 def graph_stats(spark, d):
-    _, edges, own = _graph(spark, d)
-    return graph.statistics(own, edges)
+    return graph.statistics(*_counted(spark, d))
 
 
 @query
 def graph_node_types(spark, d):
-    return _nodes(spark, d).groupBy("node_type").agg(F.count("*").alias("n"))
+    return _nodes(spark, d, ()).groupBy("node_type").agg(F.count("*").alias("n"))
 
 
 @query
 def graph_edge_types(spark, d):
-    return _graph(spark, d)[1].groupBy("type").agg(F.count("*").alias("n"))
+    return _edges(fx.er_rows(spark, d)).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query
 def graph_degree(spark, d):
-    return graph.degrees(_graph(spark, d)[1])
+    return graph.degrees(_edges(fx.er_rows(spark, d)))
 
 
 @query
 def graph_ego_compat(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d, (), WALK)
     return graph.ego(nodes, edges, "AFRICA", 2, "compat")
 
 
 @query
 def graph_ego_khop(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d, (), WALK)
     return graph.ego(nodes, edges, "AFRICA", 2)
 
 
 @query
 def graph_ego_edges(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d, (), WALK)
     return graph.ego_edges(edges, graph.ego(nodes, edges, "AFRICA", 2), 2).select("edge_id", "source", "target", "type")
 
 
@@ -306,13 +330,13 @@ def graph_add_chunks(spark, d):
 
 @query
 def graph_neighbors(spark, d):
-    _, edges, _ = _graph(spark, d)
+    edges = _walks(spark, d)
     seeds = spark.createDataFrame([("AFRICA",), ("Brand#2",), ("Customer#000000001",)], "seed string")
     return graph.neighbours(edges, seeds, 2).select("seed", "rank", "node", "distance")
 
 
 def _related(spark, d, names: list[str], depth: int):
-    _, edges, _ = _graph(spark, d)
+    edges = _walks(spark, d)
     found = graph.related(edges, spark.createDataFrame([(n,) for n in names], "seed string"), depth, 12)
     return found.select("seed", "path_rank", "node", "length", F.col("first.edge_id").alias("first_edge"))
 
@@ -329,7 +353,7 @@ def graph_related_rows(spark, d):
 
 def _indexed(spark, d):
     """The graph of the entity-relation rows as a stored index; hubs are those of more than 500 edges here, so that there are some."""
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d, columns=WALK)
     folder = _folder(spark, "graph-index")
     graph_index.build(nodes, edges, folder, buckets=16, part=500)
     return graph_index.load(spark, folder)
@@ -356,7 +380,7 @@ def graph_index_lookup(spark, d):
 @query
 def graph_pattern_chain(spark, d):
     """Who placed an order, is based in a nation that is part of a region: customers of each region and what they placed."""
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d, (), WALK)
     of = [P.Node("who"), P.Node("order", "METRIC"), P.Node("nation"), P.Node("region", having={"name": "EUROPE"})]
     by = [P.Edge("who", "order", "PLACED", "placed"), P.Edge("who", "nation", "BASED_IN"), P.Edge("nation", "region", "PART_OF")]
     found = P.match(nodes, edges, of, by)
@@ -366,7 +390,7 @@ def graph_pattern_chain(spark, d):
 @query
 def graph_pattern_run(spark, d):
     """One or two edges in a row, in either direction, from one supplier."""
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d, (), WALK)
     found = P.match(nodes, edges, [P.Node("a", having={"name": "Supplier#000000001"}), P.Node("b")], [P.Edge("a", "b", ["SUPPLIES", "IN_SECTION"], "run", either=True, least=1, most=2)])
     return found.groupBy(F.col("b.name").alias("name"), F.size("run").alias("length")).agg(F.count("*").alias("n"))
 
@@ -374,7 +398,7 @@ def graph_pattern_run(spark, d):
 @query
 def graph_pattern_loop(spark, d):
     """Two customers of one nation in one section of the market: a pattern that comes back to a node it has."""
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d, (), WALK)
     of = [P.Node("a", having={"name": "Customer#000000001"}), P.Node("nation"), P.Node("b"), P.Node("section", "SECTION")]
     by = [P.Edge("a", "nation", "BASED_IN"), P.Edge("b", "nation", "BASED_IN"), P.Edge("a", "section", "IN_SECTION"), P.Edge("b", "section", "IN_SECTION")]
     return P.match(nodes, edges, of, by).select(F.col("b.name").alias("name"), F.col("section.name").alias("section"))
@@ -382,7 +406,7 @@ def graph_pattern_loop(spark, d):
 
 @query
 def graph_entity_lookup(spark, d):
-    return graph.get_entity(_nodes(spark, d), "NATION_3").select("node_id", "node_type", "confidence")
+    return graph.get_entity(_nodes(spark, d, ("confidence",)), "NATION_3").select("node_id", "node_type", "confidence")
 
 
 @query
@@ -400,7 +424,7 @@ def _streamed(spark, rows: DataFrame, start, *key: str) -> DataFrame:
 
 @query
 def stream_degree(spark, d):
-    edges = _graph(spark, d)[1].select("source", "target", "ord")
+    edges = _edges(fx.er_rows(spark, d)).select("source", "target", "ord")
     return _streamed(spark, edges, lambda *paths: graph_state.degrees(spark, *paths, files=2), "node")
 
 
@@ -414,31 +438,31 @@ def stream_nodes(spark, d):
 
 @query
 def graph_upsert_edges(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d)
     return graph.upsert_edges(edges, nodes).select("source", "type", "target", "confidence", "year", "section", "value", "unit", "evidence")
 
 
 @query
 def graph_rel_query(spark, d):
-    return graph.query_edges(_graph(spark, d)[1], kind="PART_OF").select("source", "target", "type", "confidence")
+    return graph.query_edges(_edges(fx.er_rows(spark, d)), kind="PART_OF").select("source", "target", "type", "confidence")
 
 
 @query
 def graph_db_stats(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d)
     a = nodes.groupBy(F.col("node_type").alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("nodes"))
     return a.unionByName(graph.upsert_edges(edges, nodes).groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("relationships")))
 
 
 @query
 def graph_sql(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d, (), ("source", "type", "confidence"))
     return graph.sql(spark, "SELECT n.node_type, e.type, count(*) AS n FROM {nodes} n JOIN {edges} e ON n.name = e.source WHERE e.confidence >= :least GROUP BY ALL", nodes, edges, least=0.9)
 
 
 @query
 def graph_for_indexing(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d, (), ("type", "edge_id"))
     n, e = graph.for_indexing(nodes, edges, ["ORGANIZATION", "CONCEPT", "ENTITY"], ["SUPPLIES", "BASED_IN"])
     return n.select(F.lit("node").alias("kind"), F.col("node_type").alias("type"), F.col("name").alias("id")).unionByName(e.select(F.lit("edge").alias("kind"), "type", F.col("edge_id").alias("id")))
 
@@ -448,17 +472,17 @@ def graph_for_indexing(spark, d):
 
 @query
 def node_text(spark, d):
-    return _nodes(spark, d).withColumn("evidence", F.lit(None).cast("string")).select("node_id", embedding.node_text().alias("text"))
+    return _nodes(spark, d, embedding.NODE).withColumn("evidence", F.lit(None).cast("string")).select("node_id", embedding.node_text().alias("text"))
 
 
 @query
 def edge_text(spark, d):
-    return _graph(spark, d)[1].select("edge_id", embedding.edge_text().alias("text"))
+    return _edges(fx.er_rows(spark, d)).select("edge_id", embedding.edge_text().alias("text"))
 
 
 @query
 def embed_index(spark, d):
-    embedded = embedding.embed_nodes(_nodes(spark, d).withColumn("evidence", F.lit(None).cast("string")), embedding.Embedder(dimension=64))
+    embedded = embedding.embed_nodes(_nodes(spark, d, embedding.NODE).withColumn("evidence", F.lit(None).cast("string")), embedding.Embedder(dimension=64))
     return embedded.select("node_id", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm"))
 
 
@@ -604,7 +628,7 @@ def retrieve_vector(spark, d):
 
 @query
 def retrieve_graph(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d)
     return retrieval.by_graph(_parsed(spark), nodes, edges).select("query_id", "kind", "rank", "id", "type", "score")
 
 
@@ -622,7 +646,7 @@ def retrieve_adaptive_route(spark, d):
 @query
 def retrieve_adaptive(spark, d):
     """The sample questions, each with a stored vector for its own."""
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d)
     v, e, _ = _vectors(spark, d)
     own = fx.table(spark, d, "embeddings").select((F.col("vec_id") / 2).alias("query_id"), F.col("embedding").alias("query"))
     asked = questions.process(fx.questions(spark)).join(own, "query_id")
@@ -676,7 +700,7 @@ def context_sources(spark, d):
 
 @query
 def context_graph_text(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d)
     rows = cut(retrieval.by_graph(_parsed(spark), nodes, edges), "retrieved")
     return context.assemble(fx.questions(spark), rows, "graph").select("query_id", "context_text", "entity_count", "relationship_count", "token_count")
 

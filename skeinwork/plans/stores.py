@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.functions.storage import cut
 from skeinwork.operators import chunking, embedding, graph, retrieval, vectors
 from skeinwork.operators import entities as E
 from skeinwork.operators import relations as R
 from skeinwork.plans import jobs
-from skeinwork.plans.queries import ENTITY_OUT, _docs, _er, _folder, _graph, _vectors, query
+from skeinwork.plans.queries import ENTITY_OUT, _counted, _docs, _er, _folder, _graph, _vectors, query
 from skeinwork.sources import files, tables
 from skeinwork.sources import fixtures as fx
 
@@ -37,8 +38,7 @@ def sink_relations(spark, d):
 def sink_statistics(spark, d):
     """What a finished job says of its graph: the totals, as a list in one file, read again."""
     folder = _folder(spark, "sink")
-    _, edges, own = _graph(spark, d)
-    tables.write_json_list(graph.statistics(own, edges).orderBy("kind", "name"), f"{folder}/graph_statistics.json")
+    tables.write_json_list(graph.statistics(*_counted(spark, d)).orderBy("kind", "name"), f"{folder}/graph_statistics.json")
     return spark.read.schema("kind string, name string, n long").json(f"{folder}/graph_statistics.json", multiLine=True)
 
 
@@ -72,7 +72,7 @@ def store_vectors(spark, d):
 def store_graph(spark, d):
     """The graph persisted by types and loaded, and what is left of a cleared one."""
     folder = _folder(spark, "graph")
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d)
     graph.persist(nodes, edges, f"{folder}/kept")
     graph.persist(nodes, edges, f"{folder}/gone")
     graph.clear(*graph.load(spark, f"{folder}/kept"), f"{folder}/gone")
@@ -83,7 +83,7 @@ def store_graph(spark, d):
 
 
 def _indexed(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d)
     return nodes, edges, jobs.index_graph(nodes, edges, embedding.Embedder(dimension=16), _folder(spark, "index"))
 
 
@@ -107,7 +107,7 @@ def index_statistics(spark, d):
 
 @query
 def embed_statistics(spark, d):
-    nodes, edges, _ = _graph(spark, d)
+    nodes, edges = _graph(spark, d)
     e = embedding.Embedder(dimension=16)
     return embedding.embedding_statistics(embedding.embed_nodes(nodes.withColumn("evidence", F.lit(None).cast("string")), e), embedding.embed_edges(edges, e))
 
@@ -127,9 +127,9 @@ def chunker_factory(spark, d):
 @query
 def extractor_factories(spark, d):
     """Extractors by their names, over rows and texts."""
-    rows, chunks = fx.er_rows(spark, d), fx.text_chunks(spark, d)
+    rows, chunks = cut(fx.er_rows(spark, d), "er-rows"), fx.text_chunks(spark, d)
     found = E.extractor("csv")(rows)
-    kinds = {"entities csv": found, "entities keyword": E.extractor("keyword")(chunks), "relations csv": R.extractor("csv")(rows, E.dedup(found)), "relations pattern": R.extractor("pattern")(chunks)}
+    kinds = {"entities csv": found, "entities keyword": E.extractor("keyword")(chunks), "relations csv": R.extractor("csv")(rows, E.dedup(found.select(*R.TYPED))), "relations pattern": R.extractor("pattern")(chunks)}
     out = None
     for name, table in kinds.items():
         one = table.groupBy(F.lit(name).alias("extractor"), "type").agg(F.count("*").alias("n"))

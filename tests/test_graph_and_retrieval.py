@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from jobs.common import settings
 from skeinwork.config import EngineConfig
 from skeinwork.operators import answers, context, embedding, graph, graph_index, ivf_pq, patterns, questions, retrieval, vectors
+from skeinwork.operators import relations as R
+from skeinwork.plans import queries, stores  # noqa: F401
 from skeinwork.plans.queries import QUERIES
 from skeinwork.sources import files, tables
 from skeinwork.sources import fixtures as fx
@@ -557,3 +559,25 @@ def test_patterns_match_as_trying_everything_does(spark):
     for of, by in (([N("x"), N("x")], []), ([N("x"), N("y")], []), ([N("x")], [E_("x", "q")]), ([N("x"), N("y")], [E_("x", "y", most=11)]), ([N(c) for c in "wxyz"], [E_("w", "x"), E_("y", "z")])):
         with pytest.raises(ValueError):
             P.match(n, e, of, by)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_need_no_entities(spark):
+    rows = fx.er_rows(spark, "/root/testdata/sf0.001")
+    names = [c for c in R.FIELDS if c not in ("source_type", "target_type")]
+    typed, plain = (R.row_relations(rows, *more).select("ord", *names) for more in ((E.dedup(E.row_entities(rows).select(*R.TYPED)),), ()))
+    assert sorted(map(str, typed.collect())) == sorted(map(str, plain.collect()))
+    stored = spark.createDataFrame([], rows.schema)
+    assert "Join" not in plan_of(queries._edges(stored))
+
+
+@pytest.mark.parametrize("fields", [(), ("confidence",), embedding.NODE])
+def test_nodes_of_some_fields(spark, fields):
+    rows = fx.er_rows(spark, "/root/testdata/sf0.001")
+    every = graph.entity_nodes(E.dedup(E.row_entities(rows)))
+    some = graph.entity_nodes(E.dedup(graph.node_entities(E.row_entities(rows), fields)), fields)
+    assert some.columns == ["node_id", "node_type", "name", *fields]
+    assert sorted(map(str, some.collect())) == sorted(map(str, every.select(*some.columns).collect()))
