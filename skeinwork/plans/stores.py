@@ -93,8 +93,9 @@ def index_graph(spark, d):
     _, _, (n, e) = _indexed(spark, d)
     parts = [x.select(F.lit(name).alias("store"), F.col(key).alias("id"), "text", (F.size("embedding") == 16).alias("embedded"), "vec_id") for name, key, x in (("nodes", "node_id", n), ("edges", "edge_id", e))]
     both = parts[0].union(parts[1])
+    # a row for each store; joined by the store, all rows of one would be one task's
     gaps = both.groupBy(F.col("store").alias("of")).agg(((F.count("*") == F.max("vec_id") + 1) & (F.countDistinct("vec_id") == F.count("*"))).alias("gapless"))
-    return both.join(gaps, both["store"] == gaps["of"]).select("store", "id", "text", "embedded", "gapless")
+    return both.join(F.broadcast(gaps), both["store"] == gaps["of"]).select("store", "id", "text", "embedded", "gapless")
 
 
 @query

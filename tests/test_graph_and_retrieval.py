@@ -581,3 +581,9 @@ def test_nodes_of_some_fields(spark, fields):
     some = graph.entity_nodes(E.dedup(graph.node_entities(E.row_entities(rows), fields)), fields)
     assert some.columns == ["node_id", "node_type", "name", *fields]
     assert sorted(map(str, some.collect())) == sorted(map(str, every.select(*some.columns).collect()))
+
+
+def test_index_rows_stay_where_they_are(spark):
+    """Rows of a store aren't brought together to learn whether its numbers have gaps."""
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        assert "SortMergeJoin" not in plan_of(QUERIES["index_graph"](spark, "/root/testdata/sf0.001"))
