@@ -415,24 +415,26 @@ def graph_upsert_nodes(spark, d):
 
 
 def _streamed(spark, rows: DataFrame, start, *key: str) -> DataFrame:
-    """rows as files that a stream takes one or two at a time; what its store says at the end. start(files, store, checkpoint) begins the stream."""
+    """rows as files that a stream takes two fifths of at a time; what its store says at the end. start(files, store, checkpoint, at once) begins
+    the stream. Every task deals its rows to five files, so files grow in number, not in size, with the rows."""
     folder = _folder(spark, "stream")
-    rows.withColumn("part", F.pmod(F.xxhash64("ord"), F.lit(5))).repartition(5, "part").drop("part").write.parquet(f"{folder}/in")
-    start(f"{folder}/in", f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    rows.withColumn("part", F.pmod(F.xxhash64("ord"), F.lit(5))).write.partitionBy("part").parquet(f"{folder}/in")
+    n = len(spark.read.parquet(f"{folder}/in").inputFiles())
+    start(f"{folder}/in/*", f"{folder}/store", f"{folder}/checkpoint", -(-2 * n // 5)).awaitTermination()
     return graph_state.current(spark, f"{folder}/store", *key)
 
 
 @query
 def stream_degree(spark, d):
     edges = _edges(fx.er_rows(spark, d)).select("source", "target", "ord")
-    return _streamed(spark, edges, lambda *paths: graph_state.degrees(spark, *paths, files=2), "node")
+    return _streamed(spark, edges, lambda *paths: graph_state.degrees(spark, *paths), "node")
 
 
 @query
 def stream_nodes(spark, d):
     found = E.row_entities(fx.er_rows(spark, d))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-    out = _streamed(spark, found, lambda files, store, checkpoint: graph_state.nodes(spark, files, schema, store, checkpoint, files=2), "node_type", "name")
+    out = _streamed(spark, found, lambda files, store, checkpoint, n: graph_state.nodes(spark, files, schema, store, checkpoint, n), "node_type", "name")
     return out.select("node_type", "name", "confidence", "chunk_id", "column", "is_key", "section", "year", "value", "unit")
 
 

@@ -583,6 +583,19 @@ def test_nodes_of_some_fields(spark, fields):
     assert sorted(map(str, some.collect())) == sorted(map(str, every.select(*some.columns).collect()))
 
 
+def test_streamed_files_grow_in_number(spark):
+    rows = spark.range(3000, numPartitions=7).select(F.lpad(F.col("id").cast("string"), 8, "0").alias("ord"), (F.col("id") % 10).cast("string").alias("source"), (F.col("id") % 7).cast("string").alias("target"))
+    files_read = []
+
+    def start(files, store, checkpoint, n):
+        files_read.extend([len(spark.read.parquet(files).inputFiles()), n])
+        return graph_state.degrees(spark, files, store, checkpoint, n)
+
+    found = queries._streamed(spark, rows, start, "node")
+    assert files_read == [35, 14]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, graph.degrees(rows).collect()))
+
+
 def test_index_rows_stay_where_they_are(spark):
     """Rows of a store aren't brought together to learn whether its numbers have gaps."""
     with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
