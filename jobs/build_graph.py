@@ -15,8 +15,8 @@ A run writes every table anew, so a run that ends halfway is mended by the next
 any order and number of files. Rows equal in id and text give the same chunks, which are kept once; other texts of the same id are
 chunks of their own. Documents without words have no chunks; a null id reads `null`.
 
-Texts are read twice (for entities, and for relationships and chunks) and shuffled once, as chunks; entities are counted before
-they are shuffled, so neither a frequent entity nor a long document is one task's.
+Texts are shuffled once, as chunks, and written once, as the graph's nodes; entities and relationships are found in what is written. Entities
+are counted before they are shuffled, so neither a frequent entity nor a long document is one task's.
 """
 
 from __future__ import annotations
@@ -47,9 +47,14 @@ def run(spark: SparkSession, documents: str, output: str, config: dict | None =
     docs = described(spark.read.parquet(documents), "read documents", documents)
     with scope(spark):
         chunks = chunks_of(docs, chosen["sentences_in_chunk"], chosen["sentences_shared"])
+        kept = graph.chunk_nodes(chunks).select("node_id", "node_type", F.col("full_text").alias("text")).dropDuplicates(["node_id"])
+        absent = F.lit(None).cast("long")
+        kept.select("node_id", "text", absent.alias("n_chunks"), absent.alias("n_docs"), "node_type").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("node_type").parquet(f"{output}/nodes")
+        own = spark.read.schema(NODES).parquet(f"{output}/nodes").where("node_type = 'CHUNK'")
+        chunks = own.select(F.col("node_id").alias("chunk_id"), F.lit(None).cast("string").alias("source_doc"), F.col("node_id").alias("ord"), "text")
         found = graph.mentions(entities.keyword_entities(chunks).withColumns({"column": F.lit(None).cast("string")}))
-        # one edge for each chunk and entity; rows that repeat a document repeat its places, and these are told by their ord
-        mention = F.countDistinct("ord").alias("n"), F.max("confidence").alias("confidence")
+        # one edge for each chunk and entity
+        mention = F.count("*").alias("n"), F.max("confidence").alias("confidence")
         mentions = cut(found.groupBy("source", "target", "entity_type").agg(*mention), "graph-mentions")
         doc = F.regexp_extract("source", "^([^#]*)#", 1)
         of_doc = mentions.groupBy("target", "entity_type", doc.alias("doc")).agg(F.count("*").alias("n"))
@@ -58,15 +63,13 @@ def run(spark: SparkSession, documents: str, output: str, config: dict | None =
         if chosen["min_chunks"] > 1:
             mentions = mentions.join(names.select("target", "entity_type"), ["target", "entity_type"], "left_semi")
         none = F.lit(None).cast("string")
-        nodes = names.select(F.col("target").alias("node_id"), F.col("entity_type").alias("node_type"), none.alias("text"), "n_chunks", "n_docs")
-        kept = graph.chunk_nodes(chunks).select("node_id", "node_type", F.col("full_text").alias("text")).dropDuplicates(["node_id"])
-        nodes = nodes.unionByName(kept, allowMissingColumns=True)
+        nodes = names.select(F.col("target").alias("node_id"), none.alias("text"), "n_chunks", "n_docs", F.col("entity_type").alias("node_type"))
         edges = mentions.select("source", "target", F.lit("MENTIONS").alias("type"), "confidence", none.alias("context"), F.col("source").alias("chunk_id"), "n")
         said = graph.relation_edges(relations.dedup(relations.pattern_relations(chunks))).select("source", "target", "type", "confidence", "context", "chunk_id")
-        edges = edges.unionByName(said, allowMissingColumns=True)
-        # partitions of like size, whichever type is frequent
-        nodes.hint("rebalance", "node_type").write.mode("overwrite").partitionBy("node_type").parquet(f"{output}/nodes")
-        edges.hint("rebalance", "type").write.mode("overwrite").partitionBy("type").parquet(f"{output}/edges")
+        # mentions are of one type and lie in parts of like size; what is of several types is dealt to such, whichever is frequent
+        edges = edges.unionByName(said.hint("rebalance", "type"), allowMissingColumns=True)
+        nodes.hint("rebalance", "node_type").write.mode("append").partitionBy("node_type").parquet(f"{output}/nodes")
+        edges.write.mode("overwrite").partitionBy("type").parquet(f"{output}/edges")
     nodes, edges = tables(spark, output)
     described(nodes, "wrote nodes", f"{output}/nodes")
     described(edges, "wrote edges", f"{output}/edges")

@@ -149,3 +149,13 @@ def test_config_files():
     for job in (build_graph, question_log):
         with open(f"{job.__file__[:-3]}.json") as f:
             assert json.load(f) == job.CONFIG
+
+
+def test_chunks_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """Texts of chunks are written by the tasks that have them; only nodes of entities are dealt out anew."""
+    kind, dealt = type(spark.range(1)), []
+    hint = kind.hint
+    monkeypatch.setattr(kind, "hint", lambda self, *a: dealt.append(self) or hint(self, *a))
+    build_graph.run(spark, "/root/testdata/sf0.001/documents.parquet", str(tmp_path / "graph"))
+    nodes = [df for df in dealt if "node_id" in df.columns]
+    assert nodes and not any("CHUNK" in df._jdf.queryExecution().analyzed().toString() for df in nodes)
