@@ -49,7 +49,7 @@ def hashing_model(texts: list[str], dim: int = 384) -> np.ndarray:
     words = [re.findall(r"\w+", (text or "").lower()) for text in texts]
     h = np.array([_hashed(w) for own in words for w in own], np.uint64)
     out = np.zeros((len(texts), dim), np.float32)
-    np.add.at(out, (np.repeat(np.arange(len(texts)), [len(own) for own in words]), (h % np.uint64(dim)).astype(np.intp)), np.where(h >> np.uint64(63), 1, -1).astype(np.float32))
+    np.add.at(out, (np.repeat(np.arange(len(texts)), np.array([len(own) for own in words], np.intp)), (h % np.uint64(dim)).astype(np.intp)), np.where(h >> np.uint64(63), 1, -1).astype(np.float32))
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

@@ -600,3 +600,8 @@ def test_index_rows_stay_where_they_are(spark):
     """Rows of a store aren't brought together to learn whether its numbers have gaps."""
     with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
         assert "SortMergeJoin" not in plan_of(QUERIES["index_graph"](spark, "/root/testdata/sf0.001"))
+
+
+def test_hashing_model_of_nothing():
+    assert embedding.hashing_model([], 16).shape == (0, 16)
+    assert not embedding.hashing_model(["", None, "!!"], 16).any()
