@@ -16,9 +16,14 @@ def truthy(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
+def bare(c: Column) -> Column:
+    """Both ends are visible ASCII: there is nothing to strip, and no regular expression is needed to tell."""
+    return F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+
+
 def norm(c: Column) -> Column:
     """The key under which texts are the same entity."""
-    return strip(F.lower(c))
+    return F.when(bare(c), F.lower(c)).otherwise(strip(F.lower(c)))
 
 
 def drop_point_zero(c: Column) -> Column:
@@ -65,7 +70,7 @@ def find_spans(text: Column, pattern: str) -> Column:
 
 def is_number(c: Column) -> Column:
     """What both float() of the specification and a cast read as the same finite number."""
-    return strip(c).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    return F.when(bare(c), c).otherwise(strip(c)).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
 
 
 def float_text(x: Column) -> Column:
@@ -91,20 +96,28 @@ def pick(k: Column, *values: Column) -> Column:
     return out
 
 
+def _counted(rules: list[Column]) -> tuple[list[Column], list[Column]]:
+    """Whether each rule holds, and how many hold before it (one more: how many in all)."""
+    holds, at = [F.coalesce(rule, F.lit(False)) for rule in rules], [F.lit(0)]
+    for one in holds:
+        at.append(at[-1] + one.cast("int"))
+    return holds, at
+
+
+def beyond(rules: list[Column], more: Column) -> Column:
+    """What `more` (array<struct<text, kind>>) gives behind the rules, as spots() takes it: a column of its own, as its lambdas keep what they stand in
+    from being compiled."""
+    base = _counted(rules)[1][-1]
+    return F.transform(more, lambda x, i: F.struct(F.lit(len(rules)).alias("k"), (base + i).alias("at"), x["text"].alias("text"), x["kind"].alias("kind")))
+
+
 def spots(rules: list[Column], more: Column | None = None) -> Column:
     """array<struct<k, at, text, kind>>: for each rule its number and how many hold before it, null where it doesn't hold; behind them those of `more`
-    (array<struct<text, kind>>), with k beyond the rules. Exploded, this is narrow: what a rule gives is worked out after it, for that rule alone."""
-    at, out = F.lit(0), []
-    for k, rule in enumerate(rules):
-        holds = F.coalesce(rule, F.lit(False))
-        out.append(F.when(holds, F.struct(F.lit(k).alias("k"), at.alias("at"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("kind"))))
-        at = at + holds.cast("int")
-    found = F.array(*out)
-    if more is None:
-        return found
-    base = at
-    beyond = F.transform(more, lambda x, i: F.struct(F.lit(len(rules)).alias("k"), (base + i).alias("at"), x["text"].alias("text"), x["kind"].alias("kind")))
-    return F.when(more.isNull(), found).otherwise(F.concat(found, beyond))
+    (what beyond() made; null: none). Exploded, this is narrow: what a rule gives is worked out after it, for that rule alone."""
+    holds, at = _counted(rules)
+    none = F.lit(None).cast("string")
+    found = F.array(*[F.when(h, F.struct(F.lit(k).alias("k"), at[k].alias("at"), none.alias("text"), none.alias("kind"))) for k, h in enumerate(holds)])
+    return found if more is None else F.concat(found, F.coalesce(more, F.array().cast("array<struct<k:int,at:int,text:string,kind:string>>")))
 
 
 def numbered_ord(at: Column) -> Column:

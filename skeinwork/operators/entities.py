@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skeinwork.functions.text import drop_point_zero, find_all, find_spans, float_text, is_number, norm, numbered_ord, pick, spots, strip, truthy
+from skeinwork.functions.text import beyond, drop_point_zero, find_all, find_spans, float_text, is_number, norm, numbered_ord, pick, spots, strip, truthy
 
 #: Patterns, words and markers of the specification.
 CAPITALISED = r"\b[A-Z][a-z]+(?:(?U:\s)+[A-Z][a-z]+)*\b"
@@ -78,7 +78,7 @@ def classify(text: Column, from_source: bool) -> Column:
     department = F.lit(False)
     for mark in DEPARTMENT_MARKS:
         department = department | F.lower(text).contains(mark)
-    acronym = (text == F.upper(text)) & (text != F.lower(text)) & (F.length(text) <= 5)
+    acronym = (F.length(text) <= 5) & (text == F.upper(text)) & (text != F.lower(text))
     return (
         F.when(company, "ORGANIZATION")
         .when(text.rlike(r"^[A-Z][a-z]+(?:(?U:\s)+[A-Z][a-z]+)?$"), "ORGANIZATION" if from_source else "PRODUCT")
@@ -116,8 +116,11 @@ def relation_entities(rows: DataFrame) -> DataFrame:
     c = {k: F.col(k) for k in c}
     number = F.col("number")
     rules = [truthy(c["source"]), truthy(c["target"]), truthy(c["section"]), truthy(c["year"]), truthy(c["value"]) & number.isNotNull()]
-    # a null note has no evidence
-    each = named.select("*", F.explode(spots(rules, evidence(c["evidence_note"]))).alias("x")).where("x is not null").select("*", "x.k", "x.at", F.col("x.text").alias("noted"), F.col("x.kind").alias("noted_kind"))
+    # a null note has no evidence, and nothing is looked for in it
+    note = c["evidence_note"]
+    # a column first, so that the explode is compiled; an outer one, as Spark would filter by the array's size for the other and make every array twice
+    named = named.withColumn("xs", spots(rules, F.when(note.isNotNull(), beyond(rules, evidence(note)))))
+    each = named.select("*", F.explode_outer("xs").alias("x")).where("x is not null").select("*", "x.k", "x.at", F.col("x.text").alias("noted"), F.col("x.kind").alias("noted_kind"))
     k, none = F.col("k"), F.lit(None)
     metric = F.when(truthy(c["unit"]), F.concat(float_text(number), F.lit(" "), c["unit"])).otherwise(float_text(number))
     fields = {
@@ -211,7 +214,8 @@ def dedup(entities: DataFrame) -> DataFrame:
     """One row for each type and normalised text: the first, with the largest confidence of all."""
     names = [c for c in entities.columns if c not in ("type", "confidence")]
     first = F.min_by(F.struct(*names), "ord")
-    out = entities.groupBy("type", norm(F.col("text")).alias("key")).agg(first.alias("e"), F.max("confidence").alias("confidence"))
+    # by the key first: it tells rows apart in the sort, which the few types don't
+    out = entities.groupBy(norm(F.col("text")).alias("key"), "type").agg(first.alias("e"), F.max("confidence").alias("confidence"))
     return out.select(*[F.col(c) if c in ("type", "confidence") else F.col(f"e.{c}").alias(c) for c in entities.columns])
 
 

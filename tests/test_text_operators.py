@@ -9,9 +9,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skeinwork.functions.text import find_spans, float_text, strip
+from skeinwork.functions.text import find_spans, float_text, is_number, norm, strip
 from skeinwork.operators import chunking, embedding, entities, relations, text_model
 from skeinwork.operators.entities import CAPITALISED
+from skeinwork.sources import fixtures as fx
 
 TEXTS = st.text(alphabet="ab. ?!\nA éZ9\t", max_size=80)
 
@@ -232,3 +233,31 @@ def test_model_of_nothing(spark):
     for texts in ([], [(None,)], [("one",)], [("a a a",), ("a",)]):
         model = text_model.fit(spark.createDataFrame(texts, "text string"), dimension=4)
         assert model(["a", None]).shape == (2, 4) and not model(["b"]).any()
+
+
+def test_keys_without_regular_expressions(spark):
+    """What is told by both ends alone is what stripping gives."""
+    texts = ["", " ", "A", " a ", "\u00a0B\u2003", "\u3000", "É x", "x É\n", "\x85q", "~!", "\x7f", "\x1fz", "A\tB", "1.5", " 2e3\n", "-.5\u00a0", "1 2", "日本 ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pattern = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+    rows = df.select("t", norm(F.col("t")), strip(F.lower("t")), is_number(F.col("t")), strip(F.col("t")).rlike(pattern)).collect()
+    assert len(rows) == len(texts)
+    for _, key, whole, number, plain in rows:
+        assert key == whole and number == plain
+
+
+def test_entity_rows_are_made_once(spark):
+    """Notes are searched in one step: not in the explode, which would be interpreted then, nor once more in a filter by the array's size."""
+    rows = fx.er_rows(spark, "/root/testdata/sf0.001").localCheckpoint()
+    plan = entities.row_entities(rows)._jdf.queryExecution().executedPlan().toString()
+    searching = [line.lstrip(" +-*()0123456789").split(" ")[0] for line in plan.splitlines() if "regexp_extract_all" in line]
+    assert searching == ["Project"]
+
+
+def test_dedup_sorts_by_the_key_first(spark):
+    """Types are few, so a sort by them first compares every row's key as a second text."""
+    e = spark.createDataFrame([("A ", "X", 0.5, "1"), ("a", "X", 0.9, "2"), ("a", "Y", 0.1, "3")], "text string, type string, confidence double, ord string")
+    out = entities.dedup(e)
+    assert sorted(map(tuple, out.collect())) == [("A ", "X", 0.9, "1"), ("a", "Y", 0.1, "3")]
+    sorts = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line]
+    assert sorts and not any("Sort [type" in line for line in sorts)
