@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinwork.functions.storage import cut
-from skeinwork.functions.text import drop_point_zero, find_all, norm, numbered_ord, pick, spots, strip, truthy
+from skeinwork.functions.text import bare, drop_point_zero, find_all, norm, numbered_ord, pick, spots, strip, truthy
 from skeinwork.operators.entities import RELATION_COLUMNS, SECTION_COLUMNS, _columns
 
 #: Words that suggest a relationship, and the default patterns with type and confidence.
@@ -129,7 +129,7 @@ def row_relations(rows: DataFrame, entities: DataFrame | None = None) -> DataFra
         wide = wide.join(kinds.select(F.col("text").alias("target"), F.col("kind").alias("target_kind")), "target", "left")
     col = F.col
     year = drop_point_zero(F.coalesce("year", F.lit("")))
-    filled = lambda n: truthy(col(n)) & (strip(col(n)) != "")
+    filled = lambda n: truthy(col(n)) & (bare(col(n)) | (strip(col(n)) != ""))
     rules = [truthy(col("source")) & truthy(col("relation")) & truthy(col("target")), truthy(col("source")) & truthy(col("section")), truthy(col("source")) & (year != "")]
     each = wide.select("*", F.explode(spots(rules)).alias("x")).where("x is not null").select("*", "x.k", "x.at")
     k, none = col("k"), F.lit(None)

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "embeddings", "pages", "conversations")
 
-#: Entity-relation rows, all text: ord is unique and orders them.
-ER_ROWS = """
+#: What each supplier supplies: its brands, with the least of their types.
+SUPPLIED = """SELECT s_suppkey, s_name, p_brand, min(p_type) AS p_type
+  FROM {lineitem} lineitem JOIN {part} part ON l_partkey = p_partkey JOIN {supplier} supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_name, p_brand"""
+
+_ER_ROWS = """
 SELECT 'a' || lpad(CAST(c_custkey AS VARCHAR(20)), 12, '0') AS ord, c_name AS source, 'based in' AS relation, n_name AS target, 'entity' AS target_type,
   c_mktsegment AS section, CAST(NULL AS VARCHAR(20)) AS year, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR(40)) AS value, 'USD' AS unit, CAST(NULL AS VARCHAR(200)) AS evidence_note
 FROM {customer} customer JOIN {nation} nation ON c_nationkey = n_nationkey
@@ -19,10 +22,12 @@ UNION ALL SELECT 'c' || lpad(CAST(o_orderkey AS VARCHAR(20)), 12, '0'), c_name,
 FROM {orders} orders JOIN {customer} customer ON o_custkey = c_custkey
 UNION ALL SELECT 'd' || lpad(CAST(s_suppkey AS VARCHAR(20)), 12, '0') || '/' || p_brand, s_name, 'supplies', p_brand, 'concept', p_type, NULL, NULL, NULL,
   'Steel Works and Iron ' || p_brand || ' grew ~12.5% to rank #1, then 7% in Main Street'
-FROM (SELECT s_suppkey, s_name, p_brand, min(p_type) AS p_type
-  FROM {lineitem} lineitem JOIN {part} part ON l_partkey = p_partkey JOIN {supplier} supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_name, p_brand) x
+FROM ({supplied}) x
 """
 
+#: Entity-relation rows, all text: ord is unique and orders them.
+ER_ROWS = _ER_ROWS.replace("{supplied}", SUPPLIED)
+
 #: Subjective-section rows from documents.
 SS_ROWS = """
 SELECT lpad(CAST(d.doc_id AS VARCHAR(20)), 12, '0') AS ord, source AS section, source || '/' || lang AS subsection, CAST(2018 + d.doc_id % 6 AS VARCHAR(10)) || '.0' AS year,
@@ -84,9 +89,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derive(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+def derive(spark: SparkSession, sf_dir: str, text: str, **more: DataFrame) -> DataFrame:
     names = [n for n in TABLES if "{" + n + "}" in text]
-    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
+    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names}, **more)
 
 
 def duck(text: str) -> str:
@@ -96,8 +101,19 @@ def duck(text: str) -> str:
     return text
 
 
+def supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of SUPPLIED. Suppliers are joined with their brands, not with each line, so lines are neither shuffled for them nor sorted with their names."""
+    of = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    least = of.groupBy("l_suppkey", "p_brand").agg(F.min("p_type").alias("p_type"))
+    named = least.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+    # a key that stands twice under a name is one supplier
+    return named.groupBy("s_suppkey", "s_name", "p_brand").agg(F.min("p_type").alias("p_type"))
+
+
 def er_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, f"SELECT 'er_' || ord AS chunk_id, 'er.csv' AS source_doc, * FROM ({ER_ROWS}) r")
+    """The rows of ER_ROWS."""
+    text = f"SELECT 'er_' || ord AS chunk_id, 'er.csv' AS source_doc, * FROM ({_ER_ROWS.replace('({supplied})', '{supplied}')}) r"
+    return derive(spark, sf_dir, text, supplied=supplied(spark, sf_dir))
 
 
 def ss_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

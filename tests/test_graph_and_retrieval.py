@@ -605,3 +605,32 @@ def test_index_rows_stay_where_they_are(spark):
 def test_hashing_model_of_nothing():
     assert embedding.hashing_model([], 16).shape == (0, 16)
     assert not embedding.hashing_model(["", None, "!!"], 16).any()
+
+
+NOTED = "chunk_id string, source_doc string, ord string, source string, relation string, target string, target_type string, section string, year string, value string, unit string, evidence_note string"
+
+
+def test_suppliers_are_joined_with_their_brands(spark, tmp_path):
+    tables_ = {
+        "lineitem": ([(1, 1), (1, 1), (2, 1), (3, 2), (1, 3), (9, 1), (4, 1), (1, None)], "l_partkey long, l_suppkey long"),
+        "part": ([(1, "B1", "Y"), (2, "B1", "X"), (3, "B1", "Z"), (4, None, None), (5, "B2", "A")], "p_partkey long, p_brand string, p_type string"),
+        "supplier": ([(1, "S1"), (1, "S1"), (1, "S1b"), (2, "S2"), (3, None), (4, "S4")], "s_suppkey long, s_name string"),
+    }
+    for name, (rows, schema) in tables_.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = fx.supplied(spark, str(tmp_path))
+    key = lambda df: sorted(map(repr, df.select("s_suppkey", "s_name", "p_brand", "p_type").collect()))
+    assert key(found) == key(fx.derive(spark, str(tmp_path), fx.SUPPLIED)) and found.count() == 6
+    # lines meet parts alone, and come as brands before suppliers do
+    lines = found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [l_suppkey")
+    assert len(lines) == 2 and "l_partkey" in lines[1] and "l_partkey" not in lines[0]
+
+
+def test_blank_values_are_not_filled_and_plain_ones_need_no_expression(spark):
+    values = ["5", " 5 ", "", " ", "\u00a0", "\u00a0x", "é", None]
+    rows = spark.createDataFrame([(f"c{i}", "s", f"{i}", "a", "r", "b", "entity", None, None, v, v, v) for i, v in enumerate(values)], NOTED)
+    found = R.row_relations(rows)
+    want = [v if v and v.strip() else None for v in values]
+    assert [[r[c] for r in found.orderBy("ord").collect()] for c in ("value", "unit", "evidence")] == [want] * 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "rlike" not in plan.lower() and re.search(r"substring\(evidence_note", plan)
