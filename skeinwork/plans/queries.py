@@ -214,8 +214,8 @@ WALK = ("source", "target", "type", "edge_id")
 
 
 def _own(rows, fields=()):
-    """Unique entities of the rows, with what nodes of these fields are made of."""
-    return E.dedup(graph.node_entities(E.row_entities(rows), fields))
+    """Unique entities of the rows, with what nodes of these fields are made of. Evidence gives no nodes and has types of its own, so no note is searched."""
+    return E.dedup(graph.node_entities(E.row_entities(rows.drop("evidence_note")), fields))
 
 
 def _nodes(spark, d, fields=graph.FIELDS):

@@ -634,3 +634,12 @@ def test_blank_values_are_not_filled_and_plain_ones_need_no_expression(spark):
     assert [[r[c] for r in found.orderBy("ord").collect()] for c in ("value", "unit", "evidence")] == [want] * 3
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "rlike" not in plan.lower() and re.search(r"substring\(evidence_note", plan)
+
+
+def test_nodes_search_no_evidence(spark):
+    rows = spark.createDataFrame([("c0", "s", "0", "Acme Corp", "r", "Steel", "entity", "S", "2020.0", "5", "USD", "Steel Works grew 7% to #1"), ("c1", "s", "1", "Steel Works", "r", "steel", "entity", None, None, None, None, "Acme Corp")], NOTED)
+    own = queries._own(rows, graph.FIELDS)
+    plain = E.dedup(graph.node_entities(E.row_entities(rows), graph.FIELDS))
+    assert plain.where("type = 'PERCENTAGE'").count() == 1 and "evidence_note#" not in own._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(graph.entity_nodes(own)) == key(graph.entity_nodes(plain))
