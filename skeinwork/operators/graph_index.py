@@ -27,7 +27,7 @@ BUCKETS, PART = 64, 100_000
 
 @dataclass(frozen=True)
 class Index:
-    """nodes; ends: a, part, b and the edge's columns; hubs: a, parts; tables: the names in the catalogue."""
+    """nodes; ends: a, part and the edge's columns; hubs: a, parts; tables: the names in the catalogue."""
 
     nodes: DataFrame
     ends: DataFrame
@@ -41,7 +41,7 @@ class Index:
         parts = parts.drop("hub", "parts")
         edge = F.struct("source", "target", "type", "edge_id").alias("edge")
         met = parts.join(self.ends, (parts["node"] == self.ends["a"]) & (parts["of"] == self.ends["part"]))
-        return met.select(*reached.columns, "b", edge)
+        return met.select(*reached.columns, F.when(F.col("a") == F.col("source"), F.col("target")).otherwise(F.col("source")).alias("b"), edge)
 
     def by_name(self, name: str) -> DataFrame:
         return graph.get_entity(self.nodes, name)
@@ -71,7 +71,7 @@ def _opened(spark: SparkSession, path: str, keys: list[str], buckets: int) -> tu
 
 def build(nodes: DataFrame, edges: DataFrame, folder: str, buckets: int = BUCKETS, part: int = PART) -> None:
     """Stores nodes (node_id, node_type, name and more) and edges (source, target, type, edge_id) in a folder that is new."""
-    # an end's row names both ends once until it is where it stays: `out` tells which is the source
+    # an end's row names both ends once until it is where it stays: `out` tells which is the source; there the other end is told by `a`
     ends = graph.both_ways(edges.where("source is not null and target is not null")).select("a", "b", (F.col("a") == F.col("edge.source")).alias("out"), "edge.type", "edge.edge_id")
     hubs = ends.groupBy("a").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1")
     hubs.write.parquet(f"{folder}/hubs")
@@ -79,7 +79,7 @@ def build(nodes: DataFrame, edges: DataFrame, folder: str, buckets: int = BUCKET
     # few are hubs; joined by the end, as many edges as a hub has would be one task's again, so their list is broadcast if Spark finds it small, else dealt by skew
     dealt = ends.join(hubs, ends["a"] == hubs["hub"], "left").withColumn("part", F.pmod(F.xxhash64("edge_id", "b"), F.coalesce("parts", F.lit(1))).cast("int"))
     source, target = F.when(F.col("out"), F.col("a")).otherwise(F.col("b")), F.when(F.col("out"), F.col("b")).otherwise(F.col("a"))
-    named = lambda df: df.select("a", "part", "b", source.alias("source"), target.alias("target"), "type", "edge_id")
+    named = lambda df: df.select("a", "part", source.alias("source"), target.alias("target"), "type", "edge_id")
     _store(dealt.select("a", "part", "b", "out", "type", "edge_id"), f"{folder}/ends", ["a", "part"], buckets, named)
     _store(nodes, f"{folder}/names", ["name"], buckets, **{"parquet.bloom.filter.enabled#name": "true"})
     nodes.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.json(f"{folder}/about")

@@ -353,7 +353,7 @@ def graph_related_rows(spark, d):
 
 def _indexed(spark, d):
     """The graph of the entity-relation rows as a stored index; hubs are those of more than 500 edges here, so that there are some."""
-    nodes, edges = _graph(spark, d, columns=WALK)
+    nodes, edges = _graph(spark, d, ("confidence",), WALK)
     folder = _folder(spark, "graph-index")
     graph_index.build(nodes, edges, folder, buckets=16, part=500)
     return graph_index.load(spark, folder)

@@ -643,3 +643,15 @@ def test_nodes_search_no_evidence(spark):
     assert plain.where("type = 'PERCENTAGE'").count() == 1 and "evidence_note#" not in own._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
     key = lambda df: sorted(map(repr, df.collect()))
     assert key(graph.entity_nodes(own)) == key(graph.entity_nodes(plain))
+
+
+def test_stored_ends_name_each_end_once_beside_the_key(spark, tmp_path):
+    edges = spark.createDataFrame([("e1", "x", "y", "T"), ("e2", "y", "x", "T"), ("e3", "x", "x", "T")], "edge_id string, source string, target string, type string")
+    graph_index.build(spark.createDataFrame([("x", "N", "x")], "node_id string, node_type string, name string"), edges, f"{tmp_path}/g", buckets=2)
+    index = graph_index.load(spark, f"{tmp_path}/g")
+    try:
+        assert sorted(index.ends.columns) == ["a", "edge_id", "part", "source", "target", "type"]
+        met = index.meet(spark.createDataFrame([("x",), ("y",)], "node string")).select("node", "b", "edge.*").collect()
+        assert sorted(tuple(r) for r in met) == sorted([("x", "y", "x", "y", "T", "e1"), ("y", "x", "x", "y", "T", "e1"), ("y", "x", "y", "x", "T", "e2"), ("x", "y", "y", "x", "T", "e2"), ("x", "x", "x", "x", "T", "e3")])
+    finally:
+        index.close()
