@@ -83,7 +83,8 @@ def store_graph(spark, d):
 
 
 def _indexed(spark, d):
-    nodes, edges = _graph(spark, d)
+    """The graph with what texts are made of, and its vector stores."""
+    nodes, edges = _graph(spark, d, embedding.NODE, ("ord", "source", "type", "target", "section", "year", "evidence"))
     return nodes, edges, jobs.index_graph(nodes, edges, embedding.Embedder(dimension=16), _folder(spark, "index"))
 
 

@@ -655,3 +655,15 @@ def test_stored_ends_name_each_end_once_beside_the_key(spark, tmp_path):
         assert sorted(tuple(r) for r in met) == sorted([("x", "y", "x", "y", "T", "e1"), ("y", "x", "x", "y", "T", "e1"), ("y", "x", "y", "x", "T", "e2"), ("x", "y", "y", "x", "T", "e2"), ("x", "x", "x", "x", "T", "e3")])
     finally:
         index.close()
+
+
+def test_indexes_carry_what_they_are_asked_for(spark, monkeypatch):
+    asked = []
+    real = queries._graph
+    for module in (queries, stores):
+        monkeypatch.setattr(module, "_graph", lambda *a, **k: asked.append([x.columns for x in real(*a, **k)]) or real(*a, **k))
+    index = queries._indexed(spark, "/root/testdata/sf0.001")
+    index.close()
+    stores._indexed(spark, "/root/testdata/sf0.001")
+    assert asked[0] == [["node_id", "node_type", "name", "confidence"], list(queries.WALK)]
+    assert asked[1] == [["node_id", "node_type", "name", *embedding.NODE], ["ord", "source", "type", "target", "section", "year", "evidence"]]
