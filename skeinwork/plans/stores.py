@@ -30,7 +30,7 @@ def sink_entities(spark, d):
 def sink_relations(spark, d):
     folder = _folder(spark, "sink")
     found = R.dedup(_er(spark, d)[2])
-    tables.write_json(found, folder)
+    tables.write_json(found, folder, "gzip")
     return spark.read.schema(found.schema).json(folder).select("ord", "source", "target", "type", "confidence")
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from skeinwork.functions.storage import exists, remove
 
 
-def write_json(df: DataFrame, folder: str) -> None:
-    """Entities, relationships, statistics or answers, one JSON object a line."""
-    df.write.mode("overwrite").json(folder)
+def write_json(df: DataFrame, folder: str, compression: str = "none") -> None:
+    """Entities, relationships, statistics or answers, one JSON object a line; compression: as Spark names it, for tables that are large (gzip: part-*.json.gz)."""
+    df.write.mode("overwrite").json(folder, compression=compression)
 
 
 def write_json_list(df: DataFrame, path: str) -> None:

@@ -667,3 +667,13 @@ def test_indexes_carry_what_they_are_asked_for(spark, monkeypatch):
     stores._indexed(spark, "/root/testdata/sf0.001")
     assert asked[0] == [["node_id", "node_type", "name", "confidence"], list(queries.WALK)]
     assert asked[1] == [["node_id", "node_type", "name", *embedding.NODE], ["ord", "source", "type", "target", "section", "year", "evidence"]]
+
+
+def test_json_sink_compressed(spark, tmp_path):
+    table = spark.createDataFrame([("a", 1, None), ("é", 2, 0.5)], "x string, n long, c double")
+    tables.write_json(table, f"{tmp_path}/plain")
+    tables.write_json(table, f"{tmp_path}/small", "gzip")
+    names = [sorted(p.suffix for p in (tmp_path / f).glob("part-*")) for f in ("plain", "small")]
+    assert set(names[0]) == {".json"} and set(names[1]) == {".gz"}
+    key = lambda f: sorted(map(repr, spark.read.schema(table.schema).json(f"{tmp_path}/{f}").collect()))
+    assert key("plain") == key("small") == sorted(map(repr, table.collect()))
