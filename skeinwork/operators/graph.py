@@ -75,9 +75,10 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """a, b, edge: each edge from either end."""
-    e = edges.select("source", "target", "type", "edge_id")
-    keep = F.struct("source", "target", "type", "edge_id").alias("edge")
+    """a, b, edge: each edge from either end, with its type and id if they are there."""
+    names = ["source", "target", *[c for c in ("type", "edge_id") if c in edges.columns]]
+    e = edges.select(*names)
+    keep = F.struct(*names).alias("edge")
     return e.select(F.col("source").alias("a"), F.col("target").alias("b"), keep).union(e.where("source <> target").select(F.col("target").alias("a"), F.col("source").alias("b"), keep))
 
 
@@ -95,7 +96,8 @@ def k_hop(edges: DataFrame | None, seeds: DataFrame, depth: int = 2, meet: Meet
     """seed, node, distance: breadth-first reach over undirected edges. seeds: seed. Each hop's frontier holds new nodes alone, once each.
     meet: how edges are found, by default in `edges`."""
     meet = meet or meeting(edges)
-    reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct()
+    # stored, so that Spark knows their size: a few seeds are broadcast, and the first hop shuffles no edges either
+    reached = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct(), "hop-0")
     frontier = reached
     for hop in range(1, depth + 1):
         nxt = meet(frontier).select("seed", F.col("b").alias("node")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,11 +118,12 @@ def entity_types(entities: DataFrame) -> DataFrame:
 TYPED = ("text", "type", "confidence", "ord")
 
 
-def row_relations(rows: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+def row_relations(rows: DataFrame, entities: DataFrame | None = None, carried: Sequence[str] = ()) -> DataFrame:
     """The relation that an entity-relation row states, and its section and year. Types of ends are those of the first entity of that text;
-    without entities a source has none and a target what its row says, and no row is shuffled."""
+    without entities a source has none and a target what its row says, and no row is shuffled. carried: further columns of the rows that
+    their relations keep."""
     c = _columns(rows, "source", "relation", "target", "target_type", "section", "year", "value", "unit", "evidence_note")
-    wide = rows.select("chunk_id", "source_doc", "ord", *[v.alias(k) for k, v in c.items()])
+    wide = rows.select("chunk_id", "source_doc", "ord", *carried, *[v.alias(k) for k, v in c.items()])
     if entities is None:
         wide = wide.withColumns({"source_kind": F.lit(None).cast("string"), "target_kind": F.lit(None).cast("string")})
     else:
@@ -139,7 +142,7 @@ def row_relations(rows: DataFrame, entities: DataFrame | None = None) -> DataFra
         "confidence": F.when(k == 1, 0.9).otherwise(1.0), "year": F.when(k < 2, year), "section": stated(col("section")), "source_type": stated(col("source_kind")), "target_type": stated(F.coalesce("target_kind", "target_type")),
         "value": F.when((k == 0) & filled("value"), col("value")), "unit": F.when((k == 0) & filled("value") & filled("unit"), col("unit")), "evidence": F.when((k == 0) & filled("evidence_note"), col("evidence_note")),
     }
-    return each.select("chunk_id", "source_doc", numbered_ord(col("at")).alias("ord"), *[fields.get(n, none).cast(t).alias(n) for n, t in FIELDS.items()])
+    return each.select("chunk_id", "source_doc", numbered_ord(col("at")).alias("ord"), *[fields.get(n, none).cast(t).alias(n) for n, t in FIELDS.items()], *carried)
 
 
 def content_mentions(rows: DataFrame, entities: DataFrame) -> DataFrame:
@@ -177,6 +180,17 @@ def dedup(relations: DataFrame) -> DataFrame:
     return relations.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def unique_row_relations(rows: DataFrame) -> DataFrame:
+    """dedup(row_relations(rows)). All that a row states has its source, so rows are shuffled by it before they state anything: fewer and
+    narrower than their relations, which are then sorted once, and by a hash of their keys first: it tells them apart at once, where names
+    begin alike. Rows without a source state nothing."""
+    keyed = rows.where(truthy(F.col("source").cast("string"))).withColumn("__source", norm(F.col("source").cast("string"))).repartition("__source")
+    keys = [F.col("__source"), norm(F.col("target")), F.col("type")]
+    w = W.partitionBy(F.xxhash64("__source"), *keys).orderBy(F.col("confidence").desc(), "ord")
+    each = row_relations(keyed, carried=["__source"])
+    return each.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__source")
+
+
 _EXTRACTORS = {"cooccurrence": cooccurrence, "pattern": pattern_relations, "csv": table_relations}
 
 

@@ -224,12 +224,12 @@ def _nodes(spark, d, fields=graph.FIELDS):
 
 def _edges(rows):
     """Edges say nothing of the types of their ends, so no entities are looked up for them."""
-    return graph.relation_edges(R.dedup(R.row_relations(rows))).withColumn("edge_id", F.col("ord"))
+    return graph.relation_edges(R.unique_row_relations(rows)).withColumn("edge_id", F.col("ord"))
 
 
-def _walks(spark, d):
+def _walks(spark, d, columns=WALK):
     """The edges of the entity-relation rows as walks need them, stored."""
-    return cut(_edges(fx.er_rows(spark, d)).select(*WALK), "edges")
+    return cut(_edges(fx.er_rows(spark, d)).select(*columns), "edges")
 
 
 def _graph(spark, d, fields=graph.FIELDS, columns=None):
@@ -330,7 +330,7 @@ def graph_add_chunks(spark, d):
 
 @query
 def graph_neighbors(spark, d):
-    edges = _walks(spark, d)
+    edges = _walks(spark, d, ("source", "target"))
     seeds = spark.createDataFrame([("AFRICA",), ("Brand#2",), ("Customer#000000001",)], "seed string")
     return graph.neighbours(edges, seeds, 2).select("seed", "rank", "node", "distance")
 
@@ -446,7 +446,7 @@ def graph_upsert_edges(spark, d):
 
 @query
 def graph_rel_query(spark, d):
-    return graph.query_edges(_edges(fx.er_rows(spark, d)), kind="PART_OF").select("source", "target", "type", "confidence")
+    return graph.query_edges(_edges(fx.er_rows(spark, d), "PART_OF"), kind="PART_OF").select("source", "target", "type", "confidence")
 
 
 @query

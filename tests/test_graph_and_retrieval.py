@@ -677,3 +677,24 @@ def test_json_sink_compressed(spark, tmp_path):
     assert set(names[0]) == {".json"} and set(names[1]) == {".gz"}
     key = lambda f: sorted(map(repr, spark.read.schema(table.schema).json(f"{tmp_path}/{f}").collect()))
     assert key("plain") == key("small") == sorted(map(repr, table.collect()))
+
+
+def test_rows_are_shuffled_by_their_source_before_they_state_anything(spark):
+    made = [("r1", "Ann", "Placed", "Order 1", "A", "2020.0"), ("r2", " ann", "placed", "order 1", "a", "2020"), ("r3", "ANN", "placed", "Order 2", " A ", None), ("r4", None, "placed", "Order 3", "A", None), ("r5", "", "placed", "x", "A", "2020"), ("r6", "Bob", "in year", "2020", "B", "2020.0")]
+    rows = spark.createDataFrame([(f"c{o}", "f", o, s, r, t, "data", sec, y, None, None, None) for o, s, r, t, sec, y in made], "chunk_id string, source_doc string, ord string, source string, relation string, target string, target_type string, section string, year string, value string, unit string, evidence_note string")
+    for some in (rows, fx.er_rows(spark, "/root/testdata/sf0.001")):
+        want, got = R.dedup(R.row_relations(some)), R.unique_row_relations(some)
+        assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).isEmpty()
+    # one exchange, below the explode
+    plan = R.unique_row_relations(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_walks_shuffle_no_edges_for_few_seeds(spark, monkeypatch):
+    edges = graph.cut(fx.graph_edges(spark), "edges")
+    plans = []
+    monkeypatch.setattr(graph, "cut", lambda df, name, inner=graph.cut: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), inner(df, name))[1])
+    seeds = spark.createDataFrame([("A",), ("D",)], "seed string")
+    graph.k_hop(edges.select("source", "target"), seeds, 1)
+    first = [p for name, p in plans if name == "hop-1"]
+    assert len(first) == 1 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in first)
