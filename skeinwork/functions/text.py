@@ -111,12 +111,14 @@ def beyond(rules: list[Column], more: Column) -> Column:
     return F.transform(more, lambda x, i: F.struct(F.lit(len(rules)).alias("k"), (base + i).alias("at"), x["text"].alias("text"), x["kind"].alias("kind")))
 
 
-def spots(rules: list[Column], more: Column | None = None) -> Column:
+def spots(rules: list[Column], more: Column | None = None, wanted: list[Column | bool] | None = None) -> Column:
     """array<struct<k, at, text, kind>>: for each rule its number and how many hold before it, null where it doesn't hold; behind them those of `more`
-    (what beyond() made; null: none). Exploded, this is narrow: what a rule gives is worked out after it, for that rule alone."""
+    (what beyond() made; null: none). Exploded, this is narrow: what a rule gives is worked out after it, for that rule alone. wanted: of each rule
+    a further condition, without which it counts for those behind it but isn't told; False: nothing of it is asked."""
     holds, at = _counted(rules)
     none = F.lit(None).cast("string")
-    found = F.array(*[F.when(h, F.struct(F.lit(k).alias("k"), at[k].alias("at"), none.alias("text"), none.alias("kind"))) for k, h in enumerate(holds)])
+    told = [(k, h if w is True else h & w) for k, (h, w) in enumerate(zip(holds, wanted or [True] * len(holds))) if w is not False]
+    found = F.array(*[F.when(h, F.struct(F.lit(k).alias("k"), at[k].alias("at"), none.alias("text"), none.alias("kind"))) for k, h in told])
     return found if more is None else F.concat(found, F.coalesce(more, F.array().cast("array<struct<k:int,at:int,text:string,kind:string>>")))
 
 

@@ -118,10 +118,10 @@ def entity_types(entities: DataFrame) -> DataFrame:
 TYPED = ("text", "type", "confidence", "ord")
 
 
-def row_relations(rows: DataFrame, entities: DataFrame | None = None, carried: Sequence[str] = ()) -> DataFrame:
+def row_relations(rows: DataFrame, entities: DataFrame | None = None, carried: Sequence[str] = (), kind: str | None = None) -> DataFrame:
     """The relation that an entity-relation row states, and its section and year. Types of ends are those of the first entity of that text;
     without entities a source has none and a target what its row says, and no row is shuffled. carried: further columns of the rows that
-    their relations keep."""
+    their relations keep. kind: the only type that is asked for; columns that only others are made of aren't read."""
     c = _columns(rows, "source", "relation", "target", "target_type", "section", "year", "value", "unit", "evidence_note")
     wide = rows.select("chunk_id", "source_doc", "ord", *carried, *[v.alias(k) for k, v in c.items()])
     if entities is None:
@@ -134,11 +134,15 @@ def row_relations(rows: DataFrame, entities: DataFrame | None = None, carried: S
     year = drop_point_zero(F.coalesce("year", F.lit("")))
     filled = lambda n: truthy(col(n)) & (bare(col(n)) | (strip(col(n)) != ""))
     rules = [truthy(col("source")) & truthy(col("relation")) & truthy(col("target")), truthy(col("source")) & truthy(col("section")), truthy(col("source")) & (year != "")]
-    each = wide.select("*", F.explode(spots(rules)).alias("x")).where("x is not null").select("*", "x.k", "x.at")
+    named = F.replace(F.upper("relation"), F.lit(" "), F.lit("_"))
+    asked = [kind in (None, "IN_SECTION"), kind in (None, "IN_YEAR")]
+    wanted = [F.coalesce(named == kind, F.lit(False)), *asked] if kind is not None else None
+    section, at_year = (x if a else F.lit(None).cast("string") for x, a in zip((col("section"), year), asked))
+    each = wide.select("*", F.explode(spots(rules, wanted=wanted)).alias("x")).where("x is not null").select("*", "x.k", "x.at")
     k, none = col("k"), F.lit(None)
     stated = lambda x: F.when(k == 0, x)
     fields = {
-        "source": col("source"), "target": pick(k, col("target"), col("section"), year), "type": pick(k, F.replace(F.upper("relation"), F.lit(" "), F.lit("_")), F.lit("IN_SECTION"), F.lit("IN_YEAR")),
+        "source": col("source"), "target": pick(k, col("target"), section, at_year), "type": pick(k, named, F.lit("IN_SECTION"), F.lit("IN_YEAR")),
         "confidence": F.when(k == 1, 0.9).otherwise(1.0), "year": F.when(k < 2, year), "section": stated(col("section")), "source_type": stated(col("source_kind")), "target_type": stated(F.coalesce("target_kind", "target_type")),
         "value": F.when((k == 0) & filled("value"), col("value")), "unit": F.when((k == 0) & filled("value") & filled("unit"), col("unit")), "evidence": F.when((k == 0) & filled("evidence_note"), col("evidence_note")),
     }

@@ -222,9 +222,11 @@ def _nodes(spark, d, fields=graph.FIELDS):
     return graph.entity_nodes(_own(fx.er_rows(spark, d), fields), fields)
 
 
-def _edges(rows):
-    """Edges say nothing of the types of their ends, so no entities are looked up for them."""
-    return graph.relation_edges(R.unique_row_relations(rows)).withColumn("edge_id", F.col("ord"))
+def _edges(rows, kind=None):
+    """Edges say nothing of the types of their ends, so no entities are looked up for them. kind: those of one type; few, they are made unique
+    by themselves, and no row is shuffled for them."""
+    unique = R.unique_row_relations(rows) if kind is None else R.dedup(R.row_relations(rows, kind=kind))
+    return graph.relation_edges(unique).withColumn("edge_id", F.col("ord"))
 
 
 def _walks(spark, d, columns=WALK):

@@ -698,3 +698,16 @@ def test_walks_shuffle_no_edges_for_few_seeds(spark, monkeypatch):
     graph.k_hop(edges.select("source", "target"), seeds, 1)
     first = [p for name, p in plans if name == "hop-1"]
     assert len(first) == 1 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in first)
+
+
+def test_edges_of_one_type_read_what_they_are_made_of(spark):
+    rows = fx.er_rows(spark, "/root/testdata/sf0.001")
+    every = queries._edges(rows).select("source", "target", "type", "confidence", "ord").cache()
+    for kind in ("PART_OF", "PLACED", "IN_SECTION", "IN_YEAR", "nothing"):
+        some = queries._edges(rows, kind).select(*every.columns)
+        want = every.where(every["type"] == kind)
+        assert some.count() == want.count() and some.exceptAll(want).isEmpty()
+    every.unpersist()
+    plan = QUERIES["graph_rel_query"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # whole tables are read, without the columns that sections and years alone are made of
+    assert all(f"/{t}.parquet" in plan for t in ("lineitem", "part", "orders", "customer")) and not any(c in plan for c in ("p_type", "o_orderdate", "o_orderpriority"))
