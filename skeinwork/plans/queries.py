@@ -172,8 +172,15 @@ def rel_pattern(spark, d):
     return R.pattern_relations(fx.text_chunks(spark, d)).select("chunk_id", "source", "target", "type", "confidence", "context")
 
 
+def _stored_rows(spark, d):
+    """The entity-relation rows, stored; what says the same of every row, or what `ord` says, is not written but added again."""
+    rows = fx.er_rows(spark, d)
+    stored = cut(rows.drop("chunk_id", "source_doc"), "er-rows")
+    return stored.select(F.concat(F.lit("er_"), "ord").alias("chunk_id"), F.lit("er.csv").alias("source_doc"), "*").select(*rows.columns)
+
+
 def _er(spark, d):
-    rows = cut(fx.er_rows(spark, d), "er-rows")
+    rows = _stored_rows(spark, d)
     found = E.row_entities(rows)
     return rows, found, R.row_relations(rows, E.dedup(found.select(*R.TYPED)))
 
@@ -236,7 +243,7 @@ def _walks(spark, d, columns=WALK):
 
 def _graph(spark, d, fields=graph.FIELDS, columns=None):
     """(nodes, edges) of the entity-relation rows, stored. fields: the properties of nodes that are asked for, columns: those of edges (None: all)."""
-    rows = cut(fx.er_rows(spark, d), "er-rows")
+    rows = _stored_rows(spark, d)
     nodes = cut(graph.entity_nodes(_own(rows, fields), fields), "nodes")
     edges = _edges(rows)
     return nodes, cut(edges.select(*columns) if columns else edges, "edges")
@@ -244,7 +251,7 @@ def _graph(spark, d, fields=graph.FIELDS, columns=None):
 
 def _counted(spark, d):
     """(unique entities, edges) of the entity-relation rows with what statistics count."""
-    rows = cut(fx.er_rows(spark, d), "er-rows")
+    rows = _stored_rows(spark, d)
     return _own(rows), _edges(rows)
 
 

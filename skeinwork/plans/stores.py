@@ -10,7 +10,7 @@ from skeinwork.operators import chunking, embedding, graph, retrieval, vectors
 from skeinwork.operators import entities as E
 from skeinwork.operators import relations as R
 from skeinwork.plans import jobs
-from skeinwork.plans.queries import ENTITY_OUT, _counted, _docs, _er, _folder, _graph, _vectors, query
+from skeinwork.plans.queries import ENTITY_OUT, _counted, _docs, _er, _folder, _graph, _stored_rows, _vectors, query
 from skeinwork.sources import files, tables
 from skeinwork.sources import fixtures as fx
 
@@ -129,7 +129,7 @@ def chunker_factory(spark, d):
 @query
 def extractor_factories(spark, d):
     """Extractors by their names, over rows and texts."""
-    rows, chunks = cut(fx.er_rows(spark, d), "er-rows"), fx.text_chunks(spark, d)
+    rows, chunks = _stored_rows(spark, d), fx.text_chunks(spark, d)
     found = E.extractor("csv")(rows)
     kinds = {"entities csv": found, "entities keyword": E.extractor("keyword")(chunks), "relations csv": R.extractor("csv")(rows, E.dedup(found.select(*R.TYPED))), "relations pattern": R.extractor("pattern")(chunks)}
     out = None

@@ -711,3 +711,11 @@ def test_edges_of_one_type_read_what_they_are_made_of(spark):
     plan = QUERIES["graph_rel_query"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     # whole tables are read, without the columns that sections and years alone are made of
     assert all(f"/{t}.parquet" in plan for t in ("lineitem", "part", "orders", "customer")) and not any(c in plan for c in ("p_type", "o_orderdate", "o_orderpriority"))
+
+
+def test_stored_rows_are_the_rows(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(queries, "cut", lambda df, name, inner=queries.cut: (kept.append(df.columns), inner(df, name))[1])
+    rows, want = queries._stored_rows(spark, "/root/testdata/sf0.001"), fx.er_rows(spark, "/root/testdata/sf0.001")
+    assert rows.columns == want.columns and rows.count() == want.count() and rows.exceptAll(want).isEmpty()
+    assert "ord" in kept[0] and "chunk_id" not in kept[0] and "source_doc" not in kept[0]
