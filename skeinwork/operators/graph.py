@@ -132,7 +132,8 @@ def related(edges: DataFrame | None, seeds: DataFrame, depth: int = 2, limit: in
     more than `limit` paths into a hop."""
     meet = meet or meeting(edges)
     edge = "struct<source:string,target:string,type:string,edge_id:string>"
-    paths = seeds.select("seed", F.col("seed").alias("node"), F.array().cast("array<string>").alias("trail"), F.lit(None).cast(edge).alias("first")).distinct()
+    # stored as in k_hop
+    paths = cut(seeds.select("seed", F.col("seed").alias("node"), F.array().cast("array<string>").alias("trail"), F.lit(None).cast(edge).alias("first")).distinct(), "trail-0")
     order = [F.array_join("trail", "\x1f"), F.col("node")]
     found = None
     for hop in range(1, depth + 1):

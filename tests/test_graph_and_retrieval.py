@@ -690,16 +690,6 @@ def test_rows_are_shuffled_by_their_source_before_they_state_anything(spark):
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
 
 
-def test_walks_shuffle_no_edges_for_few_seeds(spark, monkeypatch):
-    edges = graph.cut(fx.graph_edges(spark), "edges")
-    plans = []
-    monkeypatch.setattr(graph, "cut", lambda df, name, inner=graph.cut: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), inner(df, name))[1])
-    seeds = spark.createDataFrame([("A",), ("D",)], "seed string")
-    graph.k_hop(edges.select("source", "target"), seeds, 1)
-    first = [p for name, p in plans if name == "hop-1"]
-    assert len(first) == 1 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in first)
-
-
 def test_edges_of_one_type_read_what_they_are_made_of(spark):
     rows = fx.er_rows(spark, "/root/testdata/sf0.001")
     every = queries._edges(rows).select("source", "target", "type", "confidence", "ord").cache()
@@ -713,6 +703,17 @@ def test_edges_of_one_type_read_what_they_are_made_of(spark):
     assert all(f"/{t}.parquet" in plan for t in ("lineitem", "part", "orders", "customer")) and not any(c in plan for c in ("p_type", "o_orderdate", "o_orderpriority"))
 
 
+def test_walks_shuffle_no_edges_for_few_seeds(spark, monkeypatch):
+    edges = graph.cut(fx.graph_edges(spark), "edges")
+    plans = []
+    monkeypatch.setattr(graph, "cut", lambda df, name, inner=graph.cut: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), inner(df, name))[1])
+    seeds = spark.createDataFrame([("A",), ("D",)], "seed string")
+    graph.k_hop(edges.select("source", "target"), seeds, 1)
+    graph.related(edges, seeds, 2)
+    first = [p for name, p in plans if name in ("hop-1", "trail-1")]
+    assert len(first) == 2 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in first)
+
+
 def test_stored_rows_are_the_rows(spark, monkeypatch):
     kept = []
     monkeypatch.setattr(queries, "cut", lambda df, name, inner=queries.cut: (kept.append(df.columns), inner(df, name))[1])
