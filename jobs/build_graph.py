@@ -15,8 +15,9 @@ A run writes every table anew, so a run that ends halfway is mended by the next
 any order and number of files. Rows equal in id and text give the same chunks, which are kept once; other texts of the same id are
 chunks of their own. Documents without words have no chunks; a null id reads `null`.
 
-Texts are shuffled once, as chunks, and written once, as the graph's nodes; entities and relationships are found in what is written. Entities
-are counted before they are shuffled, so neither a frequent entity nor a long document is one task's.
+Texts are written once, as the graph's nodes, by the tasks that read them; only documents whose id comes again have their chunks shuffled. Entities and
+relationships are found in what is written. Entities are counted in their chunk and before they are shuffled, so neither a frequent entity nor a long
+document is one task's.
 """
 
 from __future__ import annotations
@@ -34,11 +35,19 @@ CONFIG = {"sentences_in_chunk": 3, "sentences_shared": 1, "min_chunks": 1}
 
 
 def chunks_of(docs: DataFrame, in_chunk: int, shared: int) -> DataFrame:
-    """chunk_id, source_doc, ord, text: runs of sentences. Ids are the document's, the number of the chunk and a hash of its text."""
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    runs = chunking.sentences(docs.select(doc.alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null"), in_chunk, shared)
-    key = F.concat(F.lpad("doc_id", 20, "0"), F.lit("#"), F.lpad(F.col("chunk_index").cast("string"), 8, "0"), F.lit("#"), F.substring(F.sha2("text", 256), 1, 12))
-    return runs.select(key.alias("chunk_id"), F.col("doc_id").alias("source_doc"), key.alias("ord"), "text")
+    """chunk_id, source_doc, ord, text: runs of sentences, each once. Ids are the document's, the number of the chunk and a hash of its text."""
+    doc = F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), 20, "0")
+    docs = docs.select(doc.alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    # chunks can be equal only where a document's id comes again
+    again = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "graph-again")
+
+    def runs(of: DataFrame) -> DataFrame:
+        key = F.concat("doc_id", F.lit("#"), F.lpad(F.col("chunk_index").cast("string"), 8, "0"), F.lit("#"), F.substring(F.sha2("text", 256), 1, 12))
+        return chunking.sentences(of, in_chunk, shared).select(key.alias("chunk_id"), F.col("doc_id").alias("source_doc"), key.alias("ord"), "text")
+
+    if again.isEmpty():
+        return runs(docs)
+    return runs(docs.join(again, "doc_id", "left_anti")).union(runs(docs.join(again, "doc_id", "left_semi")).dropDuplicates(["chunk_id"]))
 
 
 def run(spark: SparkSession, documents: str, output: str, config: dict | None = None) -> DataFrame:
@@ -47,15 +56,14 @@ def run(spark: SparkSession, documents: str, output: str, config: dict | None =
     docs = described(spark.read.parquet(documents), "read documents", documents)
     with scope(spark):
         chunks = chunks_of(docs, chosen["sentences_in_chunk"], chosen["sentences_shared"])
-        kept = graph.chunk_nodes(chunks).select("node_id", "node_type", F.col("full_text").alias("text")).dropDuplicates(["node_id"])
+        kept = graph.chunk_nodes(chunks).select("node_id", "node_type", F.col("full_text").alias("text"))
         absent = F.lit(None).cast("long")
         kept.select("node_id", "text", absent.alias("n_chunks"), absent.alias("n_docs"), "node_type").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("node_type").parquet(f"{output}/nodes")
         own = spark.read.schema(NODES).parquet(f"{output}/nodes").where("node_type = 'CHUNK'")
         chunks = own.select(F.col("node_id").alias("chunk_id"), F.lit(None).cast("string").alias("source_doc"), F.col("node_id").alias("ord"), "text")
-        found = graph.mentions(entities.keyword_entities(chunks).withColumns({"column": F.lit(None).cast("string")}))
         # one edge for each chunk and entity
-        mention = F.count("*").alias("n"), F.max("confidence").alias("confidence")
-        mentions = cut(found.groupBy("source", "target", "entity_type").agg(*mention), "graph-mentions")
+        found = entities.keyword_counts(chunks)
+        mentions = cut(found.select(F.col("chunk_id").alias("source"), F.col("text").alias("target"), F.col("type").alias("entity_type"), "n", "confidence"), "graph-mentions")
         doc = F.regexp_extract("source", "^([^#]*)#", 1)
         of_doc = mentions.groupBy("target", "entity_type", doc.alias("doc")).agg(F.count("*").alias("n"))
         names = of_doc.groupBy("target", "entity_type").agg(F.sum("n").alias("n_chunks"), F.count("*").alias("n_docs")).where(F.col("n_chunks") >= chosen["min_chunks"])
@@ -66,10 +74,10 @@ def run(spark: SparkSession, documents: str, output: str, config: dict | None =
         nodes = names.select(F.col("target").alias("node_id"), none.alias("text"), "n_chunks", "n_docs", F.col("entity_type").alias("node_type"))
         edges = mentions.select("source", "target", F.lit("MENTIONS").alias("type"), "confidence", none.alias("context"), F.col("source").alias("chunk_id"), "n")
         said = graph.relation_edges(relations.dedup(relations.pattern_relations(chunks))).select("source", "target", "type", "confidence", "context", "chunk_id")
-        # mentions are of one type and lie in parts of like size; what is of several types is dealt to such, whichever is frequent
-        edges = edges.unionByName(said.hint("rebalance", "type"), allowMissingColumns=True)
         nodes.hint("rebalance", "node_type").write.mode("append").partitionBy("node_type").parquet(f"{output}/nodes")
-        edges.write.mode("overwrite").partitionBy("type").parquet(f"{output}/edges")
+        # mentions are of one type and lie in parts of like size, so they need no sort by it; what is of several types is dealt to such, whichever is frequent
+        edges.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("type").parquet(f"{output}/edges")
+        said.withColumn("n", F.lit(None).cast("long")).hint("rebalance", "type").write.mode("append").partitionBy("type").parquet(f"{output}/edges")
     nodes, edges = tables(spark, output)
     described(nodes, "wrote nodes", f"{output}/nodes")
     described(edges, "wrote edges", f"{output}/edges")

@@ -68,6 +68,21 @@ def find_spans(text: Column, pattern: str) -> Column:
     return F.get(F.transform(F.array(pairs), spans), F.lit(0))
 
 
+def counted(found: Column) -> Column:
+    """array<struct<x, n>>: the different elements of an array (none null) and how often each is there. Sorted, equal ones stand side by side, so
+    a long array takes little more for each element than a short one."""
+
+    def ends(s: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: F.coalesce(F.get(s, i) != F.get(s, i - 1), F.lit(True)))
+
+    def runs(s: Column, e: Column) -> Column:
+        return F.transform(e, lambda at, k: F.struct(F.get(s, at - 1).alias("x"), (at - F.coalesce(F.get(e, k - 1), F.lit(0))).cast("long").alias("n")))
+
+    # as lambdas' variables the sorted elements and their ends are made once
+    each = F.flatten(F.transform(F.array(F.sort_array(found)), lambda s: F.flatten(F.transform(F.array(ends(s)), lambda e: runs(s, e)))))
+    return F.when(F.size(found) > 0, each)
+
+
 def is_number(c: Column) -> Column:
     """What both float() of the specification and a cast read as the same finite number."""
     return F.when(bare(c), c).otherwise(strip(c)).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.functions.text import strip
+from skeinwork.functions.text import bare, strip
 
 _SPANS = "array<struct<chunk_index:int,text:string,start_char:int,end_char:int,chunk_type:string>>"
 
@@ -99,7 +99,7 @@ def sentences(docs: DataFrame, per_chunk: int = 3, overlap: int = 1) -> DataFram
     """Runs of `per_chunk` sentences that share `overlap` with the run before; sentences end at . ! ? before white space."""
     if overlap >= per_chunk:
         raise ValueError("overlap must be smaller than the number of sentences in a chunk")
-    parts = F.filter(F.transform(F.split("text", r"(?U)(?<=[.!?])\s+", -1), strip), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", r"(?U)(?<=[.!?])\s+", -1), lambda x: F.when(bare(x), x).otherwise(strip(x))), lambda x: x != "")
     with_parts = docs.select("doc_id", parts.alias("s")).where(F.size("s") > 0)
     starts = F.sequence(F.lit(0), F.size("s") - 1, F.lit(per_chunk - overlap))
     each = with_parts.select("doc_id", "s", F.posexplode(starts).alias("chunk_index", "sentence_start"))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skeinwork.functions.text import beyond, drop_point_zero, find_all, find_spans, float_text, is_number, norm, numbered_ord, pick, spots, strip, truthy
+from skeinwork.functions.text import beyond, counted, drop_point_zero, find_all, find_spans, float_text, is_number, norm, numbered_ord, pick, spots, strip, truthy
 
-#: Patterns, words and markers of the specification.
-CAPITALISED = r"\b[A-Z][a-z]+(?:(?U:\s)+[A-Z][a-z]+)*\b"
+#: Patterns, words and markers of the specification. Words of a run are possessive: a group that may give words back takes a part of the
+#: stack for each, and a run of some thousand words then ends the executor, which a StackOverflowError is fatal to.
+CAPITALISED = r"\b[A-Z][a-z]++\b(?:(?U:\s)++[A-Z][a-z]++\b)*+"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 URL = r"https?://(?:www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b[-a-zA-Z0-9()@:%_\+.~#?&/=]*"
 NUMBER = r"(?U)\b\d+(?:\.\d+)?\b"
@@ -50,8 +51,12 @@ def _spans(text: Column, pattern: str, kind: str, confidence: float) -> Column:
     return F.transform(find_spans(text, pattern), lambda m: entity(m["text"], kind, confidence, start=m["start"], end=m["end"]))
 
 
+def _named(text: Column) -> Column:
+    return F.length(text).between(2, 50) & ~F.lower(text).isin(STOP_WORDS)
+
+
 def capitalised(text: Column) -> Column:
-    ok = F.filter(find_spans(text, CAPITALISED), lambda m: F.length(m["text"]).between(2, 50) & ~F.lower(m["text"]).isin(STOP_WORDS))
+    ok = F.filter(find_spans(text, CAPITALISED), lambda m: _named(m["text"]))
     return F.transform(ok, lambda m: entity(m["text"], "NAMED_ENTITY", 0.7, start=m["start"], end=m["end"]))
 
 
@@ -70,6 +75,27 @@ def keyword_entities(chunks: DataFrame, emails: bool = True, urls: bool = True,
     return _rows(chunks.where(F.col("text").isNotNull()), F.concat(*parts))
 
 
+def keyword_counts(chunks: DataFrame) -> DataFrame:
+    """chunk_id, text, type, confidence, n: keyword_entities() without their places, counted in each row of chunks (chunk_id, text), so that no row is shuffled."""
+    text = F.col("text")
+
+    def told(found: Column, kind: str, confidence: float) -> Column:
+        return F.transform(found, lambda x: F.struct(x.alias("text"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence")))
+
+    none = F.array().cast("array<struct<text:string,type:string,confidence:double>>")
+    found = F.concat(
+        told(F.filter(find_all(text, CAPITALISED), _named), "NAMED_ENTITY", 0.7),
+        F.when(text.contains("@"), told(find_all(text, EMAIL), "EMAIL", 1.0)).otherwise(none),
+        F.when(text.contains("://"), told(find_all(text, URL), "URL", 1.0)).otherwise(none),
+        F.when(text.rlike(r"(?U)\d"), told(find_all(text, NUMBER), "NUMBER", 1.0)).otherwise(none),
+    )
+    # as a lambda's variable what is found is made once
+    each = F.flatten(F.transform(F.array(found), lambda x: F.coalesce(counted(x), F.array())))
+    # an outer explode, as Spark would filter by the array's size for the other and make every array twice
+    out = chunks.where(text.isNotNull()).select("chunk_id", each.alias("__found")).select("chunk_id", F.explode_outer("__found").alias("__e")).where("__e is not null")
+    return out.select("chunk_id", "__e.x.*", "__e.n")
+
+
 def classify(text: Column, from_source: bool) -> Column:
     """An entity's type by its text, first rule that holds."""
     company = F.lit(False)

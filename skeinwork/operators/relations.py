@@ -36,7 +36,8 @@ def _if(condition: Column, *items: Column) -> Column:
 
 
 def _rows(chunks: DataFrame, found: Column) -> DataFrame:
-    each = chunks.select("chunk_id", "source_doc", "ord", F.posexplode(found).alias("at", "__r"))
+    # an outer explode, as Spark would filter by the array's size for the other and make every array twice
+    each = chunks.select("chunk_id", "source_doc", "ord", found.alias("__found")).select("chunk_id", "source_doc", "ord", F.posexplode_outer("__found").alias("at", "__r")).where("__r is not null")
     return each.select("chunk_id", "source_doc", F.concat("ord", F.lit("/"), F.lpad(F.col("at").cast("string"), 8, "0")).alias("ord"), "__r.*")
 
 
@@ -76,6 +77,21 @@ def _quick(pattern: str) -> str:
     return r"(?<!\w)(\w++)\s++" + pattern[len(head) :] if pattern.startswith(head + "(?:") else pattern
 
 
+def _verbs(patterns: Sequence[str]) -> str | None:
+    """What a text must hold to match any of the patterns, if each is a word, white space and one of some words, with more behind them: white space and such words.
+    None: one has another form, and nothing is known of it."""
+    import re
+
+    found = []
+    for pattern in patterns:
+        m = re.fullmatch(r"\(\\w\+\)\\s\+\(\?:([\w |]+)\)\\s\+(.*)", pattern)
+        # alternatives outside groups would be others to the whole pattern
+        if not m or "\\(" in m[2] or "[" in m[2] or "|" in re.sub(r"\([^()]*\)", "", m[2]):
+            return None
+        found.append(m[1])
+    return r"(?iU)\s(?:" + "|".join(found) + r")\s" if found else None
+
+
 def _from_match(pattern: str, kind: str, confidence: float):
     return lambda m: relation(F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2), kind, confidence, context=m)
 
@@ -84,14 +100,17 @@ def pattern_relations(chunks: DataFrame, patterns=PATTERNS) -> DataFrame:
     """Pattern matches: group 1 is the source, group 2 the target, the whole the context. Patterns with fewer groups give nothing."""
     import re
 
-    parts = []
-    for pattern, kind, confidence in patterns:
-        if re.compile(pattern).groups < 2:
-            continue
+    parts, used = [], [p for p in patterns if re.compile(p[0]).groups >= 2]
+    for pattern, kind, confidence in used:
         p = "(?iU)" + _quick(pattern)
         # the groups are read from the match, which is short, not from the text again
-        parts.append(F.transform(find_all(F.col("text"), p), _from_match(p, kind, confidence)))
-    return _rows(chunks.where(F.col("text").isNotNull()), F.concat(*parts) if parts else _if(F.lit(False)))
+        found, verbs = F.transform(find_all(F.col("text"), p), _from_match(p, kind, confidence)), _verbs([pattern])
+        parts.append(found if verbs is None else F.when(F.col("text").rlike(verbs), found).otherwise(F.array().cast(f"array<{_STRUCT}>")))
+    chunks, verbs = chunks.where(F.col("text").isNotNull()), _verbs([p for p, _, _ in used])
+    if verbs is not None:
+        # most texts hold none of these words: one plain search tells for all patterns
+        chunks = chunks.where(F.col("text").rlike(verbs))
+    return _rows(chunks, F.concat(*parts) if parts else _if(F.lit(False)))
 
 
 def section_relations(rows: DataFrame) -> DataFrame:

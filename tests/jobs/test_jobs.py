@@ -75,6 +75,31 @@ def test_graph_settings_and_empty_input(spark, tmp_path):
     assert build_graph.run(spark, f"{tmp_path}/none", f"{tmp_path}/graph").count() == 0
 
 
+def test_a_long_run_of_capitalised_words(spark, tmp_path):
+    """A title of any length takes no more of a task's stack than a short one."""
+    docs = [(1, "Aa " * 40000 + "ends. Beta Gamma"), (2, "Alpha Beta is a tool.")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    out = build_graph.run(spark, f"{tmp_path}/docs", f"{tmp_path}/graph").collect()
+    assert {r["source"]: r["n"] for r in out if r["part"] == "node" and r["type"] != "CHUNK"} == {"Alpha Beta": 1, "Beta Gamma": 1}
+    assert max(len(r["text"] or "") for r in out) == 40000 * 3 + len("ends. Beta Gamma")
+
+
+def test_only_documents_whose_id_comes_again_are_shuffled(spark):
+    """Chunks are each there once, and texts of ids that come once stay where they are read."""
+    def exchanges(docs):
+        return build_graph.chunks_of(docs, 3, 1)._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    schema = "doc_id long, text string"
+    once = spark.createDataFrame([(i, f"Text {i}. It is a text.") for i in range(9)], schema)
+    assert exchanges(once) == 0 < exchanges(spark.createDataFrame(ODD, schema))
+    of_odd = build_graph.chunks_of(spark.createDataFrame(ODD + [(9, t) for _, t in ODD], schema), 1, 0).collect()
+    cut_up = {(d, t) for d, t in ODD + [(9, t) for _, t in ODD] if t and t.strip()}
+    sentences = {(d, k, s) for d, t in cut_up for k, s in enumerate(re.split(r"(?<=[.!?])\s+", t.strip()))}
+    assert len(of_odd) == len({r["chunk_id"] for r in of_odd}) == len(sentences)
+    assert {(r["chunk_id"][:20].lstrip("0"), r["text"]) for r in of_odd} == {("null" if d is None else str(d), s) for d, _, s in sentences}
+    assert build_graph.chunks_of(once, 3, 1).count() == 9
+
+
 # the log of questions
 
 

@@ -261,3 +261,33 @@ def test_dedup_sorts_by_the_key_first(spark):
     assert sorted(map(tuple, out.collect())) == [("A ", "X", 0.9, "1"), ("a", "Y", 0.1, "3")]
     sorts = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line]
     assert sorts and not any("Sort [type" in line for line in sorts)
+
+
+def test_keyword_counts_are_keyword_entities_without_places(spark):
+    texts = ["Alpha Beta met Gamma. Gamma, Gamma and 7 x@y.org x@y.org", "", "The", "no names", "See https://www.example.com/a 12 12 3.5", "Élan vital É Gamma 12", "Ab " * 70 + "1 " * 300 + "Cd, " * 200, None]
+    c = chunks(spark, *texts)
+    key = ["chunk_id", "text", "type", "confidence"]
+    want = {tuple(r[k] for k in key): r["count"] for r in entities.keyword_entities(c).groupBy(*key).count().collect()}
+    got = [(tuple(r[k] for k in key), r["n"]) for r in entities.keyword_counts(c).collect()]
+    assert dict(got) == want and len(got) == len(want)
+    plan = entities.keyword_counts(c)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_capitalised_runs_of_any_length(spark):
+    """No match takes a part of a task's stack for each of its words: an overflow would end the executor."""
+    text = "Aa " * 50000
+    [[n, size]] = spark.range(1).select(find_spans(F.concat(F.lit(text), F.col("id").cast("string")), CAPITALISED).alias("m")).select(F.size("m"), F.length(F.col("m")[0]["text"])).collect()
+    assert (n, size) == (1, len(text) - 1)
+
+
+def test_pattern_relations_look_for_all_patterns_only_where_words_of_them_are(spark, monkeypatch):
+    texts = ["Tom is a cat. Tom has\tmilk", "TOM WAS THE CAT", "İs it\u00a0ıs x, y i\u017f z", "this are", "a\nworks for\nb", "is", " is a", "He built Rome and owns it", "Éva est belle", ""]
+    c = chunks(spark, *texts)
+    odd = [*relations.PATTERNS, (r"(\w+)\s+(?:is)\s+(\w+)|(cat)", "EITHER", 1.0), (r"(\w+) (\w+)", "BESIDE", 1.0)]
+    columns = ["ord", "source", "target", "type", "context"]
+    got = [sorted(map(tuple, relations.pattern_relations(c, p).select(columns).collect())) for p in (relations.PATTERNS, odd)]
+    assert relations._verbs([p for p, _, _ in relations.PATTERNS]) and relations._verbs([p for p, _, _ in odd]) is None
+    monkeypatch.setattr(relations, "_verbs", lambda patterns: None)
+    assert got == [sorted(map(tuple, relations.pattern_relations(c, p).select(columns).collect())) for p in (relations.PATTERNS, odd)]
+    assert {r[3] for r in got[0]} == {"IS_A", "OWNS", "CREATED", "WORKS_FOR"} and {"EITHER", "BESIDE"} <= {r[3] for r in got[1]}
